@@ -24,7 +24,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends - ends[0]
 
 
-def slices(column: pa.Array, limit: int = 16 << 20):
+def slices(column: pa.Array, limit: int = 4 << 20):
     """``(first, stop)`` row ranges of at most ``limit`` bytes each, or of one row."""
     n = len(column)
     if not n:
@@ -37,12 +37,19 @@ def slices(column: pa.Array, limit: int = 16 << 20):
         first = min(stop, n)
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """``base ** i`` modulo 2**64 for ``i < n``."""
-    out = np.full(n, base, np.uint64)
-    if n:
+    """``base ** i`` modulo 2**64 for ``i < n``; kept for the next batch unless very long."""
+    if n > len(_POWERS.get(base, ())):
+        out = np.full(max(n, 1 << 16), base, np.uint64)
         out[0] = 1
-    return np.multiply.accumulate(out)
+        out = np.multiply.accumulate(out)
+        if n > 6 << 20:
+            return out[:n]
+        _POWERS[base] = out
+    return _POWERS[base][:n]
 
 
 #: Odd multiplier of the polynomial hashes and its inverse modulo 2**64.

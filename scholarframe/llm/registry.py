@@ -5,20 +5,42 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scholarframe.llm import simhash
+from scholarframe.llm import quality, simhash, toxicity
+from scholarframe.llm.learning import split_of
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _scored(rows: DataFrame, held_out: F.Column, bar: float) -> DataFrame:
+    return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= bar).cast("int").alias("predicted"))
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of whole documents, learnt from the labels outside fold 1 of 3."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    scorer = quality.quality_scorer(docs, labels.where(split_of("doc_id", 3) != 1))
+    return _scored(quality.score_quality(docs.select("doc_id", "text"), scorer), split_of("doc_id", 3) == 1, 0.5)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of whole documents, learnt from the labels outside fold 2 of 4."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    lexicon = toxicity.toxicity_lexicon(docs, labels.where(split_of("doc_id", 4) != 2))
+    return _scored(toxicity.score_toxicity(docs.select("doc_id", "text"), lexicon), split_of("doc_id", 4) == 2, 0.3)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of whole documents by SimHash."""
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op6_toxicity": op6_toxicity,
     "op9_simhash": op9_simhash,
 }
 
