@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -29,7 +30,7 @@ def slices(column: pa.Array, limit: int = 4 << 20):
     n = len(column)
     if not n:
         return
-    sizes = np.asarray(pa.compute.binary_length(column).fill_null(0)).astype(np.int64)
+    sizes = np.asarray(pc.binary_length(column).fill_null(0)).astype(np.int64)
     total, first = np.r_[0, np.cumsum(sizes)], 0
     while first < n:
         stop = max(first + 1, int(np.searchsorted(total, total[first] + limit, "right")) - 1)
