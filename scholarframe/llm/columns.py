@@ -43,7 +43,7 @@ _POWERS: dict[int, np.ndarray] = {}
 
 def powers(base: int, n: int) -> np.ndarray:
     """``base ** i`` modulo 2**64 for ``i < n``; kept for the next batch unless very long."""
-    if n > len(_POWERS.get(base, ())):
+    if base not in _POWERS or n > len(_POWERS[base]):
         out = np.full(max(n, 1 << 16), base, np.uint64)
         out[0] = 1
         out = np.multiply.accumulate(out)

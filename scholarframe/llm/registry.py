@@ -7,8 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarframe.llm import contamination, quality, simhash, toxicity
+from scholarframe.llm import contamination, packing, quality, sharding, simhash, tokenfiles, toxicity
 from scholarframe.llm.learning import split_of
+from scholarframe.session import shared_dir
+
+
+#: Shards of the sharding query.
+SHARDS = [f"shard-{i:03d}" for i in range(64)]
+
+
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    """The path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +51,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents packed into sequences of 2048 tokens."""
+    found = packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file(), capacity=2048, end_id=0)
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of whole documents, learnt from the labels outside fold 2 of 4."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -46,16 +64,31 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.score_toxicity(docs.select("doc_id", "text"), lexicon), split_of("doc_id", 4) == 2, 0.3)
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document."""
+    return sharding.place(_table(spark, sf_dir, "documents").select("doc_id", "source"), SHARDS).select("doc_id", "source", "slot", "shard")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of whole documents by SimHash."""
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op10_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents written as token files and read back."""
+    folder = tokenfiles.new_folder(shared_dir(spark))
+    manifest = tokenfiles.write_token_files(_table(spark, sf_dir, "documents"), folder, tokenizer_file(), end_id=1)
+    return tokenfiles.read_token_files(manifest, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op4_decontamination": op4_decontamination,
+    "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
+    "op7_sharding": op7_sharding,
     "op9_simhash": op9_simhash,
+    "op10_tokenfiles": op10_tokenfiles,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -75,4 +108,9 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
     """,
+    "op7_sharding": f"""
+        WITH slots AS (SELECT unnest(generate_series(0, {sharding.SLOTS - 1})) AS slot, CAST(unnest(string_split('{",".join(map(str, sharding.fill_table(SHARDS)))}', ',')) AS INTEGER) AS place),
+        rows AS (SELECT doc_id, source, CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % {sharding.SLOTS} AS INTEGER) AS slot FROM documents)
+        SELECT doc_id, source, CAST(slot AS INTEGER) AS slot, printf('shard-%03d', place) AS shard FROM rows JOIN slots USING (slot)
+    """,
 }
