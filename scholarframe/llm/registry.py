@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarframe.llm import contamination, packing, quality, sharding, simhash, tokenfiles, toxicity
+from scholarframe.llm import contamination, packing, pii, quality, sharding, simhash, tokenfiles, toxicity
 from scholarframe.llm.learning import split_of
 from scholarframe.session import shared_dir
 
@@ -69,6 +69,22 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_table(spark, sf_dir, "documents").select("doc_id", "source"), SHARDS).select("doc_id", "source", "slot", "shard")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in whole documents."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_spans(docs, pii.span_classifier(docs)).drop("text")
+
+    def listed(spans: F.Column) -> F.Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str) -> F.Column:
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *map(count, pii.BASE_KINDS), F.sha2(listed(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")
+    )
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of whole documents by SimHash."""
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
@@ -87,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
     "op7_sharding": op7_sharding,
+    "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
     "op10_tokenfiles": op10_tokenfiles,
 }
