@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarframe.llm import contamination, packing, pii, quality, sharding, simhash, tokenfiles, toxicity
+from scholarframe.llm import contamination, packing, pii, pivots, quality, sharding, simhash, tokenfiles, toxicity
 from scholarframe.llm.learning import split_of
 from scholarframe.session import shared_dir
 
@@ -38,6 +38,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.score_quality(docs.select("doc_id", "text"), scorer), split_of("doc_id", 3) == 1, 0.5)
 
 
+def op3_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all vectors by cosine."""
+    return pivots.vector_groups(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in whole documents."""
     found = contamination.contaminated_spans(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -99,6 +104,7 @@ def op10_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op3_pivots": op3_pivots,
     "op4_decontamination": op4_decontamination,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
