@@ -288,9 +288,14 @@ def n_hit(spans: F.Column) -> F.Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` without the rows in which a window of the benchmark occurs; rows without an id stay or go by their text too."""
-    key = F.sha2(F.col("text").cast("string"), 256)
-    found = contaminated_spans(docs.withColumn("doc_id", F.struct(F.col("doc_id"), key.alias("key"))), benchmark, window).where("size(spans) > 0")
-    hit = found.select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.key").alias("__key")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.sha2(docs["text"].cast("string"), 256) == F.col("__key")), "left_anti")
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the rows in which a window of the benchmark occurs.
+
+    All columns pass through the scan, so nothing is shuffled; each block of
+    the benchmark filters what the one before it left.
+    """
+    query = benchmark.select(F.lit("").alias("id"), F.col(item_text_col).cast("string").alias("text"))
+    for block in _blocks(query, block_bytes):
+        rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
+        docs = _block(rows, block, window).where("size(spans) = 0").select("row.*")
+    return docs

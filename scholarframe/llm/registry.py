@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarframe.llm import contamination, packing, pii, pivots, quality, sharding, simhash, tokenfiles, toxicity
+from scholarframe.llm import contamination, packing, pii, pivots, quality, sharding, simhash, suffixdedup, tokenfiles, toxicity
 from scholarframe.llm.learning import split_of
 from scholarframe.session import shared_dir
 
@@ -38,6 +38,13 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.score_quality(docs.select("doc_id", "text"), scorer), split_of("doc_id", 3) == 1, 0.5)
 
 
+def op2_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of whole documents that earlier documents hold, removed."""
+    found = suffixdedup.repeated_passages(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all vectors by cosine."""
     return pivots.vector_groups(_table(spark, sf_dir, "embeddings"))
@@ -104,6 +111,7 @@ def op10_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_suffixdedup": op2_suffixdedup,
     "op3_pivots": op3_pivots,
     "op4_decontamination": op4_decontamination,
     "op5_packing": op5_packing,
