@@ -188,11 +188,11 @@ def incoming_wins_merge(t: Tables) -> DataFrame:
     return rel.upsert(rows.where("id % 3 <> 0"), rows.where("id % 2 = 0").withColumn("v", -F.col("v")), ["id"])
 
 
-@query("SELECT c, y FROM (SELECT DISTINCT p_type AS c FROM part), (SELECT unnest(generate_series(1995, 2001)) AS y) EXCEPT SELECT DISTINCT p_type, year(o_orderdate) FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 49")
+@query("SELECT c, y FROM (SELECT DISTINCT p_brand AS c FROM part), (SELECT unnest(generate_series(1995, 2001)) AS y) EXCEPT SELECT DISTINCT p_brand, year(o_orderdate) FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 48 AND p_size > 45")
 def except_done(t: Tables) -> DataFrame:
-    tasks = t.part.select(F.col("p_type").alias("c")).distinct().select("c", F.explode(F.sequence(F.lit(1995).cast("long"), F.lit(2001).cast("long"))).alias("y"))
-    done = t.lineitem.where("l_quantity > 49").join(t.part, F.col("l_partkey") == F.col("p_partkey")).join(t.papers, F.col("l_orderkey") == F.col("paper_id"))
-    return tasks.join(done.select(F.col("p_type").alias("c"), F.col("year").cast("long").alias("y")).distinct(), ["c", "y"], "left_anti")
+    tasks = t.part.select(F.col("p_brand").alias("c")).distinct().select("c", F.explode(F.sequence(F.lit(1995).cast("long"), F.lit(2001).cast("long"))).alias("y"))
+    done = t.lineitem.where("l_quantity > 48").join(t.part.where("p_size > 45"), F.col("l_partkey") == F.col("p_partkey")).join(t.papers, F.col("l_orderkey") == F.col("paper_id"))
+    return tasks.join(done.select(F.col("p_brand").alias("c"), F.col("year").cast("long").alias("y")).distinct(), ["c", "y"], "left_anti")
 
 
 @query("SELECT s_nationkey AS nation FROM supplier WHERE s_acctbal > 5000 INTERSECT SELECT c_nationkey FROM customer WHERE c_acctbal > 9000")
