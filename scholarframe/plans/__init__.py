@@ -3,11 +3,11 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarframe.plans import gates, graph, identity, metrics, serving
+from scholarframe.plans import gates, graph, identity, metrics, serving, streams
 from scholarframe.plans.registry import ORACLE_SQL, QUERIES
 from scholarframe.sources.tables import Tables
 
-__all__ = ["ORACLE_SQL", "QUERIES", "flagship", "gates", "graph", "identity", "metrics", "serving"]
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship", "gates", "graph", "identity", "metrics", "serving", "streams"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
