@@ -35,7 +35,7 @@ from scholarframe.llm.suffixes import same_prefix, suffix_order
 
 SIZE, GRAM = 50, 24
 #: Bytes of a slice and of a shard's share of the texts; a slice grows with the corpus so that rows stay few.
-SLICE_BYTES, MOST_SLICE_BYTES, SHARD_BYTES = 2 << 20, 64 << 20, 8 << 20
+SLICE_BYTES, MOST_SLICE_BYTES, SHARD_BYTES = 2 << 20, 64 << 20, 2 << 20
 ANCHORS_TOGETHER = 1 << 20
 BLOCK = 1 << 20
 NO_ID = np.int64(2**63 - 1)
@@ -109,7 +109,8 @@ class Segments:
         after = np.ones(len(place), bool)
         after[:-1] = new[1:] | ~inside[1:]
         last = np.flatnonzero(inside & after)
-        return hashes[place[first]], first + base, last - first + 1
+        # the smallest hashes of windows are small numbers; mixing them again spreads them evenly over buckets
+        return mixed(~hashes[place[first]]), first + base, last - first + 1
 
     def distinct_anchors(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The anchors in order, and which of them more than one document of the slice has."""

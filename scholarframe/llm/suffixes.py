@@ -53,29 +53,38 @@ class BlockQueues:
             self.put(int(symbols[a]), block[a:b])
 
     def get(self, symbol: int) -> np.ndarray | None:
-        if not self.blocks[symbol]:
-            return None
-        block = self.blocks[symbol].popleft()
-        if isinstance(block, tuple):
-            at, n, kind = block
-            self.file.seek(at)
-            return np.frombuffer(self.file.read(n * kind.itemsize), kind)
-        self.held -= block.nbytes
-        return block
+        """The blocks that wait for a symbol as one, as far as the memory bound allows; None when there are none."""
+        queue, found, size = self.blocks[symbol], [], 0
+        while queue and (not found or size < self.limit // 4):
+            block = queue.popleft()
+            if isinstance(block, tuple):
+                at, n, kind = block
+                self.file.seek(at)
+                block = np.frombuffer(self.file.read(n * kind.itemsize), kind)
+            else:
+                self.held -= block.nbytes
+            found.append(block)
+            size += block.nbytes
+        return np.concatenate(found) if found else None
 
     def close(self) -> None:
         if self.file is not None:
             self.file.close()
 
 
+def _places(n: int) -> type:
+    """The type of places in a text of ``n`` symbols."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
 def _rising(text: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the one to its right; end marks count as rising."""
     n = len(text)
     step = np.zeros(n, np.int8)
-    step[:-1] = np.sign(text[1:].astype(np.int64) - text[:-1].astype(np.int64))
+    step[:-1] = (text[1:] > text[:-1]).view(np.int8) - (text[1:] < text[:-1]).view(np.int8)
     step[text == 0] = 1
     step[-1] = 1
-    known = np.where(step != 0, np.arange(n), n - 1)
+    known = np.where(step != 0, np.arange(n, dtype=_places(n)), _places(n)(n - 1))
     return step[np.minimum.accumulate(known[::-1])[::-1]] > 0
 
 
@@ -151,7 +160,7 @@ def suffix_order(text: np.ndarray, queue_bytes: int = QUEUE_BYTES) -> np.ndarray
         return np.zeros(0, np.int64)
     symbols = int(text.max()) + 1
     rising = _rising(text)
-    peaks = np.flatnonzero(rising & np.r_[False, ~rising[:-1]] | (text == 0))
+    peaks = np.flatnonzero(rising & np.r_[False, ~rising[:-1]] | (text == 0)).astype(_places(n))
     names = _names(text, rising, peaks)
     reduced = np.where(text[peaks] == 0, 0, names + 1)
     if len(np.unique(names[text[peaks] != 0])) == (text[peaks] != 0).sum():
@@ -160,6 +169,7 @@ def suffix_order(text: np.ndarray, queue_bytes: int = QUEUE_BYTES) -> np.ndarray
         by_name = suffix_order(reduced, queue_bytes)
     else:
         by_name = _doubled(reduced)
+    del names, reduced
     seeds = peaks[by_name]
 
     falling = BlockQueues(symbols, queue_bytes)
