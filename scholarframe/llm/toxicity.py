@@ -2,17 +2,20 @@
 
 Texts and lexicon are folded alike: case, accents, look-alike letters of other
 scripts, digits and signs used as letters, and invisible characters.  The
-lexicon is learnt: a folded word enters with the log odds of the texts that
-hold it.  A phrase of a lexicon word and its neighbour that marks harmless
-texts becomes an exception.  One Aho-Corasick pass finds all words of a text;
+lexicon is learnt: a folded word, or a stem with which words begin, enters with
+the log odds of the texts that hold it.  A phrase of a lexicon word and its
+neighbour that marks harmless texts becomes an exception.  One Aho-Corasick
+pass finds all words and stems of a text; of those that begin at one place the heaviest counts, and
 the weights found, alone and in proportion to the text's length, are
 calibrated to a probability.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,9 +30,13 @@ from pyspark.sql import functions as F
 from scholarframe.llm.learning import Sample, fit_logistic, labelled_sample, probability
 
 #: Bounds of the labelled sample and of the lexicon.
-PER_CLASS, MAX_CHARS, MAX_TERMS = 2000, 30_000, 2000
+PER_CLASS, MAX_CHARS, MAX_TERMS = 4000, 30_000, 2000
 #: A word needs so many toxic texts, and so large a share of the texts that hold it.
-LEAST_TEXTS, LEAST_SHARE = 5, 0.6
+LEAST_TEXTS, LEAST_SHARE = 6, 0.5
+#: The least log odds of a term: below it the evidence is too thin.
+LEAST_WEIGHT = 2.0
+#: Lengths of stems; a stem is written with this sign after it.
+STEMS, STEM = range(4, 9), "*"
 
 # Look-alikes of Latin letters in other scripts, and signs used as letters.
 LOOK_ALIKES = {
@@ -65,6 +72,11 @@ def words_of(folded: str) -> list[str]:
     return "".join(c if c.isalnum() else " " for c in folded).split()
 
 
+def terms_of(words: set[str]) -> set[str]:
+    """The words and the stems of longer words."""
+    return words | {w[:n] + STEM for w in words for n in STEMS if len(w) > n}
+
+
 @dataclass
 class Lexicon:
     """Folded terms with weights, folded exception phrases, and the calibration."""
@@ -79,25 +91,35 @@ class Lexicon:
     @cached_property
     def _automaton(self) -> ahocorasick.Automaton:
         found = ahocorasick.Automaton()
+        both: dict[str, list] = {}
         for term, weight in self.weights.items():
-            found.add_word(term, (term, weight))
+            both.setdefault(term.rstrip(STEM), []).append((term.endswith(STEM), weight))
         for phrase in self.exceptions:
-            found.add_word(phrase, (phrase, None))
+            both.setdefault(phrase, []).append((False, None))
+        for string, meanings in both.items():
+            found.add_word(string, (len(string), meanings))
         if len(found):
             found.make_automaton()
         return found
 
     def matches(self, folded: str) -> list[tuple[int, int, float]]:
-        """``(start, end, weight)`` of whole-word matches that no exception phrase covers."""
+        """``(start, end, weight)`` of the heaviest match at each beginning of a word that no exception phrase covers."""
         if not len(self._automaton):
             return []
-        hits, spared = [], []
-        for last, (term, weight) in self._automaton.iter(folded):
-            start, end = last - len(term) + 1, last + 1
-            if (start and folded[start - 1].isalnum()) or (end < len(folded) and folded[end].isalnum()):
+        hits: dict[int, tuple[int, float]] = {}
+        spared = []
+        for last, (size, meanings) in self._automaton.iter(folded):
+            start, end = last - size + 1, last + 1
+            if start and folded[start - 1].isalnum():
                 continue
-            (spared if weight is None else hits).append((start, end, weight))
-        return [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in spared)]
+            whole = end == len(folded) or not folded[end].isalnum()
+            for stem, weight in meanings:
+                if weight is None:
+                    if whole:
+                        spared.append((start, end))
+                elif stem != whole and weight > hits.get(start, (0, 0.0))[1]:
+                    hits[start] = end, weight
+        return [(a, b, w) for a, (b, w) in sorted(hits.items()) if not any(x <= a and b <= y for x, y in spared)]
 
     def features(self, texts: list[str]) -> np.ndarray:
         """Whether anything was found, the weight found, and the weight for each 1,000 characters."""
@@ -111,30 +133,56 @@ class Lexicon:
         return probability(self.features(texts), self.beta)
 
 
+def _unlike(folded: list[list[str]]) -> np.ndarray:
+    """The places of texts that share no three smallest phrase hashes with an earlier one; copies teach nothing new."""
+    seen, kept = set(), []
+    for i, words in enumerate(folded):
+        phrases = {zlib.crc32(" ".join(words[k : k + 3]).encode()) for k in range(max(1, len(words) - 2))}
+        key = tuple(heapq.nsmallest(3, phrases))
+        if key not in seen:
+            seen.add(key)
+            kept.append(i)
+    return np.array(kept, int)
+
+
 def learn(sample: Sample, exceptions: set[str] = frozenset()) -> Lexicon:
     """A lexicon from a sample; ``exceptions`` are phrases to spare besides those learnt.
 
-    Without toxic texts the lexicon is empty and every text gets the same low score.
+    Near copies in the sample count once.  A term has to be marked toxic in
+    either half of the sample, so that chance finds of one half fall away.
+    Without toxic texts the lexicon is empty and every text gets the same low
+    score.
     """
-    seen = [Counter(), Counter()]
     folded = [words_of(fold(t)) for t in sample.texts]
-    class_weight = {c: float(sample.weights[sample.labels == c].max(initial=0.0)) for c in (0, 1)}
-    for words, y in zip(folded, sample.labels, strict=True):
-        seen[int(y)].update(set(words))
-    totals = {c: float(sample.weights[sample.labels == c].sum()) for c in (0, 1)}
+    kept = _unlike(folded)
+    folded, labels = [folded[i] for i in kept], sample.labels[kept]
+    each = {c: float(sample.weights[sample.labels == c].max(initial=0.0)) for c in (0, 1)}
+    counts = [[Counter(), Counter()], [Counter(), Counter()]]
+    for i, (words, y) in enumerate(zip(folded, labels, strict=True)):
+        if y:
+            counts[i % 2][1].update(terms_of(set(words)))
+    often = {t for t, n in counts[0][1].items() if n + counts[1][1][t] >= LEAST_TEXTS and n and counts[1][1][t]}
+    for i, (words, y) in enumerate(zip(folded, labels, strict=True)):
+        if not y:
+            counts[i % 2][0].update(terms_of(set(words)) & often)
+    totals = {c: each[c] * float((labels == c).sum()) for c in (0, 1)}
     weights = {}
-    for term, n in seen[1].most_common():
-        toxic, other = n * class_weight[1], seen[0][term] * class_weight[0]
-        if n >= LEAST_TEXTS and len(term) > 2 and toxic >= LEAST_SHARE * (toxic + other):
-            weights[term] = math.log((toxic + 1) / (totals[1] + 2)) - math.log((other + 1) / (totals[0] + 2))
+    for term in sorted(often):
+        halves = [(n[1][term] * each[1], n[0][term] * each[0]) for n in counts]
+        toxic, other = (sum(h[k] for h in halves) for k in (0, 1))
+        if len(term) > 2 and all(a >= LEAST_SHARE * (a + b) for a, b in halves):
+            # one harmless text more than were seen, as a sample may have missed it
+            weights[term] = math.log((toxic + each[1]) / (totals[1] + 2 * each[1])) - math.log((other + each[0]) / (totals[0] + 2 * each[0]))
+    weights = {k: v for k, v in weights.items() if v >= LEAST_WEIGHT}
     weights = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:MAX_TERMS])
+    known = {t for t in weights if not t.endswith(STEM)}
     phrases = [Counter(), Counter()]
-    for words, y in zip(folded, sample.labels, strict=True):
-        own = {f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if a in weights or b in weights}
+    for words, y in zip(folded, labels, strict=True):
+        own = {f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if a in known or b in known}
         phrases[int(y)].update(own)
-    learnt = {p for p, n in phrases[0].items() if n >= LEAST_TEXTS and phrases[1][p] * class_weight[1] < 0.2 * n * class_weight[0]}
-    lexicon = Lexicon({k: v for k, v in weights.items() if v > 0}, learnt | {" ".join(words_of(fold(x))) for x in exceptions})
-    lexicon.beta = fit_logistic(lexicon.features(sample.texts), sample.labels, sample.weights)
+    learnt = {p for p, n in phrases[0].items() if n >= LEAST_TEXTS and phrases[1][p] * each[1] < 0.2 * n * each[0]}
+    lexicon = Lexicon(weights, learnt | {" ".join(words_of(fold(x))) for x in exceptions})
+    lexicon.beta = fit_logistic(lexicon.features([sample.texts[i] for i in kept]), labels, sample.weights[kept])
     return lexicon
 
 
