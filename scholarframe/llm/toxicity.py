@@ -34,7 +34,7 @@ PER_CLASS, MAX_CHARS, MAX_TERMS = 4000, 30_000, 2000
 #: A word needs so many toxic texts, and so large a share of the texts that hold it.
 LEAST_TEXTS, LEAST_SHARE = 6, 0.5
 #: The least log odds of a term: below it the evidence is too thin.
-LEAST_WEIGHT = 2.0
+LEAST_WEIGHT = 1.5
 #: Lengths of stems; a stem is written with this sign after it.
 STEMS, STEM = range(4, 9), "*"
 
