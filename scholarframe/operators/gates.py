@@ -74,8 +74,6 @@ def exactly_once(df: DataFrame, keys: list[str], member: str, expected: int) ->
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct(member).alias("n_members")).withColumn("complete", (F.col("n") == expected) & (F.col("n_members") == expected))
 
 
-
-
 def previous_of(df: DataFrame, keys: list[str], order: list[str], column: str) -> DataFrame:
     """``df`` with the value of ``column`` in the row before."""
     return df.withColumn(f"previous_{column}", F.lag(column).over(Window.partitionBy(*keys).orderBy(*order)))

@@ -122,3 +122,34 @@ def stratified_sample(df: DataFrame, id_col: str, stratum: str, version: str, pe
     key = F.sha2(F.concat(F.lit(version), F.lit(":"), F.col(id_col).cast("string")), 256)
     ranked = df.withColumn("sample_key", key).withColumn("turn", F.row_number().over(Window.partitionBy(stratum).orderBy("sample_key", id_col)))
     return ranked.where(F.col("turn") <= per_stratum).orderBy("turn", stratum, "sample_key").limit(cap)
+
+
+def identity_key(tiers: list[tuple[Column, float, str]]) -> Column:
+    """The first identifier there is, in order of trust, as ``(key, confidence, method)``."""
+    return F.coalesce(*[F.when(key.isNotNull(), F.struct(F.concat(F.lit(f"{method}:"), key).alias("key"), F.lit(confidence).alias("confidence"), F.lit(method).alias("method"))) for key, confidence, method in tiers])
+
+
+def by_precedence(rows: DataFrame, key: str, value: str, *sources: tuple[str, DataFrame]) -> DataFrame:
+    """``rows`` with the value of the first source that has the key, its name, and whether later ones disagree.
+
+    Each source is (name, table of key and value) with distinct keys.
+    """
+    joined = rows
+    for i, (_, table) in enumerate(sources):
+        joined = joined.join(table.select(F.col(key), F.col(value).alias(f"__{i}")), key, "left")
+    found = [F.col(f"__{i}") for i in range(len(sources))]
+    method = F.coalesce(*[F.when(c.isNotNull(), F.lit(name)) for c, (name, _) in zip(found, sources, strict=True)])
+    distinct = F.size(F.array_distinct(F.array_compact(F.array(*found))))
+    return joined.select(*rows.columns, F.coalesce(*found).alias(value), method.alias("method"), (distinct > 1).alias("conflict"))
+
+
+def contained_names(texts: DataFrame, text_id: str, text: str, names: DataFrame, entity: str, name: str) -> DataFrame:
+    """Texts that hold whole names of exactly one entity, word for word.
+
+    Texts and names are normalised first.  Candidates meet on a name's first
+    word, so a text meets only names that could begin in it.
+    """
+    words = texts.select(text_id, text, F.explode(F.array_distinct(F.split(text, " "))).alias("__word"))
+    heads = names.where(F.col(name) != "").select(entity, name, F.split(name, " ")[0].alias("__word"))
+    found = words.join(heads, "__word").where(F.concat(F.lit(" "), text, F.lit(" ")).contains(F.concat(F.lit(" "), F.col(name), F.lit(" "))))
+    return found.groupBy(text_id).agg(F.count_distinct(entity).alias("n"), F.min(entity).alias(entity)).where("n = 1").drop("n")
