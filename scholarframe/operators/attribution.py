@@ -36,14 +36,15 @@ def attribution_shares(assertions: DataFrame) -> DataFrame:
     """``paper_id, slot, researcher_id, institution_id, country_id, n_slots, n_affiliations, weight, status``.
 
     The weight is ``1 / (n_slots * n_affiliations)``; both counts are kept, so
-    that it can be recovered exactly.  The slots of a paper are counted by one
-    aggregation and joined back on the paper, on which the shares are already
-    partitioned.
+    that it can be recovered exactly.  Both are running counts of windows over
+    the paper's rows, so nothing is joined back.
     """
     own = effective_affiliations(assertions)
     per_slot = Window.partitionBy("paper_id", "slot")
     per_paper = Window.partitionBy("paper_id")
-    counted = own.withColumn("n_affiliations", F.count("*").over(per_slot)).withColumn("n_slots", F.size(F.collect_set("slot").over(per_paper)).cast("long"))
+    counted = own.withColumn("n_affiliations", F.count("*").over(per_slot))
+    # the affiliations of a slot add up to one slot
+    counted = counted.withColumn("n_slots", F.round(F.sum(1 / F.col("n_affiliations")).over(per_paper)).cast("long"))
     status = F.when(F.col("affiliation").isNull(), NO_AFFILIATION).when(F.col("institution_id").isNull(), UNRESOLVED).otherwise(ALLOCATED)
     return counted.select(
         "paper_id", "slot", "researcher_id", "institution_id", "country_id", "n_slots", "n_affiliations",

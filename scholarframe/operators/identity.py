@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholarframe.functions.numbers import bin_index
-from scholarframe.functions.text import bigram_dice
+from scholarframe.functions.text import bigrams
 from scholarframe.operators.components import connected_components
 
 #: Scores by how a match was made, and the bars of the fuzzy one.
@@ -45,10 +45,12 @@ def fuzzy_match(mentions: DataFrame, names: DataFrame, mention: str, term: str,
     Only names with the same first character meet.  The best is clear when it
     passes the bar and leads the next by the margin.
     """
-    a = mentions.select(mention, F.col(term).alias("__a")).withColumn("__block", F.substring("__a", 1, 1))
-    b = names.select(entity, F.col(term).alias("__b")).withColumn("__block", F.substring("__b", 1, 1))
-    # a shared bigram is necessary for any similarity, so candidates are joined on the block and scored at once
-    scored = a.join(b, "__block").withColumn("similarity", bigram_dice(F.col("__a"), F.col("__b"))).where(F.col("similarity") >= bar)
+    a = mentions.select(mention, F.substring(term, 1, 1).alias("__block"), bigrams(F.col(term)).alias("__a"))
+    b = names.select(entity, F.substring(term, 1, 1).alias("__block"), bigrams(F.col(term)).alias("__b"))
+    # bigrams are made once for each name; sizes alone rule out most pairs before sets are compared
+    pairs = a.join(b, "__block").where(2 * F.least(F.size("__a"), F.size("__b")) >= bar * (F.size("__a") + F.size("__b")))
+    similarity = 2 * F.size(F.array_intersect("__a", "__b")) / (F.size("__a") + F.size("__b"))
+    scored = pairs.select(mention, entity, similarity.alias("similarity")).where(F.col("similarity") >= bar)
     best = scored.groupBy(mention, entity).agg(F.max("similarity").alias("similarity"))
     order = Window.partitionBy(mention).orderBy(F.col("similarity").desc(), entity)
     ranked = best.withColumn("rank", F.row_number().over(order)).withColumn("__next", F.lead("similarity").over(order))
