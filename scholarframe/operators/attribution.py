@@ -17,9 +17,11 @@ def effective_affiliations(assertions: DataFrame) -> DataFrame:
     """One row for each distinct affiliation of a slot: resolved ones by institution, others by assertion.
 
     A slot whose only row has neither stays, as a slot without affiliation.
+    Rows are dealt by paper here, which serves every later step on papers and
+    slots; few rows repeat an affiliation, so combining before would gain little.
     """
     key = F.coalesce(F.concat(F.lit("i:"), F.col("institution_id").cast("string")), F.concat(F.lit("a:"), F.col("assertion_id").cast("string")))
-    return assertions.withColumn("affiliation", key).groupBy("paper_id", "slot", "affiliation").agg(
+    return assertions.withColumn("affiliation", key).repartition("paper_id").groupBy("paper_id", "slot", "affiliation").agg(
         F.min("institution_id").alias("institution_id"),
         F.min("country_id").alias("country_id"),
         F.min("researcher_id").alias("researcher_id"),
@@ -64,7 +66,7 @@ def entity_weights(shares: DataFrame, entity: str) -> DataFrame:
 
 def distinct_country_weights(assertions: DataFrame) -> DataFrame:
     """Country mass split over the distinct countries of each slot, not over its institutions."""
-    slots = assertions.groupBy("paper_id", "slot").agg(F.collect_set("country_id").alias("countries"))
+    slots = assertions.repartition("paper_id").groupBy("paper_id", "slot").agg(F.collect_set("country_id").alias("countries"))
     sized = slots.withColumn("n_slots", F.count("*").over(Window.partitionBy("paper_id")))
     each = sized.select("paper_id", F.explode("countries").alias("country_id"), (1 / (F.col("n_slots") * F.size("countries"))).alias("weight"))
     return each.groupBy("paper_id", "country_id").agg(F.sum("weight").alias("weight"))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 def equal_shares(paper_fields: DataFrame) -> DataFrame:
     """``paper_id, field_id, share``: a paper's weight split evenly over its distinct fields."""
-    own = paper_fields.select("paper_id", "field_id").distinct()
-    return own.withColumn("share", 1 / F.count("*").over(Window.partitionBy("paper_id")))
+    own = paper_fields.groupBy("paper_id").agg(F.collect_set("field_id").alias("fields"))
+    return own.select("paper_id", F.explode("fields").alias("field_id"), (1 / F.size("fields")).alias("share"))
 
 
 def mapped_categories(categories: DataFrame, rules: DataFrame, on: list[str]) -> DataFrame:
@@ -23,10 +23,10 @@ def field_ledger(mapped: DataFrame) -> DataFrame:
     The unmapped mass is the share of unmapped categories; the rest is split
     evenly over the fields found.
     """
-    unique = mapped.select("paper_id", "category", "field_id").distinct()
-    counts = unique.groupBy("paper_id").agg(
-        F.count_distinct("category").alias("n"),
-        F.count_distinct(F.when(F.col("field_id").isNull(), F.col("category"))).alias("unmapped"),
+    # the sets of one paper are small, and are combined before the only shuffle
+    counts = mapped.groupBy("paper_id").agg(
+        F.size(F.collect_set("category")).alias("n"),
+        F.size(F.collect_set(F.when(F.col("field_id").isNull(), F.col("category")))).alias("unmapped"),
         F.collect_set("field_id").alias("fields"),
     )
     lost = F.when(F.size("fields") == 0, F.lit(1.0)).otherwise(F.col("unmapped") / F.col("n"))
