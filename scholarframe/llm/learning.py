@@ -15,6 +15,18 @@ def split_of(id_col: str, folds: int) -> F.Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds)).cast("int")
 
 
+def smallest(df: DataFrame, order: list[str | F.Column], hashed: F.Column, n: int, total: int) -> DataFrame:
+    """The ``n`` rows of ``total`` that have the smallest 64-bit hash, in the given order.
+
+    Rows whose hash is too large to be among them are left out first, so tasks
+    hand on about twice ``n`` rows in all, however many tasks there are.
+    """
+    share = min(1.0, 2 * n / max(total, 1))
+    if share < 1:
+        df = df.where(hashed <= F.lit(int(-(2**63) + share * 2**64)))
+    return df.orderBy(hashed, *order).limit(n)
+
+
 @dataclass(frozen=True)
 class Sample:
     """Texts with 0/1 labels, and the weight that makes each class count as in the whole table."""
@@ -37,7 +49,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_clas
     totals = dict(known.groupBy("label").count().collect())
     picks = reduce(
         DataFrame.unionByName,
-        [known.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(per_class) for c in (0, 1)],
+        [smallest(known.where(F.col("label") == c), ["id"], F.xxhash64("id"), per_class, totals.get(c, 0)) for c in (0, 1)],
     )
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
     # at most 2 * per_class ids are broadcast, whatever the size of the tables

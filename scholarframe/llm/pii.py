@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholarframe.llm.columns import slices
-from scholarframe.llm.learning import fit_logistic, probability
+from scholarframe.llm.learning import fit_logistic, probability, smallest
 from scholarframe.session import stored
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -268,7 +268,7 @@ def span_classifier(docs: DataFrame, text_col: str = "text", sample: int = SAMPL
     votes = np.array([list(map(int, r["votes"].split(","))) for r in patterns], int).reshape(-1, len(LABELERS))
     found = estimate([r["kind"] for r in patterns], votes, np.array([r["count"] for r in patterns]))
     likely = {(r["kind"], r["votes"]): p for r, p in zip(patterns, found, strict=True)}
-    drawn = rows.orderBy(F.xxhash64("kind", "string"), "kind", "string", "votes").limit(sample).select("kind", "votes", "seen").collect()
+    drawn = smallest(rows, ["kind", "string", "votes"], F.xxhash64("kind", "string"), sample, sum(r["count"] for r in patterns)).select("kind", "votes", "seen").collect()
     x = np.array([r["seen"] for r in drawn], float).reshape(-1, N_FEATURES)
     return fit_logistic(x, np.array([likely[r["kind"], r["votes"]] for r in drawn], float), np.ones(len(drawn)), penalty=0.5)
 

@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholarframe.llm.learning import smallest
 from scholarframe.llm.simhash import smallest_labels
 from scholarframe.operators.components import connected_components
 from scholarframe.session import stored
@@ -149,7 +150,7 @@ def vector_groups(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id"
     classes = stored(own.groupBy("vector").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "vector-classes")
     total, width = classes.agg(F.count("*"), F.max(F.size("vector"))).first()
     most = int(min(most_pivots, max(64, total // 50)))
-    drawn = classes.orderBy(F.xxhash64("rep"), "rep").limit(DRAWN_FOR_EACH * most).select("vector").toArrow()["vector"]
+    drawn = smallest(classes, ["rep"], F.xxhash64("rep"), DRAWN_FOR_EACH * most, total).select("vector").toArrow()["vector"]
     if total:
         pivots = choose_pivots(_unit(_matrix(drawn.combine_chunks() if isinstance(drawn, pa.ChunkedArray) else drawn, width)), most)
         found = stored(_found(classes, pivots, least, min(nearest, len(pivots)), min(shared, len(pivots)), width, together), "vector-links")
