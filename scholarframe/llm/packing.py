@@ -2,7 +2,8 @@
 
 Every document becomes token ids with an end id, cut only when longer than a
 sequence.  Pieces are dealt to tasks in a random but repeatable order, and
-each task packs its own with a fixed number of open bins: a bitset tells which
+each task packs its own, the largest of the next few first, with a fixed number
+of open bins: a bitset tells which
 amounts of free space are open, so the bin a piece fits best is one shift and
 one lowest bit away, and when a new bin is needed beyond the number the
 fullest open one closes.  Bins that were still open when their task ended are
@@ -27,6 +28,8 @@ from scholarframe.llm.pieces import encoder
 from scholarframe.session import stored
 
 CAPACITY, OPEN_BINS = 2048, 256
+#: Items that are placed together, the largest first, for each open bin; a bound on the look-ahead.
+LOOK_AHEAD = 4
 
 
 def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,9 +123,13 @@ def _packed(rows: DataFrame, size: str, into: str, capacity: int, open_bins: int
         bins, base = OpenBins(capacity, open_bins), TaskContext.get().partitionId() << 40
         held: list[pd.DataFrame] = []
         for batch in batches:
-            placed = [bins.put(n) for n in batch[size].tolist()]
-            own = batch.assign(**{into: [base + b for b, _ in placed], f"{into}_offset": [o for _, o in placed]})
-            held.append(own)
+            sizes = batch[size].to_numpy()
+            bin_of, place = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+            for i in range(0, len(sizes), LOOK_AHEAD * open_bins):
+                ahead = sizes[i : i + LOOK_AHEAD * open_bins]
+                for k in np.argsort(-ahead, kind="stable").tolist():
+                    bin_of[i + k], place[i + k] = bins.put(int(ahead[k]))
+            held.append(batch.assign(**{into: base + bin_of, f"{into}_offset": place}))
         left = {base + b for b in bins.still_open()}
         for own in held:
             own[f"{into}_open"] = own[into].isin(left)
