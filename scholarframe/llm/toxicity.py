@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import sys
 import unicodedata
 import zlib
 from collections import Counter
@@ -69,7 +70,7 @@ def fold(text: str) -> str:
 
 def words_of(folded: str) -> list[str]:
     """The runs of letters and digits of a folded text."""
-    return "".join(c if c.isalnum() else " " for c in folded).split()
+    return [sys.intern(w) for w in "".join(c if c.isalnum() else " " for c in folded).split()]
 
 
 def terms_of(words: set[str]) -> set[str]:
@@ -145,6 +146,10 @@ def _unlike(folded: list[list[str]]) -> np.ndarray:
     return np.array(kept, int)
 
 
+def _slot(term: str) -> int:
+    return zlib.crc32(term.encode()) & 0x3FFFFF
+
+
 def learn(sample: Sample, exceptions: set[str] = frozenset()) -> Lexicon:
     """A lexicon from a sample; ``exceptions`` are phrases to spare besides those learnt.
 
@@ -157,10 +162,16 @@ def learn(sample: Sample, exceptions: set[str] = frozenset()) -> Lexicon:
     kept = _unlike(folded)
     folded, labels = [folded[i] for i in kept], sample.labels[kept]
     each = {c: float(sample.weights[sample.labels == c].max(initial=0.0)) for c in (0, 1)}
+    # counts by hash leave out most terms before any is counted by name, which keeps the driver small
+    rough = np.zeros((2, 1 << 22), np.uint16)
+    for i, (words, y) in enumerate(zip(folded, labels, strict=True)):
+        if y:
+            rough[i % 2, list({_slot(t) for t in terms_of(set(words))})] += 1
+    maybe = (rough[0] > 0) & (rough[1] > 0) & (rough.sum(axis=0) >= LEAST_TEXTS)
     counts = [[Counter(), Counter()], [Counter(), Counter()]]
     for i, (words, y) in enumerate(zip(folded, labels, strict=True)):
         if y:
-            counts[i % 2][1].update(terms_of(set(words)))
+            counts[i % 2][1].update(t for t in terms_of(set(words)) if maybe[_slot(t)])
     often = {t for t, n in counts[0][1].items() if n + counts[1][1][t] >= LEAST_TEXTS and n and counts[1][1][t]}
     for i, (words, y) in enumerate(zip(folded, labels, strict=True)):
         if not y:
