@@ -12,8 +12,8 @@ themselves are shuffled once.
    they cover.  Segments of shared anchors go to the shard of the anchor, equal
    ones of a slice once, with the smallest document that holds them.
 3. *Suffixes.*  A shard sorts the suffixes of its segments by external induced
-   sorting.  Windows side by side with a common prefix of ``size`` bytes are
-   equal; the smallest document among them decides, and the slices get one bit
+   sorting, which carries common prefixes along.  Windows side by side with a
+   common prefix of ``size`` bytes are equal; the smallest document among them decides, and the slices get one bit
    for each window of each segment they sent.
 
 The slices then mark the windows of every document and join them to spans.
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholarframe.llm.columns import BASE, BYTE, flat, mixed, runs, span_hashes
-from scholarframe.llm.suffixes import same_prefix, suffix_order
+from scholarframe.llm.suffixes import sorted_suffixes
 
 SIZE, GRAM = 50, 24
 #: Bytes of a slice and of a shard's share of the texts; a slice grows with the corpus so that rows stay few.
@@ -198,10 +198,13 @@ def _in_segment_shard(blobs: list[bytes], size: int) -> list[np.ndarray]:
     place = np.arange(int(own_length.sum())) + np.repeat(np.arange(len(pick)), own_length)
     text[place] = _gathered(buf, own_start, own_length).astype(np.uint16) + 1
     owner = np.repeat(np.arange(len(pick)), own_length + 1)
-    order = suffix_order(text)
+    order, common = sorted_suffixes(text, size)
     window = np.arange(len(text)) - at[owner] <= own_length[owner] - size
-    order = order[window[order]]
-    group = np.flatnonzero(~same_prefix((text - (text > 0)).astype(np.uint8), order, size))
+    # a suffix too short to be a window never stands between two equal windows
+    own = window[order]
+    group = np.cumsum(common < size)[own]
+    order = order[own]
+    group = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     least = np.full(len(text), NO_ID)
     least[order] = np.repeat(np.minimum.reduceat(earliest[owner[order]], group), np.diff(np.r_[group, len(order)]))
     windows = length - size + 1

@@ -5,9 +5,13 @@ in the manner of external induced sorting.  Suffixes that begin a rise after a
 fall are sorted first, by naming the substrings between them and sorting the
 strings of names, recursively while the names are few.  All others are then
 induced: going through the suffixes in order, the suffix one place to the left
-of each joins the queue of its first symbol.  Whole blocks of suffixes go
-through the queues at a time, and a queue over its memory bound keeps its
-blocks in a scratch file of the task.
+of each joins the queue of its first symbol.  The queues of all symbols, taken
+in the order of the symbols, are one priority queue.  What goes through them
+are tuples of a suffix and the length of the prefix it has in common with the
+one before it: two suffixes that join a queue one after the other share one
+symbol more than the least of the lengths met between them.  Whole blocks of
+tuples go through the queues at a time, and a queue over its memory bound keeps
+its blocks in a scratch file of the task.
 """
 
 from __future__ import annotations
@@ -23,12 +27,28 @@ QUEUE_BYTES = 96 << 20
 MOST_SYMBOLS = 1024
 
 
+#: What a length says before anything was met.
+UNMET = 255
+
+
+def _tuples(places: np.ndarray, common: np.ndarray | int) -> np.ndarray:
+    """Suffixes with their common prefixes, as the queues hold them."""
+    out = np.empty(len(places), [("place", places.dtype), ("common", np.uint8)])
+    out["place"], out["common"] = places, common
+    return out
+
+
 class BlockQueues:
-    """One first-in first-out queue of position blocks for each symbol, spilling the newest blocks to disk."""
+    """One first-in first-out queue of blocks of tuples for each symbol, spilling the newest blocks to disk.
+
+    Common prefixes are followed up to ``depth`` symbols, which is below
+    ``UNMET``; with a depth of zero they stay zero.
+    """
 
-    def __init__(self, symbols: int, limit: int = QUEUE_BYTES):
+    def __init__(self, symbols: int, depth: int = 0, limit: int = QUEUE_BYTES):
         self.blocks: list[deque] = [deque() for _ in range(symbols)]
         self.limit, self.held, self.file, self.at = limit, 0, None, 0
+        self.depth, self.since = depth, np.full(symbols, UNMET, np.uint8)
 
     def put(self, symbol: int, block: np.ndarray) -> None:
         if self.held + block.nbytes <= self.limit:
@@ -43,7 +63,7 @@ class BlockQueues:
         self.at += block.nbytes
 
     def put_by_symbol(self, symbols: np.ndarray, block: np.ndarray) -> None:
-        """Each position goes to the queue of its symbol; the order within a queue is the block's."""
+        """Each tuple goes to the queue of its symbol; the order within a queue is the block's."""
         if not len(block):
             return
         order = np.argsort(symbols, kind="stable")
@@ -52,8 +72,27 @@ class BlockQueues:
         for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(block)], strict=True):
             self.put(int(symbols[a]), block[a:b])
 
+    def induce(self, common: np.ndarray, picked: np.ndarray, symbols: np.ndarray, places: np.ndarray) -> None:
+        """Queues ``places``, found left of the tuples ``picked`` of a block with these common prefixes."""
+        order = np.argsort(symbols, kind="stable")
+        picked, symbols, places = picked[order], symbols[order], places[order]
+        first = np.r_[True, symbols[1:] != symbols[:-1]] if len(order) else np.zeros(0, bool)
+        shared = np.zeros(len(order), np.uint8)
+        if self.depth:
+            least = np.empty(len(order), np.uint8)
+            least[first] = np.minimum(self.since[symbols[first]], np.minimum.accumulate(common)[picked[first]])
+            later = np.flatnonzero(~first)
+            least[later] = least_between(common, picked[later - 1] + 1, picked[later] + 1)
+            shared = np.minimum(least, self.depth - 1) + np.uint8(1)
+            last = np.flatnonzero(np.r_[first[1:], True]) if len(order) else np.zeros(0, np.int64)
+            self.since = np.minimum(self.since, common.min())
+            self.since[symbols[last]] = np.r_[np.minimum.accumulate(common[::-1])[::-1], np.uint8(UNMET)][picked[last] + 1]
+        block, cuts = _tuples(places, shared), np.flatnonzero(first)
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(block)], strict=False):
+            self.put(int(symbols[a]), block[a:b])
+
     def get(self, symbol: int) -> np.ndarray | None:
-        """The blocks that wait for a symbol as one, as far as the memory bound allows; None when there are none."""
+        """The tuples that wait for a symbol, as far as the memory bound allows; None when there are none."""
         queue, found, size = self.blocks[symbol], [], 0
         while queue and (not found or size < self.limit // 4):
             block = queue.popleft()
@@ -72,6 +111,52 @@ class BlockQueues:
             self.file.close()
 
 
+def least_between(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The least of ``values[start:stop]`` for each of many ranges, none of them empty."""
+    out = np.empty(len(start), values.dtype)
+    level = np.frexp(stop - start)[1] - 1
+    table, width = values, 1
+    for k in range(int(level.max()) + 1 if len(level) else 0):
+        if k:
+            table = np.minimum(table[:-width], table[width:])
+            width *= 2
+        own = np.flatnonzero(level == k)
+        out[own] = np.minimum(table[start[own]], table[stop[own] - width])
+    return out
+
+
+class CommonPrefixes:
+    """Comparison of suffixes of one text, up to ``depth`` symbols and to the end of either string."""
+
+    def __init__(self, text: np.ndarray, depth: int):
+        self.depth, self.marks = depth, np.flatnonzero(text == 0)
+        self.bits = int(text.max()).bit_length()
+        self.each = 63 // self.bits
+        padded = np.r_[text.astype(np.uint64), np.zeros(self.each, np.uint64)]
+        self.word = np.zeros(len(text) + 1, np.uint64)
+        for k in range(self.each):
+            self.word <<= np.uint64(self.bits)
+            self.word |= padded[k : k + len(self.word)]
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """How many symbols the suffixes at ``left`` and ``right`` share."""
+        room = np.minimum(*(self.marks[np.searchsorted(self.marks, x)] - x for x in (left, right)))
+        found = np.minimum(room, self.depth)
+        open_ = np.flatnonzero(found > 0)
+        for done in range(0, self.depth, self.each):
+            unlike = self.word[left[open_] + done] ^ self.word[right[open_] + done]
+            ends = unlike != 0
+            unlike, at = unlike[ends], open_[ends]
+            same, equal = np.zeros(len(at), np.int64), np.ones(len(at), bool)
+            for k in range(self.each):
+                equal &= unlike >> np.uint64(self.bits * (self.each - 1 - k)) == 0
+                same += equal
+            found[at] = np.minimum(found[at], done + same)
+            # those that are settled, by a difference or by an end, are not looked at again
+            open_ = open_[found[open_] > done + self.each]
+        return found.astype(np.uint8)
+
+
 def _places(n: int) -> type:
     """The type of places in a text of ``n`` symbols."""
     return np.int32 if n < 1 << 31 else np.int64
@@ -149,15 +234,21 @@ def _doubled(text: np.ndarray) -> np.ndarray:
 
 
 def suffix_order(text: np.ndarray, queue_bytes: int = QUEUE_BYTES) -> np.ndarray:
-    """All places of ``text`` in the order of their suffixes.
+    """All places of ``text`` in the order of their suffixes; see :func:`sorted_suffixes`."""
+    return sorted_suffixes(text, 0, queue_bytes)[0]
+
+
+def sorted_suffixes(text: np.ndarray, depth: int = 0, queue_bytes: int = QUEUE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """All places of ``text`` in the order of their suffixes, and what each has in common with the one before it.
 
     Symbols are positive; 0 marks the end of each string and the last symbol is
     one.  A suffix ends at its string's mark; equal suffixes, and the marks
-    themselves, which come first, are ordered by place.
+    themselves, which come first, are ordered by place.  Common prefixes count
+    up to ``depth`` symbols, below 255.
     """
     n = len(text)
     if n == 0:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint8)
     symbols = int(text.max()) + 1
     rising = _rising(text)
     peaks = np.flatnonzero(rising & np.r_[False, ~rising[:-1]] | (text == 0)).astype(_places(n))
@@ -171,51 +262,63 @@ def suffix_order(text: np.ndarray, queue_bytes: int = QUEUE_BYTES) -> np.ndarray
         by_name = _doubled(reduced)
     del names, reduced
     seeds = peaks[by_name]
+    depth = depth if symbols > 1 else 0
+    prefixes = CommonPrefixes(text, depth) if depth else None
+
+    def shared(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return prefixes.of(left, right) if prefixes else np.zeros(len(left), np.uint8)
 
-    falling = BlockQueues(symbols, queue_bytes)
-    first = BlockQueues(symbols, queue_bytes)
-    first.put_by_symbol(text[seeds], seeds)
+    def seam(above: list[np.ndarray], below: list[np.ndarray]) -> int:
+        """What the last tuples of two lists share; falling and rising suffixes of one symbol meet there."""
+        return int(shared(above[-1]["place"][-1:], below[-1]["place"][-1:])[0]) if above and below else 0
+
+    falling, first, rises = (BlockQueues(symbols, depth, queue_bytes) for _ in range(3))
+    first.put_by_symbol(text[seeds], _tuples(seeds, np.r_[np.uint8(0), shared(seeds[:-1], seeds[1:])]))
     lower: list[list[np.ndarray]] = [[] for _ in range(symbols)]
+    upper: list[list[np.ndarray]] = [[] for _ in range(symbols)]
+
+    def induce(queues: BlockQueues, places: np.ndarray, common: np.ndarray, rise: bool) -> None:
+        picked = np.flatnonzero(places > 0)
+        before = places[picked] - 1
+        own = (text[before] != 0) & (rising[before] == rise)
+        queues.induce(common, picked[own], text[before[own]], before[own])
 
-    def left_of(block: np.ndarray, rise: bool) -> np.ndarray:
-        before = block[block > 0] - 1
-        return before[(text[before] != 0) & (rising[before] == rise)]
+    def parts(block: np.ndarray, begin: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Places and common prefixes of a block, the first of which is ``begin`` unless None."""
+        if begin is not None:
+            block = block.copy()
+            block["common"][0] = begin
+        return np.ascontiguousarray(block["place"]), np.ascontiguousarray(block["common"])
 
     for c in range(symbols):
         while (block := falling.get(c)) is not None:
-            lower[c].append(block)
-            found = left_of(block, False)
-            falling.put_by_symbol(text[found], found)
+            places, common = parts(block, None if lower[c] else 0)
+            lower[c].append(_tuples(places, common))
+            induce(falling, places, common, False)
+        met = False
         while (block := first.get(c)) is not None:
-            found = left_of(block, False)
-            falling.put_by_symbol(text[found], found)
-    rises = BlockQueues(symbols, queue_bytes)
-    upper: list[list[np.ndarray]] = [[] for _ in range(symbols)]
+            induce(falling, *parts(block, None if met else seam(lower[c], [block[:1]])), False)
+            met = True
+    # the way back: what a tuple has in common with the one above it stands in that one
     for c in range(symbols - 1, 0, -1):
         while (block := rises.get(c)) is not None:
-            upper[c].append(block)
-            found = left_of(block, True)
-            rises.put_by_symbol(text[found], found)
+            places, common = parts(block, None if upper[c] else 0)
+            upper[c].append(_tuples(places, common))
+            induce(rises, places, common, True)
+        above = seam(upper[c], lower[c])
         for block in reversed(lower[c]):
-            found = left_of(block[::-1], True)
-            rises.put_by_symbol(text[found], found)
+            places, common = parts(block, None)
+            induce(rises, places[::-1], np.r_[np.uint8(above), common[:0:-1]], True)
+            above = int(common[0])
     for q in (falling, first, rises):
         q.close()
-    parts = [np.flatnonzero(text == 0)]
+    marks = np.flatnonzero(text == 0)
+    order, found = [marks], [np.zeros(len(marks), np.uint8)]
     for c in range(1, symbols):
-        parts += lower[c] + [block[::-1] for block in reversed(upper[c])]
-    return np.concatenate(parts)
-
-
-def same_prefix(data: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
-    """Whether each place but the first has the same ``size`` bytes as the place before it in ``places``."""
-    padded = np.r_[data, np.zeros(8, np.uint8)].astype(np.uint64)
-    word = np.zeros(len(data) + 1, np.uint64)
-    for k in range(min(8, size)):
-        word |= padded[k : k + len(data) + 1] << np.uint64(8 * k)
-    same = np.zeros(len(places), bool)
-    left = np.arange(1, len(places))
-    for at in [*range(0, max(size - 7, 1), 8), max(size - 8, 0)]:
-        left = left[word[places[left] + at] == word[places[left - 1] + at]]
-    same[left] = True
-    return same
+        order += [block["place"] for block in lower[c]]
+        found += [block["common"] for block in lower[c]]
+        if upper[c]:
+            down = np.concatenate(upper[c])
+            order.append(down["place"][::-1])
+            found.append(np.r_[np.uint8(seam(lower[c], upper[c])), down["common"][:0:-1]])
+    return np.concatenate(order), np.concatenate(found)

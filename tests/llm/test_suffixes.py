@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from scholarframe.llm import suffixes
-from scholarframe.llm.suffixes import same_prefix, suffix_order
+from scholarframe.llm.suffixes import CommonPrefixes, least_between, sorted_suffixes, suffix_order
 
 
 def text_of(strings):
@@ -17,6 +17,10 @@ def brute(text):
     return sorted(range(len(text)), key=key)
 
 
+def shared(a, b, depth):
+    return next((k for k, (x, y) in enumerate(zip(a[:depth], b[:depth])) if x != y), min(len(a), len(b), depth))
+
+
 def check(strings, **kwargs):
     text = text_of(strings)
     got = suffix_order(text, **kwargs).tolist()
@@ -24,6 +28,10 @@ def check(strings, **kwargs):
     marks = np.flatnonzero(text == 0)
     suffix = lambda i: tuple(text[i : marks[np.searchsorted(marks, i)]])
     assert [suffix(i) for i in got] == [suffix(i) for i in brute(text)]
+    for depth in (1, 4, 50, 254):
+        order, common = sorted_suffixes(text, depth, **kwargs)
+        assert order.tolist() == got
+        assert common.tolist() == [0] + [shared(suffix(a), suffix(b), depth) for a, b in zip(got, got[1:])]
 
 
 @settings(max_examples=200, deadline=None)
@@ -51,12 +59,22 @@ def test_empty():
     assert suffix_order(np.zeros(2, np.int64)).tolist() == [0, 1]
 
 
-@pytest.mark.parametrize("size", [1, 3, 8, 9, 50])
-def test_same_prefix(size):
-    rng = np.random.default_rng(size)
-    data = np.tile(rng.integers(0, 2, 120).astype(np.uint8), 2)
-    data[150] += 1
-    places = rng.integers(0, len(data) - size, 300)
-    places[1::2] = (places[::2] + 120) % (len(data) - size)
-    same = same_prefix(data, places, size)
-    assert same.tolist() == [False] + [data[a : a + size].tobytes() == data[b : b + size].tobytes() for a, b in zip(places[1:], places[:-1])]
+@pytest.mark.parametrize("symbols", [1, 2, 256, 70000])
+def test_common_prefixes(symbols):
+    rng = np.random.default_rng(symbols)
+    own = rng.integers(1, symbols + 1, 90)
+    text = np.r_[own, 0, own[:60], symbols, own[61:], 0, own[40:], 0]
+    left, right = rng.integers(0, len(text), (2, 500))
+    right[::2] = (left[::2] + 91) % len(text)
+    marks = np.flatnonzero(text == 0)
+    suffix = lambda i: tuple(text[i : marks[np.searchsorted(marks, i)]])
+    for depth in (1, 7, 50):
+        assert CommonPrefixes(text, depth).of(left, right).tolist() == [shared(suffix(a), suffix(b), depth) for a, b in zip(left, right)]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 255), min_size=1, max_size=40), st.data())
+def test_least_between(values, data):
+    ranges = [sorted(data.draw(st.tuples(st.integers(0, len(values) - 1), st.integers(1, len(values))))) for _ in range(6)]
+    ranges = np.array([(a, max(b, a + 1)) for a, b in ranges])
+    assert least_between(np.array(values, np.uint8), ranges[:, 0], ranges[:, 1]).tolist() == [min(values[a:b]) for a, b in ranges.tolist()]
