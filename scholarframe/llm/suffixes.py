@@ -74,22 +74,28 @@ class BlockQueues:
 
     def induce(self, common: np.ndarray, picked: np.ndarray, symbols: np.ndarray, places: np.ndarray) -> None:
         """Queues ``places``, found left of the tuples ``picked`` of a block with these common prefixes."""
+        if not len(places):
+            self.since = np.minimum(self.since, common.min()) if self.depth else self.since
+            return
         order = np.argsort(symbols, kind="stable")
-        picked, symbols, places = picked[order], symbols[order], places[order]
-        first = np.r_[True, symbols[1:] != symbols[:-1]] if len(order) else np.zeros(0, bool)
-        shared = np.zeros(len(order), np.uint8)
+        symbols, places = symbols[order], places[order]
+        cuts = np.flatnonzero(symbols[1:] != symbols[:-1]) + 1
+        begin, end = [0, *cuts.tolist()], [*cuts.tolist(), len(places)]
+        shared = 0
         if self.depth:
+            picked = picked[order]
             least = np.empty(len(order), np.uint8)
-            least[first] = np.minimum(self.since[symbols[first]], np.minimum.accumulate(common)[picked[first]])
-            later = np.flatnonzero(~first)
-            least[later] = least_between(common, picked[later - 1] + 1, picked[later] + 1)
+            least[1:] = least_between(common, np.minimum(picked[:-1], picked[1:] - 1) + 1, picked[1:] + 1)
+            own = symbols[begin]
+            least[begin] = np.minimum(self.since[own], np.minimum.accumulate(common)[picked[begin]])
             shared = np.minimum(least, self.depth - 1) + np.uint8(1)
-            last = np.flatnonzero(np.r_[first[1:], True]) if len(order) else np.zeros(0, np.int64)
-            self.since = np.minimum(self.since, common.min())
-            self.since[symbols[last]] = np.r_[np.minimum.accumulate(common[::-1])[::-1], np.uint8(UNMET)][picked[last] + 1]
-        block, cuts = _tuples(places, shared), np.flatnonzero(first)
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(block)], strict=False):
-            self.put(int(symbols[a]), block[a:b])
+            rest = np.full(len(common) + 1, UNMET, np.uint8)
+            rest[:-1] = np.minimum.accumulate(common[::-1])[::-1]
+            self.since = np.minimum(self.since, rest[0])
+            self.since[own] = rest[picked[np.array(end) - 1] + 1]
+        block = _tuples(places, shared)
+        for c, i, j in zip(symbols[begin].tolist(), begin, end, strict=True):
+            self.put(c, block[i:j])
 
     def get(self, symbol: int) -> np.ndarray | None:
         """The tuples that wait for a symbol, as far as the memory bound allows; None when there are none."""
@@ -104,7 +110,7 @@ class BlockQueues:
                 self.held -= block.nbytes
             found.append(block)
             size += block.nbytes
-        return np.concatenate(found) if found else None
+        return None if not found else found[0] if len(found) == 1 else np.concatenate(found)
 
     def close(self) -> None:
         if self.file is not None:
@@ -129,7 +135,7 @@ class CommonPrefixes:
     """Comparison of suffixes of one text, up to ``depth`` symbols and to the end of either string."""
 
     def __init__(self, text: np.ndarray, depth: int):
-        self.depth, self.marks = depth, np.flatnonzero(text == 0)
+        self.text, self.depth, self.marks = text, depth, np.flatnonzero(text == 0)
         self.bits = int(text.max()).bit_length()
         self.each = 63 // self.bits
         padded = np.r_[text.astype(np.uint64), np.zeros(self.each, np.uint64)]
@@ -138,6 +144,13 @@ class CommonPrefixes:
             self.word <<= np.uint64(self.bits)
             self.word |= padded[k : k + len(self.word)]
 
+    def pair(self, left: int, right: int) -> int:
+        """How many symbols two suffixes share."""
+        a, b = (self.text[x : x + self.depth] for x in (left, right))
+        n = min(len(a), len(b))
+        ends = (a[:n] != b[:n]) | (a[:n] == 0)
+        return int(ends.argmax()) if ends.any() else n
+
     def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """How many symbols the suffixes at ``left`` and ``right`` share."""
         room = np.minimum(*(self.marks[np.searchsorted(self.marks, x)] - x for x in (left, right)))
@@ -212,25 +225,25 @@ def _doubled(text: np.ndarray) -> np.ndarray:
     rank = text.astype(np.int64) + len(marks)
     rank[marks] = np.arange(len(marks))
     end = marks[np.searchsorted(marks, np.arange(n))]
-    step = 1
-    while True:
-        beyond = np.minimum(np.arange(n) + step, end)
-        order = np.argsort(rank, kind="stable")
-        r = rank[order]
-        tied = np.r_[False, r[1:] == r[:-1]]
-        if not tied.any():
-            return order
+    order = np.argsort(rank, kind="stable")
+    r = rank[order]
+    same = np.r_[False, r[1:] == r[:-1]]
+    # a rank is the first place in the order that a group of equals takes
+    rank[order] = np.maximum.accumulate(np.where(same, 0, np.arange(n)))
+    open_, step = np.flatnonzero(same | np.r_[same[1:], False]), 1
+    while len(open_):
         # only members of ties are told apart, by the rank of what follows
-        member = tied | np.r_[tied[1:], False]
-        own = order[member]
-        key = np.lexsort((rank[beyond[own]], rank[own]))
-        own = own[key]
-        order[member] = own
-        a, b = rank[order], rank[beyond[order]]
-        fresh = np.r_[True, (a[1:] != a[:-1]) | (tied[1:] & (b[1:] != b[:-1]))]
-        new = np.empty(n, np.int64)
-        new[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-        rank, step = new, step * 2
+        own = order[open_]
+        follows = rank[np.minimum(own + step, end[own])]
+        key = np.lexsort((follows, rank[own]))
+        own, follows = own[key], follows[key]
+        r = rank[own]
+        same = np.r_[False, (r[1:] == r[:-1]) & (follows[1:] == follows[:-1])]
+        order[open_] = own
+        rank[own] = np.maximum.accumulate(np.where(same, 0, open_))
+        open_ = open_[same | np.r_[same[1:], False]]
+        step *= 2
+    return order
 
 
 def suffix_order(text: np.ndarray, queue_bytes: int = QUEUE_BYTES) -> np.ndarray:
@@ -270,18 +283,20 @@ def sorted_suffixes(text: np.ndarray, depth: int = 0, queue_bytes: int = QUEUE_B
 
     def seam(above: list[np.ndarray], below: list[np.ndarray]) -> int:
         """What the last tuples of two lists share; falling and rising suffixes of one symbol meet there."""
-        return int(shared(above[-1]["place"][-1:], below[-1]["place"][-1:])[0]) if above and below else 0
+        return prefixes.pair(int(above[-1]["place"][-1]), int(below[-1]["place"][-1])) if prefixes and above and below else 0
 
+    # whether there is a suffix to the left, and whether it rises
+    wanted = np.zeros(n, np.uint8)
+    wanted[1:] = np.where(text[:-1] != 0, 2 + rising[:-1], 0)
     falling, first, rises = (BlockQueues(symbols, depth, queue_bytes) for _ in range(3))
     first.put_by_symbol(text[seeds], _tuples(seeds, np.r_[np.uint8(0), shared(seeds[:-1], seeds[1:])]))
     lower: list[list[np.ndarray]] = [[] for _ in range(symbols)]
     upper: list[list[np.ndarray]] = [[] for _ in range(symbols)]
 
     def induce(queues: BlockQueues, places: np.ndarray, common: np.ndarray, rise: bool) -> None:
-        picked = np.flatnonzero(places > 0)
+        picked = np.flatnonzero(wanted[places] == 2 + rise)
         before = places[picked] - 1
-        own = (text[before] != 0) & (rising[before] == rise)
-        queues.induce(common, picked[own], text[before[own]], before[own])
+        queues.induce(common, picked, text[before], before)
 
     def parts(block: np.ndarray, begin: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Places and common prefixes of a block, the first of which is ``begin`` unless None."""
