@@ -37,7 +37,8 @@ SIZE, GRAM = 50, 24
 #: Bytes of a slice and of a shard's share of the texts; a slice grows with the corpus so that rows stay few.
 SLICE_BYTES, MOST_SLICE_BYTES, SHARD_BYTES = 2 << 20, 64 << 20, 2 << 20
 ANCHORS_TOGETHER = 1 << 20
-BLOCK = 1 << 20
+#: Bytes hashed at a time; the arrays of a block fit into a core's cache.
+BLOCK = 1 << 16
 NO_ID = np.int64(2**63 - 1)
 
 
