@@ -115,7 +115,7 @@ class Segments:
 
     def distinct_anchors(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The anchors in order, and which of them more than one document of the slice has."""
-        order = np.lexsort((doc[self.row], self.anchor))
+        order = np.argsort(self.anchor)
         a, d = self.anchor[order], doc[self.row][order]
         first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
         if not len(a):

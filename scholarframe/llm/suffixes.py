@@ -135,7 +135,9 @@ class CommonPrefixes:
     """Comparison of suffixes of one text, up to ``depth`` symbols and to the end of either string."""
 
     def __init__(self, text: np.ndarray, depth: int):
-        self.text, self.depth, self.marks = text, depth, np.flatnonzero(text == 0)
+        self.text, self.depth = text, depth
+        marks = np.flatnonzero(text == 0)
+        self.room = (np.repeat(marks, np.diff(marks, prepend=-1)) - np.arange(len(text))).astype(np.int32)
         self.bits = int(text.max()).bit_length()
         self.each = 63 // self.bits
         padded = np.r_[text.astype(np.uint64), np.zeros(self.each, np.uint64)]
@@ -153,8 +155,7 @@ class CommonPrefixes:
 
     def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """How many symbols the suffixes at ``left`` and ``right`` share."""
-        room = np.minimum(*(self.marks[np.searchsorted(self.marks, x)] - x for x in (left, right)))
-        found = np.minimum(room, self.depth)
+        found = np.minimum(np.minimum(self.room[left], self.room[right]), self.depth)
         open_ = np.flatnonzero(found > 0)
         for done in range(0, self.depth, self.each):
             unlike = self.word[left[open_] + done] ^ self.word[right[open_] + done]
@@ -202,7 +203,7 @@ def _names(text: np.ndarray, rising: np.ndarray, at: np.ndarray) -> np.ndarray:
             value = np.zeros(len(open_), np.uint64)
             value[inside] = symbol[at[open_[inside]] + k]
             word = (word << np.uint64(bits)) | value
-        order = np.lexsort((word, rank[open_]))
+        order = np.lexsort((word, rank[open_])) if done else np.argsort(word)
         r, w = rank[open_][order], word[order]
         first = np.r_[True, r[1:] != r[:-1]]
         fresh = first | np.r_[True, w[1:] != w[:-1]]
@@ -224,8 +225,8 @@ def _doubled(text: np.ndarray) -> np.ndarray:
     marks = np.flatnonzero(text == 0)
     rank = text.astype(np.int64) + len(marks)
     rank[marks] = np.arange(len(marks))
-    end = marks[np.searchsorted(marks, np.arange(n))]
-    order = np.argsort(rank, kind="stable")
+    end = np.repeat(marks, np.diff(marks, prepend=-1))
+    order = np.argsort(rank)
     r = rank[order]
     same = np.r_[False, r[1:] == r[:-1]]
     # a rank is the first place in the order that a group of equals takes
@@ -235,7 +236,7 @@ def _doubled(text: np.ndarray) -> np.ndarray:
         # only members of ties are told apart, by the rank of what follows
         own = order[open_]
         follows = rank[np.minimum(own + step, end[own])]
-        key = np.lexsort((follows, rank[own]))
+        key = np.argsort(rank[own] * n + follows)
         own, follows = own[key], follows[key]
         r = rank[own]
         same = np.r_[False, (r[1:] == r[:-1]) & (follows[1:] == follows[:-1])]
