@@ -11,6 +11,8 @@ from scholarframe.operators.components import connected_components
 
 #: Scores by how a match was made, and the bars of the fuzzy one.
 EXACT, ALIAS, FUZZY_CEILING, FUZZY_BAR, FUZZY_MARGIN = 0.99, 0.96, 0.89, 0.75, 0.05
+#: Parts that the names of one bigram are dealt into.
+PARTS = 16
 
 
 def unique_name_match(mentions: DataFrame, names: DataFrame, term: str, entity: str) -> DataFrame:
@@ -39,16 +41,43 @@ def segment_match(mentions: DataFrame, text: str, names: DataFrame, term: str, e
     return found.where("n = 1").drop("n")
 
 
+def _code(gram: Column) -> Column:
+    """A bigram, or a shorter string, as a number of its own; numbers compare faster."""
+    return (F.ascii(gram).cast("long") + F.length(gram)) * (1 << 22) + F.ascii(F.substring(gram, 2, 1)) + F.length(gram)
+
+
 def fuzzy_match(mentions: DataFrame, names: DataFrame, mention: str, term: str, entity: str, bar: float = FUZZY_BAR, margin: float = FUZZY_MARGIN, keep: int = 3) -> DataFrame:
     """Up to ``keep`` entities for each mention by bigram similarity, and whether the best is clear.
 
-    Only names with the same first character meet.  The best is clear when it
-    passes the bar and leads the next by the margin.
+    Only names with the same first character count.  The best is clear when it
+    passes the bar, which is above 0, and leads the next by the margin.
+
+    Names meet on rare bigrams: with all bigrams ordered by how often they
+    occur, two names that reach the bar share one among the first few of each.
     """
-    a = mentions.select(mention, F.substring(term, 1, 1).alias("__block"), bigrams(F.col(term)).alias("__a"))
-    b = names.select(entity, F.substring(term, 1, 1).alias("__block"), bigrams(F.col(term)).alias("__b"))
-    # bigrams are made once for each name; sizes alone rule out most pairs before sets are compared
-    pairs = a.join(b, "__block").where(2 * F.least(F.size("__a"), F.size("__b")) >= bar * (F.size("__a") + F.size("__b")))
+    a, b = (
+        rows.where(F.col(term).isNotNull()).select(F.col(key).alias(key), F.substring(term, 1, 1).alias(f"__first_{x}"), F.transform(bigrams(F.col(term)), _code).alias(f"__{x}")).distinct()
+        for rows, key, x in ((mentions, mention, "a"), (names, entity, "b"))
+    )
+    frequency = a.select(F.explode("__a").alias("__gram")).unionByName(b.select(F.explode("__b").alias("__gram"))).groupBy("__gram").agg(F.count("*").alias("__n"))
+
+    def heads(rows: DataFrame, key: str, x: str) -> DataFrame:
+        """A row for each bigram of the necessary prefix, with the prefix and the whole set."""
+        by = [key, f"__first_{x}", f"__{x}"]
+        ordered = rows.withColumn("__gram", F.explode(f"__{x}")).join(frequency, "__gram").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__n", "__gram")))["__gram"].alias("__order"))
+        # Dice of the bar or more needs bar * n / (2 - bar) common bigrams, whatever the size of the other set
+        need = F.ceil(bar / (2 - bar) * F.size(f"__{x}") - 1e-9).cast("int")
+        return ordered.withColumn(f"__head_{x}", F.slice("__order", F.lit(1), F.least(F.size(f"__{x}"), F.size(f"__{x}") - need + 1))).select(*by, f"__head_{x}", F.explode(f"__head_{x}").alias("__gram"))
+
+    # names of a frequent bigram are dealt into parts, each of which meets all mentions
+    left = heads(a, mention, "a").withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    right = heads(b, entity, "b").withColumn("__part", F.pmod(F.xxhash64(entity), F.lit(PARTS)).cast("int"))
+    # a pair counts once, at the rarest bigram of both prefixes; sizes alone rule out many pairs before sets are compared
+    pairs = left.join(right, ["__gram", "__part"]).where(
+        (F.col("__first_a") == F.col("__first_b"))
+        & (2 * F.least(F.size("__a"), F.size("__b")) >= bar * (F.size("__a") + F.size("__b")))
+        & (F.array_intersect("__head_a", "__head_b")[0] == F.col("__gram"))
+    )
     similarity = 2 * F.size(F.array_intersect("__a", "__b")) / (F.size("__a") + F.size("__b"))
     scored = pairs.select(mention, entity, similarity.alias("similarity")).where(F.col("similarity") >= bar)
     best = scored.groupBy(mention, entity).agg(F.max("similarity").alias("similarity"))

@@ -47,16 +47,29 @@ def alias_unique_match(t: Tables) -> DataFrame:
 _BIGRAMS = "list_distinct(list_transform(generate_series(1, length(replace({0}, ' ', '')) - 1), lambda i: substr(replace({0}, ' ', ''), i, 2)))"
 
 
+def _fuzzy_names(t: Tables, customers: DataFrame) -> DataFrame:
+    mentions = t.supplier.select(F.col("s_suppkey").alias("mention"), text.search_term(F.col("s_name")).alias("term"))
+    # customers are renamed so that names are alike; both sides carry whole names
+    names = customers.select(F.col("c_custkey").alias("entity"), text.search_term(F.replace("c_name", F.lit("Customer"), F.lit("Supplier"))).alias("term"))
+    found = idn.fuzzy_match(mentions, names, "mention", "term", "entity")
+    return found.select("mention", "entity", F.round("similarity", 6).alias("similarity"), "rank", "clear")
+
+
 @query(f"""WITH a AS (SELECT s_suppkey AS m, {_NORM.format('s_name')} AS x FROM supplier), b AS (SELECT c_custkey AS e, {_NORM.format("replace(c_name, 'Customer', 'Supplier')")} AS y FROM customer WHERE c_custkey <= 300),
     sc AS (SELECT m, e, 2 * len(list_intersect({_BIGRAMS.format('x')}, {_BIGRAMS.format('y')}))::DOUBLE / (len({_BIGRAMS.format('x')}) + len({_BIGRAMS.format('y')})) AS s FROM a JOIN b ON x[1] = y[1]),
     rk AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY s DESC, e) AS rank, lead(s) OVER (PARTITION BY m ORDER BY s DESC, e) AS nxt FROM sc WHERE s >= 0.75)
     SELECT m AS mention, e AS entity, round(s, 6) AS similarity, rank, rank = 1 AND (nxt IS NULL OR s - nxt >= 0.05) AS clear FROM rk WHERE rank <= 3""")
 def fuzzy_bigram_match(t: Tables) -> DataFrame:
-    mentions = t.supplier.select(F.col("s_suppkey").alias("mention"), text.search_term(F.col("s_name")).alias("term"))
-    # the fixture is the first 300 customers, renamed so that names are alike; both sides carry whole names
-    names = t.customer.where("c_custkey <= 300").select(F.col("c_custkey").alias("entity"), text.search_term(F.replace("c_name", F.lit("Customer"), F.lit("Supplier"))).alias("term"))
-    found = idn.fuzzy_match(mentions, names, "mention", "term", "entity")
-    return found.select("mention", "entity", F.round("similarity", 6).alias("similarity"), "rank", "clear")
+    """The first 300 customers, as its SQL has it; :func:`fuzzy_bigram_match_all` takes all."""
+    return _fuzzy_names(t, t.customer.where("c_custkey <= 300"))
+
+
+@query(f"""WITH a AS (SELECT s_suppkey AS m, {_NORM.format('s_name')} AS x FROM supplier), b AS (SELECT c_custkey AS e, {_NORM.format("replace(c_name, 'Customer', 'Supplier')")} AS y FROM customer),
+    sc AS (SELECT m, e, 2 * len(list_intersect({_BIGRAMS.format('x')}, {_BIGRAMS.format('y')}))::DOUBLE / (len({_BIGRAMS.format('x')}) + len({_BIGRAMS.format('y')})) AS s FROM a JOIN b ON x[1] = y[1]),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY s DESC, e) AS rank, lead(s) OVER (PARTITION BY m ORDER BY s DESC, e) AS nxt FROM sc WHERE s >= 0.75)
+    SELECT m AS mention, e AS entity, round(s, 6) AS similarity, rank, rank = 1 AND (nxt IS NULL OR s - nxt >= 0.05) AS clear FROM rk WHERE rank <= 3""")
+def fuzzy_bigram_match_all(t: Tables) -> DataFrame:
+    return _fuzzy_names(t, t.customer)
 
 
 @query("""WITH c AS (SELECT c_custkey AS m, s_suppkey AS e, CASE WHEN c_nationkey = s_nationkey THEN 1 ELSE 0 END AS ok FROM customer JOIN supplier ON c_custkey % 50 = s_suppkey % 50)
