@@ -10,7 +10,10 @@ themselves are shuffled once.
    come back marked, and their windows are settled.
 2. *Segments.*  Neighbouring windows with one anchor form a segment, the bytes
    they cover.  Segments of shared anchors go to the shard of the anchor, equal
-   ones of a slice once, with the smallest document that holds them.
+   ones of a slice once, with the smallest document that holds them.  An anchor
+   whose segments would outgrow a shard is hot: its windows go one by one to the
+   shard of the window's own hash, equal ones of a slice once, so what meets
+   there is at most one row a slice for each window.
 3. *Suffixes.*  A shard sorts the suffixes of its segments by external induced
    sorting, which carries common prefixes along.  Windows side by side with a
    common prefix of ``size`` bytes are equal; the smallest document among them decides, and the slices get one bit
@@ -39,6 +42,8 @@ SLICE_BYTES, MOST_SLICE_BYTES, SHARD_BYTES = 2 << 20, 64 << 20, 2 << 20
 ANCHORS_TOGETHER = 1 << 20
 #: Bytes hashed at a time; the arrays of a block fit into a core's cache.
 BLOCK = 1 << 16
+#: Segments of an anchor in a slice from which its exact copies are told apart before they are counted.
+MANY = 16
 NO_ID = np.int64(2**63 - 1)
 
 
@@ -113,14 +118,22 @@ class Segments:
         # the smallest hashes of windows are small numbers; mixing them again spreads them evenly over buckets
         return mixed(~hashes[place[first]]), first + base, last - first + 1
 
-    def distinct_anchors(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The anchors in order, and which of them more than one document of the slice has."""
+    def distinct_anchors(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The anchors in order, which of them more than one document of the slice has, and how many distinct segments each has.
+
+        The last as the exponent of the next power of two; exact copies count
+        once where an anchor has ``MANY`` segments or more.
+        """
         order = np.argsort(self.anchor)
         a, d = self.anchor[order], doc[self.row][order]
         first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
         if not len(a):
-            return a, np.zeros(0, bool)
-        return a[first], np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
+            return a, np.zeros(0, bool), np.zeros(0, np.uint8)
+        count = np.diff(np.r_[first, len(a)])
+        for k in np.flatnonzero(count >= MANY).tolist():
+            own = np.sort(order[first[k] : first[k] + count[k]])
+            count[k] = len(np.unique(_hashes(self.buf, self.offsets, self.row[own], self.start[own], self.start[own] + self.windows[own] + self.size - 1)))
+        return a[first], np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first), np.ceil(np.log2(count)).astype(np.uint8)
 
     def shared(self, anchors_: np.ndarray, doc: np.ndarray) -> "SharedSegments":
         """The segments whose anchor is among ``anchors_``, equal ones together."""
@@ -135,6 +148,20 @@ class Segments:
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
         return SharedSegments(own, first, np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(key)])))
 
+    def single_windows(self, anchors_: np.ndarray, doc: np.ndarray) -> "SingleWindows":
+        """The windows whose anchor is among ``anchors_``, in the order of their hashes, equal ones together."""
+        at = np.searchsorted(anchors_, self.anchor)
+        at[at == len(anchors_)] = 0
+        own = np.flatnonzero(anchors_[at] == self.anchor) if len(anchors_) else np.zeros(0, np.int64)
+        n = self.windows[own]
+        start = np.arange(int(n.sum())) + np.repeat(self.start[own] - (np.cumsum(n) - n), n)
+        row = np.repeat(self.row[own], n)
+        key = _hashes(self.buf, self.offsets, row, start, start + self.size)
+        order = np.lexsort((doc[row], key))
+        key = key[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        return SingleWindows(start[order], row[order], key[first], first, np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(key)])))
+
 
 class SharedSegments:
     """Occurrences in the order of their distinct segment; ``first`` holds the earliest document of each."""
@@ -143,6 +170,13 @@ class SharedSegments:
         self.occurrence, self.first, self.distinct = occurrence, first, distinct
 
 
+class SingleWindows:
+    """Windows in the order of their hashes; ``first`` holds the earliest document of each distinct one, ``key`` its hash."""
+
+    def __init__(self, start: np.ndarray, row: np.ndarray, key: np.ndarray, first: np.ndarray, distinct: np.ndarray):
+        self.start, self.row, self.key, self.first, self.distinct = start, row, key, first, distinct
+
+
 def _hashes(buf: np.ndarray, offsets: np.ndarray, rows: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of byte ranges, a block of rows at a time."""
     out, row = np.zeros(len(start), np.uint64), 0
@@ -215,6 +249,24 @@ def _in_segment_shard(blobs: list[bytes], size: int) -> list[np.ndarray]:
     return [seen[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
+def _in_window_shard(blobs: list[bytes], size: int) -> list[np.ndarray]:
+    """For each blob of single windows a bit for each: whether an earlier document than the sender's holds it."""
+    docs, data = [], []
+    for blob in blobs:
+        raw = zstandard.ZstdDecompressor().decompress(blob)
+        n = struct.unpack("<I", raw[:4])[0]
+        docs.append(np.frombuffer(raw, "<i8", n, 4))
+        data.append(np.frombuffer(raw, np.uint8, n * size, 4 + 8 * n))
+    doc, buf = np.concatenate(docs), np.concatenate(data)
+    start, windows = np.arange(len(doc)) * size, buf.reshape(-1, size)
+    _, pick, back = np.unique(span_hashes(buf, start, start + size), return_index=True, return_inverse=True)
+    if (windows[pick[back]] != windows).any():  # unlike windows with one hash
+        _, back = np.unique(windows.view(np.dtype((np.void, size))).ravel(), return_inverse=True)
+    least = np.full(len(doc), NO_ID)
+    np.minimum.at(least, back, doc)
+    return np.split(least[back] < doc, np.cumsum([len(d) for d in docs])[:-1])
+
+
 def repeated_passages(docs: DataFrame, size: int = SIZE, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_bytes, spans, kept)`` for every row of ``docs``.
 
@@ -229,43 +281,55 @@ def repeated_passages(docs: DataFrame, size: int = SIZE, gram: int = GRAM, id_co
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     slice_bytes = int(min(MOST_SLICE_BYTES, max(SLICE_BYTES, total // 4000)))
     slices, shards = int(total // slice_bytes + 1), int(total // SHARD_BYTES + 1)
+    most_segments = SHARD_BYTES // (2 * size - gram)
     buckets = int(total * 2 // (size - gram + 2) // ANCHORS_TOGETHER + 1)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)).cast("int"))
 
     def send_anchors(table: pa.Table) -> pa.Table:
-        anchor, _ = Segments(*_texts(table), size, gram).distinct_anchors(_ids(table))
+        anchor, _, many = Segments(*_texts(table), size, gram).distinct_anchors(_ids(table))
         parts = _cuts(_bucket(anchor, buckets))
         return pa.table({
             "bucket": pa.array([b for b, _, _ in parts], pa.int32()),
             "slice": pa.array([table["slice"][0].as_py()] * len(parts), pa.int32()),
             "anchors": pa.array([anchor[i:j].tobytes() for _, i, j in parts], pa.binary()),
+            "many": pa.array([many[i:j].tobytes() for _, i, j in parts], pa.binary()),
         })
 
     def find_shared(table: pa.Table) -> pa.Table:
         each = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["anchors"]]
-        every = np.sort(np.concatenate(each))
+        every = np.concatenate(each)
+        order = np.argsort(every)
+        every = every[order]
+        first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, np.int64)
+        segments = np.left_shift(1, np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in table["many"]])[order].astype(np.int64))
+        hot = every[first[np.add.reduceat(segments, first) > most_segments]] if len(every) else every
         twice = np.unique(every[1:][every[1:] == every[:-1]])
-        bits = []
-        for own in each:
-            at = np.searchsorted(twice, own)
-            at[at == len(twice)] = 0
-            bits.append(np.packbits(twice[at] == own if len(twice) else np.zeros(len(own), bool)).tobytes())
+
+        def among(own: np.ndarray, known: np.ndarray) -> np.ndarray:
+            at = np.searchsorted(known, own)
+            at[at == len(known)] = 0
+            return known[at] == own if len(known) else np.zeros(len(own), bool)
+
+        # two bits an anchor: whether another slice has it, and whether it is hot
+        bits = [np.packbits(np.r_[among(own, twice), among(own, hot)]).tobytes() for own in each]
         return pa.table({"bucket": table["bucket"], "slice": table["slice"], "bits": pa.array(bits, pa.binary())})
 
-    def shared_of(table: pa.Table, marks: pa.Table) -> tuple[Segments, SharedSegments, np.ndarray]:
+    def shared_of(table: pa.Table, marks: pa.Table) -> tuple[Segments, SharedSegments, SingleWindows, np.ndarray]:
         doc = _ids(table)
         segments = Segments(*_texts(table), size, gram)
-        anchor, here = segments.distinct_anchors(doc)
+        anchor, here, _ = segments.distinct_anchors(doc)
+        hot = np.zeros(len(here), bool)
         bits = {b: x for b, x in zip(marks["bucket"].to_pylist(), marks["bits"].to_pylist(), strict=True)}
         for b, i, j in _cuts(_bucket(anchor, buckets)):
-            here[i:j] |= np.unpackbits(np.frombuffer(bits[b], np.uint8), count=j - i).astype(bool)
-        return segments, segments.shared(anchor[here], doc), doc
+            other, hot[i:j] = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=2 * (j - i)).astype(bool).reshape(2, -1)
+            here[i:j] |= other
+        return segments, segments.shared(anchor[here & ~hot], doc), segments.single_windows(anchor[here & hot], doc), doc
 
     def send_segments(table: pa.Table, marks: pa.Table) -> pa.Table:
         out: dict[str, list] = {"shard": [], "slice": [], "segments": []}
         if len(table):
-            segments, found, doc = shared_of(table, marks)
+            segments, found, single, doc = shared_of(table, marks)
             own = found.occurrence[found.first]
             length = segments.windows[own] + size - 1
             press = zstandard.ZstdCompressor(level=1)
@@ -275,10 +339,17 @@ def repeated_passages(docs: DataFrame, size: int = SIZE, gram: int = GRAM, id_co
                 out["shard"].append(shard)
                 out["slice"].append(table["slice"][0].as_py())
                 out["segments"].append(press.compress(head + data.tobytes()))
+            start, holder = single.start[single.first], doc[single.row[single.first]]
+            for shard, i, j in _cuts(_bucket(single.key, shards)):
+                data = segments.buf[start[i:j, None] + np.arange(size)]
+                out["shard"].append(shards + shard)
+                out["slice"].append(table["slice"][0].as_py())
+                out["segments"].append(press.compress(struct.pack("<I", j - i) + holder[i:j].astype("<i8").tobytes() + data.tobytes()))
         return pa.table({"shard": pa.array(out["shard"], pa.int32()), "slice": pa.array(out["slice"], pa.int32()), "segments": pa.array(out["segments"], pa.binary())})
 
     def sort_shard(table: pa.Table) -> pa.Table:
-        bits = [np.packbits(x).tobytes() for x in _in_segment_shard(table["segments"].to_pylist(), size)]
+        sought = _in_segment_shard if table["shard"][0].as_py() < shards else _in_window_shard
+        bits = [np.packbits(x).tobytes() for x in sought(table["segments"].to_pylist(), size)]
         return pa.table({"shard": table["shard"], "slice": table["slice"], "bits": pa.array(bits, pa.binary())})
 
     def mark_documents(table: pa.Table, marks: pa.Table) -> pa.Table:
@@ -286,7 +357,7 @@ def repeated_passages(docs: DataFrame, size: int = SIZE, gram: int = GRAM, id_co
             return pa.table({"doc_id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "spans": pa.array([], span_type), "kept": pa.array([], pa.binary())})
         first = pc.is_valid(marks["anchor_bits"]) if len(marks) else []
         both = [marks.filter(first), marks.filter(pc.invert(first))] if len(marks) else [marks, marks]
-        segments, found, doc = shared_of(table, both[0].rename_columns(["slice", "bucket", "bits", "shard_bits"]))
+        segments, found, single, doc = shared_of(table, both[0].rename_columns(["slice", "bucket", "bits", "shard_bits"]))
         buf, offsets = segments.buf, segments.offsets
         cover = np.zeros(len(buf) + 1, np.int32)
         own = found.occurrence[found.first]
@@ -301,6 +372,10 @@ def repeated_passages(docs: DataFrame, size: int = SIZE, gram: int = GRAM, id_co
         late = doc[segments.row[found.occurrence]] > doc[segments.row[own]][found.distinct]
         gone = earlier[step + np.repeat(place, n)] | np.repeat(late, n)
         at = (step + np.repeat(segments.start[found.occurrence], n))[gone]
+        earlier = [np.unpackbits(np.frombuffer(bits[shards + s], np.uint8), count=j - i).astype(bool) for s, i, j in _cuts(_bucket(single.key, shards))]
+        holder = doc[single.row]
+        gone = np.concatenate([np.zeros(0, bool), *earlier])[single.distinct] | (holder > holder[single.first][single.distinct])
+        at = np.r_[at, single.start[gone]]
         np.add.at(cover, at, 1)
         np.add.at(cover, at + size, -1)
         covered = np.cumsum(cover[:-1]) > 0
@@ -316,7 +391,7 @@ def repeated_passages(docs: DataFrame, size: int = SIZE, gram: int = GRAM, id_co
         })
 
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    sent = rows.groupBy("slice").applyInArrow(send_anchors, "bucket int, slice int, anchors binary")
+    sent = rows.groupBy("slice").applyInArrow(send_anchors, "bucket int, slice int, anchors binary, many binary")
     marked = sent.groupBy("bucket").applyInArrow(find_shared, "bucket int, slice int, bits binary")
     pieces = rows.groupBy("slice").cogroup(marked.groupBy("slice")).applyInArrow(send_segments, "shard int, slice int, segments binary")
     sorted_ = pieces.groupBy("shard").applyInArrow(sort_shard, "shard int, slice int, bits binary")

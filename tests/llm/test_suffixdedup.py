@@ -1,5 +1,9 @@
+import struct
+
 import numpy as np
 import pytest
+import zstandard
+from pyspark.sql import GroupedData
 
 from scholarframe.llm import suffixdedup
 from scholarframe.llm.suffixdedup import repeated_passages
@@ -66,3 +70,40 @@ def test_many_copies(spark):
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(None, "a" * 60)]])
 def test_little(spark, rows):
     assert got(repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_common_phrase_with_differing_surroundings(spark, monkeypatch, tmp_path):
+    """Segments of one anchor that outgrow a shard are dealt out, and every passage is still found."""
+    monkeypatch.setattr(suffixdedup, "SHARD_BYTES", 1500)
+    monkeypatch.setattr(suffixdedup, "SLICE_BYTES", 20000)
+    rng = np.random.default_rng(7)
+    text = lambda k: "".join("abcdefgh"[x] for x in rng.integers(0, 8, k))
+    phrase, around = text(40), [(text(40), text(40)) for _ in range(200)]
+    rows = []
+    for i in range(900):
+        left, right = around[int(rng.integers(0, 200))] if i % 3 == 0 else (text(40), text(40))
+        rows.append((i, text(20) + left + phrase + right))
+    apply, folder = GroupedData.applyInArrow, str(tmp_path)
+
+    def measured(self, find, schema):
+        def sized(table):
+            n = sum(len(zstandard.ZstdDecompressor().decompress(b)) for b in table["segments"].to_pylist())
+            with open(f"{folder}/{table['shard'][0].as_py()}", "w") as f:
+                f.write(str(n))
+            return find(table)
+
+        return apply(self, sized if schema == "shard int, slice int, bits binary" else find, schema)
+
+    monkeypatch.setattr(GroupedData, "applyInArrow", measured)
+    want = brute(rows)
+    assert got(repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))) == want
+    assert sum(len(w[2]) for w in want) > 50
+    held = [int(p.read_text()) for p in tmp_path.iterdir()]
+    assert held and max(held) < 40_000
+
+
+def test_unlike_windows_with_one_hash(monkeypatch):
+    monkeypatch.setattr(suffixdedup, "span_hashes", lambda buf, a, b: np.zeros(len(a), np.uint64))
+    pack = lambda *r: zstandard.ZstdCompressor().compress(struct.pack("<I", len(r)) + np.array([d for d, _ in r], "<i8").tobytes() + b"".join(w for _, w in r))
+    found = suffixdedup._in_window_shard([pack((5, b"ab"), (3, b"a\0")), pack((4, b"ab"), (9, b"a\0"))], 2)
+    assert [x.tolist() for x in found] == [[True, False], [False, True]]
