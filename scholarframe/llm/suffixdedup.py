@@ -130,9 +130,13 @@ class Segments:
         if not len(a):
             return a, np.zeros(0, bool), np.zeros(0, np.uint8)
         count = np.diff(np.r_[first, len(a)])
-        for k in np.flatnonzero(count >= MANY).tolist():
-            own = np.sort(order[first[k] : first[k] + count[k]])
-            count[k] = len(np.unique(_hashes(self.buf, self.offsets, self.row[own], self.start[own], self.start[own] + self.windows[own] + self.size - 1)))
+        own = np.sort(order[np.repeat(count >= MANY, count)])
+        if len(own):
+            key = _hashes(self.buf, self.offsets, self.row[own], self.start[own], self.start[own] + self.windows[own] + self.size - 1)
+            by = np.lexsort((key, self.anchor[own]))
+            held, key = self.anchor[own][by], key[by]
+            unlike = np.r_[True, (key[1:] != key[:-1]) | (held[1:] != held[:-1])]
+            count[count >= MANY] = np.add.reduceat(unlike.astype(np.int64), np.flatnonzero(np.r_[True, held[1:] != held[:-1]]))
         return a[first], np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first), np.ceil(np.log2(count)).astype(np.uint8)
 
     def shared(self, anchors_: np.ndarray, doc: np.ndarray) -> "SharedSegments":
