@@ -32,7 +32,7 @@ from scholarframe.session import stored
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "account", "tel", "secret", "name")
 LABELERS = ("shape", "check", "gazetteer", "context", "edges")
-#: Candidates the classifier is fitted on, those with the smallest hash.
+#: Distinct candidates the classifier is fitted on, those with the smallest hash.
 SAMPLE = 20_000
 CUE_REACH = 32
 
@@ -261,16 +261,20 @@ def span_classifier(docs: DataFrame, text_col: str = "text", sample: int = SAMPL
     """Coefficients of the span classifier, from the votes on all candidates of ``docs``.
 
     Vote patterns are counted over every document; there are at most a few
-    thousand of them however many documents there are.
+    thousand of them however many documents there are.  The sample is drawn
+    from distinct candidates, which weigh by the logarithm of how often they
+    occur, so copies of one neither fill it nor outweigh the others.
     """
-    rows = stored(_candidate_rows(docs, text_col), "candidates")
-    patterns = rows.groupBy("kind", "votes").count().orderBy("kind", "votes").collect()
+    own = ["kind", "string", "votes", "seen"]
+    rows = stored(_candidate_rows(docs, text_col).groupBy(*own).agg(F.count("*").alias("copies")), "candidates")
+    patterns = rows.groupBy("kind", "votes").agg(F.sum("copies").alias("n"), F.count("*").alias("distinct")).orderBy("kind", "votes").collect()
     votes = np.array([list(map(int, r["votes"].split(","))) for r in patterns], int).reshape(-1, len(LABELERS))
-    found = estimate([r["kind"] for r in patterns], votes, np.array([r["count"] for r in patterns]))
+    found = estimate([r["kind"] for r in patterns], votes, np.array([r["n"] for r in patterns]))
     likely = {(r["kind"], r["votes"]): p for r, p in zip(patterns, found, strict=True)}
-    drawn = smallest(rows, ["kind", "string", "votes"], F.xxhash64("kind", "string"), sample, sum(r["count"] for r in patterns)).select("kind", "votes", "seen").collect()
+    drawn = smallest(rows, own, F.xxhash64(*own), sample, sum(r["distinct"] for r in patterns)).select("kind", "votes", "seen", "copies").collect()
     x = np.array([r["seen"] for r in drawn], float).reshape(-1, N_FEATURES)
-    return fit_logistic(x, np.array([likely[r["kind"], r["votes"]] for r in drawn], float), np.ones(len(drawn)), penalty=0.5)
+    weights = 1 + np.log(np.array([r["copies"] for r in drawn], float))
+    return fit_logistic(x, np.array([likely[r["kind"], r["votes"]] for r in drawn], float), weights, penalty=0.5)
 
 
 def find_spans(docs: DataFrame, classifier: np.ndarray, text_col: str = "text", into: str = "spans", least: float = 0.5) -> DataFrame:

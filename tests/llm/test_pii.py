@@ -75,3 +75,13 @@ def test_spans_and_redaction(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert find_spans(df, span_classifier(df)).collect() == []
+
+
+def test_copies_do_not_fill_the_sample(spark):
+    """A string with more copies than the sample holds leaves room for the other candidates."""
+    secrets = [f'token = "d6e8feb8665{i:04d}a1b2c3d4" end' for i in range(60)]
+    for copied in ("mail me@x.org now", "host 10.1.2.3 up", "isbn 12345678901234567", "phone 12345678"):
+        rows = [(i, t) for i, t in enumerate([copied] * 3000 + secrets)]
+        model = span_classifier(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), sample=200)
+        found = find_spans(spark.createDataFrame(rows[3000:], "doc_id long, text string"), model).collect()
+        assert all([x["kind"] for x in r["spans"]] == ["secret"] for r in found), copied
