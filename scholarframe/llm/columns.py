@@ -25,7 +25,11 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends - ends[0]
 
 
-def slices(column: pa.Array, limit: int = 4 << 20):
+#: Bytes of texts that a task turns into arrays at a time.
+SLICE = 256 << 10
+
+
+def slices(column: pa.Array, limit: int = SLICE):
     """``(first, stop)`` row ranges of at most ``limit`` bytes each, or of one row."""
     n = len(column)
     if not n:
@@ -42,12 +46,12 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """``base ** i`` modulo 2**64 for ``i < n``; kept for the next batch unless very long."""
+    """``base ** i`` modulo 2**64 for ``i < n``; kept for the next batch unless longer than a slice."""
     if base not in _POWERS or n > len(_POWERS[base]):
         out = np.full(max(n, 1 << 16), base, np.uint64)
         out[0] = 1
         out = np.multiply.accumulate(out)
-        if n > 6 << 20:
+        if n > SLICE + 1:
             return out[:n]
         _POWERS[base] = out
     return _POWERS[base][:n]
@@ -68,12 +72,37 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range; equal ranges have equal hashes."""
+    """A 64-bit hash of each byte range; equal ranges have equal hashes.
+
+    Unlike ranges may have equal ones too, and some texts make that certain, so
+    whoever needs equality compares the bytes as well: see :func:`same_bytes`.
+    """
     total = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(BYTE[buf] * powers(BASE, len(buf)), out=total[1:])
     return mixed((total[ends] - total[starts]) * powers(INVERSE, len(buf) + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
+def gathered(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of many ranges end to end."""
+    total = np.cumsum(size)
+    return buf[np.arange(int(total[-1]) if len(total) else 0) + np.repeat(start - (total - size), size)]
+
+
+def same_bytes(a: np.ndarray, a_start: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_start: np.ndarray, b_size: np.ndarray, at_once: int = 1 << 20) -> np.ndarray:
+    """Whether each range of ``a`` holds the bytes of the range of ``b`` beside it; about ``at_once`` bytes are compared at a time."""
+    same = a_size == b_size
+    own = np.flatnonzero(same & (a_size > 0))
+    total, first = np.cumsum(a_size[own]), 0
+    while first < len(own):
+        stop = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + at_once, "right")))
+        k = own[first:stop]
+        unlike = gathered(a, a_start[k], a_size[k]) != gathered(b, b_start[k], b_size[k])
+        if unlike.any():
+            same[k[np.searchsorted(np.cumsum(a_size[k]), np.flatnonzero(unlike), "right")]] = False
+        first = stop
+    return same
+
+
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of true, which never cross a row's end."""
     n = len(inside)

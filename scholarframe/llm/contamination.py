@@ -5,7 +5,8 @@ its word shingles; containment of the whole window makes one token, the rarest
 in the corpus, a necessary one, so a document position can only begin a window
 if the window's rarest shingle occurs at the one place where it would have to
 stand.  Positions pass a bound on the document's length on both sides, and
-what is left is compared word by word over the whole window.
+what is left is compared word by word over the whole window: first by the
+words' hashes, and where those agree by their bytes.
 
 The benchmark is the query set.  It is read in blocks of a fixed number of
 bytes, and only a block is ever broadcast; documents are scanned once to count
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholarframe.llm.columns import BASE, BYTE, flat, mixed, runs, slices, span_hashes
+from scholarframe.llm.columns import BASE, flat, gathered, mixed, runs, same_bytes, slices, span_hashes
 from scholarframe.session import stored
 
 #: Words of a window, words of a shingle, and bytes of benchmark text in a block.
@@ -37,16 +38,26 @@ INSIDE[48:58] = INSIDE[97:123] = INSIDE[128:] = True
 SPANS = "array<struct<start:int,stop:int>>"
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each word of each row, and ``n + 1`` offsets into them.
+@dataclass
+class Words:
+    """The words of a column of texts: the lowered bytes, where each word lies, its hash, and ``n + 1`` offsets of the rows.
 
     Words are runs of digits, of letters with A-Z lowered, and of any character
     outside ASCII; in UTF-8 those are exactly the runs of such bytes.
     """
+
+    buf: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    hashes: np.ndarray
+    offsets: np.ndarray
+
+
+def words_of(column: pa.Array) -> Words:
     buf, offsets = flat(column)
     low = LOWER[buf]
     starts, ends = runs(INSIDE[low], offsets)
-    return span_hashes(low, starts, ends), np.searchsorted(starts, offsets)
+    return Words(low, starts, ends - starts, span_hashes(low, starts, ends), np.searchsorted(starts, offsets))
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -79,11 +90,30 @@ class Members:
         return at[real], index[real]
 
 
+@dataclass
+class Vocabulary:
+    """The distinct words of a block, told apart by their bytes, with the hash of each."""
+
+    buf: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    hashes: np.ndarray
+
+    @staticmethod
+    def of(words: Words) -> tuple["Vocabulary", np.ndarray]:
+        """The vocabulary, and the number in it of each word."""
+        places = pa.py_buffer(np.r_[0, np.cumsum(words.size)])
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words.size), [None, places, pa.py_buffer(gathered(words.buf, words.start, words.size))]).dictionary_encode()
+        buf, at = flat(found.dictionary)
+        return Vocabulary(buf, at[:-1], np.diff(at), span_hashes(buf, at[:-1], at[1:])), np.asarray(found.indices).astype(np.int64)
+
+
 @dataclass
 class Windows:
-    """The distinct windows of one length: their words, the items that hold them, and the shingle size."""
+    """The distinct windows of one length, as words of the block's vocabulary, and the items that hold them."""
 
     words: np.ndarray
+    hashes: np.ndarray
     items: list[list[int]]
 
     @property
@@ -97,21 +127,23 @@ class Windows:
     def shingles(self) -> np.ndarray:
         """A row of shingle hashes for each window."""
         places = self.length - self.size + 1
-        return np.stack([shingle_hashes(self.words[:, i : i + self.size].ravel(), self.size)[:: self.size] for i in range(places)], axis=1)
+        return np.stack([shingle_hashes(self.hashes[:, i : i + self.size].ravel(), self.size)[:: self.size] for i in range(places)], axis=1)
 
 
-def windows_of(texts: list[str | None], window: int = WINDOW) -> list[Windows]:
-    """The distinct windows of a block's items, by length."""
-    words, offsets = word_hashes(pa.array(texts, pa.string()))
+def windows_of(texts: list[str | None], window: int = WINDOW) -> tuple[Vocabulary, list[Windows]]:
+    """The vocabulary of a block's items and their distinct windows, by length."""
+    words = words_of(pa.array(texts, pa.string()))
+    vocabulary, number = Vocabulary.of(words)
     held: dict[int, dict[bytes, list[int]]] = defaultdict(dict)
     for item in range(len(texts)):
-        own = words[offsets[item] : offsets[item + 1]]
+        own = number[words.offsets[item] : words.offsets[item + 1]]
         n = min(window, len(own))
         for i in range(len(own) - n + 1 if n else 0):
             items = held[n].setdefault(own[i : i + n].tobytes(), [])
             if not items or items[-1] != item:
                 items.append(item)
-    return [Windows(np.frombuffer(b"".join(x), np.uint64).reshape(-1, n), list(x.values())) for n, x in sorted(held.items())]
+    each = [(np.frombuffer(b"".join(x), np.int64).reshape(-1, n), list(x.values())) for n, x in sorted(held.items())]
+    return vocabulary, [Windows(w, vocabulary.hashes[w], items) for w, items in each]
 
 
 def _shingle_counts(docs: DataFrame, keys: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
@@ -122,10 +154,10 @@ def _shingle_counts(docs: DataFrame, keys: dict[int, np.ndarray]) -> dict[int, n
         total = {size: np.zeros(len(k), np.int64) for size, k in keys.items()}
         for batch in batches:
             for a, b in slices(batch.column(0)):
-                words, offsets = word_hashes(batch.column(0).slice(a, b - a))
+                words = words_of(batch.column(0).slice(a, b - a))
                 for size, known in members.items():
-                    at, index = known.find(shingle_hashes(words, size))
-                    inside = at + size <= offsets[np.searchsorted(offsets, at, "right")]
+                    at, index = known.find(shingle_hashes(words.hashes, size))
+                    inside = at + size <= words.offsets[np.searchsorted(words.offsets, at, "right")]
                     total[size] += np.bincount(index[inside], minlength=len(known.keys))
         for size, n in total.items():
             seen = np.flatnonzero(n)
@@ -139,18 +171,27 @@ def _shingle_counts(docs: DataFrame, keys: dict[int, np.ndarray]) -> dict[int, n
     return out
 
 
-def _found(docs: DataFrame, groups: list[Windows], rarest: list[tuple[np.ndarray, np.ndarray]], ids: list[str | None]) -> DataFrame:
+def _same_words(words: Words, vocabulary: Vocabulary, start: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Whether the words from each place on are those of the row of ``wanted`` beside it, byte by byte."""
+    pairs, back = np.unique((start[:, None] + np.arange(wanted.shape[1])) * len(vocabulary.size) + wanted, return_inverse=True)
+    place, number = np.divmod(pairs, max(len(vocabulary.size), 1))
+    same = same_bytes(words.buf, words.start[place], words.size[place], vocabulary.buf, vocabulary.start[number], vocabulary.size[number])
+    return same[back.reshape(wanted.shape)].all(axis=1)
+
+
+def _found(docs: DataFrame, vocabulary: Vocabulary | None, groups: list[Windows], rarest: list[tuple[np.ndarray, np.ndarray]], ids: list[str | None]) -> DataFrame:
     """``docs`` with ``n_words``, ``spans`` and ``items`` for one block."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((groups, rarest, ids))
+    shared = spark.sparkContext.broadcast((vocabulary, groups, rarest, ids))
     kept = [c for c in docs.columns if c != "text"]
 
-    def match(words: np.ndarray, offsets: np.ndarray, tables: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def match(words: Words, vocabulary: Vocabulary, tables: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         starts, lengths, hit_by = [], [], []
+        offsets = words.offsets
         hashes: dict[int, np.ndarray] = {}
         for g, (group, members, first, window, offset) in enumerate(tables):
             if group.size not in hashes:
-                hashes[group.size] = shingle_hashes(words, group.size)
+                hashes[group.size] = shingle_hashes(words.hashes, group.size)
             at, index = members.find(hashes[group.size])
             count = first[index + 1] - first[index]
             pick = np.arange(count.sum()) + np.repeat(first[index] - (np.cumsum(count) - count), count)
@@ -160,15 +201,17 @@ def _found(docs: DataFrame, groups: list[Windows], rarest: list[tuple[np.ndarray
             fits = (start >= offsets[own - 1]) & (start + group.length <= offsets[own])
             start, win = start[fits], win[fits]
             for k in range(group.length):
-                same = words[start + k] == group.words[win, k]
+                same = words.hashes[start + k] == group.hashes[win, k]
                 start, win = start[same], win[same]
+            same = _same_words(words, vocabulary, start, group.words[win])
+            start, win = start[same], win[same]
             starts.append(start)
             lengths.append(np.full(len(start), group.length))
             hit_by.append(np.c_[np.full(len(win), g), win])
         return np.concatenate(starts), np.concatenate(lengths), np.concatenate(hit_by)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups, rarest, ids = shared.value
+        vocabulary, groups, rarest, ids = shared.value
         tables = []
         for group, (tokens, places) in zip(groups, rarest, strict=True):
             members = Members(np.unique(tokens))
@@ -178,13 +221,13 @@ def _found(docs: DataFrame, groups: list[Windows], rarest: list[tuple[np.ndarray
         for batch in batches:
             text = batch.column(batch.schema.get_field_index("text"))
             for a, b in slices(text):
-                words, offsets = word_hashes(text.slice(a, b - a))
-                n = b - a
+                words = words_of(text.slice(a, b - a))
+                n, offsets = b - a, words.offsets
                 spans: list[list] = [[] for _ in range(n)]
                 items: list[list] = [[] for _ in range(n)]
-                if tables and len(words):
-                    start, length, by = match(words, offsets, tables)
-                    edge = np.zeros(len(words) + 1, np.int64)
+                if tables and len(words.start):
+                    start, length, by = match(words, vocabulary, tables)
+                    edge = np.zeros(len(words.start) + 1, np.int64)
                     np.add.at(edge, start, 1)
                     np.add.at(edge, start + length, -1)
                     lo, hi = runs(np.cumsum(edge[:-1]) > 0, offsets)
@@ -207,7 +250,7 @@ def _found(docs: DataFrame, groups: list[Windows], rarest: list[tuple[np.ndarray
 
 
 def _block(docs: DataFrame, rows: list, window: int) -> DataFrame:
-    groups = windows_of([r["text"] for r in rows], window)
+    vocabulary, groups = windows_of([r["text"] for r in rows], window)
     keys: dict[int, np.ndarray] = {}
     for group in groups:
         keys[group.size] = np.union1d(keys.get(group.size, np.zeros(0, np.uint64)), group.shingles())
@@ -218,7 +261,7 @@ def _block(docs: DataFrame, rows: list, window: int) -> DataFrame:
         often = counts[group.size][np.searchsorted(keys[group.size], shingles)]
         place = often.argmin(axis=1)
         rarest.append((shingles[np.arange(len(shingles)), place], place))
-    return _found(docs, groups, rarest, [r["id"] for r in rows])
+    return _found(docs, vocabulary, groups, rarest, [r["id"] for r in rows])
 
 
 def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list]:
@@ -277,7 +320,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     hits = hits.groupBy(F.col("doc_id").alias("id"), F.col("key").alias("of")).agg(
         _merged(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
-    plain = _found(keyed, [], [], []).select("doc_id", "key", "n_words")
+    plain = _found(keyed, None, [], [], []).select("doc_id", "key", "n_words")
     return plain.join(hits, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("of")), "left").select(
         "doc_id", "n_words", F.coalesce("spans", F.expr(f"cast(array() as {SPANS})")).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items")
     )

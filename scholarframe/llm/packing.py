@@ -2,12 +2,12 @@
 
 Every document becomes token ids with an end id, cut only when longer than a
 sequence.  Pieces are dealt to tasks in a random but repeatable order, and
-each task packs its own, the largest of the next few first, with a fixed number
-of open bins: a bitset tells which
-amounts of free space are open, so the bin a piece fits best is one shift and
-one lowest bit away, and when a new bin is needed beyond the number the
-fullest open one closes.  Bins that were still open when their task ended are
-packed once more among themselves, so that tasks waste next to nothing.
+each task places its own one by one as they come, with a fixed number of open
+bins: a bitset tells which amounts of free space are open, so the bin a piece
+fits best is one shift and one lowest bit away, and when a new bin is needed
+beyond the number the fullest open one closes.  Bins that end with space to
+spare, closed or still open, are dissolved, and their pieces come a second
+time, dealt anew and large ones early, to the same online packing.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -27,9 +26,9 @@ from scholarframe.llm.columns import slices
 from scholarframe.llm.pieces import encoder
 from scholarframe.session import stored
 
-CAPACITY, OPEN_BINS = 2048, 256
-#: Items that are placed together, the largest first, for each open bin; a bound on the look-ahead.
-LOOK_AHEAD = 4
+CAPACITY, OPEN_BINS = 2048, 1024
+#: Pieces that come to one task the second time.
+TOGETHER = 1 << 14
 
 
 def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,51 +114,62 @@ class OpenBins:
         return {b for own in self.bins.values() for b in own}
 
 
-def _packed(rows: DataFrame, size: str, into: str, capacity: int, open_bins: int) -> DataFrame:
-    """``rows`` of each task in their order, with a bin, the place there, and whether it was open at the end."""
+def _packed(rows: DataFrame, capacity: int, open_bins: int) -> DataFrame:
+    """``rows`` of each task, taken in their order, with a bin, the place there and the bin's use.
+
+    Rows leave when their bin has closed, so a task holds those of its open bins only.
+    """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, base = OpenBins(capacity, open_bins), TaskContext.get().partitionId() << 40
-        held: list[pd.DataFrame] = []
+        held: pa.Table | None = None
+
+        def leave(table: pa.Table, bin_of: np.ndarray, gone: np.ndarray) -> Iterator[pa.RecordBatch]:
+            own = table.filter(pa.array(gone))
+            end = own["bin_offset"].to_numpy() + own["length"].to_numpy()
+            _, at = np.unique(bin_of[gone], return_inverse=True)
+            used = np.zeros(int(at.max()) + 1 if len(at) else 0, np.int64)
+            np.maximum.at(used, at, end)
+            yield from own.append_column("bin_used", pa.array(used[at])).to_batches(10_000)
+
         for batch in batches:
-            sizes = batch[size].to_numpy()
-            bin_of, place = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-            for i in range(0, len(sizes), LOOK_AHEAD * open_bins):
-                ahead = sizes[i : i + LOOK_AHEAD * open_bins]
-                for k in np.argsort(-ahead, kind="stable").tolist():
-                    bin_of[i + k], place[i + k] = bins.put(int(ahead[k]))
-            held.append(batch.assign(**{into: base + bin_of, f"{into}_offset": place}))
-        left = {base + b for b in bins.still_open()}
-        for own in held:
-            own[f"{into}_open"] = own[into].isin(left)
-            yield own
-
-    return rows.mapInPandas(each, f"{schema}, {into} long, {into}_offset long, {into}_open boolean")
-
-
-def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
+            placed = [bins.put(size) for size in batch.column("length").to_pylist()]
+            table = pa.Table.from_batches([batch])
+            table = table.append_column("bin", pa.array([base + b for b, _ in placed], pa.int64())).append_column("bin_offset", pa.array([x for _, x in placed], pa.int64()))
+            table = pa.concat_tables([held, table]) if held is not None else table
+            bin_of = table["bin"].to_numpy()
+            still = np.isin(bin_of, base + np.array(sorted(bins.still_open()), np.int64))
+            yield from leave(table, bin_of, ~still)
+            held = table.filter(pa.array(still)).combine_chunks()
+        if held is not None:
+            yield from leave(held, held["bin"].to_numpy(), np.ones(len(held), bool))
+
+    return rows.mapInArrow(each, f"{schema}, bin long, bin_offset long, bin_used long")
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, most_free: int | None = None, together: int = TOGETHER) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; the pieces of a sequence fill it from 0 without gaps.
 
     Needs the columns ``doc_id``, ``piece`` and ``length``; lengths lie between
-    1 and ``capacity``.  Repeated rows are packed each for itself.  A task
-    holds the small rows of its own pieces only, so it does not matter how many
-    documents there are.
+    1 and ``capacity``.  Repeated rows are packed each for itself; columns
+    named ``bin``, ``bin_offset``, ``bin_used``, ``sequence_id`` or ``offset``
+    are replaced.  Bins that end with more than ``most_free`` free places, a
+    128th of the capacity by default, are dissolved, and their pieces come once more.
     """
-    order = F.xxhash64("doc_id", "piece")
-    dealt = pieces.withColumn("__order", order).repartition("__order").sortWithinPartitions("__order", "doc_id", "piece", "length").drop("__order")
-    first = stored(_packed(dealt, "length", "bin", capacity, open_bins), "bins")
-    rest = first.where("bin_open").groupBy("bin").agg(F.sum("length").alias("used")).withColumn("__order", F.xxhash64("bin"))
-    # only bins left open by a task come here: open_bins for each task at most, dealt to one task for 64 of those
-    tasks = (first.agg(F.max(F.shiftright("bin", 40))).first()[0] or 0) + 1
-    groups = rest.withColumn("__group", F.pmod(F.shiftright("bin", 40), F.lit(max(1, tasks // 64))))
-    again = _packed(groups.repartition("__group").sortWithinPartitions("__order", "bin").select("bin", "used"), "used", "seq", capacity, 16 * open_bins)
-    moved = again.select(F.col("bin").alias("__bin"), F.col("seq").alias("__seq"), F.col("seq_offset").alias("__base"))
-    joined = first.join(moved, first["bin"] == moved["__bin"], "left")
-    return joined.withColumns({
-        "sequence_id": F.when(F.col("__seq").isNull(), F.col("bin") * 2).otherwise(F.col("__seq") * 2 + 1),
-        "offset": F.col("bin_offset") + F.coalesce("__base", F.lit(0)),
-    }).drop("bin", "bin_offset", "bin_open", "__bin", "__seq", "__base")
+    most_free = capacity // 128 if most_free is None else most_free
+    rows = pieces.drop("bin", "bin_offset", "bin_used", "sequence_id", "offset")
+    order = [F.xxhash64("doc_id", "piece"), *map(F.col, ("doc_id", "piece", "length"))]
+    dealt = rows.repartition(order[0]).sortWithinPartitions(*order)
+    first = stored(_packed(dealt, capacity, open_bins), "bins")
+    wasteful = F.col("bin_used") < capacity - most_free
+    left = first.where(wasteful).drop("bin", "bin_offset", "bin_used")
+    parts = left.count() // together + 1
+    # every part holds about `together` small rows, whatever the size of the corpus
+    again = left.repartition(parts, F.xxhash64("piece", "doc_id", "length")).sortWithinPartitions(F.desc("length"), *order)
+    second = _packed(again, capacity, 4 * open_bins)
+    done = first.where(~wasteful).withColumn("sequence_id", F.col("bin") * 2)
+    return done.unionByName(second.withColumn("sequence_id", F.col("bin") * 2 + 1)).withColumn("offset", F.col("bin_offset")).drop("bin", "bin_offset", "bin_used")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, end_id: int = 0, with_ids: bool = False) -> DataFrame:

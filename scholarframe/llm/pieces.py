@@ -3,9 +3,10 @@
 The tokenizer in use is given as a file.  When its pre-tokenizer cuts a text
 into pieces that are encoded independently (lower case, white space dropped,
 words ending a piece), equal pieces always give equal ids, so a piece is
-encoded once per worker and then looked up.  The cutting is done for a whole
-batch by array operations; a text holding anything beyond the characters for
-which these are known to agree with the library goes through it whole.
+encoded once per worker and then looked up by its bytes.  The cutting is done
+for a block of texts at a time by array operations; a text holding anything
+beyond the characters for which these are known to agree with the library goes
+through it whole.
 """
 
 from __future__ import annotations
@@ -18,12 +19,12 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from scholarframe.llm.columns import flat, slices, span_hashes
+from scholarframe.llm.columns import flat
 
-#: Slots of a worker's lookup, and pieces kept in it before it starts anew.
-SLOTS = 1 << 22
-MASK = np.uint64(SLOTS - 1)
-MOST_PIECES = 2_000_000
+#: Pieces that a worker keeps before it starts anew, and the longest of them; the lookup stays below about 80 MB.
+MOST_PIECES, KEPT_BYTES = 1 << 19, 64
+#: Bytes cut into pieces at a time.
+BLOCK = 512 << 10
 
 # The parts of a tokenizer file under which pieces are independent.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -48,6 +49,34 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def _kinds(buf: np.ndarray) -> np.ndarray:
+    kind = CLASS[buf]
+    lead = np.flatnonzero(buf[:-1] == 0xC3)
+    second = buf[lead + 1]
+    kind[lead[(second == 0x97) | (second == 0xB7)]] = UNKNOWN
+    return kind
+
+
+def _cuts(buf: np.ndarray, offsets: np.ndarray) -> list[int]:
+    """Ends of blocks of about ``BLOCK`` bytes: the ends of rows or, in a longer row, a space, where no piece is cut."""
+    cuts = [0]
+    while (at := cuts[-1]) < len(buf):
+        stop = min(at + BLOCK, len(buf))
+        end = int(offsets[np.searchsorted(offsets, stop, "right") - 1])
+        if end > at:
+            cuts.append(end)
+            continue
+        end = int(offsets[np.searchsorted(offsets, at, "right")])
+        while stop < end:
+            spaces = np.flatnonzero(buf[at:stop] == 32)
+            if len(spaces) and spaces[-1]:
+                stop = at + int(spaces[-1])
+                break
+            stop += BLOCK
+        cuts.append(min(stop, end))
+    return cuts
+
+
 class PieceEncoder:
     """Encodes batches of texts; ``pieces`` tells whether the lookup applies to the tokenizer."""
 
@@ -67,121 +96,113 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys = np.zeros(SLOTS, np.uint64)
-        self.first = np.zeros(SLOTS, np.int32)
-        self.count = np.zeros(SLOTS, np.int32)
-        self.ids = np.zeros(1 << 20, np.uint32)
-        self.n_ids = self.n_keys = 0
+        self.known: dict[bytes, int] = {}
+        self.begin = np.zeros(1 << 12, np.int64)
+        self.ids = np.zeros(1 << 14, np.uint32)
+        self.n = 0
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _find(self, hashes: np.ndarray) -> np.ndarray:
-        """The slot of each hash, or -1; slots are probed in order, all hashes at once."""
-        out = np.full(len(hashes), -1, np.int64)
-        slot = (hashes & MASK).astype(np.int64)
-        there = self.keys[slot]
-        hit = there == hashes
-        out[hit] = slot[hit]
-        left = np.flatnonzero(~hit & (there != 0))
-        while len(left):
-            slot[left] = (slot[left] + 1) & (SLOTS - 1)
-            there = self.keys[slot[left]]
-            hit = there == hashes[left]
-            out[left[hit]] = slot[left[hit]]
-            left = left[~hit & (there != 0)]
-        return out
-
-    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        """Adds distinct hashes that are not there yet, with the ids of their pieces."""
-        found = self._whole(texts)
-        sizes = np.array([len(x) for x in found], np.int64)
-        ids = np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
-        while self.n_ids + len(ids) > len(self.ids):
+    def _learn(self, new: list[bytes]) -> None:
+        """Puts the ids of pieces behind those that are there; place ``n`` holds the first new piece."""
+        # with spaces between, each piece is a word of its own
+        found = self.tokenizer.encode(b" ".join(new).decode(), add_special_tokens=False)
+        sizes = np.bincount(np.array(found.word_ids, np.int64), minlength=len(new))
+        first, used = self.n, int(self.begin[self.n])
+        while first + len(new) >= len(self.begin):
+            self.begin = np.r_[self.begin, np.zeros_like(self.begin)]
+        while used + int(sizes.sum()) > len(self.ids):
             self.ids = np.r_[self.ids, np.zeros_like(self.ids)]
-        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
-        first = self.n_ids + np.cumsum(sizes) - sizes
-        slot, left = (hashes & MASK).astype(np.int64), np.arange(len(hashes))
-        while len(left):
-            free = left[self.keys[slot[left]] == 0]
-            _, one = np.unique(slot[free], return_index=True)
-            put = free[one]
-            self.keys[slot[put]], self.first[slot[put]], self.count[slot[put]] = hashes[put], first[put], sizes[put]
-            left = left[self.keys[slot[left]] != hashes[left]]
-            slot[left] = (slot[left] + 1) & (SLOTS - 1)
-        self.n_ids += len(ids)
-        self.n_keys += len(hashes)
+        self.begin[first + 1 : first + len(new) + 1] = used + np.cumsum(sizes)
+        self.ids[used : used + int(sizes.sum())] = found.ids
+        self.n += len(new)
+
+    def _look_up(self, distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each piece where its ids begin and how many there are, and the ids; pieces are told apart by all their bytes."""
+        if self.n + len(distinct) > MOST_PIECES:
+            self._forget()
+        get = self.known.get
+        at = np.array([get(x, -1) for x in distinct], np.int64)
+        missing = np.flatnonzero(at < 0)
+        kept = self.n
+        if len(missing):
+            # long pieces seldom come again: they stand last and are forgotten at once
+            size = np.array([len(distinct[i]) for i in missing.tolist()])
+            missing = missing[np.argsort(size > KEPT_BYTES, kind="stable")]
+            new = [distinct[i] for i in missing.tolist()]
+            at[missing] = self.n + np.arange(len(new))
+            self._learn(new)
+            kept = self.n - int((size > KEPT_BYTES).sum())
+            self.known.update(zip(new[: kept - self.n or None], at[missing].tolist(), strict=False))
+        first, count = self.begin[at], self.begin[at + 1] - self.begin[at]
+        self.n = kept
+        return first, count, self.ids
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and ``n + 1`` offsets into them; null texts are empty."""
         if not self.pieces:
             return self._joined([np.array(x, np.uint32) for x in self._whole([x or "" for x in column.to_pylist()])])
-        parts = [self._encode(column.slice(a, b - a)) for a, b in slices(column)]
-        if not parts:
-            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        sizes = np.concatenate([np.diff(o) for _, o in parts])
-        return np.concatenate([i for i, _ in parts]), np.r_[0, np.cumsum(sizes)]
+        buf, offsets = flat(column)
+        n, cuts = len(column), _cuts(buf, offsets)
+        blocks = list(zip(cuts, cuts[1:], strict=False))
+        strange = np.zeros(n, bool)
+        for a, b in blocks:
+            odd = a + np.flatnonzero(_kinds(buf[a:b]) == UNKNOWN)
+            marks = a + np.flatnonzero((buf[a : b - 1] == 60) & (buf[a + 1 : b] == 124))  # "<|" may begin a special token
+            strange[np.searchsorted(offsets, np.r_[odd, marks], "right") - 1] = True
+        bounds, parts, done = np.zeros(n + 1, np.int64), [], 0
+        for a, b in blocks:
+            i, j = np.searchsorted(offsets, a), int(np.searchsorted(offsets, b, "right"))
+            ids, before = self._block(buf[a:b], offsets[i:j] - a, strange, int(i))
+            bounds[i:j] = done + before
+            parts.append(ids)
+            done += len(ids)
+        ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        if not strange.any():
+            return ids, bounds
+        each = [ids[bounds[i] : bounds[i + 1]] for i in range(n)]
+        rows = np.flatnonzero(strange).tolist()
+        for i, x in zip(rows, self._whole(column.take(pa.array(rows)).to_pylist()), strict=True):
+            each[i] = np.array(x, np.uint32)
+        return self._joined(each)
 
     @staticmethod
     def _joined(each: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         return (np.concatenate(each) if each else np.zeros(0, np.uint32)), np.r_[0, np.cumsum([len(x) for x in each], dtype=np.int64)]
 
-    def _encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        buf, offsets = flat(column)
-        n = len(column)
-        low, kind = LOWER[buf], CLASS[buf]
+    def _block(self, buf: np.ndarray, offsets: np.ndarray, strange: np.ndarray, row: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a block, and how many of them come before each of ``offsets``, the first of which begins row ``row``."""
+        low, kind = LOWER[buf], _kinds(buf)
         lead = np.flatnonzero(buf == 0xC3)
         second = buf[lead + 1]
-        kind[lead[(second == 0x97) | (second == 0xB7)]] = UNKNOWN
-        upper = (second >= 0x80) & (second <= 0x9E)
-        low[lead[upper] + 1] += 32
-        odd = np.flatnonzero(kind == UNKNOWN)
-        marks = np.flatnonzero((buf[:-1] == 60) & (buf[1:] == 124)) if len(buf) else odd  # "<|" may begin a special token
-        strange = np.zeros(n, bool)
-        strange[np.searchsorted(offsets, np.r_[odd, marks], "right") - 1] = True
-
+        low[lead[(second >= 0x80) & (second <= 0x9E)] + 1] += 32
         edge = np.zeros(len(buf) + 1, bool)
-        edge[offsets] = True
+        edge[offsets] = edge[0] = edge[-1] = True
         edge[1:-1] |= kind[1:] != kind[:-1]
         edge[:-1] |= kind == DIGIT
         marks = np.flatnonzero((low == 39) & edge[:-1])
         if len(marks):
-            self._contractions(low, kind, edge, marks, offsets)
-        starts = np.flatnonzero(edge[:-1] & (kind != SPACE))
+            self._contractions(low, kind, edge, marks, np.r_[offsets, len(buf)])
+        wanted = kind != SPACE
+        if strange.any():
+            # the row of each byte; rows that go through the library whole have no pieces here
+            wanted &= ~np.repeat(strange[np.clip(np.arange(row - 1, row + len(offsets)), 0, len(strange) - 1)], np.diff(np.r_[0, offsets, len(buf)]))
+        starts = np.flatnonzero(edge[:-1] & wanted)
         ends = np.flatnonzero(edge)
         ends = ends[np.searchsorted(ends, starts, "right")]
-        if strange.any():
-            plain = ~strange[np.searchsorted(offsets, starts, "right") - 1]
-            starts, ends = starts[plain], ends[plain]
-        owner = np.searchsorted(starts, offsets)
-
-        hashes = span_hashes(low, starts, ends)
-        hashes[hashes == 0] = 1
-        at = self._find(hashes)
-        if (at < 0).any():
-            data = low.tobytes()
-            for again in range(2):
-                missing = np.flatnonzero(at < 0)
-                new, pick = np.unique(hashes[missing], return_index=True)
-                if again == 0 and self.n_keys + len(new) > MOST_PIECES:
-                    self._forget()
-                    at[:] = -1
-                    continue
-                pick = missing[pick]
-                self._learn(new, [data[i:j].decode() for i, j in zip(starts[pick].tolist(), ends[pick].tolist(), strict=True)])
-                at[missing] = self._find(hashes[missing])
-                break
-        first, count = self.first[at].astype(np.int64), self.count[at].astype(np.int64)
+        # pieces are exactly the bytes that are no white space
+        places = np.r_[0, np.cumsum(ends - starts)].astype(np.int32)
+        column = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(low[wanted])])
+        found = column.dictionary_encode()
+        words, at = flat(found.dictionary)
+        data, at = words.tobytes(), at.tolist()
+        first, count, known = self._look_up([data[i:j] for i, j in zip(at, at[1:], strict=False)])
+        index = np.asarray(found.indices)
+        first, count = first[index], count[index]
         total = np.r_[0, np.cumsum(count)]
         gather = np.arange(total[-1]) + np.repeat(first - total[:-1], count)
-        ids, bounds = self.ids[gather], total[owner]
-        if not strange.any():
-            return ids, bounds
-        each = [ids[bounds[i] : bounds[i + 1]] for i in range(n)]
-        rows = np.flatnonzero(strange).tolist()
-        for i, x in zip(rows, self._whole(column.take(pa.array(rows)).to_pylist()), strict=True):
-            each[i] = np.array(x, np.uint32)
-        return self._joined(each)
+        return known[gather], total[np.searchsorted(starts, offsets)]
 
     @staticmethod
     def _contractions(low: np.ndarray, kind: np.ndarray, edge: np.ndarray, marks: np.ndarray, offsets: np.ndarray) -> None:

@@ -45,6 +45,9 @@ def cases():
         docs.append((100 + i, f"{text(5)} {t} {text(7)}"))
         docs.append((200 + i, f"{text(3)}, {' - '.join(w[2:14]).upper()}; {text(4)}"))
         docs.append((300 + i, " ".join(w[:9])))
+    x, y = ("".join(c[bin(i).count("1") % 2] for i in range(1024)) for c in ("ab", "ba"))  # unlike words whose polynomial hashes agree
+    items += [("b9", f"{x} b c d e f g h i j k"), ("b11", y)]
+    docs += [(600, f"{y} b c d e f g h i j k"), (601, f"o {x} b c d e f g h i j"), (602, x), (603, y), (604, f"a {y} {x}")]
     docs += [(500, None), (501, ""), (502, "..."), (None, items[0][1]), (503, "only four\nwords   HERE only four words here"), (503, "only four words here"), (504, "Ünï 中文 only four words here" + " long" * 30000), (505, "one one")]
     return docs + docs[70:75], items
 

@@ -44,6 +44,22 @@ def test_a_full_lookup_starts_anew(monkeypatch):
         check([" ".join("w" + "abcdefghij"[x] for x in rng.integers(0, 10, 6)) + f" z{'q' * int(rng.integers(1, 30))}" for _ in range(5)], fresh)
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_with_equal_polynomial_hashes(n):
+    x, y = thue_morse(n), thue_morse(n, "b", "a")
+    check([x, y, f"{x} {y}", f"{y}{x}"])
+
+
+@pytest.mark.parametrize("block", [7, 64])
+def test_texts_longer_than_a_block(monkeypatch, block):
+    monkeypatch.setattr(pieces, "BLOCK", block)
+    check(["It's a text, longer than a block: " + "don't " * 40, "y" * 300, None, "x" * 100 + " é" * 50, "Ω a b c " * 20, " " * 200, "a <|b " * 9, ""])
+
+
 def test_another_tokenizer_is_encoded_whole():
     path = public_tokenizers.path("byte_bpe_50k.json")
     other, library = PieceEncoder(path), Tokenizer.from_file(path)
