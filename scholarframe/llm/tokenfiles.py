@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyarrow import fs
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +38,8 @@ SKIPPABLE, INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A50, 0x18
 #: A frame ends with the first document that brings it to so many ids.
 FRAME_IDS = 1 << 15
 LEVEL = 3
+#: Documents of a batch of a reader, and most ids that are broadcast to one.
+ROWS, MOST_WANTED = 1000, 1 << 20
 
 
 class TokenFileWriter:
@@ -78,6 +80,11 @@ class TokenFileWriter:
                 self._frame()
             first = stop
 
+    def id_range(self) -> tuple[int | None, int | None]:
+        """The least and the greatest document id, None without any."""
+        ids = np.concatenate([*(d[k] for d, k in zip(self.doc_ids, self.known, strict=True)), np.zeros(0, np.int64)])
+        return (int(ids.min()), int(ids.max())) if len(ids) else (None, None)
+
     def close(self) -> tuple[int, int, int]:
         """Writes the index and the table; gives documents, ids and bytes."""
         if self.waiting:
@@ -135,9 +142,10 @@ class TokenFile:
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes all documents in ascending order of id; gives ``(part, path, n_docs, n_ids, n_bytes, base)`` for each file.
+    """Writes all documents in ascending order of id; gives ``(part, path, n_docs, n_ids, n_bytes, first_id, last_id, base)`` for each file.
 
-    ``base`` is the number of ids in all files before.  Null ids come first, a
+    ``base`` is the number of ids in all files before, ``first_id`` and
+    ``last_id`` bound the documents' ids, null if all are.  Null ids come first, a
     null text is empty, and rows with the same id stand side by side in the
     order of their texts' hashes.  ``folder`` is one that all executors share.
     """
@@ -162,38 +170,68 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         if writer is not None:
             n_docs, n_ids, n_bytes = writer.close()
             out.close()
-            yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "path": [path], "n_docs": [n_docs], "n_ids": [n_ids], "n_bytes": [n_bytes]})
+            own = writer.id_range()
+            yield pa.RecordBatch.from_pydict({
+                "part": [task.partitionId()], "path": [path], "n_docs": [n_docs], "n_ids": [n_ids], "n_bytes": [n_bytes],
+                "first_id": pa.array([own[0]], pa.int64()), "last_id": pa.array([own[1]], pa.int64()),
+            })
 
-    manifest = stored(rows.mapInArrow(each, "part long, path string, n_docs long, n_ids long, n_bytes long"), "token-manifest")
+    manifest = stored(rows.mapInArrow(each, "part long, path string, n_docs long, n_ids long, n_bytes long, first_id long, last_id long"), "token-manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
-def read_token_files(manifest: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids_crc32[, ids])`` of every document, from the files of a manifest."""
+def _columns(file: TokenFile, rows: list[int], base: int, with_ids: bool) -> pa.RecordBatch:
+    own, at = [file.document(k) for k in rows], np.array(rows, np.int64)
+    out = {
+        "doc_id": pa.array(file.doc_ids[at], mask=~file.known[at]),
+        "start": pa.array(base + file.starts[at]),
+        "n_tokens": pa.array(file.sizes[at]),
+        "ids_crc32": pa.array([zlib.crc32(x) for x in own], pa.int64()),
+    }
+    if with_ids:
+        out["ids"] = pa.array([x.astype(np.int32) for x in own], pa.list_(pa.int32()))
+    return pa.RecordBatch.from_pydict(out)
+
+
+def _read(manifest: DataFrame, folder: str, with_ids: bool, wanted: Broadcast | None = None) -> DataFrame:
+    """The documents of each file, or those whose ids are ``wanted``, one file a task."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, _ = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                size = system.get_file_info(path).size
+            for path, base, first, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if wanted is not None and (first is None or np.searchsorted(wanted.value, first) == np.searchsorted(wanted.value, last, "right")):
+                    continue
                 with system.open_input_file(path) as source:
-                    file = TokenFile(source, size)
-                    for i in range(0, len(file.doc_ids), 5000):
-                        stop = min(i + 5000, len(file.doc_ids))
-                        own = [file.document(k) for k in range(i, stop)]
-                        out = {
-                            "doc_id": pa.array(file.doc_ids[i:stop], mask=~file.known[i:stop]),
-                            "start": pa.array(base + file.starts[i:stop]),
-                            "n_tokens": pa.array(file.sizes[i:stop]),
-                            "ids_crc32": pa.array([zlib.crc32(x) for x in own], pa.int64()),
-                        }
-                        if with_ids:
-                            out["ids"] = pa.array([x.astype(np.int32) for x in own], pa.list_(pa.int32()))
-                        yield pa.RecordBatch.from_pydict(out)
+                    file = TokenFile(source, system.get_file_info(path).size)
+                    rows = range(len(file.doc_ids)) if wanted is None else np.flatnonzero(file.known & np.isin(file.doc_ids, wanted.value)).tolist()
+                    for i in range(0, len(rows), ROWS):
+                        yield _columns(file, list(rows[i : i + ROWS]), base, with_ids)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return manifest.select("path", "base").repartition("path").mapInArrow(each, schema)
+    files = max(1, manifest.count())
+    return manifest.repartitionByRange(files, "part").select("path", "base", "first_id", "last_id").mapInArrow(each, schema)
+
+
+def read_token_files(manifest: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
+    """``(doc_id, start, n_tokens, ids_crc32[, ids])`` of every document, from the files of a manifest."""
+    return _read(manifest, folder, with_ids)
+
+
+def read_documents(manifest: DataFrame, folder: str, wanted: DataFrame, id_col: str = "doc_id", with_ids: bool = True, most_wanted: int = MOST_WANTED) -> DataFrame:
+    """What :func:`read_token_files` gives for the documents whose ids are in ``wanted``; null ids ask for nothing.
+
+    Up to ``most_wanted`` distinct ids are broadcast: files whose range of ids
+    holds none of them are not opened, and of the others only the index and the
+    frames with wanted documents are read.  More ids than that touch most
+    frames anyway, so then all documents are read and joined with the ids.
+    """
+    ids = wanted.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    known = ids.limit(most_wanted + 1).toArrow()["doc_id"].to_numpy()
+    if len(known) > most_wanted:
+        return read_token_files(manifest, folder, with_ids).join(ids, "doc_id", "left_semi")
+    return _read(manifest, folder, with_ids, manifest.sparkSession.sparkContext.broadcast(np.sort(known)))
 
 
 def new_folder(shared: str) -> str:

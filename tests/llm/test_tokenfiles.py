@@ -7,7 +7,7 @@ import pytest
 import zstandard
 from tokenizers import Tokenizer
 
-from scholarframe.llm.tokenfiles import TokenFile, TokenFileWriter, read_token_files, write_token_files
+from scholarframe.llm.tokenfiles import TokenFile, TokenFileWriter, read_documents, read_token_files, write_token_files
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -63,3 +63,38 @@ def test_files_of_a_table(spark, tmp_path, empty):
         at += r["n_tokens"]
     want = sorted((str(k), library.encode(t or "", add_special_tokens=False).ids + [1]) for k, t in docs)
     assert sorted((str(r["doc_id"]), r["ids"]) for r in got) == want
+
+
+def test_only_frames_of_wanted_documents_are_read(spark, tmp_path):
+    """Frames without a wanted document are spoilt, which no reader of others may notice."""
+    df = spark.createDataFrame([(i, f"document {i} " + "word " * 3000) for i in range(200)], "doc_id long, text string").repartition(4)
+    folder = f"file://{tmp_path}/out"
+    manifest = write_token_files(df, folder, PATH)
+    whole = {r["doc_id"]: r for r in read_token_files(manifest, folder, with_ids=True).collect()}
+    wanted = [0, 57, 58, 199]
+    spoilt = frames = 0
+    for path in [r["path"] for r in manifest.collect()]:
+        data = bytearray(open(path, "rb").read())
+        file = TokenFile(io.BytesIO(bytes(data)), len(data))
+        used = {int(np.searchsorted(file.frame_starts, file.starts[i], "right")) - 1 for i, k in enumerate(file.doc_ids) if k in wanted}
+        for k in range(len(file.table) - 1):
+            frames += 1
+            if k not in used:
+                data[int(file.places[k]) + int(file.table[k, 0]) // 2] ^= 255
+                spoilt += 1
+        open(path, "wb").write(bytes(data))
+    assert 0 < frames - spoilt <= len(wanted) < spoilt
+    asked = spark.createDataFrame([(k,) for k in [*wanted, 57, None, 5000]], "doc_id long")
+    got = {r["doc_id"]: r for r in read_documents(manifest, folder, asked).collect()}
+    assert sorted(got) == wanted and all(got[k] == whole[k] for k in wanted)
+    with pytest.raises(Exception):
+        read_documents(manifest, folder, spark.createDataFrame([(100,)], "doc_id long")).collect()
+
+
+def test_more_wanted_documents_than_are_broadcast(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"document {i}") for i in range(30)], "doc_id long, text string")
+    folder = f"file://{tmp_path}/out"
+    manifest = write_token_files(df, folder, PATH)
+    few, many = (read_documents(manifest, folder, df.where("doc_id % 2 = 0"), most_wanted=n) for n in (100, 3))
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.select(few.columns).collect()))
+    assert read_documents(manifest, folder, df.limit(0)).collect() == []
