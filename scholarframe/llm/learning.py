@@ -36,13 +36,15 @@ class Sample:
     weights: np.ndarray
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, max_chars: int, id_col: str = "doc_id", text_col: str = "text") -> Sample:
-    """At most ``per_class`` labelled texts of each class, those with the smallest hash of the id.
-
-    Only whole texts of at most ``max_chars`` characters are taken, so the
-    sample holds no more than ``2 * per_class * max_chars`` characters.  Labels
-    other than 0 and 1, and null ids, are ignored; an id labelled more than
-    once, alike or not, counts once with its largest label.
+def labelled_rows(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, max_chars: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, int]]:
+    """``(id, label, text)`` of at most ``per_class`` labelled texts of each class, and how many ids each class has in all.
+
+    The rows are those with the smallest hash of the id.  Only whole texts of
+    at most ``max_chars`` characters are taken, so the sample holds no more
+    than ``2 * per_class * max_chars`` characters.  Labels other than 0 and 1,
+    and null ids, are ignored; an id labelled more than once, alike or not,
+    counts once with its largest label.  Of several texts with one id the one
+    with the smallest hash counts.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     known = known.groupBy("id").agg(F.max("label").alias("label"))
@@ -53,10 +55,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_clas
     )
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
     # at most 2 * per_class ids are broadcast, whatever the size of the tables
-    found = rows.join(F.broadcast(picks), "id").dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").select("label", "text").collect()
-    y = np.array([r["label"] for r in found], float)
-    taken = {c: max(1.0, float((y == c).sum())) for c in (0, 1)}
-    return Sample([r["text"] for r in found], y, np.array([totals.get(int(c), 0) / taken[int(c)] for c in y], float))
+    found = rows.join(F.broadcast(picks), "id").groupBy("id").agg(F.max("label").alias("label"), F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"))
+    return found, totals
+
+
+def class_weights(totals: dict[int, int], taken: dict[int, int]) -> dict[int, float]:
+    """What a row of the sample stands for, by class."""
+    return {c: totals.get(c, 0) / max(1, taken.get(c, 0)) for c in (0, 1)}
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, max_chars: int, id_col: str = "doc_id", text_col: str = "text") -> Sample:
+    """The rows of :func:`labelled_rows` on the driver, in the order of the ids' hashes."""
+    rows, totals = labelled_rows(docs, labels, label_col, per_class, max_chars, id_col, text_col)
+    found = rows.orderBy(F.xxhash64("id"), "id").select("label", "text").collect()
+    y = np.array([r["label"] for r in found], int)
+    each = class_weights(totals, {c: int((y == c).sum()) for c in (0, 1)})
+    return Sample([r["text"] for r in found], y.astype(float), np.array([each[c] for c in y.tolist()], float))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray, penalty: float = 1e-2, rounds: int = 50) -> np.ndarray:

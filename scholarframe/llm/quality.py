@@ -1,9 +1,10 @@
 """Text quality by compression against dictionaries of good and of bad text.
 
 A text that shares its strings with good text compresses better with a
-dictionary built from good text.  Both dictionaries come from one half of a
+dictionary of good text.  Both dictionaries are built from one half of a
 bounded labelled sample; the other half calibrates the difference in
-compressed size, divided by the text's size, to a probability.
+compressed size, divided by the text's size, to a probability.  Nothing else
+enters the score.
 """
 
 from __future__ import annotations
@@ -22,21 +23,32 @@ from scholarframe.llm.learning import Sample, fit_logistic, labelled_sample, pro
 
 #: Bounds of the labelled sample: texts of each class, and characters of a text.
 PER_CLASS, MAX_CHARS = 1500, 30_000
-DICTIONARY_BYTES = 64 << 10
-LEVEL = 3
+DICTIONARY_BYTES = 1 << 20
+LEVEL = 9
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
-    """A trained dictionary, or the texts themselves where there are too few to train one."""
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes()
-    except (zstandard.ZstdError, ValueError):
-        return b"\n".join(texts)[-DICTIONARY_BYTES:]
+    """Whole texts end to end, short ones first as they bring more variety for their bytes, as far as there is room."""
+    kept, room = [], DICTIONARY_BYTES
+    for text in sorted(texts, key=lambda t: (len(t), t)):
+        room -= len(text) + 1
+        if room < 0:
+            break
+        kept.append(text)
+    return b"\n".join(kept)
+
+
+def _presser(data: bytes) -> zstandard.ZstdCompressor:
+    if not data:
+        return zstandard.ZstdCompressor(level=LEVEL)
+    words = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    words.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(dict_data=words)
 
 
 @dataclass
 class CompressionScorer:
-    """Dictionaries and calibration; small enough to travel with a task."""
+    """The dictionaries of good and of bad text, and the calibration; small enough to travel with a task."""
 
     good: bytes
     bad: bytes
@@ -46,26 +58,17 @@ class CompressionScorer:
         return {k: v for k, v in self.__dict__.items() if k in ("good", "bad", "beta")}
 
     @cached_property
-    def _pressers(self) -> list[zstandard.ZstdCompressor]:
-        out = []
-        for data in (self.good, self.bad, b""):
-            if data:
-                words = zstandard.ZstdCompressionDict(data)
-                words.precompute_compress(level=LEVEL)
-                out.append(zstandard.ZstdCompressor(dict_data=words))
-            else:
-                out.append(zstandard.ZstdCompressor(level=LEVEL))
-        return out
+    def _pressers(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
+        return _presser(self.good), _presser(self.bad)
 
     def features(self, texts: list[bytes]) -> np.ndarray:
-        """The normalised difference of the two sizes, alone and for long texts, and the plain compressed size."""
-        good, bad, plain = self._pressers
-        out = np.zeros((len(texts), 3))
+        """The normalised difference of the two sizes, as it is and with more weight in long texts."""
+        good, bad = self._pressers
+        out = np.zeros((len(texts), 2))
         for i, text in enumerate(texts):
             if text:
-                a, b = len(good.compress(text)), len(bad.compress(text))
-                apart = (b - a) / (len(text) + 16)
-                out[i] = 10 * apart, apart * np.log1p(len(text)), len(plain.compress(text)) / (len(text) + 64)
+                apart = (len(bad.compress(text)) - len(good.compress(text))) / (len(text) + 16)
+                out[i] = 10 * apart, apart * np.log1p(len(text))
         return out
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
@@ -76,8 +79,8 @@ def train(sample: Sample) -> CompressionScorer:
     """A scorer from a sample; an empty sample gives one that answers 0.5."""
     texts = [t.encode() for t in sample.texts]
     half = np.arange(len(texts)) % 2 == 0
-    parts = [[t for t, h, y in zip(texts, half, sample.labels, strict=True) if h and t and y == c] for c in (1, 0)]
-    scorer = CompressionScorer(*(_dictionary(p) if p else b"" for p in parts), beta=np.zeros(4))
+    good, bad = (_dictionary([t for t, h, y in zip(texts, half, sample.labels, strict=True) if h and t and y == c]) for c in (1, 0))
+    scorer = CompressionScorer(good, bad, beta=np.zeros(3))
     held = [t for t, h in zip(texts, half, strict=True) if not h]
     scorer.beta = fit_logistic(scorer.features(held), sample.labels[~half], sample.weights[~half])
     return scorer

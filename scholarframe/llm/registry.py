@@ -28,7 +28,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _scored(rows: DataFrame, held_out: F.Column, bar: float) -> DataFrame:
-    return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= bar).cast("int").alias("predicted"))
+    """``held_out`` is false for a row without an id, which no label can name."""
+    return rows.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= bar).cast("int").alias("predicted"))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,13 +25,15 @@ from functools import cached_property
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholarframe.llm.learning import Sample, fit_logistic, labelled_sample, probability
+from scholarframe.llm.learning import class_weights, fit_logistic, labelled_rows, probability
+from scholarframe.session import stored
 
-#: Bounds of the labelled sample and of the lexicon.
-PER_CLASS, MAX_CHARS, MAX_TERMS = 4000, 30_000, 2000
+#: Bounds of the labelled sample.
+PER_CLASS, MAX_CHARS = 4000, 30_000
 #: A word needs so many toxic texts, and so large a share of the texts that hold it.
 LEAST_TEXTS, LEAST_SHARE = 6, 0.5
 #: The least log odds of a term: below it the evidence is too thin.
@@ -134,72 +136,96 @@ class Lexicon:
         return probability(self.features(texts), self.beta)
 
 
-def _unlike(folded: list[list[str]]) -> np.ndarray:
-    """The places of texts that share no three smallest phrase hashes with an earlier one; copies teach nothing new."""
-    seen, kept = set(), []
-    for i, words in enumerate(folded):
-        phrases = {zlib.crc32(" ".join(words[k : k + 3]).encode()) for k in range(max(1, len(words) - 2))}
-        key = tuple(heapq.nsmallest(3, phrases))
-        if key not in seen:
-            seen.add(key)
-            kept.append(i)
-    return np.array(kept, int)
+def _phrase_key(words: list[str]) -> str:
+    """The three smallest hashes of three-word phrases; near copies mostly agree in them."""
+    phrases = {zlib.crc32(" ".join(words[k : k + 3]).encode()) for k in range(max(1, len(words) - 2))}
+    return ",".join(map(str, heapq.nsmallest(3, phrases)))
 
 
-def _slot(term: str) -> int:
-    return zlib.crc32(term.encode()) & 0x3FFFFF
+def _folded_sample(sample: DataFrame) -> DataFrame:
+    """``(id, label, half, text, words)``: the folded words of the sample, near copies once, dealt into two halves."""
 
+    @F.arrow_udf("struct<words:string,key:string>")
+    def folded(texts: pa.Array) -> pa.Array:
+        words = [words_of(fold(t)) for t in texts.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([" ".join(w) for w in words], pa.string()), pa.array([_phrase_key(w) for w in words], pa.string())], ["words", "key"])
 
-def learn(sample: Sample, exceptions: set[str] = frozenset()) -> Lexicon:
-    """A lexicon from a sample; ``exceptions`` are phrases to spare besides those learnt.
+    order = F.struct(F.xxhash64("id"), F.col("id"))
+    rows = sample.withColumn("folded", folded("text")).select("id", "label", "text", "folded.words", "folded.key")
+    once = rows.groupBy("key").agg(F.min_by(F.struct("id", "label", "text", "words"), order).alias("row")).select("row.*")
+    return once.withColumn("half", F.pmod(F.shiftright(F.xxhash64("id"), 17), F.lit(2)).cast("int"))
 
-    Near copies in the sample count once.  A term has to be marked toxic in
-    either half of the sample, so that chance finds of one half fall away.
-    Without toxic texts the lexicon is empty and every text gets the same low
-    score.
+
+def _counts(rows: DataFrame, strings_of) -> DataFrame:
+    """``(string, toxic0, toxic1, other0, other1)``: the texts of each class and half that hold a string.
+
+    ``strings_of`` gives the set of strings of a text's words.  A task adds up
+    its own texts, so what is shuffled are its distinct strings.
+    """
+    names = ["toxic0", "toxic1", "other0", "other1"]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = [Counter() for _ in names]
+        for batch in batches:
+            for label, half, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                counts[2 * (1 - label) + half].update(strings_of(words.split(" ") if words else []))
+        strings = sorted(set().union(*counts))
+        yield pa.RecordBatch.from_pydict({"string": pa.array(strings, pa.string())} | {n: pa.array([c[s] for s in strings], pa.int64()) for n, c in zip(names, counts, strict=True)})
+
+    found = rows.select("label", "half", "words").mapInArrow(each, "string string, " + ", ".join(f"{n} long" for n in names))
+    return found.groupBy("string").agg(*(F.sum(n).alias(n) for n in names))
+
+
+def learn(sample: DataFrame, totals: dict[int, int], exceptions: set[str] = frozenset(), least_weight: float = LEAST_WEIGHT) -> Lexicon:
+    """A lexicon from rows ``(id, label, text)``; ``totals`` tells how many ids each class has, sampled or not.
+
+    ``exceptions`` are phrases to spare besides those learnt.  Texts are folded
+    and their strings counted in tasks; to the driver come only terms that
+    enough toxic texts hold, phrases that enough harmless ones do, and three
+    numbers a text for the calibration, all bounded by the sample.  Near copies
+    in the sample count once.  A term has to be marked toxic in either half of
+    the sample, so that chance finds of one half fall away, with log odds of
+    ``least_weight`` or more.  Without toxic texts the lexicon is empty and
+    every text gets the same low score.
     """
-    folded = [words_of(fold(t)) for t in sample.texts]
-    kept = _unlike(folded)
-    folded, labels = [folded[i] for i in kept], sample.labels[kept]
-    each = {c: float(sample.weights[sample.labels == c].max(initial=0.0)) for c in (0, 1)}
-    # counts by hash leave out most terms before any is counted by name, which keeps the driver small
-    rough = np.zeros((2, 1 << 22), np.uint16)
-    for i, (words, y) in enumerate(zip(folded, labels, strict=True)):
-        if y:
-            rough[i % 2, list({_slot(t) for t in terms_of(set(words))})] += 1
-    maybe = (rough[0] > 0) & (rough[1] > 0) & (rough.sum(axis=0) >= LEAST_TEXTS)
-    counts = [[Counter(), Counter()], [Counter(), Counter()]]
-    for i, (words, y) in enumerate(zip(folded, labels, strict=True)):
-        if y:
-            counts[i % 2][1].update(t for t in terms_of(set(words)) if maybe[_slot(t)])
-    often = {t for t, n in counts[0][1].items() if n + counts[1][1][t] >= LEAST_TEXTS and n and counts[1][1][t]}
-    for i, (words, y) in enumerate(zip(folded, labels, strict=True)):
-        if not y:
-            counts[i % 2][0].update(terms_of(set(words)) & often)
-    totals = {c: each[c] * float((labels == c).sum()) for c in (0, 1)}
+    rows = stored(_folded_sample(sample), "toxicity-sample")
+    kept = {0: 0, 1: 0} | dict(rows.groupBy("label").count().collect())
+    each = class_weights(totals, kept)
+    enough = F.col("toxic0") + F.col("toxic1") >= LEAST_TEXTS
+    often = [r["string"] for r in _counts(rows.where("label = 1"), lambda w: terms_of(set(w))).where(enough & (F.col("toxic0") > 0) & (F.col("toxic1") > 0)).select("string").collect()]
+    wanted = sample.sparkSession.sparkContext.broadcast(frozenset(often))
     weights = {}
-    for term in sorted(often):
-        halves = [(n[1][term] * each[1], n[0][term] * each[0]) for n in counts]
+    for r in _counts(rows, lambda w: terms_of(set(w)) & wanted.value).orderBy("string").collect():
+        halves = [(r[f"toxic{h}"] * each[1], r[f"other{h}"] * each[0]) for h in (0, 1)]
         toxic, other = (sum(h[k] for h in halves) for k in (0, 1))
-        if len(term) > 2 and all(a >= LEAST_SHARE * (a + b) for a, b in halves):
+        if len(r["string"]) > 2 and all(a >= LEAST_SHARE * (a + b) for a, b in halves):
             # one harmless text more than were seen, as a sample may have missed it
-            weights[term] = math.log((toxic + each[1]) / (totals[1] + 2 * each[1])) - math.log((other + each[0]) / (totals[0] + 2 * each[0]))
-    weights = {k: v for k, v in weights.items() if v >= LEAST_WEIGHT}
-    weights = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:MAX_TERMS])
-    known = {t for t in weights if not t.endswith(STEM)}
-    phrases = [Counter(), Counter()]
-    for words, y in zip(folded, labels, strict=True):
-        own = {f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if a in known or b in known}
-        phrases[int(y)].update(own)
-    learnt = {p for p, n in phrases[0].items() if n >= LEAST_TEXTS and phrases[1][p] * each[1] < 0.2 * n * each[0]}
-    lexicon = Lexicon(weights, learnt | {" ".join(words_of(fold(x))) for x in exceptions})
-    lexicon.beta = fit_logistic(lexicon.features([sample.texts[i] for i in kept]), labels, sample.weights[kept])
+            weight = math.log((toxic + each[1]) / (each[1] * (kept[1] + 2))) - math.log((other + each[0]) / (each[0] * (kept[0] + 2))) if each[0] else LEAST_WEIGHT
+            if weight >= least_weight:
+                weights[r["string"]] = weight
+    known = frozenset(t for t in weights if not t.endswith(STEM))
+
+    def phrases(words: list[str]) -> set[str]:
+        return {f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if a in known or b in known}
+
+    harmless = F.col("other0") + F.col("other1")
+    spared = _counts(rows, phrases).where((harmless >= LEAST_TEXTS) & ((F.col("toxic0") + F.col("toxic1")) * each[1] < 0.2 * harmless * each[0]))
+    lexicon = Lexicon(weights, {r["string"] for r in spared.select("string").collect()} | {" ".join(words_of(fold(x))) for x in exceptions})
+
+    @F.arrow_udf("array<double>")
+    def seen(texts: pa.Array) -> pa.Array:
+        return pa.array(lexicon.features(texts.to_pylist()).tolist(), pa.list_(pa.float64()))
+
+    found = rows.select("label", seen("text").alias("seen")).collect()
+    found.sort(key=lambda r: (r["label"], r["seen"]))
+    y = np.array([r["label"] for r in found], float)
+    lexicon.beta = fit_logistic(np.array([r["seen"] for r in found], float).reshape(-1, 3), y, np.array([each[r["label"]] for r in found], float))
     return lexicon
 
 
 def toxicity_lexicon(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS, exceptions: set[str] = frozenset(), id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
-    """Learns from a bounded sample of ``labels.toxic``; see :func:`labelled_sample`."""
-    return learn(labelled_sample(docs, labels, "toxic", per_class, max_chars, id_col, text_col), exceptions)
+    """Learns from a bounded sample of ``labels.toxic``; see :func:`labelled_rows`."""
+    return learn(*labelled_rows(docs, labels, "toxic", per_class, max_chars, id_col, text_col), exceptions)
 
 
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", into: str = "score") -> DataFrame:

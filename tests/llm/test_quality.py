@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
+import zstandard
 
-from scholarframe.llm.learning import Sample, fit_logistic, labelled_sample, probability
+from scholarframe.llm.learning import Sample, fit_logistic, labelled_sample, probability, split_of
 from scholarframe.llm.quality import quality_scorer, score_quality, train
 from scholarframe.llm.registry import op1_quality
 
@@ -43,3 +44,27 @@ def test_odd_rows(spark):
     assert len(got) == 6 and all(0 <= r["score"] <= 1 for r in got)
     assert score_quality(df.limit(0), scorer).collect() == []
     assert train(Sample([], np.zeros(0), np.zeros(0))).scores([b"", b"text"]).tolist() == [0.5, 0.5]
+
+
+def test_every_score_equals_a_plain_computation(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{x}.parquet") for x in ("documents", "labels"))
+    scorer = quality_scorer(docs, labels.where(split_of("doc_id", 3) != 1))
+    words = lambda data: zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
+    def size(text, data):
+        known = words(data)
+        known.precompute_compress(level=9)
+        return len(zstandard.ZstdCompressor(dict_data=known).compress(text))
+
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    for r in op1_quality(spark, "/root/testdata/sf0.001").collect():
+        t = texts[r["doc_id"]]
+        apart = (size(t, scorer.bad) - size(t, scorer.good)) / (len(t) + 16) if t else 0
+        assert r["score"] == pytest.approx(probability(np.array([[10 * apart, apart * np.log1p(len(t))]]), scorer.beta)[0], abs=1e-9)
+
+
+def test_one_text_of_a_repeated_id(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, "c")] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 1)], "doc_id long, quality int")
+    found = {tuple(sorted(labelled_sample(docs.repartition(k), labels, "quality", 5, 100).texts)) for k in (1, 3, 5)}
+    assert len(found) == 1 and len(found.pop()) == 2

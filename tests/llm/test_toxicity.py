@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from scholarframe.llm.learning import Sample
+from scholarframe.llm.learning import probability, split_of
 from scholarframe.llm.registry import op6_toxicity
 from scholarframe.llm.toxicity import Lexicon, fold, learn, score_toxicity, toxicity_lexicon
 
@@ -39,9 +39,14 @@ def test_exceptions_spare_a_phrase():
     assert lexicon.matches(fold("clowning")) == []
 
 
-def test_harmless_phrases_are_learnt():
+def learnt(spark, texts, labels):
+    rows = [(i, y, t) for i, (t, y) in enumerate(zip(texts, labels))]
+    return learn(spark.createDataFrame(rows, "id long, label int, text string").repartition(3), {c: labels.count(c) for c in (0, 1)})
+
+
+def test_harmless_phrases_are_learnt(spark):
     texts = [f"you clown number{i}" for i in range(30)] + [f"clown fish tank{i}" for i in range(10)] + [f"plain text{i}" for i in range(60)]
-    lexicon = learn(Sample(texts, np.array([1.0] * 30 + [0.0] * 70), np.ones(100)))
+    lexicon = learnt(spark, texts, [1] * 30 + [0] * 70)
     assert fold("clown") in lexicon.weights and fold("clown fish") in lexicon.exceptions
     scores = lexicon.scores(["such a clown", "a clown fish", ""])
     assert scores[0] > 0.5 > 0.3 > scores[1] and scores[2] < 0.3
@@ -66,3 +71,24 @@ def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "text")], "doc_id long, text string")
     lexicon = toxicity_lexicon(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert lexicon.weights == {} and math.isclose(lexicon.scores(["x"])[0], 0.5)
+
+
+def test_every_score_equals_a_plain_computation(spark):
+    """Scores of the query from its lexicon, but by going through all words and terms."""
+    docs, labels = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("documents", "labels"))
+    lexicon = toxicity_lexicon(docs, labels.where(split_of("doc_id", 4) != 2))
+    assert lexicon.weights
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in op6_toxicity(spark, SF).collect():
+        text = texts[r["doc_id"]]
+        total = brute(lexicon, text)
+        if not any(p in fold(text) for p in lexicon.exceptions):
+            x = np.array([[1, math.log1p(total), math.log1p(1000 * total / (len(text) + 200))]]) if total else np.zeros((1, 3))
+            assert r["score"] == pytest.approx(probability(x, lexicon.beta)[0], abs=1e-9)
+
+
+def test_near_copies_count_once(spark):
+    real = [f"number{i} is such a clown and word{i} too" for i in range(12)]
+    plain = [f"plain text{i} of day{i}" for i in range(60)]
+    lexicon = learnt(spark, ["alike words in this copy zzgrim"] * 40 + real + plain, [1] * 52 + [0] * 60)
+    assert fold("clown") in lexicon.weights and fold("zzgrim") not in lexicon.weights
