@@ -1,15 +1,17 @@
 """Near-duplicate vectors through a pivot-permutation index.
 
 Every vector is described by its nearest pivots, in order of nearness, and is
-entered in the inverted list of each.  Two vectors become candidates when they
-share enough pivots; a pair is looked at in the list of the smallest pivot
-that both share, so in one place only, and its cosine is then computed from
-the vectors themselves in double precision.
+entered in the inverted list of each.  A list counts, from the inverted lists
+of its own vectors, how many pivots any two of them share; pairs that share
+enough are candidates, and their cosine is then computed from the vectors
+themselves in double precision.  A pair meets in the list of every pivot it
+shares and counts in one: that of the shared pivot nearest to both, by the sum
+of its places in the two orders.
 
 Equal vectors are collapsed first and counted by their number.  Lists that
-hold too many vectors for a task are cut by the second pivot a pair shares,
-and what is still too long is cut into chunks that meet two by two.  A list
-returns one row for each vector with links, never the pairs.
+hold too many vectors for a task are cut by the second nearest pivot a pair
+shares, and what is still too long is cut into chunks that meet two by two.  A
+list returns one row for each vector with links, never the pairs.
 """
 
 from __future__ import annotations
@@ -27,12 +29,14 @@ from scholarframe.llm.simhash import smallest_labels
 from scholarframe.operators.components import connected_components
 from scholarframe.session import stored
 
-#: Most pivots, sampled rows to choose each from, pivots that describe a vector, and pivots a pair has to share.
-MOST_PIVOTS, DRAWN_FOR_EACH, NEAREST, SHARED = 1024, 4, 10, 2
+#: Pivots are so many times the root of the number of vectors, so that lists and pivots grow alike; sampled rows to choose each from.
+PIVOTS_OF_ROOT, LEAST_PIVOTS, DRAWN_FOR_EACH = 4.0, 64, 4
+#: Pivots that describe a vector, and pivots a pair has to share.
+NEAREST, SHARED = 10, 2
 #: Pivots are less alike than this, so that no dense region takes them all.
 APART = 0.6
-#: Vectors of a list, or of a chunk, that a task takes together.
-TOGETHER = 4096
+#: Vectors of a list, or of a chunk, that a task takes together, and pairs it looks at together.
+TOGETHER, PAIRS = 4096, 1 << 20
 
 
 def choose_pivots(drawn: np.ndarray, most: int) -> np.ndarray:
@@ -83,6 +87,42 @@ def _described(classes: DataFrame, pivots: np.ndarray, nearest: int, width: int)
     return classes.select("rep", "n", "vector", near("vector").alias("near"))
 
 
+def _candidates(near: np.ndarray, shared: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows, the smaller first, that have ``shared`` pivots in common, counted from the inverted lists."""
+    m, k = near.shape
+    pivot = np.unique(near, return_inverse=True)[1].reshape(m, k)
+    order = np.argsort(pivot.ravel(), kind="stable")
+    member, begin = order // k, np.searchsorted(pivot.ravel()[order], np.arange(pivot.max() + 2))
+    size = np.diff(begin)[pivot].sum(axis=1)
+    a = 0
+    while a < m:
+        # the lists of the rows taken together hold about PAIRS entries, and their counts as many places
+        b = a + max(1, min(int(np.searchsorted(np.cumsum(size[a:]), PAIRS)), PAIRS // m))
+        lists = pivot[a:b].ravel()
+        count = begin[lists + 1] - begin[lists]
+        other = member[np.arange(count.sum()) + np.repeat(begin[lists] - (np.cumsum(count) - count), count)]
+        row = np.repeat(np.repeat(np.arange(min(b, m) - a), k), count)
+        later = other > row + a
+        times = np.bincount(row[later] * m + other[later], minlength=1)
+        x, y = np.divmod(np.flatnonzero(times >= shared), m)
+        yield x + a, y
+        a = b
+
+
+def _meets_here(left: np.ndarray, right: np.ndarray, pivot: int, second: int) -> np.ndarray:
+    """Whether pairs with these pivots count in the list of ``pivot``, or of ``pivot`` and ``second``."""
+    k, rows = left.shape[1], np.arange(len(left))
+    both = left[:, :, None] == right[:, None, :]
+    # a shared pivot's rank: the sum of its places, ties by the pivot's number
+    rank = np.where(both.any(axis=2), (np.arange(k) + both.argmax(axis=2)) * np.int64(1 << 40) + left, np.iinfo(np.int64).max)
+    best = rank.argmin(axis=1)
+    here = left[rows, best] == pivot
+    if second >= 0:
+        rank[rows, best] = np.iinfo(np.int64).max
+        here &= left[rows, rank.argmin(axis=1)] == second
+    return here
+
+
 def _links_of_cell(cell: pa.Table, least: float, shared: int, width: int) -> pa.Table:
     """Links found in one list: for each vector with any, how many vectors and the smallest one it is joined to."""
     cell = cell.combine_chunks()
@@ -91,52 +131,36 @@ def _links_of_cell(cell: pa.Table, least: float, shared: int, width: int) -> pa.
     rep, n, side = (cell[c].to_numpy() for c in ("rep", "n", "side"))
     pivot, second, cross = cell["pivot"][0].as_py(), cell["second"][0].as_py(), cell["a"][0].as_py() != cell["b"][0].as_py()
     unit = _unit(_matrix(cell["vector"].chunk(0), width))
-    near = np.sort(np.asarray(cell["near"].chunk(0).flatten()).reshape(len(rep), -1), axis=1)
-    links = np.zeros(len(rep), np.int64)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def mine(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether this list is the one that a pair is looked at in."""
-        both = (near[i][:, :, None] == near[j][:, None, :]).any(axis=2)
-        ok = both.sum(axis=1) >= shared
-        first = both.argmax(axis=1)
-        rows = np.arange(len(i))
-        ok &= near[i][rows, first] == pivot
-        if second >= 0:
-            both[rows, first] = False
-            ok &= both.any(axis=1) & (near[i][rows, both.argmax(axis=1)] == second)
-        return ok
-
-    label = np.arange(len(rep))
-    for a in range(0, len(rep), 1024):
-        like = unit[a : a + 1024] @ unit[a:].T
-        i, j = np.nonzero(like >= least)
-        i, j = i + a, j + a
-        keep = i < j
+    near = np.asarray(cell["near"].chunk(0).flatten()).reshape(len(rep), -1)
+    links, label = np.zeros(len(rep), np.int64), np.arange(len(rep))
+    for i, j in _candidates(near, shared):
         if cross:
-            keep &= side[i] != side[j]
-        i, j = i[keep], j[keep]
-        for k in range(0, len(i), 1 << 17):
-            x, y = i[k : k + (1 << 17)], j[k : k + (1 << 17)]
-            own = mine(x, y)
-            x, y = x[own], y[own]
+            apart = side[i] != side[j]
+            i, j = i[apart], j[apart]
+        for k in range(0, len(i), 1 << 14):
+            x, y = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+            alike = np.einsum("ij,ij->i", unit[x], unit[y]) >= least
+            x, y = x[alike], y[alike]
+            here = _meets_here(near[x], near[y], pivot, second)
+            x, y = x[here], y[here]
             links += np.bincount(x, n[y], len(rep)).astype(np.int64) + np.bincount(y, n[x], len(rep)).astype(np.int64)
-            if len(x):
-                fresh = label[x] != label[y]
-                found.append((x[fresh], y[fresh]))
-                label = smallest_labels(len(rep), iter([(np.arange(len(rep)), label), found.pop()]))
+            fresh = label[x] != label[y]
+            if fresh.any():
+                label = smallest_labels(len(rep), iter([(np.arange(len(rep)), label), (x[fresh], y[fresh])]))
     some = links > 0
     return pa.table({"rep": rep[some], "links": links[some], "root": rep[label[some]]})
 
 
-def vector_groups(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", most_pivots: int = MOST_PIVOTS, nearest: int = NEAREST, shared: int = SHARED, together: int = TOGETHER) -> DataFrame:
+def vector_groups(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", pivots_of_root: float = PIVOTS_OF_ROOT, nearest: int = NEAREST, shared: int = SHARED, together: int = TOGETHER) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row of ``vectors``.
 
     Vectors with a cosine of ``least`` or more are linked; none below it are.
-    Pairs that do not share ``shared`` of their ``nearest`` pivots are not
-    seen: at a cosine of exactly 0.9 that is fewer than 1 in 200 of random
-    vectors, see the README.  Pivots come from a sample of at most
-    ``DRAWN_FOR_EACH * most_pivots`` rows; every vector is indexed.
+    Pairs that do not share ``shared`` of their nearest pivots are not seen: at
+    a cosine of exactly 0.9 that is fewer than 1 in 200 of random vectors, see
+    the README.  There are ``pivots_of_root`` times the root of the number of
+    distinct vectors of pivots, chosen from a sample of ``DRAWN_FOR_EACH``
+    times as many rows; ``nearest`` of them describe a vector, and one more for
+    each doubling beyond 1,024.  Every vector is indexed.
 
     Vectors that are null, zero, or hold null or non-finite numbers link with
     nothing; a shorter vector counts as padded with zeros.  Rows with the same
@@ -146,22 +170,24 @@ def vector_groups(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id"
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     own = rows.where(F.col("id").isNotNull() & valid(F.col("vector"))).groupBy("id").agg(F.min_by("vector", F.xxhash64("vector")).alias("vector"))
-    own = stored(own, "vectors")
-    classes = stored(own.groupBy("vector").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "vector-classes")
+    # a digest stands for the vector from here on, so that no join shuffles vectors
+    own = stored(own.withColumn("digest", F.sha2(F.array_join(F.col("vector").cast("array<string>"), ","), 256)), "vectors")
+    classes = stored(own.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.any_value("vector").alias("vector")), "vector-classes")
     total, width = classes.agg(F.count("*"), F.max(F.size("vector"))).first()
-    most = int(min(most_pivots, max(64, total // 50)))
-    drawn = smallest(classes, ["rep"], F.xxhash64("rep"), DRAWN_FOR_EACH * most, total).select("vector").toArrow()["vector"]
     if total:
+        most = max(LEAST_PIVOTS, int(pivots_of_root * total**0.5))
+        drawn = smallest(classes, ["rep"], F.xxhash64("rep"), DRAWN_FOR_EACH * most, total).select("vector").toArrow()["vector"]
         pivots = choose_pivots(_unit(_matrix(drawn.combine_chunks() if isinstance(drawn, pa.ChunkedArray) else drawn, width)), most)
-        found = stored(_found(classes, pivots, least, min(nearest, len(pivots)), min(shared, len(pivots)), width, together), "vector-links")
+        k = nearest + max(0, (len(pivots) - 1).bit_length() - 10)
+        found = stored(_found(classes, pivots, least, min(k, len(pivots)), min(shared, len(pivots)), width, together), "vector-links")
         counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
         groups = connected_components(found.where("rep <> root"), "rep", "root")
     else:
         counts = classes.select("rep", "n").withColumnRenamed("n", "links").limit(0)
         groups = classes.select(F.col("rep").alias("vertex"), F.col("rep").alias("component")).limit(0)
     named = classes.join(counts, "rep", "left").join(groups, classes["rep"] == groups["vertex"], "left")
-    named = named.select(F.col("vector").alias("of"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
-    each = own.join(named, own["vector"] == named["of"]).select("id", "links", "component")
+    named = named.select("digest", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+    each = own.select("id", "digest").join(named, "digest").select("id", "links", "component")
     out = rows.select(F.col("id").alias("vec_id")).join(each, F.col("vec_id") == F.col("id"), "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
@@ -169,12 +195,12 @@ def vector_groups(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id"
 
 def _found(classes: DataFrame, pivots: np.ndarray, least: float, nearest: int, shared: int, width: int, together: int) -> DataFrame:
     described = stored(_described(classes, pivots, nearest, width), "described")
-    sizes = described.select(F.explode("near").alias("pivot")).groupBy("pivot").count().collect()  # one row for each pivot
-    long = [r["pivot"] for r in sizes if r["count"] > together] if shared > 1 else []
-    is_long = F.array_contains(F.lit(long).cast("array<int>"), F.col("pivot")) if long else F.lit(False)
+    sizes = described.select(F.explode("near").alias("pivot")).groupBy("pivot").count()
+    long = sizes.where(F.col("count") > together).select("pivot").collect() if shared > 1 else []  # at most one row for each pivot
+    is_long = F.array_contains(F.lit([r["pivot"] for r in long]).cast("array<int>"), F.col("pivot")) if long else F.lit(False)
     lists = described.withColumn("pivot", F.explode("near"))
-    later = F.filter("near", lambda q: q > F.col("pivot"))
-    entered = lists.withColumn("second", F.explode(F.when(is_long, later).otherwise(F.array(F.lit(-1)))))
+    others = F.filter("near", lambda q: q != F.col("pivot"))
+    entered = lists.withColumn("second", F.explode(F.when(is_long, others).otherwise(F.array(F.lit(-1)))))
     over = entered.groupBy("pivot", "second").agg(F.count("*").alias("size")).where(F.col("size") > together)
     over = over.select("pivot", "second", F.ceil(F.col("size") / together).cast("int").alias("chunks"))
     cut = entered.join(over, ["pivot", "second"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))

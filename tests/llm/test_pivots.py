@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from scholarframe.llm.pivots import vector_groups
+from scholarframe.llm.pivots import _candidates, vector_groups
 
 
 def brute(rows, least=0.9):
@@ -76,3 +76,11 @@ def test_few_and_odd_rows(spark):
 def test_nothing_to_link(spark, rows):
     got = vector_groups(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
     assert [(r["vec_id"], r["n_links"]) for r in got] == [(k, 0) for k, _ in rows]
+
+
+def test_shared_pivots_are_counted_from_the_lists():
+    rng = np.random.default_rng(6)
+    near = np.array([rng.choice(40, 6, replace=False) for _ in range(150)])
+    for shared in (1, 2, 3):
+        got = sorted((int(a), int(b)) for i, j in _candidates(near, shared) for a, b in zip(i, j))
+        assert got == [(a, b) for a in range(150) for b in range(a + 1, 150) if len(set(near[a]) & set(near[b])) >= shared]
