@@ -36,6 +36,8 @@ from scholarframe.session import stored
 BLOCKS = (11, 11, 11, 11, 10, 10)
 FANOUT = 8
 CHUNK = 1 << 18
+#: Fingerprints of a bucket from which it is cut further, and rows of whole buckets that a task takes together.
+BUCKET_ROWS, TOGETHER = 1 << 18, 1 << 17
 
 
 def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
@@ -58,17 +60,18 @@ def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(total * 2 > len(each)).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
-    """``(id, fp)`` for every row; null texts have no words and get fingerprint zero."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, keep: list[str] = ()) -> DataFrame:
+    """``(id, fp)`` and the columns ``keep`` for every row; null texts have no words and get fingerprint zero."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *keep)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(1).cast(pa.binary())
             fps = [fingerprint(x.as_buffer().to_pybytes(), width, seed) if x.is_valid and len(x.as_buffer()) else 0 for x in text]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), *batch.columns[2:]], ["id", "fp", *keep])
 
-    return rows.mapInArrow(each, "id long, fp long")
+    kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema[2:])
+    return rows.mapInArrow(each, f"id long, fp long{kept}")
 
 
 def _gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -84,6 +87,7 @@ class GrayIndex:
     def __init__(self, bucket: np.ndarray, fp: np.ndarray):
         self.order = np.lexsort((_gray_rank(fp), bucket))
         bucket, pattern = bucket[self.order], fp[self.order]
+        self.bucket = bucket
         agreed = np.full(len(fp), ~np.uint64(0), np.uint64)
         self.levels: list[tuple[np.ndarray, np.ndarray]] = [(pattern, agreed)]
         self.below: list[tuple[np.ndarray, np.ndarray]] = []
@@ -98,28 +102,47 @@ class GrayIndex:
             pattern, agreed, bucket = ones, ones | zeros, bucket[heads]
             self.levels.append((pattern, agreed))
 
-    def links(self, within: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Blocks of index pairs that share a bucket and differ in at most ``within`` bits."""
+    def _alike(self, label: np.ndarray) -> list[np.ndarray]:
+        """For every node of every level the label that all below it have, or -1."""
+        out = [label]
+        for heads, _ in self.below:
+            low, high = np.minimum.reduceat(out[-1], heads), np.maximum.reduceat(out[-1], heads)
+            out.append(np.where(low == high, low, -1))
+        return out
+
+    def labels(self, within: int) -> np.ndarray:
+        """For each fingerprint, in Gray order, the first one of its group: those of its bucket that links of at most ``within`` bits reach.
+
+        Neighbours in Gray order are linked first.  Nodes that hold one group
+        only, the same one, need not meet any more, so a large group of near
+        copies is not looked at pair by pair.
+        """
+        n, fp = len(self.order), self.levels[0][0]
+        near = np.flatnonzero((np.bitwise_count(fp[1:] ^ fp[:-1]) <= within) & (self.bucket[1:] == self.bucket[:-1]))
+        label = smallest_labels(n, iter([(near, near + 1)]))
+        groups = self._alike(label)
         top = np.arange(len(self.levels[-1][0]))
         todo = [(len(self.levels) - 1, top[i : i + CHUNK], top[i : i + CHUNK]) for i in range(0, len(top), CHUNK)]
+        grid, step = np.arange(FANOUT), CHUNK // (FANOUT * FANOUT)
         while todo:
             level, a, b = todo.pop()
             pattern, agreed = self.levels[level]
             apart = np.bitwise_count((pattern[a] ^ pattern[b]) & agreed[a] & agreed[b])
-            a, b = a[apart <= within], b[apart <= within]
+            open_ = (apart <= within) & ((groups[level][a] < 0) | (groups[level][a] != groups[level][b]))
+            a, b = a[open_], b[open_]
             if level == 0:
-                a, b = a[a < b], b[a < b]
                 if len(a):
-                    yield self.order[a], self.order[b]
+                    label = smallest_labels(n, iter([(np.arange(n), label), (a, b)]))
+                    groups = self._alike(label)
                 continue
             first, stop = self.below[level - 1]
-            for i in range(0, len(a), CHUNK // (FANOUT * FANOUT)):
-                x, y = a[i : i + CHUNK // (FANOUT * FANOUT)], b[i : i + CHUNK // (FANOUT * FANOUT)]
-                grid = np.arange(FANOUT)
+            for i in range(0, len(a), step):
+                x, y = a[i : i + step], b[i : i + step]
                 left = (first[x][:, None] + grid)[:, :, None] + np.zeros((1, 1, FANOUT), np.int64)
                 right = (first[y][:, None] + grid)[:, None, :] + np.zeros((1, FANOUT, 1), np.int64)
                 real = (left < stop[x][:, None, None]) & (right < stop[y][:, None, None]) & (left <= right)
                 todo.append((level - 1, left[real], right[real]))
+        return label
 
 
 def smallest_labels(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -153,28 +176,57 @@ def _routes(fp: F.Column) -> F.Column:
     return F.array(*keys)
 
 
-def fingerprint_links(reps: DataFrame, within: int = 4) -> DataFrame:
+def _finer(fp: F.Column) -> F.Column:
+    """A key for each of five sets of every fifth bit; fingerprints of at most four differing bits agree in one of them."""
+    masks = [sum(1 << b for b in range(k, 64, 5)) for k in range(5)]
+    return F.array(*(F.xxhash64(F.lit(k), fp.bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for k, m in enumerate(masks)))
+
+
+def _bucket_links(rows: pd.DataFrame, within: int) -> pd.DataFrame:
+    """A link from each fingerprint to the smallest ``rep`` of its group, for whole buckets."""
+    index = GrayIndex(rows["bucket"].to_numpy(), rows["fp"].to_numpy().view(np.uint64))
+    label, rep = index.labels(within), rows["rep"].to_numpy()[index.order]
+    least = rep.copy()
+    np.minimum.at(least, label, rep)
+    linked = least[label] != rep
+    return pd.DataFrame({"src": rep[linked], "dst": least[label][linked]}).drop_duplicates()
+
+
+def fingerprint_links(reps: DataFrame, within: int = 4, most: int = BUCKET_ROWS) -> DataFrame:
     """``(src, dst)`` links that span the groups of fingerprints within ``within`` bits.
 
     ``reps`` holds one row ``(fp, rep)`` for each distinct fingerprint.  At most
-    four bits may differ, as the routing guarantees no more.
+    four bits may differ, as the routing guarantees no more.  Buckets of more
+    than ``most`` fingerprints are cut by a further set of bits.  A task takes
+    whole buckets, about ``TOGETHER`` rows at a time.
     """
     if within > 4:
         raise ValueError("the routing blocks guarantee links of at most 4 differing bits")
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [b for b in batches if len(b)]
-        if not parts:
-            return
-        rows = pd.concat(parts, ignore_index=True).sort_values("rep", kind="stable")
-        bucket, rep = rows["bucket"].to_numpy(), rows["rep"].to_numpy()
-        index = GrayIndex(bucket, rows["fp"].to_numpy().view(np.uint64))
-        label = smallest_labels(len(rows), index.links(within))
-        linked = label != np.arange(len(rows))
-        yield pd.DataFrame({"src": rep[linked], "dst": rep[label[linked]]}).drop_duplicates()
+        waiting: list[pd.DataFrame] = []
+        held = 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            waiting.append(batch)
+            held += len(batch)
+            last = batch["bucket"].iloc[-1]
+            if held >= TOGETHER and waiting[0]["bucket"].iloc[0] != last:
+                rows = pd.concat(waiting, ignore_index=True)
+                begun = rows["bucket"].to_numpy() == last  # the last bucket may go on
+                yield _bucket_links(rows[~begun], within)
+                waiting, held = [rows[begun]], int(begun.sum())
+        if waiting:
+            yield _bucket_links(pd.concat(waiting, ignore_index=True), within)
 
     routed = reps.where("rep is not null").select("rep", "fp", F.explode(_routes(F.col("fp"))).alias("bucket"))
-    return routed.repartition("bucket").mapInPandas(each, "src long, dst long")
+    hot = stored(routed.groupBy("bucket").count().where(F.col("count") > most).select("bucket"), "hot-buckets")
+    if not hot.isEmpty():
+        finer = routed.join(hot, "bucket", "left_semi").select("rep", "fp", "bucket", F.explode(_finer(F.col("fp"))).alias("key"))
+        # two buckets that fall together by their hash only meet in vain
+        routed = routed.join(hot, "bucket", "left_anti").unionByName(finer.select("rep", "fp", F.xxhash64("bucket", "key").alias("bucket")))
+    return routed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(each, "src long, dst long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, within: int = 4, seed: int = 42) -> DataFrame:
@@ -200,13 +252,22 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, the one with the smallest id.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, within: int = 4, seed: int = 42) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group of texts.
 
-    Rows without an id cannot be told apart and stay.  Rows that repeat an id
-    are reduced to one.
+    The row with the smallest id stays, one without an id only if no other row
+    has one; of rows with that id the one with the smallest digest of its text,
+    then of its other columns.  Groups are made by texts alone, so rows with
+    one id and unlike texts all stay, and equal rows are reduced to one.
+    Columns of any name pass through.
     """
-    groups = simhash_groups(docs, id_col, text_col)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, docs[id_col] == F.col("__kept"), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    own = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), own.alias("digest"), F.xxhash64(*docs.columns).alias("rest"))
+    fps = stored(fingerprints(rows, "id", "text", width, seed, keep=["digest", "rest"]), "fingerprints")
+    reps = stored(fps.select("fp", F.col("fp").alias("rep")).distinct(), "representatives")
+    groups = connected_components(fingerprint_links(reps, within))
+    first = F.struct(F.col("id").isNull().alias("no_id"), "id", "digest", "rest")
+    grouped = fps.join(groups, fps["fp"] == groups["vertex"], "left").groupBy(F.coalesce("component", "fp").alias("group")).agg(F.min(first).alias("kept"))
+    kept = grouped.select("kept.*").select(F.col("id").alias("kept_id"), F.col("digest").alias("kept_digest"), F.col("rest").alias("kept_rest"))
+    same = (rows["digest"] == kept["kept_digest"]) & (rows["rest"] == kept["kept_rest"]) & rows["id"].eqNullSafe(kept["kept_id"])
+    return rows.drop("text").join(kept, same, "left_semi").dropDuplicates(["digest", "rest", "id"]).select("row.*")

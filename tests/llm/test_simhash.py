@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from scholarframe.llm.simhash import simhash_groups
+from scholarframe.llm import simhash
+from scholarframe.llm.simhash import fingerprint_links, keep_one, simhash_groups
 
 SCHEMA = "doc_id long, text string, fp string, id string"
 
@@ -77,3 +78,58 @@ def test_empty_and_null_ids(spark, rows):
     known = [k for k, _ in rows if k is not None]
     assert len(got) == len(rows)
     assert all(r["component_id"] == (min(known) if known else None) for r in got)
+
+
+@pytest.mark.parametrize("most", [1 << 18, 20])
+def test_links_of_hot_buckets(spark, monkeypatch, most):
+    """Thousands of fingerprints around a few centres, with and without cutting their buckets, batch by batch."""
+    rng = np.random.default_rng(9)
+    fps = set()
+    for centre in rng.integers(0, 1 << 63, 3).tolist() + [0, (1 << 64) - 1]:
+        for _ in range(250):
+            x = centre
+            for b in rng.integers(0, 64, int(rng.integers(0, 9))).tolist():
+                x ^= 1 << b
+            fps.add(x)
+    fps = sorted(fps | {int(x) for x in rng.integers(0, 1 << 63, 300)})
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    parent = list(range(len(fps)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 4:
+                parent[root(i)] = root(j)
+    want = Counter(frozenset(k for k in range(len(fps)) if root(k) == r) for r in {root(i) for i in range(len(fps))})
+    monkeypatch.setattr(simhash, "TOGETHER", 200)
+    df = spark.createDataFrame([(f, i) for i, f in enumerate(signed)], "fp long, rep long").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        links = [tuple(r) for r in fingerprint_links(df, most=most).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    parent = list(range(len(fps)))
+    for a, b in links:
+        parent[root(a)] = root(b)
+    assert Counter(frozenset(k for k in range(len(fps)) if root(k) == r) for r in {root(i) for i in range(len(fps))}) == want
+
+
+def test_one_row_of_each_group_stays(spark):
+    rng = np.random.default_rng(2)
+    text = [words(rng, 200) for _ in range(4)]
+    near = " ".join(["other", *text[0].split()[1:]])
+    rows = [(7, text[0], "a"), (3, near, "b"), (3, near, "a"), (3, near, "a"), (3, text[1], "c"), (None, text[1], "d"), (None, text[2], "e"), (None, text[2], "e"), (9, None, "f"), (8, "", "g"), (8, text[3], "h"), (8, text[3] + " ", "i")]
+    schema = "doc_id long, text string, fp string"
+    want = {(3, text[1], "c"), (None, text[2], "e")}
+    for parts in (1, 5):
+        got = [tuple(r) for r in keep_one(spark.createDataFrame(rows, schema).repartition(parts)).collect()]
+        assert want <= set(got) and len(got) == 5
+        assert sorted(k for k, _, _ in got if k is not None) == [3, 3, 8, 8]
+        assert sum(t == near for _, t, _ in got) == 1 and {t for _, t, _ in got} <= {near, text[1], text[2], "", text[3], text[3] + " "}
+    again = {tuple(tuple(r) for r in sorted(keep_one(spark.createDataFrame(rows, schema).repartition(p)).collect(), key=str)) for p in (1, 2, 4)}
+    assert len(again) == 1
+    assert keep_one(spark.createDataFrame([], schema)).collect() == []
