@@ -86,20 +86,24 @@ def train(sample: Sample) -> CompressionScorer:
     return scorer
 
 
-def score_quality(docs: DataFrame, scorer: CompressionScorer, text_col: str = "text", into: str = "score") -> DataFrame:
-    """``docs`` with the probability that each whole text is good.
-
-    A map over the rows: nothing is shuffled.  Null and empty texts get the
-    calibrated score of no evidence.  An existing column named ``into`` is
-    replaced.
-    """
+def quality_of(text: F.Column, scorer: CompressionScorer) -> F.Column:
+    """The probability that each whole text is good; null and empty texts get the calibrated score of no evidence."""
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(scorer.scores([(t or "").encode() for t in texts]))
 
-    return docs.withColumn(into, score(F.col(text_col).cast("string")))
+    return score(text.cast("string"))
+
+
+def score_quality(docs: DataFrame, scorer: CompressionScorer, text_col: str = "text", into: str = "score") -> DataFrame:
+    """``docs`` with :func:`quality_of` its texts.
+
+    A map over the rows: nothing is shuffled.  An existing column named
+    ``into`` is replaced.
+    """
+    return docs.withColumn(into, quality_of(F.col(text_col), scorer))
 
 
 def quality_scorer(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS, id_col: str = "doc_id", text_col: str = "text") -> CompressionScorer:

@@ -64,7 +64,8 @@ def place(docs: DataFrame, shards: list[str], key_col: str = "doc_id", slots: in
     holds many rows, give a finer key.  Existing columns named ``slot_into`` or
     ``into`` are replaced.
     """
-    table = lookup(docs.sparkSession, shards, slots).select(F.col("slot").alias("__slot"), F.col("shard").alias("__shard"))
+    table = lookup(docs.sparkSession, shards, slots)
     rows = docs.drop(into).withColumn(slot_into, slot_of(F.col(key_col), slots))
     # the table has `slots` rows, at most MOST_SLOTS
-    return rows.join(F.broadcast(table), F.col(slot_into) == F.col("__slot")).withColumn(into, F.col("__shard")).drop("__slot", "__shard")
+    found = rows.join(F.broadcast(table), rows[slot_into] == table["slot"])
+    return found.select(*(rows[c] for c in rows.columns), table["shard"].alias(into))

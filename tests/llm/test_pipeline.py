@@ -54,3 +54,21 @@ def test_stages_take_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).collect() == []
+
+
+def test_stages_take_odd_rows(spark):
+    """Null and empty texts, null and repeated ids, repeated rows and columns with names that operators use."""
+    rows = [(1, None), (1, "twice the id"), (1, "another text"), (None, "no id"), (None, "no id"), (2, ""), (3, "word " * 60000), (3, "word " * 60000), (4, "me@example.org wrote")]
+    names = ("__quality", "fp", "row", "spans", "bin", "shard", "key", "rest", "piece_of", "tie")
+    frame = spark.createDataFrame([(*r, *names) for r in rows], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names)).repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, frame, SF)
+        assert got.columns == frame.columns, name
+        found = Counter(tuple(r) for r in got.collect())
+        assert all(k[2:] == names for k in found), name
+        if name in ("near_duplicates", "decontamination"):
+            assert set(found) <= {(*r, *names) for r in rows}
+        if name == "near_duplicates":
+            assert sorted(k[1][:5] for k in found if k[1]) == ["anoth", "me@ex", "no id", "twice", "word "]
+    packed = Counter(r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, frame, SF).collect())
+    assert packed.keys() == {1, None, 2, 3, 4} and packed[None] == 2
