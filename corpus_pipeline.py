@@ -14,11 +14,11 @@ from scholarframe.session import stored
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier takes for good."""
     scorer = quality.quality_scorer(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score_quality(docs, scorer, into="__quality").where("__quality >= 0.5").drop("__quality")
+    return docs.where(quality.quality_of(docs["text"], scorer) >= 0.5)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash group."""
+    """One document of each SimHash group, the one with the smallest id; unlike texts that share an id all stay."""
     return simhash.keep_one(docs)
 
 

@@ -2,7 +2,8 @@
 
 Intermediate results that cut a lineage go to the folder named by
 ``spark.checkpoint.dir``, which a cluster shares between its executors.  A
-temporary folder is used only when that setting is absent (local tests).
+temporary folder is used only where that setting is absent and the master is
+local, as in tests; on a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     if known:
         return known
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="scholarframe-"))
     return spark.sparkContext.getCheckpointDir()
 
