@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholarframe.operators.scales import value_ranks
+
 KEYS = ["entity_type", "entity_id", "field_id"]
 
 
@@ -43,34 +45,45 @@ def activity(papers: DataFrame, terminal: int, least_mass: float = 10.0, least_r
     return found.withColumn("reasons", reasons((F.col("mass") < least_mass, "attributed mass is below the threshold"), (F.col("n_researchers") < least_researchers, "too few researchers")))
 
 
-def citation_cohorts(papers: DataFrame) -> DataFrame:
-    """Mean citations and size of each reference cohort of field, year and document type."""
-    return papers.where("citations is not null").groupBy("field_id", "year", "document_type").agg(F.avg("citations").alias("cohort_mean"), F.count("*").alias("cohort_size"))
+COHORT = ["field_id", "year", "document_type"]
+
+
+def citation_cohorts(papers: DataFrame, least_cohort: int = 50) -> DataFrame:
+    """Mean, size and middle-rank percentile for each distinct citation count of each reference cohort of field, year and document type."""
+    ranks = value_ranks(papers, "citations", COHORT, least_cohort)
+    w = Window.partitionBy(*COHORT)
+    return ranks.withColumn("cohort_mean", F.sum(F.col("citations") * F.col("ties")).over(w) / F.col("cohort_size")).drop("ties")
 
 
-def impact(papers: DataFrame, cohorts: DataFrame, as_of: str, months: int = 24, least_cohort: int = 50, least_papers: int = 10) -> DataFrame:
-    """Mean normalised citation score over mature papers with a comparable cohort.
+def impact(papers: DataFrame, cohorts: DataFrame, as_of: str, observed: Column | None = None, months: int = 24, least_cohort: int = 50, least_papers: int = 10, least_coverage: float = 0.9, bar: float = 90.0) -> DataFrame:
+    """Mean normalised citation score and the share of top-decile papers, over eligible papers.
 
-    The mean takes mature papers whose cohort is large enough and has a
-    positive mean; coverage is the mass with citations at all.  A null count
-    is missing, a count of 0 is data.
+    A paper is comparable when its count is known and was observed on the
+    common date ``as_of``; ``observed`` tells when, by default on that date.
+    It is eligible when it is mature by then besides, and its cohort is large
+    enough and has a positive mean.  Both indicators take eligible papers only.
+    A null count is missing, a count of 0 is data.  ``value`` is the mean score
+    where no reason speaks against it; coverage is the mass that is comparable.
     """
-    joined = papers.join(cohorts, ["field_id", "year", "document_type"], "left")
-    mature = months_elapsed(F.col("publication_date"), F.lit(as_of).cast("date")) >= months
-    fits = mature & F.col("citations").isNotNull() & (F.col("cohort_size") >= least_cohort) & (F.col("cohort_mean") > 0)
+    date = F.lit(as_of).cast("date")
+    joined = papers.join(cohorts, [*COHORT, "citations"], "left")
+    comparable = F.col("citations").isNotNull() & ((date if observed is None else observed) == date)
+    mature = months_elapsed(F.col("publication_date"), date) >= months
+    fits = comparable & mature & (F.col("cohort_size") >= least_cohort) & (F.col("cohort_mean") > 0)
     w = F.col("weight")
     found = joined.groupBy(*KEYS).agg(
         (F.sum(F.when(fits, w * F.col("citations") / F.col("cohort_mean"))) / F.sum(F.when(fits, w))).alias("mncs"),
+        (F.sum(F.when(fits, w * (F.col("percentile") >= bar).cast("double"))) / F.sum(F.when(fits, w))).alias("top_share"),
         F.count_distinct(F.when(fits, F.col("paper_id"))).alias("n_eligible"),
-        (F.sum(F.when(F.col("citations").isNotNull(), w)) / F.sum(w)).alias("citation_coverage"),
+        F.coalesce(F.sum(F.when(fits, w)), F.lit(0.0)).alias("eligible_mass"),
+        (F.coalesce(F.sum(F.when(comparable, w)), F.lit(0.0)) / F.sum(w)).alias("citation_coverage"),
     )
-    return found.withColumn("mncs", F.when(F.col("n_eligible") >= least_papers, F.col("mncs")))
-
-
-def top_share(papers: DataFrame, percentile: str = "percentile", bar: float = 90.0) -> DataFrame:
-    """The mass share of papers at or above a percentile of their cohort."""
-    w = F.col("weight")
-    return papers.groupBy(*KEYS).agg((F.coalesce(F.sum(F.when(F.col(percentile) >= bar, w)), F.lit(0.0)) / F.sum(w)).alias("top_share"), F.count_distinct("paper_id").alias("n_papers"))
+    found = found.withColumn("reasons", reasons(
+        (F.coalesce(F.col("citation_coverage"), F.lit(0.0)) < least_coverage, "citation coverage is below the threshold"),
+        (F.col("n_eligible") < least_papers, "too few eligible papers"),
+        (F.col("eligible_mass") <= 0, "no eligible citation evidence"),
+    ))
+    return found.withColumn("value", F.when(F.size("reasons") == 0, F.col("mncs")))
 
 
 def connectivity(papers: DataFrame, indicator: str, least_coverage: float = 0.9) -> DataFrame:
@@ -124,8 +137,8 @@ def momentum(papers: DataFrame, terminal: int, least_mass: float = 10.0) -> Data
     enough = (F.col("recent") >= least_mass) & (F.col("baseline") >= least_mass)
     return found.withColumns({
         "log_change": F.when(enough, F.ln(F.col("recent") / F.col("baseline"))),
-        "volatility": F.expr("array_sort(transform(changes, c -> abs(c - median_change)))[2]"),
-    }).drop("changes")
+        "away": F.expr("array_sort(transform(changes, c -> abs(c - median_change)))"),
+    }).withColumn("volatility", F.expr("(get(away, (size(away) - 1) div 2) + get(away, size(away) div 2)) / 2")).drop("changes", "away")
 
 
 def windowed(yearly: DataFrame, value: str, keys: list[str], first: int, last: int) -> Column:

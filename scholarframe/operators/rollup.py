@@ -18,7 +18,7 @@ def equal_field_mean(scores: DataFrame, keys: list[str], expected: int, gate: fl
 def branch_mean(scores: DataFrame, leaves: DataFrame, keys: list[str], gate: float = 0.9, score: str = "score") -> DataFrame:
     """The mean over the leaves of each branch; ``leaves`` is ``branch_id, field_id``."""
     expected = leaves.groupBy("branch_id").agg(F.count("*").alias("expected"))
-    found = scores.join(F.broadcast(leaves), "field_id").groupBy(*keys, "branch_id").agg(F.avg(score).alias("mean_score"), F.count(score).alias("n_fields"))
+    found = scores.join(leaves, "field_id").groupBy(*keys, "branch_id").agg(F.avg(score).alias("mean_score"), F.count(score).alias("n_fields"))
     found = found.join(expected, "branch_id")
     return found.withColumn("mean_score", F.when(F.col("n_fields") / F.col("expected") >= gate, F.col("mean_score")))
 

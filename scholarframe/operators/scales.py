@@ -28,13 +28,26 @@ def winsorised_log(df: DataFrame, value: str, cohort: list[str], minimum: int, l
     return df.withColumn(into, F.when(fits, score)).drop("__low", "__high", "__n")
 
 
-def midrank(df: DataFrame, value: str, cohort: list[str], into: str = "percentile") -> DataFrame:
-    """Percentile of the middle rank among ties; a cohort of one value gives 50."""
+def value_ranks(df: DataFrame, value: str, cohort: list[str], minimum: int = 2, into: str = "percentile") -> DataFrame:
+    """``cohort``, ``value``, ``ties``, ``cohort_size`` and the middle-rank percentile of each distinct value of each cohort.
+
+    Missing values neither get a rank nor count in the cohort's size.  Cohorts
+    of one value give 50, those of fewer than ``minimum`` rows null.  The
+    windows run over distinct values, which are few however many rows there are.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*cohort, value).agg(F.count("*").alias("ties"))
     w = Window.partitionBy(*cohort)
-    rank = F.rank().over(w.orderBy(value)) - 1
-    ties = F.count("*").over(Window.partitionBy(*cohort, value))
-    n = F.count("*").over(w)
-    return df.withColumn(into, F.when(ties == n, F.lit(50.0)).otherwise(100 * (rank + (ties - 1) / 2) / (n - 1)))
+    below = F.coalesce(F.sum("ties").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = counts.withColumns({"cohort_size": F.sum("ties").over(w), "__below": below})
+    middle = 100 * (F.col("__below") + (F.col("ties") - 1) / 2) / (F.col("cohort_size") - 1)
+    percentile = F.when(F.col("cohort_size") < minimum, None).when(F.col("ties") == F.col("cohort_size"), 50.0).otherwise(middle)
+    return ranked.withColumn(into, percentile).drop("__below")
+
+
+def midrank(df: DataFrame, value: str, cohort: list[str], minimum: int = 2, into: str = "percentile") -> DataFrame:
+    """``df`` with :func:`value_ranks` of each row's value; null where the value is missing or the cohort too small."""
+    ranks = value_ranks(df, value, cohort, minimum, into).select(*cohort, value, into)
+    return df.drop(into).join(ranks, [*cohort, value], "left")
 
 
 def centred_change(df: DataFrame, value: str, cohort: list[str], minimum: int, clip: float = 3.0, into: str = "score") -> DataFrame:

@@ -207,46 +207,62 @@ def activity_scaled(t: Tables) -> DataFrame:
     return activity_scores(t, 30).select("entity_type", "entity_id", "field_id", r("mass").alias("mass"), r("score").alias("score"))
 
 
-_COHORTS = """pf AS (SELECT paper_id, field_id, year, document_type, citations FROM field_shares JOIN papers USING (paper_id)),
-    cohorts AS (SELECT field_id, year, document_type, avg(citations) AS cohort_mean, count(*) AS cohort_size FROM pf WHERE citations IS NOT NULL GROUP BY 1, 2, 3)"""
-_MONTHS = "((year(DATE '2001-08-01') - year(publication_date)) * 12 + month(DATE '2001-08-01') - month(publication_date) - CASE WHEN day(DATE '2001-08-01') < day(publication_date) THEN 1 ELSE 0 END)"
-_FITS = f"{_MONTHS} >= 24 AND citations IS NOT NULL AND cohort_size >= 50 AND cohort_mean > 0"
+AS_OF = "2001-08-01"
+#: Counts of papers published on the last day of a long month came a day late, so they are not comparable.
+_ON_TIME = "day(publication_date) <> 31"
+_COHORTS = f"""pf AS (SELECT paper_id, field_id, year, document_type, citations FROM field_shares JOIN papers USING (paper_id) WHERE citations IS NOT NULL AND {_ON_TIME}),
+    cohorts AS (SELECT field_id, year, document_type, avg(citations) AS cohort_mean, count(*) AS cohort_size FROM pf GROUP BY 1, 2, 3),
+    ranked AS (SELECT *, rank() OVER (PARTITION BY field_id, year, document_type ORDER BY citations) - 1 AS below, count(*) OVER (PARTITION BY field_id, year, document_type, citations) AS ties,
+    count(*) OVER (PARTITION BY field_id, year, document_type) AS n FROM pf),
+    mid AS (SELECT paper_id, field_id, CASE WHEN n < 50 THEN NULL WHEN ties = n THEN 50.0 ELSE 100 * (below + (ties - 1) / 2.0::DOUBLE) / (n - 1) END AS percentile FROM ranked)"""
+_MONTHS = f"((year(DATE '{AS_OF}') - year(publication_date)) * 12 + month(DATE '{AS_OF}') - month(publication_date) - CASE WHEN day(DATE '{AS_OF}') < day(publication_date) THEN 1 ELSE 0 END)"
+_FITS = f"{_MONTHS} >= 24 AND citations IS NOT NULL AND {_ON_TIME} AND cohort_size >= 50 AND cohort_mean > 0"
 _IMPACT = f"""impact AS (SELECT {_K}, sum(weight * citations / cohort_mean) FILTER ({_FITS}) / sum(weight) FILTER ({_FITS}) AS mncs,
-    count(DISTINCT paper_id) FILTER ({_FITS}) AS n_eligible, sum(weight) FILTER (citations IS NOT NULL) / sum(weight) AS citation_coverage FROM attributed LEFT JOIN cohorts USING (field_id, year, document_type) GROUP BY {_K})"""
+    sum(weight * CASE WHEN percentile >= 90 THEN 1 ELSE 0 END) FILTER ({_FITS}) / sum(weight) FILTER ({_FITS}) AS top_share,
+    count(DISTINCT paper_id) FILTER ({_FITS}) AS n_eligible, coalesce(sum(weight) FILTER (citations IS NOT NULL AND {_ON_TIME}), 0) / sum(weight) AS citation_coverage
+    FROM attributed LEFT JOIN cohorts USING (field_id, year, document_type) LEFT JOIN mid USING (paper_id, field_id) WHERE year BETWEEN {TERMINAL - 2} AND {TERMINAL} GROUP BY {_K}),
+    gated AS (SELECT *, concat_ws('; ', CASE WHEN citation_coverage < 0.9 THEN 'citation coverage is below the threshold' END, CASE WHEN n_eligible < 10 THEN 'too few eligible papers' END,
+    CASE WHEN n_eligible = 0 THEN 'no eligible citation evidence' END) AS reasons FROM impact)"""
 
 
 def _cohort_papers(t: Tables) -> DataFrame:
     return fld.equal_shares(t.categories).join(t.papers, "paper_id")
 
 
-@query(f"""WITH {attributed_sql('institution')}, {_COHORTS}, {_IMPACT} SELECT {_K}, round(CASE WHEN n_eligible >= 10 THEN mncs END, 6) AS mncs, n_eligible, round(citation_coverage, 6) AS citation_coverage FROM impact""")
+def _on_time() -> F.Column:
+    return F.dayofmonth("publication_date") != 31
+
+
+def _impact(t: Tables) -> DataFrame:
+    """Impact of institutions over the last three years."""
+    papers = attributed(t, "institution").where(ind.in_window(F.col("year"), TERMINAL, 3))
+    cohorts = ind.citation_cohorts(_cohort_papers(t).where(_on_time()))
+    seen = F.when(_on_time(), F.lit(AS_OF).cast("date")).otherwise(F.date_add(F.lit(AS_OF).cast("date"), 1))
+    return ind.impact(papers, cohorts, AS_OF, observed=seen)
+
+
+@query(f"""WITH {attributed_sql('institution')}, {_COHORTS}, {_IMPACT} SELECT {_K}, round(mncs, 6) AS mncs, round(CASE WHEN reasons = '' THEN mncs END, 6) AS value, n_eligible, round(citation_coverage, 6) AS citation_coverage, reasons FROM gated""")
 def impact_mncs(t: Tables) -> DataFrame:
-    found = ind.impact(attributed(t, "institution"), ind.citation_cohorts(_cohort_papers(t)), "2001-08-01")
-    return found.select("entity_type", "entity_id", "field_id", r("mncs").alias("mncs"), "n_eligible", r("citation_coverage").alias("citation_coverage"))
+    found = _impact(t)
+    return found.select("entity_type", "entity_id", "field_id", r("mncs").alias("mncs"), r("value").alias("value"), "n_eligible", r("citation_coverage").alias("citation_coverage"), F.array_join("reasons", "; ").alias("reasons"))
 
 
-@query(f"""WITH {attributed_sql('institution')}, {_COHORTS}, {_IMPACT}, ok AS (SELECT {_K}, mncs FROM impact WHERE n_eligible >= 10 AND mncs IS NOT NULL), {_winsor('ok', 'mncs', 'entity_type, field_id', 30)}
+@query(f"""WITH {attributed_sql('institution')}, {_COHORTS}, {_IMPACT}, ok AS (SELECT {_K}, mncs FROM gated WHERE reasons = ''), {_winsor('ok', 'mncs', 'entity_type, field_id', 30)}
     SELECT {_K}, round(score, 5) AS score FROM scored""")
 def impact_scaled(t: Tables) -> DataFrame:
-    found = ind.impact(attributed(t, "institution"), ind.citation_cohorts(_cohort_papers(t)), "2001-08-01").where("mncs is not null")
-    return scales.winsorised_log(found, "mncs", ["entity_type", "field_id"], 30).select("entity_type", "entity_id", "field_id", r("score", 5).alias("score"))
-
-
-_MIDRANK = """ranked AS (SELECT *, rank() OVER (PARTITION BY field_id, year, document_type ORDER BY citations) - 1 AS below, count(*) OVER (PARTITION BY field_id, year, document_type, citations) AS ties,
-    count(*) OVER (PARTITION BY field_id, year, document_type) AS n FROM pf),
-    mid AS (SELECT *, CASE WHEN ties = n THEN 50.0 ELSE 100 * (below + (ties - 1) / 2.0::DOUBLE) / (n - 1) END AS percentile FROM ranked)"""
+    found = _impact(t).where("value is not null")
+    return scales.winsorised_log(found, "value", ["entity_type", "field_id"], 30).select("entity_type", "entity_id", "field_id", r("score", 5).alias("score"))
 
 
-@query(f"WITH {FIELD_SHARES}, {PAPERS}, {_COHORTS}, {_MIDRANK} SELECT paper_id, field_id, round(percentile, 6) AS percentile FROM mid")
+@query(f"WITH {FIELD_SHARES}, {PAPERS}, {_COHORTS} SELECT paper_id, field_id, round(percentile, 6) AS percentile FROM field_shares LEFT JOIN mid USING (paper_id, field_id)")
 def midrank_percentile(t: Tables) -> DataFrame:
-    return scales.midrank(_cohort_papers(t), "citations", ["field_id", "year", "document_type"]).select("paper_id", "field_id", r("percentile").alias("percentile"))
+    papers = _cohort_papers(t).withColumn("citations", F.when(_on_time(), F.col("citations")))
+    return scales.midrank(papers, "citations", ind.COHORT, 50).select("paper_id", "field_id", r("percentile").alias("percentile"))
 
 
-@query(f"""WITH {attributed_sql('institution')}, {_COHORTS}, {_MIDRANK} SELECT {_K}, round(coalesce(sum(weight) FILTER (percentile >= 90), 0) / sum(weight), 6) AS top_share, count(DISTINCT paper_id) AS n_papers
-    FROM attributed JOIN (SELECT paper_id, field_id, percentile FROM mid) USING (paper_id, field_id) GROUP BY {_K}""")
+@query(f"""WITH {attributed_sql('institution')}, {_COHORTS}, {_IMPACT} SELECT {_K}, round(top_share, 6) AS top_share, n_eligible FROM gated""")
 def impact_pp_top10(t: Tables) -> DataFrame:
-    ranks = scales.midrank(_cohort_papers(t), "citations", ["field_id", "year", "document_type"]).select("paper_id", "field_id", "percentile")
-    return ind.top_share(attributed(t, "institution").join(ranks, ["paper_id", "field_id"])).withColumn("top_share", r("top_share"))
+    return _impact(t).select("entity_type", "entity_id", "field_id", r("top_share").alias("top_share"), "n_eligible")
 
 
 @query(f"""WITH {attributed_sql('institution')}, k AS (SELECT paper_id, count(DISTINCT institution_id) AS ni, bool_and(status = 'allocated') AS complete FROM shares GROUP BY 1),
@@ -360,13 +376,13 @@ def symmetric_change(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {attributed_sql('institution')}, cm AS (SELECT field_id, year, avg(citations) AS mean FROM (SELECT DISTINCT paper_id, field_id, year, citations FROM field_shares JOIN papers USING (paper_id)) GROUP BY 1, 2),
-    yr AS (SELECT {_K}, year, sum(weight) AS mass, sum(weight * citations / mean) FILTER (mean > 0) AS num, sum(weight) FILTER (mean > 0) AS den FROM attributed JOIN cm USING (field_id, year) GROUP BY {_K}, year)
+    yr AS (SELECT {_K}, year, sum(weight) AS mass, sum(weight * citations / mean) FILTER (mean > 0) AS num, sum(weight) FILTER (mean > 0 AND citations IS NOT NULL) AS den FROM attributed JOIN cm USING (field_id, year) GROUP BY {_K}, year)
     SELECT {_K}, year, round(sum(mass) OVER (PARTITION BY {_K} ORDER BY year RANGE BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS activity,
     round(sum(num) OVER m / sum(den) OVER m, 6) AS impact FROM yr WINDOW m AS (PARTITION BY {_K} ORDER BY year RANGE BETWEEN 4 PRECEDING AND 2 PRECEDING)""")
 def corpus_metrics(t: Tables) -> DataFrame:
     papers = attributed(t, "institution")
     means = _cohort_papers(t).groupBy("field_id", "year").agg(F.avg("citations").alias("mean"))
-    ok, w = F.col("mean") > 0, F.col("weight")
+    ok, w = (F.col("mean") > 0) & F.col("citations").isNotNull(), F.col("weight")
     yearly = papers.join(means, ["field_id", "year"]).groupBy(*ind.KEYS, "year").agg(F.sum(w).alias("mass"), F.sum(F.when(ok, w * F.col("citations") / F.col("mean"))).alias("num"), F.sum(F.when(ok, w)).alias("den"))
     sums = {c: ind.windowed(yearly, c, ind.KEYS, *span) for c, span in (("mass", (-2, 0)), ("num", (-4, -2)), ("den", (-4, -2)))}
     return yearly.select(*ind.KEYS, "year", r(sums["mass"]).alias("activity"), r(sums["num"] / sums["den"]).alias("impact"))
@@ -393,12 +409,11 @@ def branch_rollup(t: Tables) -> DataFrame:
 _EVENTS = "obs AS (SELECT user_id, event_type, avg(value) AS value FROM events GROUP BY 1, 2)"
 
 
-@query(f"""WITH {_EVENTS}, w AS (SELECT event_type, CAST((ARRAY[40, 30, 20, 10])[row_number() OVER (ORDER BY event_type)] AS DOUBLE) AS wt FROM (SELECT DISTINCT event_type FROM events))
+@query(f"""WITH {_EVENTS}, w AS (SELECT * FROM (VALUES ('click', 40.0::DOUBLE), ('error', 30.0), ('purchase', 20.0), ('signup', 10.0)) AS v(event_type, wt))
     SELECT user_id, round(sum(value * wt / 100), 6) AS composite FROM obs JOIN w USING (event_type) WHERE wt IS NOT NULL GROUP BY 1 HAVING count(*) = 4""")
 def composite_weighted(t: Tables) -> DataFrame:
     observations = t.events.groupBy("user_id", "event_type").agg(F.avg("value").alias("value"))
-    kinds = [x[0] for x in t.events.select("event_type").distinct().orderBy("event_type").limit(4).collect()]
-    found = rollup.composite(observations, dict(zip(kinds, (40.0, 30.0, 20.0, 10.0), strict=False)), ["user_id"], metric="event_type")
+    found = rollup.composite(observations, {"click": 40.0, "error": 30.0, "purchase": 20.0, "signup": 10.0}, ["user_id"], metric="event_type")
     return found.withColumn("composite", r("composite"))
 
 

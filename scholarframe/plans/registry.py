@@ -29,7 +29,7 @@ def query(sql: str | None = None) -> Callable:
 
 # The bibliographic views in SQL, in step with scholarframe.sources.tables.
 PAPERS = """papers AS (SELECT o_orderkey AS paper_id, CAST(o_orderdate AS DATE) AS publication_date, CAST(year(o_orderdate) AS INTEGER) AS year,
-    o_orderstatus AS document_type, CAST(floor(o_totalprice / 10000) AS BIGINT) AS citations FROM orders)"""
+    o_orderstatus AS document_type, CASE WHEN o_totalprice >= 15000 THEN CAST(floor(o_totalprice / 10000) AS BIGINT) END AS citations FROM orders)"""
 AFFILIATIONS = """aff AS (SELECT l_orderkey AS paper_id, l_linenumber AS slot, l_partkey || '-' || l_suppkey AS assertion_id, l_partkey AS researcher_id,
     CASE WHEN l_returnflag <> 'R' THEN l_suppkey END AS institution_id, CASE WHEN l_returnflag <> 'R' THEN s_nationkey END AS country_id
     FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)"""
