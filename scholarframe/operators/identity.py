@@ -33,6 +33,16 @@ def narrowed(candidates: DataFrame, mention: str, agrees: Column) -> DataFrame:
     return marked.withColumn("__any", F.max("__agrees").over(w)).where("__agrees = __any").drop("__agrees", "__any")
 
 
+def narrowed_match(mentions: DataFrame, names: DataFrame, mention: str, term: str, context: str, entity: str) -> DataFrame:
+    """``mention, entity``: the entities with a mention's term and context, or with its term where none agrees on the context.
+
+    Only mentions without agreement meet all entities of their term.
+    """
+    agreed = mentions.join(names.select(term, context, entity), [term, context]).select(mention, entity).distinct()
+    others = mentions.join(agreed.select(mention).distinct(), mention, "left_anti").join(names.select(term, entity), term).select(mention, entity).distinct()
+    return agreed.unionByName(others)
+
+
 def segment_match(mentions: DataFrame, text: str, names: DataFrame, term: str, entity: str, key) -> DataFrame:
     """Affiliation texts whose parts between commas, semicolons and lines name exactly one entity."""
     clear = names.groupBy(term).agg(F.count_distinct(entity).alias("n"), F.min(entity).alias(entity)).where("n = 1").drop("n")

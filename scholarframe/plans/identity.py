@@ -25,11 +25,11 @@ def acronym_search(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", text.acronym(text.search_term(F.col("p_name"))).alias("acronym"))
 
 
-@query("""WITH names AS (SELECT p_name AS term, count(DISTINCT p_partkey) AS n, min(p_partkey) AS k FROM part GROUP BY 1), m AS (SELECT event_id, 'Part ' || user_id AS term FROM events UNION ALL SELECT -p_partkey, p_name FROM part WHERE p_partkey % 5 = 0)
+@query("""WITH names AS (SELECT p_name AS term, count(DISTINCT p_partkey) AS n, min(p_partkey) AS k FROM part GROUP BY 1), m AS (SELECT event_id, 'Part ' || user_id AS term FROM events UNION ALL SELECT -p_partkey, p_name FROM part)
     SELECT event_id, term, CASE WHEN n = 1 THEN k END AS p_partkey, CASE WHEN n IS NULL THEN 'unresolved' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS status FROM m LEFT JOIN names USING (term)""")
 def exact_name_resolution(t: Tables) -> DataFrame:
     mentions = t.events.select("event_id", F.concat(F.lit("Part "), "user_id").alias("term"))
-    mentions = mentions.unionByName(t.part.where("p_partkey % 5 = 0").select((-F.col("p_partkey")).alias("event_id"), F.col("p_name").alias("term")))
+    mentions = mentions.unionByName(t.part.select((-F.col("p_partkey")).alias("event_id"), F.col("p_name").alias("term")))
     return idn.unique_name_match(mentions, t.part.select(F.col("p_name").alias("term"), "p_partkey"), "term", "p_partkey")
 
 
@@ -47,38 +47,37 @@ def alias_unique_match(t: Tables) -> DataFrame:
 _BIGRAMS = "list_distinct(list_transform(generate_series(1, length(replace({0}, ' ', '')) - 1), lambda i: substr(replace({0}, ' ', ''), i, 2)))"
 
 
-def _fuzzy_names(t: Tables, customers: DataFrame) -> DataFrame:
+_FUZZY = f"""WITH a AS (SELECT s_suppkey AS m, {_NORM.format('s_name')} AS x FROM supplier), b AS (SELECT c_custkey AS e, {_NORM.format("replace(c_name, 'Customer', 'Supplier')")} AS y FROM customer),
+    sc AS (SELECT m, e, 2 * len(list_intersect({_BIGRAMS.format('x')}, {_BIGRAMS.format('y')}))::DOUBLE / (len({_BIGRAMS.format('x')}) + len({_BIGRAMS.format('y')})) AS s FROM a JOIN b ON x[1] = y[1]),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY s DESC, e) AS rank, lead(s) OVER (PARTITION BY m ORDER BY s DESC, e) AS nxt FROM sc WHERE s >= 0.75)
+    SELECT m AS mention, e AS entity, round(s, 6) AS similarity, rank, rank = 1 AND (nxt IS NULL OR s - nxt >= 0.05) AS clear FROM rk WHERE rank <= 3"""
+
+
+@query(_FUZZY)
+def fuzzy_bigram_match(t: Tables) -> DataFrame:
+    """The best customers for the name of every supplier, all customers considered."""
     mentions = t.supplier.select(F.col("s_suppkey").alias("mention"), text.search_term(F.col("s_name")).alias("term"))
     # customers are renamed so that names are alike; both sides carry whole names
-    names = customers.select(F.col("c_custkey").alias("entity"), text.search_term(F.replace("c_name", F.lit("Customer"), F.lit("Supplier"))).alias("term"))
+    names = t.customer.select(F.col("c_custkey").alias("entity"), text.search_term(F.replace("c_name", F.lit("Customer"), F.lit("Supplier"))).alias("term"))
     found = idn.fuzzy_match(mentions, names, "mention", "term", "entity")
     return found.select("mention", "entity", F.round("similarity", 6).alias("similarity"), "rank", "clear")
 
 
-@query(f"""WITH a AS (SELECT s_suppkey AS m, {_NORM.format('s_name')} AS x FROM supplier), b AS (SELECT c_custkey AS e, {_NORM.format("replace(c_name, 'Customer', 'Supplier')")} AS y FROM customer WHERE c_custkey <= 300),
-    sc AS (SELECT m, e, 2 * len(list_intersect({_BIGRAMS.format('x')}, {_BIGRAMS.format('y')}))::DOUBLE / (len({_BIGRAMS.format('x')}) + len({_BIGRAMS.format('y')})) AS s FROM a JOIN b ON x[1] = y[1]),
-    rk AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY s DESC, e) AS rank, lead(s) OVER (PARTITION BY m ORDER BY s DESC, e) AS nxt FROM sc WHERE s >= 0.75)
-    SELECT m AS mention, e AS entity, round(s, 6) AS similarity, rank, rank = 1 AND (nxt IS NULL OR s - nxt >= 0.05) AS clear FROM rk WHERE rank <= 3""")
-def fuzzy_bigram_match(t: Tables) -> DataFrame:
-    """The first 300 customers, as its SQL has it; :func:`fuzzy_bigram_match_all` takes all."""
-    return _fuzzy_names(t, t.customer.where("c_custkey <= 300"))
-
-
-@query(f"""WITH a AS (SELECT s_suppkey AS m, {_NORM.format('s_name')} AS x FROM supplier), b AS (SELECT c_custkey AS e, {_NORM.format("replace(c_name, 'Customer', 'Supplier')")} AS y FROM customer),
-    sc AS (SELECT m, e, 2 * len(list_intersect({_BIGRAMS.format('x')}, {_BIGRAMS.format('y')}))::DOUBLE / (len({_BIGRAMS.format('x')}) + len({_BIGRAMS.format('y')})) AS s FROM a JOIN b ON x[1] = y[1]),
-    rk AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY s DESC, e) AS rank, lead(s) OVER (PARTITION BY m ORDER BY s DESC, e) AS nxt FROM sc WHERE s >= 0.75)
-    SELECT m AS mention, e AS entity, round(s, 6) AS similarity, rank, rank = 1 AND (nxt IS NULL OR s - nxt >= 0.05) AS clear FROM rk WHERE rank <= 3""")
+@query(_FUZZY)
 def fuzzy_bigram_match_all(t: Tables) -> DataFrame:
-    return _fuzzy_names(t, t.customer)
+    """The same under the name it had while :func:`fuzzy_bigram_match` took some customers only."""
+    return fuzzy_bigram_match(t)
 
 
-@query("""WITH c AS (SELECT c_custkey AS m, s_suppkey AS e, CASE WHEN c_nationkey = s_nationkey THEN 1 ELSE 0 END AS ok FROM customer JOIN supplier ON c_custkey % 50 = s_suppkey % 50)
-    SELECT m AS mention, e AS entity FROM (SELECT *, max(ok) OVER (PARTITION BY m) AS best FROM c) WHERE ok = best""")
+@query("""WITH m AS (SELECT DISTINCT p_name AS term, 'Brand#' || b AS context FROM part, (SELECT unnest(generate_series(1, 27)) AS b)),
+    c AS (SELECT term || '@' || context AS mention, p_partkey AS entity, CASE WHEN p_brand = context THEN 1 ELSE 0 END AS ok FROM m JOIN part ON p_name = term)
+    SELECT mention, entity FROM (SELECT *, max(ok) OVER (PARTITION BY mention) AS best FROM c) WHERE ok = best""")
 def contextual_narrowing(t: Tables) -> DataFrame:
-    a = t.customer.withColumn("block", F.col("c_custkey") % 50)
-    b = t.supplier.withColumn("block", F.col("s_suppkey") % 50)
-    pairs = a.join(b, "block").select(F.col("c_custkey").alias("mention"), F.col("s_suppkey").alias("entity"), (F.col("c_nationkey") == F.col("s_nationkey")).alias("same"))
-    return idn.narrowed(pairs, "mention", F.col("same")).select("mention", "entity")
+    """Every part name in the context of every brand, two unknown ones included."""
+    names = t.part.select(F.col("p_name").alias("term"), F.col("p_brand").alias("context"), F.col("p_partkey").alias("entity"))
+    brands = F.transform(F.sequence(F.lit(1), F.lit(27)), lambda b: F.concat(F.lit("Brand#"), b))
+    mentions = names.select("term").distinct().select("term", F.explode(brands).alias("context")).withColumn("mention", F.concat("term", F.lit("@"), "context"))
+    return idn.narrowed_match(mentions, names, "mention", "term", "context", "entity")
 
 
 _COMPONENTS = """RECURSIVE edges AS (SELECT a.doc_id AS x, b.doc_id AS y FROM ids a JOIN ids b ON a.scheme = b.scheme AND a.value = b.value),

@@ -101,7 +101,7 @@ def inverted_index(t: Tables) -> DataFrame:
     return found.select("l_suppkey", F.array_join("members", ",").alias("parts"))
 
 
-@query("SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS INTEGER) AS p_brand_id FROM part")
+@query("SELECT p_partkey, dense_rank() OVER (ORDER BY p_brand) - 1 AS p_brand_id FROM part")
 def dictionary_interning(t: Tables) -> DataFrame:
     return sinks.interned(t.part.select("p_partkey", "p_brand"), "p_brand")[0]
 

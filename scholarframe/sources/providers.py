@@ -6,9 +6,11 @@ that a provider leaves out is null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scholarframe.sources.sinks import numbered
+
 INSPIRE = """hits struct<hits: array<struct<id: string, metadata: struct<control_number: bigint, titles: array<struct<title: string>>, arxiv_eprints: array<struct<value: string, categories: array<string>>>,
     dois: array<struct<value: string>>, abstracts: array<struct<value: string>>, earliest_date: string, document_type: array<string>, inspire_categories: array<struct<term: string>>,
     authors: array<struct<full_name: string, recid: bigint, ids: array<struct<schema: string, value: string>>, affiliations: array<struct<value: string, record: struct<`$ref`: string>>>>>,
@@ -107,11 +109,29 @@ def capture_plan(categories: DataFrame, first: int, last: int, done: DataFrame,
     return tasks.join(done, [column, "year"], "left_anti")
 
 
-def lookup_batches(ids: DataFrame, known: DataFrame, column: str, size: int = 40, buckets: int = 1) -> DataFrame:
-    """Unknown ids in batches of ``size``, numbered within hash buckets so that no task orders them all."""
+def lookup_batches(ids: DataFrame, known: DataFrame, column: str, size: int = 40) -> DataFrame:
+    """Unknown ids in batches of ``size``, in order; no task orders them all."""
     new = ids.select(column).where(F.col(column).isNotNull()).distinct().join(known.select(column), column, "left_anti")
-    new = new.withColumn("bucket", F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int"))
-    return new.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("bucket").orderBy(column)) - 1) / size))
+    return numbered(new, [column], "place").withColumn("batch", F.floor(F.col("place") / size)).drop("place")
+
+
+def in_scope(rows: DataFrame, **scope) -> DataFrame:
+    """The rows of an acquisition scope: for each column a list of values, or a (first, last) pair of bounds, either of them None."""
+    for name, wanted in scope.items():
+        if isinstance(wanted, tuple):
+            first, last = wanted
+            rows = rows.where(F.col(name) >= first) if first is not None else rows
+            rows = rows.where(F.col(name) <= last) if last is not None else rows
+        elif wanted is not None:
+            rows = rows.where(F.col(name).isin(*wanted))
+    return rows
+
+
+def paired(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys of two captures of one scope, and which of them has each."""
+    a, b = (df.select(*keys).distinct().withColumn(f"__{x}", F.lit(True)) for df, x in ((first, "a"), (second, "b")))
+    found = F.when(F.col("__b").isNull(), "first only").when(F.col("__a").isNull(), "second only").otherwise("both")
+    return a.join(b, keys, "full").select(*keys, found.alias("captured"))
 
 
 def verified_artifacts(spark: SparkSession, path: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scholarframe.session import stored
+
 
 def sized_shards(df: DataFrame, bucket: Column, order: list[str], size: Column, limit: int) -> DataFrame:
     """``df`` with a bucket and a shard number, the rows of a shard holding about ``limit`` bytes.
@@ -22,16 +24,64 @@ def inverted_index(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(F.array_sort(F.collect_set(value)).alias("members"))
 
 
-def interned(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """``df`` with a number in place of a repeated value, and the dictionary.
+def numbered(df: DataFrame, order: list[str], into: str) -> DataFrame:
+    """``df`` with a dense number from 0 in an order, without ordering all rows in one task.
 
-    Only the distinct values are ordered to be numbered.
+    Rows are dealt to ranges and sorted there; a row's number is its place in
+    its range and the sizes of the ranges before, one small row for each.
     """
+    ranges = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ranges.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = sizes.select("__part", before.alias("__base"))
+    return ranges.join(F.broadcast(bases), part == F.col("__part")).withColumn(into, F.col("__base") + place).drop("__at", "__part", "__base")
+
+
+def interned(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` with a number in place of a repeated value, and the dictionary; :func:`recovered` undoes it."""
     values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    dictionary = values.withColumn(f"{column}_id", F.row_number().over(Window.orderBy(column)) - 1)
+    dictionary = numbered(values, [column], f"{column}_id")
     return df.join(dictionary, column, "left").drop(column), dictionary
 
 
+def recovered(ledger: DataFrame, column: str, dictionary: DataFrame) -> DataFrame:
+    """The rows that :func:`interned` was given."""
+    return ledger.join(dictionary, f"{column}_id", "left").drop(f"{column}_id")
+
+
+def shard_descriptors(sharded: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """``bucket, shard, n_rows, n_bytes, sha256``: what a reader checks a shard against.  A shard holds a bounded number of bytes."""
+    line = F.concat_ws("|", *(F.col(c).cast("string") for c in columns))
+    rows = sharded.groupBy("bucket", "shard").agg(F.count("*").alias("n_rows"), F.sum("n_bytes").alias("n_bytes"), F.array_sort(F.collect_list(F.struct(*key, line.alias("line")))).alias("lines"))
+    return rows.select("bucket", "shard", "n_rows", "n_bytes", F.sha2(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), 256).alias("sha256"))
+
+
+def write_shards(df: DataFrame, folder: str, shard: str) -> None:
+    """One folder a shard, so that readers open only those they need."""
+    df.repartition(shard).write.mode("overwrite").partitionBy(shard).parquet(folder)
+
+
+def read_shards(spark: SparkSession, folder: str, index: DataFrame, key: str, wanted: list, shard: str) -> DataFrame:
+    """The rows of the shards that an inverted index (``key``, ``members``) names for the wanted keys; others are not opened."""
+    named = index.where(F.col(key).isin(*wanted)).select(F.explode("members").alias("shard")).distinct()
+    needed = [r["shard"] for r in named.collect()]  # shards of the keys asked for
+    return spark.read.parquet(folder).where(F.col(shard).isin(*needed) if needed else F.lit(False))
+
+
+def write_json(df: DataFrame, folder: str) -> None:
+    """Rows as gzip-compressed JSON lines."""
+    df.write.mode("overwrite").option("compression", "gzip").json(folder)
+
+
+def read_validated(spark: SparkSession, folder: str, schema: str, *checks: tuple[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """JSON lines that are well formed and pass every check, and the others with the problems found."""
+    rows = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(folder)
+    problems = F.array_compact(F.array(F.when(F.col("_corrupt").isNotNull(), F.lit("not well formed")), *(F.when(~F.coalesce(ok, F.lit(False)), F.lit(text)) for text, ok in checks)))
+    marked = rows.withColumn("problems", problems)
+    return marked.where(F.size("problems") == 0).drop("problems", "_corrupt"), marked.where(F.size("problems") > 0)
+
+
 def export_json(df: DataFrame, key: str) -> DataFrame:
     """One JSON document for each row."""
     return df.select(F.col(key), F.to_json(F.struct(*df.columns)).alias("document"))
