@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholarframe.llm.columns import BASE, BYTE, flat, mixed, runs, span_hashes
+from scholarframe.llm.columns import BASE, BYTE, flat, gathered, mixed, runs, same_bytes, span_hashes
 from scholarframe.llm.suffixes import sorted_suffixes
 
 SIZE, GRAM = 50, 24
@@ -148,8 +148,7 @@ class Segments:
         key = _hashes(self.buf, self.offsets, self.row[own], start, end)
         order = np.lexsort((doc[self.row[own]], key, self.anchor[own]))
         own = own[order]
-        key = key[order]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        first = _firsts(self.buf, start[order], end[order] - start[order], key[order])
         return SharedSegments(own, first, np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(key)])))
 
     def single_windows(self, anchors_: np.ndarray, doc: np.ndarray) -> "SingleWindows":
@@ -163,10 +162,36 @@ class Segments:
         key = _hashes(self.buf, self.offsets, row, start, start + self.size)
         order = np.lexsort((doc[row], key))
         key = key[order]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        first = _firsts(self.buf, start[order], np.full(len(key), self.size), key)
         return SingleWindows(start[order], row[order], key[first], first, np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(key)])))
 
 
+def _firsts(buf: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Where a range, sorted by hash, differs from the one before: in its hash, or else in its bytes.
+
+    Equal ranges that an unlike one of the same hash keeps apart count as two,
+    which sends one row more and changes no result.
+    """
+    if not len(key):
+        return np.zeros(0, np.int64)
+    again = np.flatnonzero(key[1:] == key[:-1]) + 1
+    same = same_bytes(buf, start[again], size[again], buf, start[again - 1], size[again - 1])
+    new = np.ones(len(key), bool)
+    new[again[same]] = False
+    return np.flatnonzero(new)
+
+
+def _distinct(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One of each of the distinct byte ranges, and for every range which of these it is."""
+    _, pick, back = np.unique(span_hashes(buf, start, start + size), return_index=True, return_inverse=True)
+    if same_bytes(buf, start, size, buf, start[pick[back]], size[pick[back]]).all():
+        return pick, back
+    # unlike ranges with one hash: told apart by their bytes
+    seen: dict[bytes, int] = {}
+    back = np.array([seen.setdefault(buf[a : a + n].tobytes(), len(seen)) for a, n in zip(start.tolist(), size.tolist(), strict=True)])
+    return np.unique(back, return_index=True)[1], back
+
+
 class SharedSegments:
     """Occurrences in the order of their distinct segment; ``first`` holds the earliest document of each."""
 
@@ -193,11 +218,6 @@ def _hashes(buf: np.ndarray, offsets: np.ndarray, rows: np.ndarray, start: np.nd
     return out
 
 
-def _gathered(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    total = np.cumsum(size)
-    return buf[np.arange(int(total[-1]) if len(total) else 0) + np.repeat(start - (total - size), size)]
-
-
 def _ids(table: pa.Table) -> np.ndarray:
     return table["doc_id"].combine_chunks().fill_null(int(NO_ID)).to_numpy() if len(table) else np.zeros(0, np.int64)
 
@@ -227,15 +247,14 @@ def _in_segment_shard(blobs: list[bytes], size: int) -> list[np.ndarray]:
         data.append(np.frombuffer(raw, np.uint8, -1, 4 + 10 * n))
     doc, length, buf = np.concatenate(docs), np.concatenate(sizes), np.concatenate(data)
     start = np.cumsum(length) - length
-    key = span_hashes(buf, start, start + length)
-    _, pick, back = np.unique(key, return_index=True, return_inverse=True)
+    pick, back = _distinct(buf, start, length)
     earliest = np.full(len(pick), NO_ID)
     np.minimum.at(earliest, back, doc)
     own_start, own_length = start[pick], length[pick]
     text = np.zeros(int(own_length.sum()) + len(pick), np.uint16)
     at = np.cumsum(own_length + 1) - own_length - 1
     place = np.arange(int(own_length.sum())) + np.repeat(np.arange(len(pick)), own_length)
-    text[place] = _gathered(buf, own_start, own_length).astype(np.uint16) + 1
+    text[place] = gathered(buf, own_start, own_length).astype(np.uint16) + 1
     owner = np.repeat(np.arange(len(pick)), own_length + 1)
     order, common = sorted_suffixes(text, size)
     window = np.arange(len(text)) - at[owner] <= own_length[owner] - size
@@ -262,10 +281,7 @@ def _in_window_shard(blobs: list[bytes], size: int) -> list[np.ndarray]:
         docs.append(np.frombuffer(raw, "<i8", n, 4))
         data.append(np.frombuffer(raw, np.uint8, n * size, 4 + 8 * n))
     doc, buf = np.concatenate(docs), np.concatenate(data)
-    start, windows = np.arange(len(doc)) * size, buf.reshape(-1, size)
-    _, pick, back = np.unique(span_hashes(buf, start, start + size), return_index=True, return_inverse=True)
-    if (windows[pick[back]] != windows).any():  # unlike windows with one hash
-        _, back = np.unique(windows.view(np.dtype((np.void, size))).ravel(), return_inverse=True)
+    _, back = _distinct(buf, np.arange(len(doc)) * size, np.full(len(doc), size))
     least = np.full(len(doc), NO_ID)
     np.minimum.at(least, back, doc)
     return np.split(least[back] < doc, np.cumsum([len(d) for d in docs])[:-1])
@@ -338,7 +354,7 @@ def repeated_passages(docs: DataFrame, size: int = SIZE, gram: int = GRAM, id_co
             length = segments.windows[own] + size - 1
             press = zstandard.ZstdCompressor(level=1)
             for shard, i, j in _cuts(_bucket(segments.anchor[own], shards)):
-                data = _gathered(segments.buf, segments.start[own[i:j]], length[i:j])
+                data = gathered(segments.buf, segments.start[own[i:j]], length[i:j])
                 head = struct.pack("<I", j - i) + doc[segments.row[own[i:j]]].astype("<i8").tobytes() + length[i:j].astype("<u2").tobytes()
                 out["shard"].append(shard)
                 out["slice"].append(table["slice"][0].as_py())

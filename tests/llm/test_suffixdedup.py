@@ -107,3 +107,20 @@ def test_unlike_windows_with_one_hash(monkeypatch):
     pack = lambda *r: zstandard.ZstdCompressor().compress(struct.pack("<I", len(r)) + np.array([d for d, _ in r], "<i8").tobytes() + b"".join(w for _, w in r))
     found = suffixdedup._in_window_shard([pack((5, b"ab"), (3, b"a\0")), pack((4, b"ab"), (9, b"a\0"))], 2)
     assert [x.tolist() for x in found] == [[True, False], [False, True]]
+
+
+def test_every_hash_may_collide(spark, monkeypatch):
+    """With one hash for all ranges the bytes alone decide."""
+    found = suffixdedup._distinct(np.frombuffer(b"abcabcxyz", np.uint8), np.array([0, 3, 6]), np.array([3, 3, 3]))
+    assert found[1].tolist() == [0, 0, 1]
+    monkeypatch.setattr(suffixdedup, "span_hashes", lambda buf, a, b: np.zeros(len(a), np.uint64))
+    found = suffixdedup._distinct(np.frombuffer(b"abcxyzabc", np.uint8), np.array([0, 3, 6]), np.array([3, 3, 3]))
+    assert found[1].tolist() == [0, 1, 0] and found[0].tolist() == [0, 1]
+    first = suffixdedup._firsts(np.frombuffer(b"abcxyzabcabc", np.uint8), np.array([0, 3, 6, 9]), np.full(4, 3), np.zeros(4, np.uint64))
+    assert first.tolist() == [0, 1, 2]
+
+
+def test_repeated_words_with_equal_polynomial_hashes(spark):
+    x, y = ("".join(c[bin(i).count("1") % 2] for i in range(4096)) for c in ("ab", "ba"))
+    rows = [(1, x), (2, y), (3, x), (4, x[:1024] + "c" + y[:1024]), (5, y[:1024])]
+    assert got(repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
