@@ -38,6 +38,21 @@ def bounded(node: DataFrame, edge: DataFrame, budgets: dict[str, int], edge_limi
     return kept, inside.orderBy("edge_type", "source_id", "target_id").limit(edge_limit).select("edge_type", "source_id", "target_id")
 
 
+def boundary(node: DataFrame, edge: DataFrame) -> DataFrame:
+    """Nodes without any edge."""
+    used = edge.select(F.col("source_id").alias("node_id")).unionByName(edge.select(F.col("target_id").alias("node_id"))).distinct()
+    return node.join(used, "node_id", "left_anti")
+
+
+def bounded_summary(node: DataFrame, edge: DataFrame, budgets: dict[str, int], edge_limit: int) -> DataFrame:
+    """``n_nodes, n_edges, truncated`` of :func:`bounded`; truncated when it left out nodes of a kind, or edges between those kept."""
+    kept, inside = bounded(node, edge, budgets, edge_limit + 1)
+    total = node.where(F.col("node_type").isin(*budgets)).agg(F.count("*").alias("there"))
+    counts = kept.agg(F.count("*").alias("n_nodes")).join(inside.agg(F.count("*").alias("found"))).join(total)  # three rows of one number
+    cut = (F.col("n_nodes") < F.col("there")) | (F.col("found") > edge_limit)
+    return counts.select("n_nodes", F.least("found", F.lit(edge_limit)).cast("long").alias("n_edges"), cut.alias("truncated"))
+
+
 def split_budget(total: int, first_available: int, second_available: int) -> tuple[int, int]:
     """Half of a budget to each of two kinds; what one leaves goes to the other."""
     first = min(first_available, max(total - total // 2, total - second_available))

@@ -3,11 +3,11 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarframe.plans import evidence, gates, graph, identity, layouts, metrics, more, serving, streams
+from scholarframe.plans import evidence, gates, graph, identity, knowledge, layouts, metrics, more, serving, streams
 from scholarframe.plans.registry import ORACLE_SQL, QUERIES
 from scholarframe.sources.tables import Tables
 
-__all__ = ["ORACLE_SQL", "QUERIES", "flagship", "evidence", "gates", "graph", "identity", "layouts", "metrics", "more", "serving", "streams"]
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship", "evidence", "gates", "graph", "identity", "knowledge", "layouts", "metrics", "more", "serving", "streams"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

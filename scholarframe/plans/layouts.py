@@ -14,7 +14,8 @@ from scholarframe.sources import providers, sinks
 from scholarframe.sources.tables import Tables
 
 
-def _folder(t: Tables, name: str) -> str:
+def folder_for(t: Tables, name: str) -> str:
+    """A fresh folder in the shared one."""
     return f"{shared_dir(t.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -26,7 +27,7 @@ def _shards(t: Tables) -> DataFrame:
 @query("SELECT l_suppkey, l_partkey, l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_suppkey IN (3, 7)")
 def sharded_relationships(t: Tables) -> DataFrame:
     """Relationships of two institutions: the index names their shards, and only those are opened."""
-    folder, rows = _folder(t, "shards"), _shards(t)
+    folder, rows = folder_for(t, "shards"), _shards(t)
     sinks.write_shards(rows, folder, "shard")
     index = sinks.inverted_index(rows, "l_suppkey", "shard")
     found = sinks.read_shards(t.spark, folder, index, "l_suppkey", [3, 7], "shard")
@@ -69,14 +70,14 @@ def payload_recovery(t: Tables) -> DataFrame:
 @query("SELECT s_suppkey, s_name, s_nationkey, round(s_acctbal, 2) AS s_acctbal FROM supplier WHERE s_acctbal >= 0")
 def validated_load(t: Tables) -> DataFrame:
     """A table exported as gzip-compressed JSON lines and loaded again, rows that fail a check apart."""
-    folder = _folder(t, "export")
+    folder = folder_for(t, "export")
     sinks.write_json(t.supplier.select("s_suppkey", "s_name", "s_nationkey", F.round("s_acctbal", 2).alias("s_acctbal")), folder)
     return sinks.read_validated(t.spark, folder, "s_suppkey long, s_name string, s_nationkey long, s_acctbal double", ("negative balance", F.col("s_acctbal") >= 0), ("no name", F.col("s_name") != ""))[0]
 
 
 @query("SELECT s_suppkey, 'negative balance' AS problems FROM supplier WHERE s_acctbal < 0")
 def rejected_load(t: Tables) -> DataFrame:
-    folder = _folder(t, "export")
+    folder = folder_for(t, "export")
     sinks.write_json(t.supplier.select("s_suppkey", "s_name", "s_acctbal"), folder)
     bad = sinks.read_validated(t.spark, folder, "s_suppkey long, s_name string, s_acctbal double", ("negative balance", F.col("s_acctbal") >= 0))[1]
     return bad.select("s_suppkey", F.array_join("problems", "; ").alias("problems"))

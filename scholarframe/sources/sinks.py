@@ -74,6 +74,12 @@ def write_json(df: DataFrame, folder: str) -> None:
     df.write.mode("overwrite").option("compression", "gzip").json(folder)
 
 
+def write_archive(df: DataFrame, folder: str, order: list[str]) -> None:
+    """Rows as gzip-compressed JSON lines in a fixed order: ranges of the order, each sorted, in files named by their range."""
+    lines = df.repartitionByRange(*order).sortWithinPartitions(*order).select(F.to_json(F.struct(*df.columns)).alias("value"))
+    lines.write.mode("overwrite").option("compression", "gzip").text(folder)
+
+
 def read_validated(spark: SparkSession, folder: str, schema: str, *checks: tuple[str, Column]) -> tuple[DataFrame, DataFrame]:
     """JSON lines that are well formed and pass every check, and the others with the problems found."""
     rows = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(folder)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholarframe.operators.relational import latest
+from scholarframe.session import stored
 
 
 def content_hash(*columns: str) -> Column:
@@ -24,11 +25,32 @@ def unseen(batch: DataFrame, applied: DataFrame, on: str = "content_hash") -> Da
     return batch.dropDuplicates([on]).join(applied.select(on).distinct(), on, "left_anti")
 
 
+def append_batch(batch: DataFrame, store: str, number: int) -> None:
+    """Writes a batch under its own number, so that writing it again changes nothing."""
+    batch.write.mode("overwrite").parquet(f"{store}/batch={number}")
+
+
+def compact(spark: SparkSession, store: str, keys: list[str], order: list[str], upto: int) -> None:
+    """Replaces the batches up to ``upto`` by the latest revision of each key among them, under that number.
+
+    Revisions that lost are not read again afterwards.  Older batches are
+    emptied only after their winners stand under ``upto``, so a reader at any
+    time, and a run that was broken off and repeated, finds the same state.
+    """
+    log = spark.read.parquet(store)
+    columns = [c for c in log.columns if c != "batch"]
+    winners = stored(latest(log.where(F.col("batch") <= upto), keys, [*order, "batch"]).select(*columns), "compacted")
+    append_batch(winners, store, upto)
+    numbers = [r["batch"] for r in log.where(F.col("batch") < upto).select("batch").distinct().collect()]
+    for number in numbers:
+        append_batch(winners.limit(0), store, number)
+
+
 def apply_stream(stream: DataFrame, store: str, checkpoint: str) -> None:
     """Appends all input there is now to the log at ``store``."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{store}/batch={number}")
+        append_batch(batch, store, number)
 
     stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(write).start().awaitTermination()
 
