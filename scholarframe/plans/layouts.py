@@ -30,7 +30,7 @@ def sharded_relationships(t: Tables) -> DataFrame:
     folder, rows = folder_for(t, "shards"), _shards(t)
     sinks.write_shards(rows, folder, "shard")
     index = sinks.inverted_index(rows, "l_suppkey", "shard")
-    found = sinks.read_shards(t.spark, folder, index, "l_suppkey", [3, 7], "shard")
+    found = sinks.read_shards(t.spark, folder, rows.schema, index, "l_suppkey", [3, 7], "shard")
     return found.where(F.col("l_suppkey").isin(3, 7)).select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", "l_quantity")
 
 

@@ -62,11 +62,11 @@ def write_shards(df: DataFrame, folder: str, shard: str) -> None:
     df.repartition(shard).write.mode("overwrite").partitionBy(shard).parquet(folder)
 
 
-def read_shards(spark: SparkSession, folder: str, index: DataFrame, key: str, wanted: list, shard: str) -> DataFrame:
+def read_shards(spark: SparkSession, folder: str, schema, index: DataFrame, key: str, wanted: list, shard: str) -> DataFrame:
     """The rows of the shards that an inverted index (``key``, ``members``) names for the wanted keys; others are not opened."""
     named = index.where(F.col(key).isin(*wanted)).select(F.explode("members").alias("shard")).distinct()
     needed = [r["shard"] for r in named.collect()]  # shards of the keys asked for
-    return spark.read.parquet(folder).where(F.col(shard).isin(*needed) if needed else F.lit(False))
+    return spark.read.schema(schema).parquet(folder).where(F.col(shard).isin(*needed) if needed else F.lit(False))
 
 
 def write_json(df: DataFrame, folder: str) -> None:
