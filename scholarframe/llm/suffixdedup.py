@@ -16,15 +16,26 @@ themselves are shuffled once.
    there is at most one row a slice for each window.
 3. *Suffixes.*  A shard sorts the suffixes of its segments by external induced
    sorting, which carries common prefixes along.  Windows side by side with a
-   common prefix of ``size`` bytes are equal; the smallest document among them decides, and the slices get one bit
-   for each window of each segment they sent.
+   common prefix of ``size`` bytes are equal; the smallest document among them
+   decides, and the slices get one bit for each window of each segment they
+   sent.  Segments come batch by batch: a shard that is larger than a run is
+   sorted run by run, and the runs of its distinct windows are merged from
+   disk, so a shard's size is not bounded by memory.
+
+A slice sends a shard at most one row, and none without segments for it, so
+there are never more rows than segments, however many slices and shards.
 
 The slices then mark the windows of every document and join them to spans.
 """
 
 from __future__ import annotations
 
+import pickle
 import struct
+import tempfile
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +45,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholarframe.llm.columns import BASE, BYTE, flat, gathered, mixed, runs, same_bytes, span_hashes
+from scholarframe.llm.sortedruns import SortedRuns
 from scholarframe.llm.suffixes import sorted_suffixes
 
 SIZE, GRAM = 50, 24
 #: Bytes of a slice and of a shard's share of the texts; a slice grows with the corpus so that rows stay few.
 SLICE_BYTES, MOST_SLICE_BYTES, SHARD_BYTES = 2 << 20, 64 << 20, 2 << 20
 ANCHORS_TOGETHER = 1 << 20
+#: Bytes of segments that are sorted in memory at a time, and of queued suffixes that stay there; larger shards are sorted in runs on disk.
+RUN_BYTES, QUEUE_BYTES = 6 << 20, 48 << 20
 #: Bytes hashed at a time; the arrays of a block fit into a core's cache.
 BLOCK = 1 << 16
 #: Segments of an anchor in a slice from which its exact copies are told apart before they are counted.
@@ -236,8 +250,29 @@ def _cuts(bucket: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(bucket[first].tolist(), first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True)) if len(bucket) else []
 
 
-def _in_segment_shard(blobs: list[bytes], size: int) -> list[np.ndarray]:
-    """For each blob of segments a bit for each window: whether an earlier document than the sender's holds it."""
+@dataclass
+class SortedWindows:
+    """The distinct windows of a run of blobs in order, each with the smallest document, and the windows of the blobs by their number there."""
+
+    strings: Callable[[int, int], np.ndarray]  # the bytes of some of the distinct windows
+    least: np.ndarray
+    number: np.ndarray  # of each window of each blob
+    doc: np.ndarray  # of each segment, the document that it was sent for
+    windows: np.ndarray  # of each segment
+    bounds: np.ndarray  # windows before each blob
+
+    def seen(self, least: np.ndarray) -> list[bytes]:
+        """For each blob a bit for each window: whether an earlier document than the sender's holds it."""
+        bits = least[self.number] < np.repeat(self.doc, self.windows)
+        return [np.packbits(bits[a:b]).tobytes() for a, b in zip(self.bounds, self.bounds[1:], strict=False)]
+
+    def blocks(self, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i in range(0, len(self.least), rows):
+            yield self.strings(i, i + rows), self.least[i : i + rows]
+
+
+def _of_segments(blobs: list[bytes], size: int, queue_bytes: int) -> SortedWindows:
+    """The windows of blobs of segments, by sorting the segments' suffixes."""
     docs, sizes, data = [], [], []
     for blob in blobs:
         raw = zstandard.ZstdDecompressor().decompress(blob)
@@ -253,27 +288,28 @@ def _in_segment_shard(blobs: list[bytes], size: int) -> list[np.ndarray]:
     own_start, own_length = start[pick], length[pick]
     text = np.zeros(int(own_length.sum()) + len(pick), np.uint16)
     at = np.cumsum(own_length + 1) - own_length - 1
-    place = np.arange(int(own_length.sum())) + np.repeat(np.arange(len(pick)), own_length)
+    place = np.arange(int(own_length.sum())) + np.repeat(at - (np.cumsum(own_length) - own_length), own_length)
     text[place] = gathered(buf, own_start, own_length).astype(np.uint16) + 1
     owner = np.repeat(np.arange(len(pick)), own_length + 1)
-    order, common = sorted_suffixes(text, size)
+    order, common = sorted_suffixes(text, size, queue_bytes)
     window = np.arange(len(text)) - at[owner] <= own_length[owner] - size
     # a suffix too short to be a window never stands between two equal windows
     own = window[order]
     group = np.cumsum(common < size)[own]
     order = order[own]
-    group = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    least = np.full(len(text), NO_ID)
-    least[order] = np.repeat(np.minimum.reduceat(earliest[owner[order]], group), np.diff(np.r_[group, len(order)]))
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    number = np.zeros(len(text), np.int32)
+    number[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.r_[first, len(order)]))
+    least, shown = np.minimum.reduceat(earliest[owner[order]], first), order[first]
     windows = length - size + 1
     total = np.cumsum(windows)
-    seen = least[np.arange(int(total[-1])) + np.repeat(at[back] - (total - windows), windows)] < np.repeat(doc, windows)
+    number = number[np.arange(int(total[-1])) + np.repeat(at[back] - (total - windows), windows)]
     bounds = np.r_[0, np.cumsum([int((x - size + 1).sum()) for x in sizes])]
-    return [seen[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+    return SortedWindows(lambda i, j: (text[shown[i:j, None] + np.arange(size)] - 1).astype(np.uint8), least, number, doc, windows, bounds)
 
 
-def _in_window_shard(blobs: list[bytes], size: int) -> list[np.ndarray]:
-    """For each blob of single windows a bit for each: whether an earlier document than the sender's holds it."""
+def _of_windows(blobs: list[bytes], size: int) -> SortedWindows:
+    """The windows of blobs of single windows."""
     docs, data = [], []
     for blob in blobs:
         raw = zstandard.ZstdDecompressor().decompress(blob)
@@ -281,10 +317,51 @@ def _in_window_shard(blobs: list[bytes], size: int) -> list[np.ndarray]:
         docs.append(np.frombuffer(raw, "<i8", n, 4))
         data.append(np.frombuffer(raw, np.uint8, n * size, 4 + 8 * n))
     doc, buf = np.concatenate(docs), np.concatenate(data)
-    _, back = _distinct(buf, np.arange(len(doc)) * size, np.full(len(doc), size))
-    least = np.full(len(doc), NO_ID)
-    np.minimum.at(least, back, doc)
-    return np.split(least[back] < doc, np.cumsum([len(d) for d in docs])[:-1])
+    pick, back = _distinct(buf, np.arange(len(doc)) * size, np.full(len(doc), size))
+    strings = buf.reshape(-1, size)[pick]
+    order = np.argsort(strings.view(f"S{size}").ravel(), kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    least = np.full(len(order), NO_ID)
+    np.minimum.at(least, place[back], doc)
+    return SortedWindows(lambda i, j: strings[order[i:j]], least, place[back], doc, np.ones(len(doc), np.int64), np.r_[0, np.cumsum([len(d) for d in docs])])
+
+
+def _shard_bits(batches: Iterator[tuple[list[int], list[bytes]]], size: int, sort: Callable[[list[bytes]], SortedWindows], run_bytes: int) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Slices and bits of a shard, whose blobs come batch by batch; runs of about ``run_bytes`` are sorted one by one, and merged if there are several."""
+    keys: list[int] = []
+    blobs: list[bytes] = []
+    held, merge, waiting = 0, None, None
+
+    def close_run() -> None:
+        nonlocal keys, blobs, held, merge, waiting
+        run = sort(blobs)
+        if merge is None:
+            merge, waiting = SortedRuns(size), tempfile.TemporaryFile()
+        merge.add(run.blocks(merge.block_rows))
+        # what the way back needs; the distinct windows stand in the run
+        pickle.dump((keys, run.number, run.doc, run.windows, run.bounds), waiting, protocol=5)
+        keys, blobs, held = [], [], 0
+
+    for own, more in batches:
+        for key, blob in zip(own, more, strict=True):
+            n = zstandard.frame_content_size(blob)
+            if blobs and held + n > run_bytes:
+                close_run()
+            keys.append(key)
+            blobs.append(blob)
+            held += n
+    if merge is None:
+        run = sort(blobs)
+        yield keys, run.seen(run.least)
+        return
+    close_run()
+    waiting.seek(0)
+    for least in merge.least():
+        keys, number, doc, windows, bounds = pickle.load(waiting)
+        yield keys, SortedWindows(None, least, number, doc, windows, bounds).seen(least)
+    merge.close()
+    waiting.close()
 
 
 def repeated_passages(docs: DataFrame, size: int = SIZE, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -301,6 +378,7 @@ def repeated_passages(docs: DataFrame, size: int = SIZE, gram: int = GRAM, id_co
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     slice_bytes = int(min(MOST_SLICE_BYTES, max(SLICE_BYTES, total // 4000)))
     slices, shards = int(total // slice_bytes + 1), int(total // SHARD_BYTES + 1)
+    run_bytes, queue_bytes = RUN_BYTES, QUEUE_BYTES
     most_segments = SHARD_BYTES // (2 * size - gram)
     buckets = int(total * 2 // (size - gram + 2) // ANCHORS_TOGETHER + 1)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -367,10 +445,13 @@ def repeated_passages(docs: DataFrame, size: int = SIZE, gram: int = GRAM, id_co
                 out["segments"].append(press.compress(struct.pack("<I", j - i) + holder[i:j].astype("<i8").tobytes() + data.tobytes()))
         return pa.table({"shard": pa.array(out["shard"], pa.int32()), "slice": pa.array(out["slice"], pa.int32()), "segments": pa.array(out["segments"], pa.binary())})
 
-    def sort_shard(table: pa.Table) -> pa.Table:
-        sought = _in_segment_shard if table["shard"][0].as_py() < shards else _in_window_shard
-        bits = [np.packbits(x).tobytes() for x in sought(table["segments"].to_pylist(), size)]
-        return pa.table({"shard": table["shard"], "slice": table["slice"], "bits": pa.array(bits, pa.binary())})
+    def sort_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches)
+        shard = first["shard"][0].as_py()
+        sort = (lambda blobs: _of_segments(blobs, size, queue_bytes)) if shard < shards else (lambda blobs: _of_windows(blobs, size))
+        sent = ((b["slice"].to_pylist(), b["segments"].to_pylist()) for b in chain([first], batches) if len(b))
+        for keys, bits in _shard_bits(sent, size, sort, run_bytes):
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard] * len(keys), pa.int32()), "slice": pa.array(keys, pa.int32()), "bits": pa.array(bits, pa.binary())})
 
     def mark_documents(table: pa.Table, marks: pa.Table) -> pa.Table:
         if not len(table):

@@ -54,7 +54,11 @@ class BlockQueues:
         if self.held + block.nbytes <= self.limit:
             self.held += block.nbytes
             self.blocks[symbol].append(block)
-            return
+        else:
+            self.spill(symbol, block)
+
+    def spill(self, symbol: int, block: np.ndarray) -> None:
+        """Puts a block at the end of a queue and of the scratch file."""
         if self.file is None:
             self.file = tempfile.TemporaryFile()
         self.file.seek(self.at)

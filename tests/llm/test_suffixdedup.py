@@ -1,12 +1,17 @@
 import struct
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import zstandard
 from pyspark.sql import GroupedData
 
 from scholarframe.llm import suffixdedup
+from scholarframe.llm.sortedruns import SortedRuns
 from scholarframe.llm.suffixdedup import repeated_passages
+from scholarframe.llm.suffixes import BlockQueues
 
 
 def brute(rows, size=50):
@@ -86,11 +91,12 @@ def test_common_phrase_with_differing_surroundings(spark, monkeypatch, tmp_path)
     apply, folder = GroupedData.applyInArrow, str(tmp_path)
 
     def measured(self, find, schema):
-        def sized(table):
-            n = sum(len(zstandard.ZstdDecompressor().decompress(b)) for b in table["segments"].to_pylist())
-            with open(f"{folder}/{table['shard'][0].as_py()}", "w") as f:
+        def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = list(batches)
+            n = sum(len(zstandard.ZstdDecompressor().decompress(x)) for b in own for x in b["segments"].to_pylist())
+            with open(f"{folder}/{own[0]['shard'][0].as_py()}", "w") as f:
                 f.write(str(n))
-            return find(table)
+            yield from find(iter(own))
 
         return apply(self, sized if schema == "shard int, slice int, bits binary" else find, schema)
 
@@ -105,8 +111,60 @@ def test_common_phrase_with_differing_surroundings(spark, monkeypatch, tmp_path)
 def test_unlike_windows_with_one_hash(monkeypatch):
     monkeypatch.setattr(suffixdedup, "span_hashes", lambda buf, a, b: np.zeros(len(a), np.uint64))
     pack = lambda *r: zstandard.ZstdCompressor().compress(struct.pack("<I", len(r)) + np.array([d for d, _ in r], "<i8").tobytes() + b"".join(w for _, w in r))
-    found = suffixdedup._in_window_shard([pack((5, b"ab"), (3, b"a\0")), pack((4, b"ab"), (9, b"a\0"))], 2)
-    assert [x.tolist() for x in found] == [[True, False], [False, True]]
+    found = suffixdedup._of_windows([pack((5, b"ab"), (3, b"a\0")), pack((4, b"ab"), (9, b"a\0"))], 2)
+    assert [np.unpackbits(np.frombuffer(x, np.uint8), count=2).astype(bool).tolist() for x in found.seen(found.least)] == [[True, False], [False, True]]
+
+
+@pytest.mark.parametrize("rows", [1, 3, 1000])
+def test_runs_are_merged_from_disk(rows):
+    rng = np.random.default_rng(rows)
+    runs, strings, least = SortedRuns(3, rows), [], {}
+    for _ in range(5):
+        own = sorted({bytes(rng.integers(0, 4, 3).astype(np.uint8)) for _ in range(int(rng.integers(1, 60)))})
+        numbers = rng.integers(0, 1000, len(own))
+        for s, n in zip(own, numbers.tolist()):
+            least[s] = min(n, least.get(s, n))
+        table = np.frombuffer(b"".join(own), np.uint8).reshape(-1, 3)
+        runs.add((table[i : i + rows], numbers[i : i + rows]) for i in range(0, len(own), rows))
+        strings.append(own)
+    assert [x.tolist() for x in runs.least()] == [[least[s] for s in own] for own in strings]
+
+
+def test_shards_many_times_their_memory_bound(spark, monkeypatch, tmp_path):
+    """One shard is sorted in many runs, with queues on disk, and gives what brute force gives."""
+    for name, value in (("RUN_BYTES", 4000), ("QUEUE_BYTES", 3000), ("SLICE_BYTES", 4000)):
+        monkeypatch.setattr(suffixdedup, name, value)
+    add, folder = SortedRuns.add, str(tmp_path)
+
+    def counted(what, call):
+        def each(self, *args):
+            with open(f"{folder}/{what}", "a") as f:
+                f.write("x")
+            return call(self, *args)
+
+        return each
+
+    monkeypatch.setattr(SortedRuns, "add", counted("runs", add))
+    monkeypatch.setattr(BlockQueues, "spill", counted("spills", BlockQueues.spill))
+    rows = cases(5, 200)
+    blobs = []
+    apply = GroupedData.applyInArrow
+
+    def local(self, find, schema):
+        # shards are sorted by this process as well, where the counters are
+        if schema == "shard int, slice int, bits binary":
+            for (_,), table in _by(self, "shard"):
+                blobs.append(sum(b.num_rows for b in find(iter(table.to_batches()))))
+        return apply(self, find, schema)
+
+    def _by(grouped, key):
+        frame = grouped._df.toArrow()
+        for k in sorted(set(frame[key].to_pylist())):
+            yield (k,), frame.filter(pc.equal(frame[key], k))
+
+    monkeypatch.setattr(GroupedData, "applyInArrow", local)
+    assert got(repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    assert blobs and (tmp_path / "runs").stat().st_size > 5 and (tmp_path / "spills").stat().st_size > 5
 
 
 def test_every_hash_may_collide(spark, monkeypatch):
