@@ -14,6 +14,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_written: list[str] = []
+
+
 def session(app: str = "scholarframe", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session with the settings the engine is tested under."""
     return (
@@ -55,5 +58,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_stored(spark: SparkSession) -> int:
+    """Deletes what :func:`stored` wrote in this process and gives how many folders went.
+
+    Call it when no result that was built on them is read any more.
+    """
+    conf, gone = spark._jsc.hadoopConfiguration(), 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += path.getFileSystem(conf).delete(path, True)
+    return gone

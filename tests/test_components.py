@@ -35,3 +35,15 @@ def test_components(spark, kind):
 
 def test_no_links(spark):
     assert connected_components(spark.createDataFrame([(1, 1), (None, 2)], "src long, dst long")).collect() == []
+
+
+def test_intermediate_results_can_be_cleared(spark):
+    from pathlib import Path
+
+    from scholarframe import session
+
+    session.clear_stored(spark)
+    kept = session.stored(spark.range(5).toDF("k"), "some")
+    folder = Path(kept.inputFiles()[0].removeprefix("file:").replace("//", "/")).parent
+    assert kept.count() == 5 and folder.exists()
+    assert session.clear_stored(spark) == 1 and not folder.exists()
