@@ -36,7 +36,7 @@ NEAREST, SHARED = 10, 2
 #: Pivots are less alike than this, so that no dense region takes them all.
 APART = 0.6
 #: Vectors of a list, or of a chunk, that a task takes together, and pairs it looks at together.
-TOGETHER, PAIRS = 4096, 1 << 20
+TOGETHER, PAIRS = 1024, 1 << 20
 
 
 def choose_pivots(drawn: np.ndarray, most: int) -> np.ndarray:
