@@ -175,7 +175,7 @@ def archive_lines(t: Tables) -> DataFrame:
     folder = folder_for(t, "archive")
     sinks.write_archive(t.nation.select("n_nationkey", "n_name"), folder, ["n_nationkey"])
     lines = t.spark.read.text(folder).withColumnRenamed("value", "line")
-    return lines.select(F.get_json_object("line", "$.n_nationkey").cast("long").alias("n_nationkey"), "line")
+    return lines.select(F.get_json_object("line", "$.n_nationkey").cast("int").alias("n_nationkey"), "line")
 
 
 @query("SELECT user_id, event_id, round(value, 6) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")

@@ -72,7 +72,7 @@ def validated_load(t: Tables) -> DataFrame:
     """A table exported as gzip-compressed JSON lines and loaded again, rows that fail a check apart."""
     folder = folder_for(t, "export")
     sinks.write_json(t.supplier.select("s_suppkey", "s_name", "s_nationkey", F.round("s_acctbal", 2).alias("s_acctbal")), folder)
-    return sinks.read_validated(t.spark, folder, "s_suppkey long, s_name string, s_nationkey long, s_acctbal double", ("negative balance", F.col("s_acctbal") >= 0), ("no name", F.col("s_name") != ""))[0]
+    return sinks.read_validated(t.spark, folder, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double", ("negative balance", F.col("s_acctbal") >= 0), ("no name", F.col("s_name") != ""))[0]
 
 
 @query("SELECT s_suppkey, 'negative balance' AS problems FROM supplier WHERE s_acctbal < 0")
