@@ -92,18 +92,20 @@ def _candidates(near: np.ndarray, shared: int) -> Iterator[tuple[np.ndarray, np.
     m, k = near.shape
     pivot = np.unique(near, return_inverse=True)[1].reshape(m, k)
     order = np.argsort(pivot.ravel(), kind="stable")
-    member, begin = order // k, np.searchsorted(pivot.ravel()[order], np.arange(pivot.max() + 2))
-    size = np.diff(begin)[pivot].sum(axis=1)
+    member, end = order // k, np.searchsorted(pivot.ravel()[order], np.arange(pivot.max() + 1), "right")
+    # where each entry stands in its list; the rows behind it there are the later ones
+    after = np.empty(m * k, np.int64)
+    after[order] = np.arange(1, m * k + 1)
+    after, end = after.reshape(m, k), end[pivot]
+    size = (end - after).sum(axis=1)
     a = 0
     while a < m:
         # the lists of the rows taken together hold about PAIRS entries, and their counts as many places
-        b = a + max(1, min(int(np.searchsorted(np.cumsum(size[a:]), PAIRS)), PAIRS // m))
-        lists = pivot[a:b].ravel()
-        count = begin[lists + 1] - begin[lists]
-        other = member[np.arange(count.sum()) + np.repeat(begin[lists] - (np.cumsum(count) - count), count)]
-        row = np.repeat(np.repeat(np.arange(min(b, m) - a), k), count)
-        later = other > row + a
-        times = np.bincount(row[later] * m + other[later], minlength=1)
+        b = min(m, a + max(1, min(int(np.searchsorted(np.cumsum(size[a:]), PAIRS)), PAIRS // m)))
+        first, count = after[a:b].ravel(), (end[a:b] - after[a:b]).ravel()
+        other = member[np.arange(count.sum()) + np.repeat(first - (np.cumsum(count) - count), count)]
+        row = np.repeat(np.repeat(np.arange(b - a), k), count)
+        times = np.bincount(row * m + other, minlength=1)
         x, y = np.divmod(np.flatnonzero(times >= shared), m)
         yield x + a, y
         a = b
