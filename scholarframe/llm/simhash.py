@@ -266,8 +266,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     fps = stored(fingerprints(rows, "id", "text", width, seed, keep=["digest", "rest"]), "fingerprints")
     reps = stored(fps.select("fp", F.col("fp").alias("rep")).distinct(), "representatives")
     groups = connected_components(fingerprint_links(reps, within))
-    first = F.struct(F.col("id").isNull().alias("no_id"), "id", "digest", "rest")
+    # one key for a row, so that the join and the removal of equal rows take one shuffle
+    key = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("-")), "digest", "rest")
+    first = F.struct(F.col("id").isNull().alias("no_id"), "id", "digest", "rest", key.alias("key"))
     grouped = fps.join(groups, fps["fp"] == groups["vertex"], "left").groupBy(F.coalesce("component", "fp").alias("group")).agg(F.min(first).alias("kept"))
-    kept = grouped.select("kept.*").select(F.col("id").alias("kept_id"), F.col("digest").alias("kept_digest"), F.col("rest").alias("kept_rest"))
-    same = (rows["digest"] == kept["kept_digest"]) & (rows["rest"] == kept["kept_rest"]) & rows["id"].eqNullSafe(kept["kept_id"])
-    return rows.drop("text").join(kept, same, "left_semi").dropDuplicates(["digest", "rest", "id"]).select("row.*")
+    kept = grouped.select("kept.key")
+    return rows.select("row", key.alias("key")).join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
