@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarframe.llm import contamination, packing, pii, pivots, quality, sharding, simhash, suffixdedup, tokenfiles, toxicity
+from scholarframe.llm import audit, contamination, packing, pii, pivots, quality, sharding, simhash, suffixdedup, tokenfiles, toxicity
 from scholarframe.llm.learning import split_of
 from scholarframe.session import shared_dir
 
@@ -110,6 +110,11 @@ def op10_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_token_files(manifest, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_filteraudit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters of whole documents in all orders, by language."""
+    return audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_suffixdedup": op2_suffixdedup,
@@ -121,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
     "op10_tokenfiles": op10_tokenfiles,
+    "op11_filteraudit": op11_filteraudit,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -145,4 +151,28 @@ ORACLE_SQL: dict[str, str] = {
         rows AS (SELECT doc_id, source, CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % {sharding.SLOTS} AS INTEGER) AS slot FROM documents)
         SELECT doc_id, source, CAST(slot AS INTEGER) AS slot, printf('shard-%03d', place) AS shard FROM rows JOIN slots USING (slot)
     """,
+    # every order is run step by step over the documents that each set of filters catches
+    "op11_filteraudit": r"""
+        WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY text) AS least FROM t),
+        f AS (SELECT part, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: CASE x
+                  WHEN 'A' THEN len(w) < 200 WHEN 'B' THEN 100 * len(list_distinct(w)) < 50 * len(w)
+                  WHEN 'C' THEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text)
+                  WHEN 'D' THEN regexp_matches(text, '[#$%&*|]') ELSE doc_id > least END) AS fails,
+                  EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = w.doc_id AND quality = 1) AS good,
+                  EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = w.doc_id AND toxic = 1) AS toxic FROM w),
+        cells AS (SELECT part, fails, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM f GROUP BY 1, 2),
+        letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e
+                   WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        steps AS (SELECT o, unnest([1, 2, 3, 4, 5]) AS step FROM orders),
+        played AS (SELECT part, o, step, o[step] AS x, fails, n, good, toxic, list_contains(fails, o[step]) AS hit,
+                   len(list_filter(fails, lambda y: instr(o[1:step - 1], y) > 0)) > 0 AS gone FROM steps, cells),
+        sums AS (SELECT part, o AS filter_order, step, x, coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (hit AND NOT gone), 0) AS removed,
+                 coalesce(sum(n) FILTER (hit AND gone), 0) AS redundant, coalesce(sum(n) FILTER (hit AND len(fails) = 1), 0) AS unique_fails,
+                 coalesce(sum(good) FILTER (hit AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (hit AND NOT gone), 0) AS toxic_lost FROM played GROUP BY 1, 2, 3, 4)
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+               CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM sums
+    """,
 }
