@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarframe.llm import audit, contamination, packing, pii, pivots, quality, sharding, simhash, suffixdedup, tokenfiles, toxicity
+from scholarframe.llm import audit, contamination, packing, pii, pivots, quality, sharding, simhash, suffixdedup, tokenfiles, toxicity, whitening
 from scholarframe.llm.learning import split_of
 from scholarframe.session import shared_dir
 
@@ -115,6 +115,11 @@ def op11_filteraudit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors on the four components of largest deviation."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_suffixdedup": op2_suffixdedup,
@@ -127,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_tokenfiles": op10_tokenfiles,
     "op11_filteraudit": op11_filteraudit,
+    "op13_whitening": op13_whitening,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
