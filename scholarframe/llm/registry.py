@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarframe.llm import audit, contamination, packing, pii, pivots, quality, sharding, simhash, suffixdedup, tokenfiles, toxicity, whitening
+from scholarframe.llm import audit, contamination, packing, pii, pivots, quality, secretscan, sharding, simhash, suffixdedup, tokenfiles, toxicity, whitening
 from scholarframe.llm.learning import split_of
 from scholarframe.session import shared_dir
 
@@ -115,6 +115,17 @@ def op11_filteraudit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_secretscan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in whole documents."""
+    found = secretscan.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str) -> F.Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, secretscan.BASE_KINDS), F.sha2(secretscan.listed(base), 256).alias("base_sha256"), secretscan.listed(F.col("spans")).alias("spans"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors on the four components of largest deviation."""
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
@@ -132,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_tokenfiles": op10_tokenfiles,
     "op11_filteraudit": op11_filteraudit,
+    "op12_secretscan": op12_secretscan,
     "op13_whitening": op13_whitening,
 }
 
