@@ -178,10 +178,22 @@ def checkpoint_cursors(t: Tables) -> DataFrame:
 # --- sums, digests and small functions ----------------------------------------------
 
 
-@query(f"WITH {SHARES} SELECT institution_id, round(CAST(sum(CAST(weight AS DECIMAL(38, 18))) AS DOUBLE), 9) AS mass FROM shares WHERE status = 'allocated' GROUP BY 1")
+# a weight times 2 ** 80 is a whole number, and whole numbers add exactly
+@query(f"WITH {SHARES} SELECT institution_id, round(CAST(sum(CAST(weight * pow(2.0, 80) AS HUGEINT)) AS DOUBLE) / pow(2.0, 80), 12) AS mass FROM shares WHERE status = 'allocated' GROUP BY 1")
 def exact_masses(t: Tables) -> DataFrame:
     own = att.allocated(att.attribution_shares(t.affiliations))
-    return own.groupBy("institution_id").agg(F.round(exact.exact_sum(F.col("weight")), 9).alias("mass"))
+    return exact.exact_sums(own, ["institution_id"], mass=F.col("weight")).withColumn("mass", F.round("mass", 12))
+
+
+@query(f"""WITH {SHARES}, {PAPERS}, m AS (SELECT institution_id, year, sum(CAST(weight * pow(2.0, 80) AS HUGEINT)) AS m FROM shares JOIN papers USING (paper_id) WHERE status = 'allocated' GROUP BY 1, 2)
+    SELECT institution_id, round(CAST(sum(m) AS DOUBLE) / pow(2.0, 80), 12) AS mass, count(*) AS n_years FROM m GROUP BY 1""")
+def merged_masses(t: Tables) -> DataFrame:
+    """Masses by year, kept in limbs, add up to those of all years without a second rounding."""
+    own = att.allocated(att.attribution_shares(t.affiliations)).join(t.papers.select("paper_id", "year"), "paper_id")
+    yearly = exact.accumulated(own, ["institution_id", "year"], mass=F.col("weight"))
+    n_years = yearly.groupBy("institution_id").agg(F.count_distinct("year").alias("n_years"))
+    every = exact.totals(exact.merged(yearly.drop("year"), ["institution_id"]), ["institution_id"], ["mass"])
+    return every.withColumn("mass", F.round("mass", 12)).join(n_years, "institution_id")
 
 
 @query("""WITH r AS (SELECT sha256('{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}') AS d FROM nation),
