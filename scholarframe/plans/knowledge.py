@@ -16,6 +16,7 @@ from scholarframe.plans.metrics import TERMINAL, attributed
 from scholarframe.plans.registry import PAPERS, SHARES, attributed_sql, query
 from scholarframe.sources import providers, sinks
 from scholarframe.sources.tables import Tables
+from scholarframe.streaming import incremental as inc
 
 _NODES = """nodes AS (SELECT DISTINCT 'science-domain' AS node_type, 'science-domain:' || substr(p_type, 1, 1) AS node_id, substr(p_type, 1, 1) AS label FROM part UNION ALL SELECT DISTINCT 'research-field', 'research-field:' || p_type, p_type FROM part
     UNION ALL SELECT 'country', 'country:' || n_nationkey, n_name FROM nation UNION ALL SELECT 'institution', 'institution:' || s_suppkey, s_name FROM supplier UNION ALL SELECT DISTINCT 'research-group', 'research-group:' || p_brand, p_brand FROM part
@@ -181,18 +182,18 @@ def archive_lines(t: Tables) -> DataFrame:
 @query("SELECT user_id, event_id, round(value, 6) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def compacted_state(t: Tables) -> DataFrame:
     """The state of a log of batches after its older ones were compacted into one."""
-    from scholarframe.streaming import incremental as inc
-
     folder, rows = folder_for(t, "log"), t.events.select("user_id", "ts", "event_id", F.round("value", 6).alias("value"))
     for number, batch in enumerate((rows.where("ts < '2024-01-10'"), rows.where("ts >= '2024-01-10' and ts < '2024-01-20'"), rows.where("ts >= '2024-01-20'"))):
         inc.append_batch(batch, folder, number)
     inc.compact(t.spark, folder, ["user_id"], ["ts", "event_id"], upto=1)
+    inc.append_batch(rows.where("ts >= '2024-01-10' and ts < '2024-01-20'"), folder, 1)  # handed over once more
     return inc.current_state(t.spark, folder, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "value")
 
 
-@query("SELECT o_orderkey AS paper_id, CASE WHEN count(DISTINCT l_returnflag) > 1 THEN 'mixed' ELSE min(l_returnflag) END AS role, bool_or(l_discount > 0.05) AS updated FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderdate >= TIMESTAMP '2000-01-01' GROUP BY 1")
+@query("""WITH b AS (SELECT user_id, arg_max(event_type, (ts, event_type)) AS own FROM events WHERE ts <= TIMESTAMP '2024-01-20' GROUP BY 1),
+    a AS (SELECT user_id, max(ts) AS ts, arg_max(event_type, (ts, event_type)) AS own FROM events WHERE ts > TIMESTAMP '2024-01-20' GROUP BY 1)
+    SELECT user_id, ts, a.own AS event_type, CASE WHEN b.own IS NULL THEN 'created' WHEN a.own = b.own THEN 'unchanged' ELSE 'updated' END AS change FROM a LEFT JOIN b USING (user_id)""")
 def updated_records(t: Tables) -> DataFrame:
-    """Records that changed since a date, apart from those that are new."""
-    since = t.orders.where(F.col("o_orderdate") >= F.lit("2000-01-01").cast("timestamp"))
-    rows = t.lineitem.join(since, F.col("l_orderkey") == F.col("o_orderkey"))
-    return rows.groupBy(F.col("o_orderkey").alias("paper_id")).agg(evi.category_role(F.collect_set("l_returnflag")).alias("role"), F.bool_or(F.col("l_discount") > 0.05).alias("updated"))
+    """Records revised after a cursor in their latest revision: new ones, changed ones, and those that are as they were."""
+    cursor = F.lit("2024-01-20").cast("timestamp_ntz")
+    return inc.changes_since(t.events.withColumn("ts", F.col("ts").cast("timestamp_ntz")), "user_id", "ts", cursor, ["event_type"])

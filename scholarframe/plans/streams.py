@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholarframe.operators.relational import latest, upsert
+from scholarframe.plans.layouts import folder_for
 from scholarframe.plans.registry import query
 from scholarframe.sources import providers, sinks
+from scholarframe.sources.cursor import RecordSource
 from scholarframe.sources.tables import Tables
 from scholarframe.streaming import events as ev
 from scholarframe.streaming import incremental as inc
@@ -48,6 +50,20 @@ def incremental_upsert(t: Tables) -> DataFrame:
     return upsert(latest(early, keys, order), latest(late, keys, order), keys).select("user_id", "event_type", "event_id", "value")
 
 
+@query("SELECT CAST(user_id AS VARCHAR) AS id, arg_max(event_id, ts) AS event_id FROM events GROUP BY 1")
+def record_stream(t: Tables) -> DataFrame:
+    """The state of a provider's records after its pages went through the stream, one of them twice."""
+    t.spark.dataSource.register(RecordSource)
+    base = folder_for(t, "records")
+    rows = t.events.select(F.col("user_id").cast("string").alias("id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("updated"), "event_id")
+    for half in ("ts < '2024-01-16'", "ts >= '2024-01-14'"):
+        own = rows.where(half.replace("ts", "updated"))
+        own.repartitionByRange("updated", "id").sortWithinPartitions("updated", "id").write.mode("append").json(f"{base}/pages")
+        inc.apply_stream(t.spark.readStream.format("provider_records").load(f"{base}/pages"), f"{base}/log", f"{base}/checkpoint")
+    state = inc.current_state(t.spark, f"{base}/log", ["id"], ["updated"])
+    return state.select("id", F.get_json_object("payload", "$.event_id").cast("long").alias("event_id"))
+
+
 @query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-10'")
 def idempotent_replay(t: Tables) -> DataFrame:
     rows = t.events.withColumn("content_hash", inc.content_hash("event_id", "ts", "user_id", "event_type", "value", "props"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,6 +64,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, folder: str, wanted: Callable[[str], bool]) -> int:
+    """Deletes the children of a folder whose name is wanted, and gives how many went."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    children = [s.getPath() for s in system.listStatus(root)] if system.exists(root) else []
+    return sum(bool(system.delete(p, True)) for p in children if wanted(p.getName()))
+
+
 def clear_stored(spark: SparkSession) -> int:
     """Deletes what :func:`stored` wrote in this process and gives how many folders went.
 

@@ -5,9 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scholarframe.sources import providers, sinks
-from scholarframe.sources.cursor import PagedSource
 from scholarframe.streaming import events as ev
-from scholarframe.streaming import incremental as inc
 
 ATOM = """<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom" xmlns:arxiv="http://arxiv.org/schemas/atom">
 <entry><id>http://arxiv.org/abs/2101.00001v2</id><title>A  title
@@ -51,27 +49,6 @@ def test_artifacts_are_verified(spark, tmp_path):
     assert sorted((r["length"], r["verified"]) for r in providers.verified_artifacts(spark, str(tmp_path)).collect()) == [(4, True), (7, False)]
 
 
-def test_paged_source_in_batches_and_streams(spark, tmp_path):
-    spark.dataSource.register(PagedSource)
-    pages, out = tmp_path / "pages", tmp_path / "out"
-    pages.mkdir()
-
-    def page(n, *records):
-        (pages / f"{n:04d}.jsonl").write_text("\n".join(json.dumps({"id": k, "updated": u}) for k, u in records))
-
-    page(1, ("a", "2020"), ("b", "2020"))
-    folder = f"file://{pages}"
-    assert spark.read.format("provider_pages").load(folder).count() == 2
-    stream = lambda: spark.readStream.format("provider_pages").load(folder)
-    inc.apply_stream(stream(), str(out), str(tmp_path / "checkpoint"))
-    page(2, ("a", "2021"), ("c", "2019"))
-    for _ in range(2):  # the second run finds nothing new
-        inc.apply_stream(stream(), str(out), str(tmp_path / "checkpoint"))
-    got = inc.current_state(spark, str(out), ["id"], ["updated"]).select("id", "updated").collect()
-    assert sorted(map(tuple, got)) == [("a", "2021"), ("b", "2020"), ("c", "2019")]
-    assert spark.read.parquet(str(out)).count() == 4
-
-
 def test_streams_equal_batches(spark):
     folder = "/root/testdata/sf0.001"
     batch = spark.read.parquet(f"{folder}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
