@@ -13,6 +13,7 @@ from scholarframe.sources.cursor import RecordSource
 from scholarframe.sources.tables import Tables
 from scholarframe.streaming import events as ev
 from scholarframe.streaming import incremental as inc
+from scholarframe.streaming import recheck
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
@@ -31,7 +32,8 @@ def event_sliding(t: Tables) -> DataFrame:
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '2 hours' THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
     SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL '2 hours' AS session_end, count(*) AS n FROM s GROUP BY user_id, k""")
 def event_session(t: Tables) -> DataFrame:
-    return ev.sessions(t.events, "2 hours", "user_id")
+    found = ev.drained(ev.sessions(ev.table_stream(t.spark, t.folder, "events"), "2 hours", "user_id", late="1 hour"), "complete")
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
 
 
 @query("SELECT count(*) AS n, count(DISTINCT event_id) AS n_ids, max(ts) AS newest FROM events")
@@ -42,6 +44,17 @@ def watermark_dedup(t: Tables) -> DataFrame:
     return found.agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("n_ids"), F.max("ts").cast("timestamp_ntz").alias("newest"))
 
 
+@query("""WITH r AS (SELECT user_id, ts, event_id, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events WHERE event_type = 'signup'),
+    k AS (SELECT *, ts + INTERVAL 7 DAY AS due, (SELECT max(ts) FROM events WHERE event_type = 'signup') AS until FROM r)
+    SELECT user_id, 'current' AS kind, ts AS at, event_id AS revision FROM k UNION ALL SELECT user_id, 'superseded', next, event_id FROM k WHERE next IS NOT NULL
+    UNION ALL SELECT user_id, 'due', due, event_id FROM k WHERE coalesce(next >= due, due <= until)""")
+def resource_rechecks(t: Tables) -> DataFrame:
+    """Which revisions became current, were superseded, or fell due for another check, from keyed state with timers."""
+    recheck.use_state_store(t.spark)
+    stream = ev.table_stream(t.spark, t.folder, "events").where("event_type = 'signup'")
+    return ev.drained(recheck.checked(stream, "user_id", "ts", "event_id", "0 seconds")).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
 @query("SELECT user_id, event_type, event_id, round(value, 6) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
 def incremental_upsert(t: Tables) -> DataFrame:
     rows = t.events.select("user_id", "event_type", "ts", "event_id", F.round("value", 6).alias("value"))
