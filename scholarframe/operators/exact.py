@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from scholarframe.session import cut
+
 #: Bits of a limb; the lowest limb takes the last bits of the smallest double.
 LIMB_BITS, LOWEST_LIMB = 24, -45
 #: Limb numbers that count values that are not finite.
@@ -24,15 +26,15 @@ def limbs(value: Column) -> Column:
     top = F.floor(F.log2(F.abs(x)) / LIMB_BITS).cast("int")
     half = F.pow(F.lit(2.0), top * (-LIMB_BITS // 2))  # in two steps, as the whole power may be out of range
 
-    def cut(rest: Column, limb: Column, left: int) -> list[Column]:
+    def pieces(rest: Column, limb: Column, left: int) -> list[Column]:
         whole = rest.cast("long")
         own = F.struct(limb.alias("limb"), whole.alias("part"))
-        return [own, *(cut((rest - whole) * float(1 << LIMB_BITS), limb - 1, left - 1) if left else [])]
+        return [own, *(pieces((rest - whole) * float(1 << LIMB_BITS), limb - 1, left - 1) if left else [])]
 
     def special(code: int) -> Column:
         return F.array(F.struct(F.lit(code).alias("limb"), F.lit(1).cast("long").alias("part")))
 
-    scaled = F.filter(F.transform(F.array(x * half * half), lambda r: F.array(*cut(r, top, 3)))[0], lambda p: (p["part"] != 0) | (p["limb"] == top))
+    scaled = F.filter(F.transform(F.array(x * half * half), lambda r: F.array(*pieces(r, top, 3)))[0], lambda p: (p["part"] != 0) | (p["limb"] == top))
     zero = F.array(F.struct(F.lit(0).alias("limb"), F.lit(0).cast("long").alias("part")))
     return (
         F.when(F.isnan(x), special(NAN))
@@ -111,14 +113,27 @@ def row_digest(columns: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 
-def table_digest(df: DataFrame, columns: list[str] | None = None, digits: int = 2) -> DataFrame:
+#: Rows whose digests a task sorts together, and hexadecimal digits that a round takes off.
+DIGEST_ROWS, DIGEST_STEP = 1 << 16, 2
+
+
+def table_digest(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``(n_rows, digest)`` of a table, whatever the order and partitioning of its rows.
 
-    Rows' digests are sorted and hashed within ``16 ** digits`` buckets of
-    their own first digits, and the buckets' digests in order; take more digits
-    for more rows, so that a bucket fits into a task.
+    Rows' digests are sorted and hashed in buckets of their own first digits,
+    as many as keep a bucket at about ``DIGEST_ROWS`` rows, and the buckets'
+    digests in turn in buckets of fewer digits, 256 at a time.  Equal rows are
+    counted first, so that many copies of a row are one entry.
     """
-    rows = df.select(row_digest(columns or df.columns).alias("d"))
-    buckets = rows.groupBy(F.substring("d", 1, digits).alias("b")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("digest"))
-    every = F.array_sort(F.collect_list(F.struct("b", "digest")))  # at most 16 ** digits buckets
-    return buckets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.sha2(F.array_join(F.transform(every, lambda x: x["digest"]), ""), 256).alias("digest"))
+    rows = df.select(row_digest(columns or df.columns).alias("d")).groupBy("d").agg(F.count("*").alias("n"))
+    rows = cut(rows)
+    digits = 0
+    while rows.count() >> 4 * digits > DIGEST_ROWS:
+        digits += DIGEST_STEP
+    entry = F.concat_ws(":", "d", "n")
+    level = rows.groupBy(F.substring("d", 1, digits).alias("b")).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), ","), 256).alias("digest"))
+    while digits:
+        digits -= DIGEST_STEP
+        own = F.array_sort(F.collect_list(F.struct("b", "digest")))  # at most 256
+        level = level.groupBy(F.substring("b", 1, digits).alias("up")).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(own, lambda x: x["digest"]), ","), 256).alias("digest")).withColumnRenamed("up", "b")
+    return level.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.max("digest"), F.sha2(F.lit(""), 256)).alias("digest"))

@@ -197,7 +197,7 @@ def merged_masses(t: Tables) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT sha256('{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}') AS d FROM nation),
-    b AS (SELECT substr(d, 1, 2) AS b, count(*) AS n, sha256(string_agg(d, '' ORDER BY d)) AS digest FROM r GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n_rows, sha256(string_agg(digest, '' ORDER BY b)) AS digest FROM b""")
+    c AS (SELECT d, count(*) AS n FROM r GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n_rows, sha256(string_agg(d || ':' || n, ',' ORDER BY d || ':' || n)) AS digest FROM c""")
 def canonical_digest(t: Tables) -> DataFrame:
     return exact.table_digest(t.nation, ["n_nationkey", "n_name", "n_regionkey"])
 

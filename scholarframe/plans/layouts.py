@@ -34,10 +34,10 @@ def sharded_relationships(t: Tables) -> DataFrame:
     return found.where(F.col("l_suppkey").isin(3, 7)).select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", "l_quantity")
 
 
-@query("""WITH r AS (SELECT p_partkey, p_name, p_partkey % 4 AS bucket, strlen(p_name) AS n_bytes FROM part), s AS (SELECT *, CAST(floor(coalesce(sum(n_bytes) OVER (PARTITION BY bucket ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 2000) AS BIGINT) AS shard FROM r)
-    SELECT CAST(bucket AS INTEGER) AS bucket, shard, count(*) AS n_rows, CAST(sum(n_bytes) AS BIGINT) AS n_bytes, sha256(string_agg(p_partkey || '|' || p_name, chr(10) ORDER BY p_partkey)) AS sha256 FROM s GROUP BY 1, 2""")
+@query("""WITH s AS (SELECT p_partkey, p_name, strlen(p_name) AS n_bytes, CAST(floor(coalesce(sum(strlen(p_name)) OVER (ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 2000) AS BIGINT) AS shard FROM part)
+    SELECT shard, count(*) AS n_rows, CAST(sum(n_bytes) AS BIGINT) AS n_bytes, sha256(string_agg(p_partkey || '|' || p_name, chr(10) ORDER BY p_partkey)) AS sha256 FROM s GROUP BY 1""")
 def shard_descriptors(t: Tables) -> DataFrame:
-    rows = sinks.sized_shards(t.part.select("p_partkey", "p_name"), (F.col("p_partkey") % 4).cast("int"), ["p_partkey"], F.octet_length("p_name"), 2000)
+    rows = sinks.sized_shards(t.part.select("p_partkey", "p_name"), ["p_partkey"], F.octet_length("p_name"), 2000)
     return sinks.shard_descriptors(rows, ["p_partkey"], ["p_partkey", "p_name"])
 
 

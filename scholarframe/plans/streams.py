@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scholarframe.operators.relational import latest, upsert
 from scholarframe.plans.layouts import folder_for
 from scholarframe.plans.registry import query
-from scholarframe.sources import providers, sinks
+from scholarframe.sources import artifacts, providers, sinks
 from scholarframe.sources.cursor import RecordSource
 from scholarframe.sources.tables import Tables
 from scholarframe.streaming import events as ev
@@ -117,11 +117,28 @@ def overlap_reprocess(t: Tables) -> DataFrame:
 # --- sinks and sources -------------------------------------------------------------
 
 
-@query("""WITH r AS (SELECT p_partkey, CAST(p_partkey % 4 AS INTEGER) AS bucket, CAST(strlen(p_name) AS BIGINT) AS n_bytes FROM part) SELECT p_partkey, bucket, n_bytes,
-    CAST(floor(coalesce(sum(n_bytes) OVER (PARTITION BY bucket ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 2000) AS BIGINT) AS shard FROM r""")
+@query("""SELECT p_partkey, CAST(strlen(p_name) AS BIGINT) AS n_bytes,
+    CAST(floor(coalesce(sum(strlen(p_name)) OVER (ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 2000) AS BIGINT) AS shard FROM part""")
 def shard_sizing(t: Tables) -> DataFrame:
-    rows = t.part.select("p_partkey", "p_name")
-    return sinks.sized_shards(rows, (F.col("p_partkey") % 4).cast("int"), ["p_partkey"], F.octet_length("p_name"), 2000).drop("p_name")
+    return sinks.sized_shards(t.part.select("p_partkey", "p_name"), ["p_partkey"], F.octet_length("p_name"), 2000).drop("p_name")
+
+
+@query("""SELECT p_brand AS kind, count(*) AS n_rows, CAST(sum(strlen('{"p_partkey":' || p_partkey || ',"p_name":"' || p_name || '","p_brand":"' || p_brand || '"}') + 1) AS BIGINT) AS n_bytes, 0::BIGINT AS n_refused FROM part GROUP BY 1""")
+def artifact_shards(t: Tables) -> DataFrame:
+    """Rows written as shards under the digest of their bytes and read back, each shard checked first."""
+    folder = folder_for(t, "artifacts")
+    artifacts.write_artifact_shards(t.part.select("p_partkey", "p_name", "p_brand"), folder, "parts", "p_brand", ["p_partkey"], limit=20_000)
+    lines = artifacts.read_artifact_shards(t.spark, folder, "parts")
+    kind = F.get_json_object("line", "$.p_brand").alias("kind")
+    return lines.groupBy(kind).agg(F.count("line").alias("n_rows"), F.sum(F.octet_length("line") + 1).cast("long").alias("n_bytes"), F.count("problem").alias("n_refused"))
+
+
+@query("SELECT sha256(text) AS sha256, CAST(max(strlen(text)) AS BIGINT) AS size, true AS verified FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def payload_store(t: Tables) -> DataFrame:
+    """Each distinct payload in a file of its own, read back and held against its name."""
+    folder = folder_for(t, "payloads")
+    refs = artifacts.put_payloads(t.documents, "text", folder)
+    return refs.join(artifacts.verified_artifacts(t.spark, folder).select("sha256", "verified"), "sha256", "left")
 
 
 @query("SELECT l_suppkey, string_agg(DISTINCT l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR) AS parts FROM lineitem GROUP BY 1")

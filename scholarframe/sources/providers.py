@@ -134,13 +134,6 @@ def paired(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, keys, "full").select(*keys, found.alias("captured"))
 
 
-def verified_artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """Files named by the SHA-256 of their content, and whether it matches."""
-    files = spark.read.format("binaryFile").load(path)
-    name = F.regexp_extract("path", "([0-9a-f]{64})", 1)
-    return files.select("path", name.alias("sha256"), (F.sha2("content", 256) == name).alias("verified"), "length")
-
-
 def unpacked(df: DataFrame, columns: str = "columns", rows: str = "rows") -> DataFrame:
     """Column-name lists and row arrays as one map for each row."""
     return df.select(F.posexplode(rows).alias("place", "__row"), columns).select("place", F.map_from_arrays(columns, "__row").alias("record"))

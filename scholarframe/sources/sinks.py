@@ -8,15 +8,27 @@ from pyspark.sql import functions as F
 from scholarframe.session import stored
 
 
-def sized_shards(df: DataFrame, bucket: Column, order: list[str], size: Column, limit: int) -> DataFrame:
-    """``df`` with a bucket and a shard number, the rows of a shard holding about ``limit`` bytes.
+def running(df: DataFrame, order: list[str], size: Column, into: str) -> DataFrame:
+    """``df`` with the sum of ``size`` over all rows before a row in an order, without one task that sees all rows.
 
-    Shards are numbered within each bucket, in a stable order; choose buckets
-    small enough for a task and large against the limit.
+    Rows are dealt to ranges of the order, summed up within each, and moved on
+    by the sums of the ranges before, one small row for each range.
     """
-    before = Window.partitionBy("bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.withColumns({"bucket": bucket, "n_bytes": size.cast("long")})
-    return rows.withColumn("shard", F.floor(F.coalesce(F.sum("n_bytes").over(before), F.lit(0)) / limit))
+    ranges = stored(df.withColumn("__size", size.cast("long")).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "running")
+    sums = ranges.groupBy("__part").agg(F.sum("__size").alias("__sum"))
+    bases = sums.select("__part", F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    before = F.coalesce(F.sum("__size").over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # one row a range is broadcast
+    return ranges.join(F.broadcast(bases), "__part").withColumn(into, F.col("__base") + before).drop("__part", "__base", "__size")
+
+
+def sized_shards(df: DataFrame, order: list[str], size: Column, limit: int) -> DataFrame:
+    """``df`` with ``n_bytes`` and a shard number in a stable order, the rows of a shard holding about ``limit`` bytes.
+
+    A row belongs to the shard in which it begins, so a shard is over the limit by less than one row.
+    """
+    rows = running(df.withColumn("n_bytes", size.cast("long")), order, F.col("n_bytes"), "shard")
+    return rows.withColumn("shard", F.floor(F.col("shard") / limit))
 
 
 def inverted_index(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -51,10 +63,10 @@ def recovered(ledger: DataFrame, column: str, dictionary: DataFrame) -> DataFram
 
 
 def shard_descriptors(sharded: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
-    """``bucket, shard, n_rows, n_bytes, sha256``: what a reader checks a shard against.  A shard holds a bounded number of bytes."""
+    """``shard, n_rows, n_bytes, sha256``: what a reader checks a shard against.  A shard holds a bounded number of bytes."""
     line = F.concat_ws("|", *(F.col(c).cast("string") for c in columns))
-    rows = sharded.groupBy("bucket", "shard").agg(F.count("*").alias("n_rows"), F.sum("n_bytes").alias("n_bytes"), F.array_sort(F.collect_list(F.struct(*key, line.alias("line")))).alias("lines"))
-    return rows.select("bucket", "shard", "n_rows", "n_bytes", F.sha2(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), 256).alias("sha256"))
+    rows = sharded.groupBy("shard").agg(F.count("*").alias("n_rows"), F.sum("n_bytes").alias("n_bytes"), F.array_sort(F.collect_list(F.struct(*key, line.alias("line")))).alias("lines"))
+    return rows.select("shard", "n_rows", "n_bytes", F.sha2(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), 256).alias("sha256"))
 
 
 def write_shards(df: DataFrame, folder: str, shard: str) -> None:

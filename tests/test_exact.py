@@ -76,3 +76,14 @@ def test_empty(spark):
     df = spark.createDataFrame([], "g string, v double")
     assert exact.exact_sums(df, ["g"], s=F.col("v")).collect() == []
     assert exact.exact_sums(spark.createDataFrame([(1, 2)], "g int, v int"), ["g"], s=F.col("v")).first()["s"] == 2.0
+
+
+def test_digest_of_many_rows(spark, monkeypatch):
+    """The same digest from any partitioning, in one round or in several, and another one for any change."""
+    df = spark.range(3000).select((F.col("id") % 700).alias("k"), F.sha1(F.col("id").cast("string")).alias("v"))
+    for most in (1 << 16, 100, 3):
+        monkeypatch.setattr(exact, "DIGEST_ROWS", most)
+        own = {tuple(exact.table_digest(df.repartition(n)).first()) for n in (1, 5)}
+        assert len(own) == 1 and min(own)[0] == 3000
+        others = {exact.table_digest(d).first()["digest"] for d in (df.where("k > 0"), df.unionAll(df.limit(1)), df.withColumn("v", F.when(F.col("k") == 3, "x").otherwise(F.col("v"))))}
+        assert len(others | {min(own)[1]}) == 4
