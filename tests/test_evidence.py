@@ -134,4 +134,4 @@ def test_compaction_keeps_the_state(spark, tmp_path):
     for _ in range(2):
         incremental.compact(spark, store, ["k"], ["rev"], upto=1)
         assert state() == want
-    assert inc.log_rows(spark, store).count() == 4
+    assert incremental.log_rows(spark, store).count() == 4
