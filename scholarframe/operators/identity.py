@@ -182,15 +182,3 @@ def by_precedence(rows: DataFrame, key: str, value: str, *sources: tuple[str, Da
     method = F.coalesce(*[F.when(c.isNotNull(), F.lit(name)) for c, (name, _) in zip(found, sources, strict=True)])
     distinct = F.size(F.array_distinct(F.array_compact(F.array(*found))))
     return joined.select(*rows.columns, F.coalesce(*found).alias(value), method.alias("method"), (distinct > 1).alias("conflict"))
-
-
-def contained_names(texts: DataFrame, text_id: str, text: str, names: DataFrame, entity: str, name: str) -> DataFrame:
-    """Texts that hold whole names of exactly one entity, word for word.
-
-    Texts and names are normalised first.  Candidates meet on a name's first
-    word, so a text meets only names that could begin in it.
-    """
-    words = texts.select(text_id, text, F.explode(F.array_distinct(F.split(text, " "))).alias("__word"))
-    heads = names.where(F.col(name) != "").select(entity, name, F.split(name, " ")[0].alias("__word"))
-    found = words.join(heads, "__word").where(F.concat(F.lit(" "), text, F.lit(" ")).contains(F.concat(F.lit(" "), F.col(name), F.lit(" "))))
-    return found.groupBy(text_id).agg(F.count_distinct(entity).alias("n"), F.min(entity).alias(entity)).where("n = 1").drop("n")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholarframe.functions import geo, text
+from scholarframe.functions import geo
+from scholarframe.operators import affiliations as aff
 from scholarframe.operators import attribution as att
 from scholarframe.operators import identity as idn
 from scholarframe.operators import relational as rel
@@ -15,8 +16,6 @@ from scholarframe.plans.engine import MetricEngine
 from scholarframe.plans.registry import AFFILIATIONS, PAPERS, SHARES, query
 from scholarframe.sources.tables import Tables
 
-_NORM = "trim(regexp_replace(replace(lower({0}), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
-
 
 @query("""WITH e AS (SELECT DISTINCT s_suppkey AS m, p_type AS f FROM supplier, part), g AS (SELECT DISTINCT l_suppkey AS m, p_type AS f FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45 AND l_tax > 0.05)
     SELECT m, f, 'left' AS only_in FROM (SELECT * FROM e EXCEPT SELECT * FROM g) UNION ALL SELECT m, f, 'right' FROM (SELECT * FROM g EXCEPT SELECT * FROM e)""")
@@ -70,13 +69,29 @@ def crosswalk_precedence(t: Tables) -> DataFrame:
     )
 
 
-@query(f"""WITH x AS (SELECT c_custkey, {_NORM.format("c_name || ', dept of ' || c_mktsegment || ', ' || n_name")} AS txt FROM customer JOIN nation ON c_nationkey = n_nationkey), n AS (SELECT n_nationkey, {_NORM.format('n_name')} AS nm FROM nation)
-    SELECT c_custkey, min(n_nationkey) AS n_nationkey FROM x JOIN n ON contains(' ' || txt || ' ', ' ' || nm || ' ') GROUP BY 1 HAVING count(DISTINCT n_nationkey) = 1""")
+# every customer names an institution and its own nation; the institution's region stands for its city
+_TEXTS = """t AS (SELECT c_custkey, s.*, c_nationkey, cn.n_name AS said, r_name, CAST(1990 + c_custkey % 20 AS INTEGER) AS year FROM customer JOIN supplier s ON s_suppkey = c_custkey % (SELECT count(*) FROM supplier) + (SELECT min(s_suppkey) FROM supplier)
+    JOIN nation cn ON cn.n_nationkey = c_nationkey JOIN nation sn ON sn.n_nationkey = s_nationkey JOIN region ON r_regionkey = sn.n_regionkey)"""
+
+
+@query(f"""WITH {_TEXTS} SELECT c_custkey, CASE WHEN c_nationkey <> s_nationkey THEN 'paper-native country contradicts the chosen ROR location' WHEN 1980 + s_suppkey % 25 > year THEN 'chosen ROR organization postdates the paper-time affiliation' END AS reason,
+    CASE WHEN c_nationkey = s_nationkey AND 1980 + s_suppkey % 25 <= year THEN s_suppkey END AS entity, CASE WHEN c_nationkey = s_nationkey THEN r_name END AS city FROM t""")
 def affiliation_text_match(t: Tables) -> DataFrame:
-    raw = F.concat("c_name", F.lit(", dept of "), "c_mktsegment", F.lit(", "), "n_name")
-    texts = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", text.search_term(raw).alias("txt"))
-    names = t.nation.select("n_nationkey", text.search_term(F.col("n_name")).alias("nm"))
-    return idn.contained_names(texts, "c_custkey", "txt", names, "n_nationkey", "nm")
+    """Affiliation texts against institutions, with the reason where one is not matched."""
+    size = t.supplier.agg(F.count("*").alias("n"), F.min("s_suppkey").alias("least")).first()
+    nation, region = t.nation, t.region
+    places = t.supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", "s_name", "s_nationkey", "r_name")
+    code = F.concat(F.lit("n"), F.col("s_nationkey"))
+    registry = places.select(
+        F.col("s_suppkey").alias("entity"), F.array(F.struct(F.col("s_name").alias("value"), F.array(F.lit("ror_display")).alias("types")), F.struct(F.lit("ACR").alias("value"), F.array(F.lit("acronym")).alias("types"))).alias("names"),
+        F.array(F.struct(code.alias("country_code"), F.col("r_name").alias("city"), F.lit(None).cast("string").alias("subdivision"), F.lit(None).cast("string").alias("subdivision_code"))).alias("locations"),
+        (1980 + F.col("s_suppkey") % 25).cast("int").alias("established"), F.array(F.lit("related")).alias("relationships"),
+    )
+    countries = nation.select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("code"), F.concat(F.lit("nn"), F.col("n_nationkey")).alias("code3"), F.array("n_name").alias("names"))
+    said = t.customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", (F.col("c_custkey") % size["n"] + size["least"]).alias("s_suppkey"))
+    raw = F.concat(F.lit("Department of Physics, "), "s_name", F.lit(", "), "r_name", F.lit("; "), "n_name")
+    texts = said.join(places, "s_suppkey").select("c_custkey", raw.alias("raw"), (1990 + F.col("c_custkey") % 20).cast("int").alias("year"))
+    return aff.affiliation_matches(texts, "c_custkey", "raw", "year", registry, countries).select("c_custkey", "reason", "entity", "city")
 
 
 @query("SELECT d.doc_id, d.source, l.quality AS review FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE d.lang <> 'en'")
