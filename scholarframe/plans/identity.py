@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from scholarframe.functions import dates, identifiers, text
 from scholarframe.operators import identity as idn
 from scholarframe.operators import search
+from scholarframe.plans.layouts import folder_for
 from scholarframe.plans.registry import query
 from scholarframe.sources.tables import Tables
+from scholarframe.streaming import merging
 
 _NORM = "trim(regexp_replace(replace(lower({0}), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
 
@@ -93,6 +95,19 @@ def merge_components(t: Tables) -> DataFrame:
     return idn.merged_occurrences(docs.select(F.col("doc_id").alias("occurrence_id")), ids)
 
 
+@query(f"""WITH RECURSIVE ids AS (SELECT doc_id, 'text' AS scheme, md5(text) AS value FROM documents UNION ALL SELECT doc_id, 'key', source || '-' || n_chars FROM documents),
+    {_COMPONENTS.removeprefix('RECURSIVE ')}, c AS (SELECT x, min(y) AS component FROM reach GROUP BY 1) SELECT x AS vertex, component FROM c QUALIFY count(*) OVER (PARTITION BY component) > 1""")
+def incremental_components(t: Tables) -> DataFrame:
+    """Components of shared identifiers, whose links come in three batches, one of them twice."""
+    docs = t.documents.select("doc_id", F.md5("text").alias("text"), F.concat_ws("-", "source", "n_chars").alias("key"))
+    ids = docs.select("doc_id", F.explode(F.array("text", "key")).alias("value"))
+    links = ids.join(ids.groupBy("value").agg(F.min("doc_id").alias("root")), "value").select(F.col("doc_id").alias("src"), F.col("root").alias("dst"))
+    folder, batch = folder_for(t, "components"), F.pmod(F.xxhash64("src", "dst"), F.lit(3))
+    for number in (0, 1, 1, 2):
+        merging.add_links(links.where(batch == number), folder, number)
+    return merging.component_labels(t.spark, folder)
+
+
 @query("""WITH RECURSIVE ids AS (SELECT DISTINCT c_custkey AS doc_id, 'bal' AS scheme, CAST(floor(c_acctbal / 2) AS VARCHAR) AS value FROM customer),
     """ + _COMPONENTS.removeprefix("RECURSIVE ") + """, c AS (SELECT x, min(y) AS component FROM reach GROUP BY 1),
     v AS (SELECT component, count(DISTINCT c_mktsegment) AS n FROM c JOIN customer ON c_custkey = x GROUP BY 1)
