@@ -19,19 +19,23 @@ def folder_for(t: Tables, name: str) -> str:
     return f"{shared_dir(t.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def _shards(t: Tables) -> DataFrame:
-    rows = t.lineitem.select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", "l_quantity", (F.col("l_partkey") % 16).alias("shard"))
-    return rows
-
-
 @query("SELECT l_suppkey, l_partkey, l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_suppkey IN (3, 7)")
 def sharded_relationships(t: Tables) -> DataFrame:
-    """Relationships of two institutions: the index names their shards, and only those are opened."""
-    folder, rows = folder_for(t, "shards"), _shards(t)
-    sinks.write_shards(rows, folder, "shard")
-    index = sinks.inverted_index(rows, "l_suppkey", "shard")
-    found = sinks.read_shards(t.spark, folder, rows.schema, index, "l_suppkey", [3, 7], "shard")
-    return found.where(F.col("l_suppkey").isin(3, 7)).select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", "l_quantity")
+    """Relationships of two institutions from files sorted by researcher: what the files know of their keys tells which parts to skip."""
+    folder = folder_for(t, "relationships")
+    sinks.write_keyed(t.lineitem.select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", "l_quantity"), folder, ["l_partkey", "l_orderkey", "l_linenumber"], ["l_suppkey", "l_orderkey"])
+    return sinks.read_keyed(t.spark, folder, "l_suppkey", [3, 7])
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, (SELECT count(*) FROM lineitem) AS total FROM lineitem
+    ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity LIMIT 50 OFFSET 5000""")
+def distant_page(t: Tables) -> DataFrame:
+    """Page 100 of 50 rows each, read from the one range it lies in."""
+    folder = folder_for(t, "pages")
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").withColumn("__down", -F.col("l_extendedprice"))
+    sinks.write_pages(rows, folder, ["__down", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"])
+    page, total = sinks.read_page(t.spark, folder, 100, 50)
+    return page.drop("__down").withColumn("total", F.lit(total).cast("long"))
 
 
 @query("""WITH s AS (SELECT p_partkey, p_name, strlen(p_name) AS n_bytes, CAST(floor(coalesce(sum(strlen(p_name)) OVER (ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 2000) AS BIGINT) AS shard FROM part)

@@ -9,6 +9,7 @@ from scholarframe.functions import geo
 from scholarframe.operators import affiliations as aff
 from scholarframe.operators import attribution as att
 from scholarframe.operators import identity as idn
+from scholarframe.operators import populations as pop
 from scholarframe.operators import relational as rel
 from scholarframe.operators import scales
 from scholarframe.operators.components import connected_components
@@ -20,11 +21,19 @@ from scholarframe.sources.tables import Tables
 @query("""WITH e AS (SELECT DISTINCT s_suppkey AS m, p_type AS f FROM supplier, part), g AS (SELECT DISTINCT l_suppkey AS m, p_type AS f FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45 AND l_tax > 0.05)
     SELECT m, f, 'left' AS only_in FROM (SELECT * FROM e EXCEPT SELECT * FROM g) UNION ALL SELECT m, f, 'right' FROM (SELECT * FROM g EXCEPT SELECT * FROM e)""")
 def field_population_gate(t: Tables) -> DataFrame:
-    """Every expected (institution, field) peer present: the fields are few, so they go beside each institution."""
-    fields = t.part.agg(F.collect_set("p_type").alias("fields"))
-    expected = t.supplier.join(F.broadcast(fields)).select(F.col("s_suppkey").alias("m"), F.explode("fields").alias("f"))
-    seen = t.lineitem.where("l_quantity > 45 and l_tax > 0.05").join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("m"), F.col("p_type").alias("f")).distinct()
-    return rel.same_rows(expected, seen)
+    """Every expected (institution, field) peer present, by digests; only incomplete institutions are looked at pair by pair."""
+    seen = t.lineitem.where("l_quantity > 45 and l_tax > 0.05").join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("m"), F.col("p_type").alias("f"))
+    return pop.incomplete_members(t.supplier.select(F.col("s_suppkey").alias("m")), "m", t.part.select(F.col("p_type").alias("f")), "f", seen)
+
+
+@query("""WITH b AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice < 400000 UNION ALL SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice < 2000),
+    k AS (SELECT o_orderkey, o_orderstatus, sum(x) AS x FROM (SELECT o_orderkey, o_orderstatus, 1 AS x FROM orders UNION ALL SELECT o_orderkey, o_orderstatus, -1 FROM b) GROUP BY 1, 2)
+    SELECT o_orderkey, o_orderstatus, CASE WHEN x > 0 THEN 'left' ELSE 'right' END AS only_in, CAST(abs(x) AS BIGINT) AS surplus FROM k WHERE x <> 0""")
+def population_differences(t: Tables) -> DataFrame:
+    """A capture that lost its dearest records and holds its cheapest twice, against the whole."""
+    rows = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice")
+    other = rows.where("o_totalprice < 400000").unionAll(rows.where("o_totalprice < 2000"))
+    return pop.row_differences(rows, other, ["o_orderkey", "o_orderstatus"])
 
 
 @query("""WITH RECURSIVE k AS (SELECT c_custkey AS id, 'b:' || CAST(floor(c_acctbal / 5) AS VARCHAR) AS v FROM customer WHERE c_custkey % 4 <> 0 UNION ALL SELECT c_custkey, 'm:' || (c_custkey // 3) FROM customer WHERE c_custkey % 4 = 0),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholarframe.operators import populations as pop
 from scholarframe.operators import relational as rel
 from scholarframe.plans.registry import AFFILIATIONS, PAPERS, query
 from scholarframe.sources.tables import Tables
@@ -212,7 +213,7 @@ def storage_counts(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, 'left' AS only_in FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'right' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
 def set_equality(t: Tables) -> DataFrame:
-    return rel.same_rows(t.documents.select("doc_id"), t.labels.select("doc_id"))
+    return pop.row_differences(t.documents, t.labels, ["doc_id"]).drop("surplus")
 
 
 @query("SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous_id FROM events")

@@ -69,16 +69,56 @@ def shard_descriptors(sharded: DataFrame, key: list[str], columns: list[str]) ->
     return rows.select("shard", "n_rows", "n_bytes", F.sha2(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), 256).alias("sha256"))
 
 
-def write_shards(df: DataFrame, folder: str, shard: str) -> None:
-    """One folder a shard, so that readers open only those they need."""
-    df.repartition(shard).write.mode("overwrite").partitionBy(shard).parquet(folder)
+def write_keyed(df: DataFrame, folder: str, order: list[str], keys: list[str], distinct: int = 1 << 16, block_bytes: int = 8 << 20) -> None:
+    """Rows sorted by ``order`` in ranges, with Bloom filters of ``keys`` beside the least and greatest values of every row group.
 
+    A read of a few values of any of these columns, :func:`read_keyed`, skips
+    the row groups that do not hold them, whether the table is sorted by the
+    column or not, and no index is kept or looked up.  ``distinct`` is about
+    how many values of a key a row group holds.
+    """
+    writer = df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("parquet.block.size", block_bytes)
+    for k in keys:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{k}", "true").option(f"parquet.bloom.filter.expected.ndv#{k}", distinct)
+    writer.parquet(folder)
+
+
+def read_keyed(spark: SparkSession, folder: str, key: str, wanted: list) -> DataFrame:
+    """The rows with one of a few values of a key; the filter goes to the files."""
+    return spark.read.parquet(folder).where(F.col(key).isin(*wanted) if wanted else F.lit(False))
 
-def read_shards(spark: SparkSession, folder: str, schema, index: DataFrame, key: str, wanted: list, shard: str) -> DataFrame:
-    """The rows of the shards that an inverted index (``key``, ``members``) names for the wanted keys; others are not opened."""
-    named = index.where(F.col(key).isin(*wanted)).select(F.explode("members").alias("shard")).distinct()
-    needed = [r["shard"] for r in named.collect()]  # shards of the keys asked for
-    return spark.read.schema(schema).parquet(folder).where(F.col(shard).isin(*needed) if needed else F.lit(False))
+
+def write_pages(df: DataFrame, folder: str, order: list[str]) -> None:
+    """Rows in ranges of a total order, each in a folder of its own, and a directory of the ranges.
+
+    ``__place`` is a row's number in its range.  The directory has a row for
+    each range, with how many rows come before it.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    placed = placed.withColumns({"__range": F.shiftright("__at", 33), "__place": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__at")
+    placed.limit(0).write.mode("overwrite").parquet(f"{folder}/schema")
+    placed.write.mode("overwrite").partitionBy("__range").parquet(f"{folder}/rows")
+    sizes = _paged(df.sparkSession, folder).groupBy("__range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
+    sizes.select("__range", "n", before.alias("first")).write.mode("overwrite").parquet(f"{folder}/directory")
+
+
+def _paged(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(spark.read.parquet(f"{folder}/schema").schema).parquet(f"{folder}/rows")
+
+
+def read_page(spark: SparkSession, folder: str, number: int, size: int) -> tuple[DataFrame, int]:
+    """Page ``number`` from 0, in order, and how many rows there are in all; only the ranges it lies in are opened."""
+    if number < 0 or size < 1:
+        raise ValueError("pages are numbered from 0 and hold at least one row")
+    directory = spark.read.parquet(f"{folder}/directory")
+    total = directory.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    start, stop = number * size, (number + 1) * size
+    met = directory.where((F.col("first") < stop) & (F.col("first") + F.col("n") > start)).collect()  # the ranges of one page
+    rows, wanted = _paged(spark, folder), F.lit(False)
+    for r in met:
+        wanted = wanted | ((F.col("__range") == r["__range"]) & (F.col("__place") >= max(0, start - r["first"])) & (F.col("__place") < stop - r["first"]))
+    return rows.where(wanted).orderBy("__range", "__place").drop("__range", "__place"), total
 
 
 def write_json(df: DataFrame, folder: str) -> None:
