@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholarframe.operators.ranks import beside
+from scholarframe.operators.scales import winsorised_log
+
 
 def aligned_identifiers(local: Column, author: Column, n_affiliations: Column) -> Column:
     """``struct<identifiers, alignment, conflict>`` of the identifiers at one affiliation and those at its author.
@@ -94,13 +97,48 @@ def composed(gates: dict[str, DataFrame], keys: list[str], passed: str = "passed
     return found.select(*keys, F.array_except(F.array(*map(F.lit, gates)), F.col("held")).alias("failed")).withColumn("certified", F.size("failed") == 0)
 
 
-def populations(rows: DataFrame, versions: list[str], entity: str) -> DataFrame:
-    """The cohorts that may be normalised together: rows that agree on every version column.
+#: What scores must agree on before they are put on one scale.
+VERSIONS = (
+    "entity_type field_id period metric_definition_version algorithm_version normalization_version dataset_version acquisition_scope evidence_cutoff "
+    "attribution_policy_version ontology_version mapping_policy_version citation_policy_version threshold_version"
+).split()
+
+
+def scored_populations(results: DataFrame, entity: str, value: str, minimum: int, versions: list[str] = VERSIONS, session: list[str] | None = None) -> DataFrame:
+    """``results`` with a score on the scale of their population, and a reason where there is none.
 
-    A cohort in which an entity occurs twice is not usable, so neither row is picked.
+    A population agrees on every version column, a null agreeing with a null,
+    and on the ``session`` columns where results have them.  One in which an
+    entity occurs twice is refused as a whole, so neither row is picked.
     """
-    found = rows.groupBy(*versions).agg(F.count("*").alias("n_rows"), F.count_distinct(entity).alias("n_entities"))
-    return found.withColumn("usable", F.col("n_rows") == F.col("n_entities"))
+    keys = [*versions, *(session or [])]
+    found = results.groupBy(*keys).agg(F.count("*").alias("__rows"), F.count_distinct(entity).alias("__entities"), F.count(value).alias("__values"))
+    rows = beside(results, found, keys)
+    twice = F.col("__rows") != F.col("__entities")
+    scored = winsorised_log(rows.withColumn("__value", F.when(~twice, F.col(value))), "__value", keys, minimum)
+    reason = (
+        F.when(twice, "a population holds each entity once")
+        .when(F.col(value).isNull(), "no value")
+        .when(F.col("__values") < minimum, "too few entities")
+        .when(F.col("score").isNull(), "no spread")
+    )
+    return scored.withColumn("reason", reason).drop("__rows", "__entities", "__values", "__value")
+
+
+def version_order(version: Column) -> Column:
+    """A version's numbers, which compare as numbers; parts that are none come first."""
+    return F.transform(F.split(F.regexp_replace(version, "^[vV]", ""), r"[.\\-]"), lambda p: p.try_cast("bigint"))
+
+
+def definitions_in_force(definitions: DataFrame, metric: str, version: str, since: str, as_of: Column) -> DataFrame:
+    """``(metric, version)``: the greatest version of each metric that was introduced by a date, compared number by number."""
+    known = definitions.where(F.col(since) <= as_of)
+    return known.groupBy(metric).agg(F.max_by(F.col(version), F.struct(version_order(F.col(version)), F.col(version))).alias(version))
+
+
+def of_definitions(observations: DataFrame, definitions: DataFrame, metric: str, version: str) -> DataFrame:
+    """The observations of exactly the definitions given; those of other versions, or of none, are not served."""
+    return observations.join(definitions.select(metric, version).distinct(), [metric, version], "left_semi")
 
 
 def next_cursors(attempts: DataFrame, source: str, cursor: str, succeeded: str, before: DataFrame, old: str) -> DataFrame:

@@ -55,37 +55,98 @@ def citation_cohorts(papers: DataFrame, least_cohort: int = 50) -> DataFrame:
     return ranks.withColumn("cohort_mean", F.sum(F.col("citations") * F.col("ties")).over(w) / F.col("cohort_size")).drop("ties")
 
 
-def impact(papers: DataFrame, cohorts: DataFrame, as_of: str, observed: Column | None = None, months: int = 24, least_cohort: int = 50, least_papers: int = 10, least_coverage: float = 0.9, bar: float = 90.0) -> DataFrame:
-    """Mean normalised citation score and the share of top-decile papers, over eligible papers.
-
-    A paper is comparable when its count is known and was observed on the
-    common date ``as_of``; ``observed`` tells when, by default on that date.
-    It is eligible when it is mature by then besides, and its cohort is large
-    enough and has a positive mean.  Both indicators take eligible papers only.
-    A null count is missing, a count of 0 is data.  ``value`` is the mean score
-    where no reason speaks against it; coverage is the mass that is comparable.
-    """
-    date = F.lit(as_of).cast("date")
-    joined = papers.join(cohorts, [*COHORT, "citations"], "left")
-    comparable = F.col("citations").isNotNull() & ((date if observed is None else observed) == date)
-    mature = months_elapsed(F.col("publication_date"), date) >= months
-    fits = comparable & mature & (F.col("cohort_size") >= least_cohort) & (F.col("cohort_mean") > 0)
+def _impact_summary(joined: DataFrame, comparable: Column, fits: Column, supplied: DataFrame | None, least_papers: int, least_coverage: float, bar: float, *more: tuple[Column, str]) -> DataFrame:
+    """Both impact indicators by the keys, from rows with ``citations``, ``cohort_mean``, ``percentile`` and ``weight``."""
     w = F.col("weight")
+    extra = [F.max(failed.cast("int")).alias(f"__more_{i}") for i, (failed, _) in enumerate(more)]
     found = joined.groupBy(*KEYS).agg(
         (F.sum(F.when(fits, w * F.col("citations") / F.col("cohort_mean"))) / F.sum(F.when(fits, w))).alias("mncs"),
         (F.sum(F.when(fits, w * (F.col("percentile") >= bar).cast("double"))) / F.sum(F.when(fits, w))).alias("top_share"),
         F.count_distinct(F.when(fits, F.col("paper_id"))).alias("n_eligible"),
         F.coalesce(F.sum(F.when(fits, w)), F.lit(0.0)).alias("eligible_mass"),
         (F.coalesce(F.sum(F.when(comparable, w)), F.lit(0.0)) / F.sum(w)).alias("citation_coverage"),
+        *extra,
     )
+    if supplied is not None:
+        found = found.join(supplied.select(*KEYS, "supplied_coverage"), KEYS, "left")
+        found = found.withColumn("citation_coverage", F.least("citation_coverage", "supplied_coverage")).drop("supplied_coverage")  # nulls do not count
     found = found.withColumn("reasons", reasons(
+        *((F.col(f"__more_{i}") == 1, text) for i, (_, text) in enumerate(more)),
         (F.coalesce(F.col("citation_coverage"), F.lit(0.0)) < least_coverage, "citation coverage is below the threshold"),
         (F.col("n_eligible") < least_papers, "too few eligible papers"),
         (F.col("eligible_mass") <= 0, "no eligible citation evidence"),
     ))
+    found = found.drop(*(f"__more_{i}" for i in range(len(more))))
     return found.withColumn("value", F.when(F.size("reasons") == 0, F.col("mncs")))
 
 
+def impact(
+    papers: DataFrame, cohorts: DataFrame, as_of: str, observed: Column | None = None, months: int = 24, least_cohort: int = 50, least_papers: int = 10, least_coverage: float = 0.9, bar: float = 90.0, supplied: DataFrame | None = None
+) -> DataFrame:
+    """Mean normalised citation score and the share of top-decile papers, over eligible papers.
+
+    A paper is comparable when its count is known and was observed on the
+    common date ``as_of``; ``observed`` tells when, by default on that date.
+    It is eligible when it is mature by then besides, and its cohort is large
+    enough and has a positive mean.  Both indicators take eligible papers only.
+    A null count is missing, a count of 0 is data.  ``value`` is the mean score
+    where no reason speaks against it; coverage is the mass that is comparable,
+    or the ``supplied_coverage`` of the keys where that is known and smaller.
+    """
+    date = F.lit(as_of).cast("date")
+    joined = papers.join(cohorts, [*COHORT, "citations"], "left")
+    comparable = F.col("citations").isNotNull() & ((date if observed is None else observed) == date)
+    mature = months_elapsed(F.col("publication_date"), date) >= months
+    fits = comparable & mature & (F.col("cohort_size") >= least_cohort) & (F.col("cohort_mean") > 0)
+    return _impact_summary(joined, comparable, fits, supplied, least_papers, least_coverage, bar)
+
+
+#: What counts were taken in: a session has an id, a start and an end.
+SESSION = ["session_id", "started_at", "ended_at"]
+
+
+def session_cohorts(observations: DataFrame, horizon: str, least_cohort: int = 50) -> DataFrame:
+    """``observations`` with the cohort's mean, size and percentile, each session's cohorts being its own.
+
+    An observation has ``paper_id``, the cohort's columns, ``citations``,
+    ``observed_at`` and the session's columns.  One outside its session, or of
+    a session that ends after the ``horizon``, is no evidence, and a count that
+    is missing does not enter a cohort.  Of several observations of a paper in
+    a session the last counts, of those of one day the one with more citations.
+    """
+    day = F.col("observed_at").cast("date")
+    inside = (day >= F.col("started_at").cast("date")) & (day <= F.col("ended_at").cast("date")) & (F.col("started_at") <= F.col("ended_at")) & (F.col("ended_at").cast("date") <= F.lit(horizon).cast("date"))
+    own = observations.where(inside & F.col("citations").isNotNull()).groupBy("paper_id", *COHORT, *SESSION).agg(F.max_by(F.struct("citations", day.alias("observed_at")), F.struct(day, "citations")).alias("o"))
+    own = own.select("paper_id", *COHORT, *SESSION, "o.*")
+    by = [*SESSION, *COHORT]
+    ranks = value_ranks(own, "citations", by, least_cohort)
+    w = Window.partitionBy(*by)
+    ranks = ranks.withColumn("cohort_mean", F.sum(F.col("citations") * F.col("ties")).over(w) / F.col("cohort_size")).drop("ties")
+    return own.join(ranks, [*by, "citations"])
+
+
+def session_impact(papers: DataFrame, cohorts: DataFrame, months: int = 24, least_cohort: int = 50, least_papers: int = 10, least_coverage: float = 0.9, bar: float = 90.0, supplied: DataFrame | None = None) -> DataFrame:
+    """:func:`impact` where counts were taken over a session instead of on one day.
+
+    ``papers`` have ``citations`` and ``observed_at`` besides; ``cohorts`` are
+    :func:`session_cohorts`.  A paper is comparable when the session has an
+    observation of it on its own date; it is mature when it was so on that
+    date.  Papers of different sessions are not compared: an entity that has
+    such papers gets no value, and so does one whose count differs from the
+    session's.
+    """
+    evidence = cohorts.select("paper_id", *COHORT, *SESSION, "cohort_mean", "cohort_size", "percentile", F.col("observed_at").alias("__day"), F.col("citations").alias("__count"))
+    joined = papers.join(evidence, ["paper_id", *COHORT], "left")
+    comparable = F.col("citations").isNotNull() & F.coalesce(F.col("observed_at").cast("date") == F.col("__day"), F.lit(False))
+    mature = months_elapsed(F.col("publication_date"), F.col("__day")) >= months
+    fits = comparable & mature & (F.col("cohort_size") >= least_cohort) & (F.col("cohort_mean") > 0)
+    sessions = Window.partitionBy(*KEYS)
+    name = F.struct(*SESSION)
+    joined = joined.withColumn("__mixed", F.coalesce(F.min(F.when(comparable, name)).over(sessions) != F.max(F.when(comparable, name)).over(sessions), F.lit(False)))
+    differs = comparable & (F.col("citations") != F.col("__count"))
+    return _impact_summary(joined, comparable, fits, supplied, least_papers, least_coverage, bar, (F.col("__mixed"), "papers of several sessions"), (differs, "a count differs from its cohort's"))
+
+
 def connectivity(papers: DataFrame, indicator: str, least_coverage: float = 0.9) -> DataFrame:
     """The mass share of papers with a relationship, among those where it is known."""
     w, known = F.col("weight"), F.col(indicator).isNotNull()

@@ -9,7 +9,8 @@ from scholarframe.operators import attribution as att
 from scholarframe.operators import evidence as evi
 from scholarframe.operators import exact, gates
 from scholarframe.operators import fields as fld
-from scholarframe.plans.registry import AFFILIATIONS, CATEGORIES, PAPERS, SHARES, query
+from scholarframe.plans.metrics import attributed
+from scholarframe.plans.registry import AFFILIATIONS, CATEGORIES, PAPERS, SHARES, attributed_sql, query
 from scholarframe.sources.tables import Tables
 
 # --- identity evidence -----------------------------------------------------
@@ -149,20 +150,32 @@ def launch_certification(t: Tables) -> DataFrame:
     return found.select("year", F.array_join("failed", ",").alias("failed"), "certified")
 
 
-@query("""SELECT l_returnflag, l_linestatus, o_orderstatus, o_orderpriority, CAST(year(o_orderdate) AS INTEGER) AS year, p_type, count(*) AS n_rows, count(DISTINCT l_suppkey) AS n_entities, count(*) = count(DISTINCT l_suppkey) AS usable
-    FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey GROUP BY ALL""")
+_RESULTS = f"""{attributed_sql('institution')}, src AS (SELECT entity_type, entity_id, field_id, year, document_type, sum(weight) AS v, count(DISTINCT paper_id) % 2 = 0 AS even FROM attributed GROUP BY ALL)"""
+
+
+@query(f"""WITH {_RESULTS}, q AS (SELECT field_id, year, document_type, even, quantile_cont(ln(1 + v), 0.05) AS lo, quantile_cont(ln(1 + v), 0.95) AS hi, count(*) AS n FROM src GROUP BY ALL)
+    SELECT entity_id, field_id, CAST(year AS VARCHAR) AS period, document_type AS dataset_version, CASE WHEN n < 5 THEN 'too few entities' WHEN hi - lo <= 1e-12 THEN 'no spread' END AS reason,
+    round(CASE WHEN n >= 5 AND hi - lo > 1e-12 THEN 100 * least(1, greatest(0, (ln(1 + v) - lo) / (hi - lo))) END, 5) AS score FROM src JOIN q USING (field_id, year, document_type, even)""")
 def normalisation_cohorts(t: Tables) -> DataFrame:
-    rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey")).withColumn("year", F.year("o_orderdate"))
-    return evi.populations(rows, ["l_returnflag", "l_linestatus", "o_orderstatus", "o_orderpriority", "year", "p_type"], "l_suppkey")
+    """Scores of institutions within their population, which agrees on all fourteen versions."""
+    yearly = attributed(t, "institution").groupBy("entity_type", "entity_id", "field_id", "year", "document_type").agg(F.sum("weight").alias("v"), F.count_distinct("paper_id").alias("n"))
+    known = {"period": F.col("year").cast("string"), "dataset_version": F.col("document_type"), "acquisition_scope": (F.col("n") % 2).cast("string")}
+    results = yearly.withColumns({c: known.get(c, F.lit("1")) for c in evi.VERSIONS if c not in ("entity_type", "field_id")})
+    scored = evi.scored_populations(results, "entity_id", "v", 5)
+    return scored.select("entity_id", "field_id", "period", "dataset_version", "reason", F.round("score", 5).alias("score"))
+
+
+_OBSERVED = "o AS (SELECT event_id, event_type AS metric_id, json_extract_string(props, '$.k') AS version, ts, value FROM events)"
 
 
-@query("""WITH d AS (SELECT event_type AS metric_id, max(json_extract_string(props, '$.k')) AS version FROM events GROUP BY 1)
-    SELECT event_id, metric_id, version, round(value, 6) AS value FROM (SELECT event_id, event_type AS metric_id, json_extract_string(props, '$.k') AS version, value FROM events) JOIN d USING (metric_id, version)""")
+@query(f"""WITH {_OBSERVED}, d AS (SELECT metric_id, version, min(ts) AS since FROM o GROUP BY 1, 2), f AS (SELECT metric_id, version FROM d WHERE since <= TIMESTAMP '2024-01-02' QUALIFY row_number() OVER (PARTITION BY metric_id ORDER BY CAST(version AS INTEGER) DESC) = 1)
+    SELECT event_id, metric_id, version, round(value, 6) AS value FROM o JOIN f USING (metric_id, version)""")
 def definition_version_join(t: Tables) -> DataFrame:
-    """Observations of the definition in force; those of other versions are not served."""
-    rows = t.events.select("event_id", F.col("event_type").alias("metric_id"), F.get_json_object("props", "$.k").alias("version"), F.round("value", 6).alias("value"))
-    definitions = rows.groupBy("metric_id").agg(F.max("version").alias("version"))
-    return rows.join(definitions, ["metric_id", "version"]).select("event_id", "metric_id", "version", "value")
+    """Observations of the definitions that were in force on a day; those of other versions are not served."""
+    rows = t.events.select("event_id", F.col("event_type").alias("metric_id"), F.get_json_object("props", "$.k").alias("version"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.round("value", 6).alias("value"))
+    definitions = rows.groupBy("metric_id", "version").agg(F.min("ts").alias("since"))
+    force = evi.definitions_in_force(definitions, "metric_id", "version", "since", F.lit("2024-01-02").cast("timestamp_ntz"))
+    return evi.of_definitions(rows, force, "metric_id", "version").select("event_id", "metric_id", "version", "value")
 
 
 @query("""WITH a AS (SELECT user_id, max(ts) AS last, bool_and(value <= 95) AS ok, count(*) FILTER (value > 95) AS n_failed FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1)

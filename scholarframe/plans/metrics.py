@@ -247,6 +247,29 @@ def impact_mncs(t: Tables) -> DataFrame:
     return found.select("entity_type", "entity_id", "field_id", r("mncs").alias("mncs"), r("value").alias("value"), "n_eligible", r("citation_coverage").alias("citation_coverage"), F.array_join("reasons", "; ").alias("reasons"))
 
 
+#: Counts of the session are taken within a week; the day of the month decides when.
+_SEEN = "DATE '2001-08-01' + CAST(day(publication_date) % 9 AS INTEGER)"
+_SMONTHS = f"((year({_SEEN}) - year(publication_date)) * 12 + month({_SEEN}) - month(publication_date) - CASE WHEN day({_SEEN}) < day(publication_date) THEN 1 ELSE 0 END)"
+_SFITS = f"{_SMONTHS} >= 24 AND citations IS NOT NULL AND day(publication_date) % 9 <= 7 AND cohort_size >= 50 AND cohort_mean > 0"
+
+
+@query(f"""WITH {attributed_sql('institution')}, pf AS (SELECT field_id, year, document_type, citations FROM field_shares JOIN papers USING (paper_id) WHERE citations IS NOT NULL AND day(publication_date) % 9 <= 7),
+    cohorts AS (SELECT field_id, year, document_type, avg(citations) AS cohort_mean, count(*) AS cohort_size FROM pf GROUP BY 1, 2, 3),
+    f AS (SELECT {_K}, sum(weight * citations / cohort_mean) FILTER ({_SFITS}) / sum(weight) FILTER ({_SFITS}) AS mncs, count(DISTINCT paper_id) FILTER ({_SFITS}) AS n_eligible,
+    least(coalesce(sum(weight) FILTER (citations IS NOT NULL AND day(publication_date) % 9 <= 7), 0) / sum(weight), min(CASE WHEN entity_id % 4 <> 0 THEN (80 + entity_id % 20) / 100.0::DOUBLE END)) AS citation_coverage
+    FROM attributed LEFT JOIN cohorts USING (field_id, year, document_type) WHERE year BETWEEN {TERMINAL - 2} AND {TERMINAL} GROUP BY {_K})
+    SELECT {_K}, round(mncs, 6) AS mncs, n_eligible, round(citation_coverage, 6) AS citation_coverage, round(CASE WHEN citation_coverage >= 0.8 AND n_eligible >= 10 THEN mncs END, 6) AS value FROM f""")
+def impact_of_session(t: Tables) -> DataFrame:
+    """Impact from counts taken over a session of a week, with the coverage that the source states where that is lower."""
+    seen = F.date_add(F.lit("2001-08-01").cast("date"), F.dayofmonth("publication_date") % 9)
+    observed = _cohort_papers(t).withColumns({"observed_at": seen, "session_id": F.lit("s"), "started_at": F.lit("2001-08-01").cast("date"), "ended_at": F.lit("2001-08-08").cast("date")})
+    cohorts = ind.session_cohorts(observed, "2001-08-31")
+    papers = attributed(t, "institution").where(ind.in_window(F.col("year"), TERMINAL, 3)).withColumn("observed_at", seen)
+    stated = papers.select(*ind.KEYS).distinct().withColumn("supplied_coverage", F.when(F.col("entity_id") % 4 != 0, (80 + F.col("entity_id") % 20) / 100.0))
+    found = ind.session_impact(papers, cohorts, least_coverage=0.8, supplied=stated)
+    return found.select("entity_type", "entity_id", "field_id", r("mncs").alias("mncs"), "n_eligible", r("citation_coverage").alias("citation_coverage"), r("value").alias("value"))
+
+
 @query(f"""WITH {attributed_sql('institution')}, {_COHORTS}, {_IMPACT}, ok AS (SELECT {_K}, mncs FROM gated WHERE reasons = ''), {_winsor('ok', 'mncs', 'entity_type, field_id', 30)}
     SELECT {_K}, round(score, 5) AS score FROM scored""")
 def impact_scaled(t: Tables) -> DataFrame:
