@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholarframe.functions.numbers import bin_index
 from scholarframe.functions.text import bigrams
 from scholarframe.operators.components import connected_components
+from scholarframe.session import stored
 
 #: Scores by how a match was made, and the bars of the fuzzy one.
 EXACT, ALIAS, FUZZY_CEILING, FUZZY_BAR, FUZZY_MARGIN = 0.99, 0.96, 0.89, 0.75, 0.05
-#: Parts that the names of one bigram are dealt into.
-PARTS = 16
+#: Names of one bigram that a block holds, and bundles that bigrams with fewer are dealt into.
+BLOCK_ROWS, BUNDLES = 2048, 256
 
 
 def unique_name_match(mentions: DataFrame, names: DataFrame, term: str, entity: str) -> DataFrame:
@@ -51,9 +54,42 @@ def segment_match(mentions: DataFrame, text: str, names: DataFrame, term: str, e
     return found.where("n = 1").drop("n")
 
 
-def _code(gram: Column) -> Column:
-    """A bigram, or a shorter string, as a number of its own; numbers compare faster."""
-    return (F.ascii(gram).cast("long") + F.length(gram)) * (1 << 22) + F.ascii(F.substring(gram, 2, 1)) + F.length(gram)
+def _best_in_block(left: pa.Table, right: pa.Table, bar: float, keep: int) -> pa.Table:
+    """The ``keep`` most similar names of each term, over the bigrams of one block.
+
+    Both sides have a row for each entered bigram: ``key``, the bigram's
+    ``rank``, and ``ranks``, all of the term in order.  Sets are compared as
+    rows of 0 and 1 in one product of matrices.  A pair counts at the rarest
+    bigram that both terms hold, so not at one where they share a rarer one.
+    """
+    names = right.sort_by([("rank", "ascending"), ("key", "ascending")])
+    terms = left.sort_by("rank")
+    found: list[tuple] = []
+    cuts = [(t.column("rank").to_numpy(), t.column("key").to_pylist(), t.column("first").to_pylist(), t.column("ranks").to_pylist()) for t in (terms, names)]
+    for rank in np.intersect1d(cuts[0][0], cuts[1][0]):
+        sides = []
+        for ranks, keys, firsts, sets in cuts:
+            own = range(*(int(x) for x in (np.searchsorted(ranks, rank), np.searchsorted(ranks, rank, "right"))))
+            sides.append(([keys[i] for i in own], [firsts[i] for i in own], [sets[i] for i in own]))
+        known = {r: i for i, r in enumerate(sorted({r for _, _, sets in sides for x in sets for r in x}))}
+        rarer = known[rank]
+        hot = []
+        for _, _, sets in sides:
+            m = np.zeros((len(sets), len(known)), np.float32)
+            for i, x in enumerate(sets):
+                m[i, [known[r] for r in x]] = 1
+            hot.append(m)
+        (keys_a, first_a, sets_a), (keys_b, first_b, sets_b) = sides
+        code = {c: i for i, c in enumerate({*first_a, *first_b})}
+        same = np.array([code[c] for c in first_a])[:, None] == np.array([code[c] for c in first_b])[None, :]
+        size = np.array([len(x) for x in sets_a])[:, None] + np.array([len(x) for x in sets_b])[None, :]
+        dice = 2 * (hot[0] @ hot[1].T).astype(float) / size
+        good = same & (dice >= bar) & (hot[0][:, :rarer] @ hot[1][:, :rarer].T == 0)
+        dice[~good] = -1.0
+        best = np.argsort(-dice, axis=1, kind="stable")[:, :keep]  # names lie in the order of their keys, which settles ties
+        for i, j in zip(*np.nonzero(np.take_along_axis(good, best, axis=1)), strict=True):
+            found.append((keys_a[i], keys_b[best[i, j]], float(dice[i, best[i, j]])))
+    return pa.table([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], right.schema.field("key").type), pa.array([f[2] for f in found], pa.float64())], ["term", "entity", "similarity"])
 
 
 def fuzzy_match(mentions: DataFrame, names: DataFrame, mention: str, term: str, entity: str, bar: float = FUZZY_BAR, margin: float = FUZZY_MARGIN, keep: int = 3) -> DataFrame:
@@ -64,37 +100,50 @@ def fuzzy_match(mentions: DataFrame, names: DataFrame, mention: str, term: str,
 
     Names meet on rare bigrams: with all bigrams ordered by how often they
     occur, two names that reach the bar share one among the first few of each.
+    Terms that many mentions share are matched once.  Bigrams with many names
+    are cut into blocks of both sides, and a block hands on the best few of
+    each term only.
     """
-    a, b = (
-        rows.where(F.col(term).isNotNull()).select(F.col(key).alias(key), F.substring(term, 1, 1).alias(f"__first_{x}"), F.transform(bigrams(F.col(term)), _code).alias(f"__{x}")).distinct()
-        for rows, key, x in ((mentions, mention, "a"), (names, entity, "b"))
-    )
-    frequency = a.select(F.explode("__a").alias("__gram")).unionByName(b.select(F.explode("__b").alias("__gram"))).groupBy("__gram").agg(F.count("*").alias("__n"))
-
-    def heads(rows: DataFrame, key: str, x: str) -> DataFrame:
-        """A row for each bigram of the necessary prefix, with the prefix and the whole set."""
-        by = [key, f"__first_{x}", f"__{x}"]
-        ordered = rows.withColumn("__gram", F.explode(f"__{x}")).join(frequency, "__gram").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__n", "__gram")))["__gram"].alias("__order"))
-        # Dice of the bar or more needs bar * n / (2 - bar) common bigrams, whatever the size of the other set
-        need = F.ceil(bar / (2 - bar) * F.size(f"__{x}") - 1e-9).cast("int")
-        return ordered.withColumn(f"__head_{x}", F.slice("__order", F.lit(1), F.least(F.size(f"__{x}"), F.size(f"__{x}") - need + 1))).select(*by, f"__head_{x}", F.explode(f"__head_{x}").alias("__gram"))
-
-    # names of a frequent bigram are dealt into parts, each of which meets all mentions
-    left = heads(a, mention, "a").withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    right = heads(b, entity, "b").withColumn("__part", F.pmod(F.xxhash64(entity), F.lit(PARTS)).cast("int"))
-    # a pair counts once, at the rarest bigram of both prefixes; sizes alone rule out many pairs before sets are compared
-    pairs = left.join(right, ["__gram", "__part"]).where(
-        (F.col("__first_a") == F.col("__first_b"))
-        & (2 * F.least(F.size("__a"), F.size("__b")) >= bar * (F.size("__a") + F.size("__b")))
-        & (F.array_intersect("__head_a", "__head_b")[0] == F.col("__gram"))
-    )
-    similarity = 2 * F.size(F.array_intersect("__a", "__b")) / (F.size("__a") + F.size("__b"))
-    scored = pairs.select(mention, entity, similarity.alias("similarity")).where(F.col("similarity") >= bar)
-    best = scored.groupBy(mention, entity).agg(F.max("similarity").alias("similarity"))
-    order = Window.partitionBy(mention).orderBy(F.col("similarity").desc(), entity)
-    ranked = best.withColumn("rank", F.row_number().over(order)).withColumn("__next", F.lead("similarity").over(order))
-    clear = (F.col("rank") == 1) & (F.col("__next").isNull() | (F.col("similarity") - F.col("__next") >= margin))
-    return ranked.where(F.col("rank") <= keep).select(mention, entity, "similarity", "rank", F.least(F.lit(FUZZY_CEILING), FUZZY_CEILING * F.col("similarity")).alias("confidence"), clear.alias("clear"))
+    a = mentions.where(F.col(term).isNotNull()).select(F.col(term).alias("key"), F.col(term).alias("text")).distinct()
+    b = names.where(F.col(term).isNotNull()).select(F.col(entity).alias("key"), F.col(term).alias("text")).distinct()
+    sets = [stored(t.select("key", F.substring("text", 1, 1).alias("first"), bigrams(F.col("text")).alias("grams")), "grams") for t in (a, b)]
+    frequency = sets[0].select(F.explode("grams").alias("gram")).unionAll(sets[1].select(F.explode("grams").alias("gram"))).groupBy("gram").agg(F.count("*").alias("n"))
+    ranks = frequency.select("gram", F.row_number().over(Window.orderBy("n", "gram")).alias("rank"))  # pairs of characters, far fewer than names
+    # Dice of the bar or more needs bar * n / (2 - bar) common bigrams, whatever the size of the other set
+    need = F.ceil(bar / (2 - bar) * F.size("ranks") - 1e-9).cast("int")
+    head = F.slice("ranks", F.lit(1), F.least(F.size("ranks"), F.size("ranks") - need + 1))
+    sides = []
+    for t in sets:
+        ordered = t.withColumn("gram", F.explode("grams")).join(ranks, "gram").groupBy("key", "first", "grams").agg(F.array_sort(F.collect_list("rank")).alias("ranks"))
+        sides.append(stored(ordered.select("key", "first", "ranks", F.explode(head).alias("rank")), "heads"))
+    counts = [t.groupBy("rank").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(f"parts_{x}")) for t, x in zip(sides, "ab", strict=True)]
+    parts = counts[0].join(counts[1], "rank")  # a row for each bigram of both sides
+    blocks = []
+    for t, x in zip(sides, "ab", strict=True):
+        own, other = (F.col(f"parts_{x}"), F.col("parts_b" if x == "a" else "parts_a"))
+        mine = F.pmod(F.xxhash64(F.col("key").cast("string"), F.array_join("ranks", ",")), own).cast("int").alias(f"block_{x}")
+        each = F.explode(F.sequence(F.lit(0), other - 1)).alias("block_b" if x == "a" else "block_a")
+        cold = (F.col("parts_a") == 1) & (F.col("parts_b") == 1)
+        bundle = F.when(cold, F.pmod(F.xxhash64("rank"), F.lit(BUNDLES))).otherwise(-F.col("rank").cast("long")).alias("bundle")
+        blocks.append(t.join(parts, "rank").select("key", "first", "rank", "ranks", bundle, mine, each))
+    by = ["bundle", "block_a", "block_b"]
+    kind = names.schema[entity].dataType.simpleString()
+
+    def block(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _best_in_block(left, right, bar, keep + 1)
+
+    scored = blocks[0].groupBy(*by).cogroup(blocks[1].groupBy(*by)).applyInArrow(block, f"term string, entity {kind}, similarity double")
+    whom = mentions.where(F.col(term).isNotNull()).select(F.col(mention).alias("mention"), F.col(term).alias("term")).distinct()
+
+    def first(rows: DataFrame, key: str, n: int) -> DataFrame:
+        best = rows.groupBy(key, "entity").agg(F.max("similarity").alias("similarity"))
+        return best.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.col("similarity").desc(), "entity"))).where(F.col("rank") <= n)
+
+    top = first(whom.join(first(scored, "term", keep + 1).drop("rank"), "term"), "mention", keep + 1)
+    order = Window.partitionBy("mention").orderBy("rank")
+    ranked = top.withColumn("next", F.lead("similarity").over(order)).where(F.col("rank") <= keep)
+    clear = (F.col("rank") == 1) & (F.col("next").isNull() | (F.col("similarity") - F.col("next") >= margin))
+    return ranked.select(F.col("mention").alias(mention), F.col("entity").alias(entity), "similarity", "rank", F.least(F.lit(FUZZY_CEILING), FUZZY_CEILING * F.col("similarity")).alias("confidence"), clear.alias("clear"))
 
 
 def merged_occurrences(occurrences: DataFrame, identifiers: DataFrame) -> DataFrame:

@@ -65,10 +65,13 @@ def fuzzy_bigram_match(t: Tables) -> DataFrame:
     return found.select("mention", "entity", F.round("similarity", 6).alias("similarity"), "rank", "clear")
 
 
-@query(_FUZZY)
+@query(_FUZZY.replace("SELECT m, e, 2 *", "SELECT e AS m, m AS e, 2 *"))
 def fuzzy_bigram_match_all(t: Tables) -> DataFrame:
-    """The same under the name it had while :func:`fuzzy_bigram_match` took some customers only."""
-    return fuzzy_bigram_match(t)
+    """The other way round: the best suppliers for the name of every customer."""
+    mentions = t.customer.select(F.col("c_custkey").alias("mention"), text.search_term(F.replace("c_name", F.lit("Customer"), F.lit("Supplier"))).alias("term"))
+    names = t.supplier.select(F.col("s_suppkey").alias("entity"), text.search_term(F.col("s_name")).alias("term"))
+    found = idn.fuzzy_match(mentions, names, "mention", "term", "entity")
+    return found.select("mention", "entity", F.round("similarity", 6).alias("similarity"), "rank", "clear")
 
 
 @query("""WITH m AS (SELECT DISTINCT p_name AS term, 'Brand#' || b AS context FROM part, (SELECT unnest(generate_series(1, 27)) AS b)),

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from scholarframe import plans
+from scholarframe.operators import identity
 from scholarframe.operators.identity import fuzzy_match
 
 
@@ -38,15 +39,22 @@ def test_fuzzy_match_is_brute_force(spark, bar):
     assert sorted((r["m"], r["e"], round(r["similarity"], 9), r["rank"], r["clear"]) for r in got.collect()) == brute(mentions, names, bar)
 
 
-def test_all_customers_are_candidates(spark):
+def test_blocks_of_common_bigrams(spark, monkeypatch):
+    """Blocks of a few names each give the same as one block."""
+    monkeypatch.setattr(identity, "BLOCK_ROWS", 7)
+    test_fuzzy_match_is_brute_force(spark, 0.5)
+
+
+@pytest.mark.parametrize("name", ["fuzzy_bigram_match", "fuzzy_bigram_match_all"])
+def test_all_customers_are_candidates(spark, name):
     """Against SQL at a size where more customers exist than the first 300."""
     folder = "/root/testdata/sf0.01"
     con = duckdb.connect()
     for t in ("customer", "supplier"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
-    rows = plans.QUERIES["fuzzy_bigram_match_all"](spark, folder)
-    want = con.sql(plans.ORACLE_SQL["fuzzy_bigram_match_all"])
+    rows = plans.QUERIES[name](spark, folder)
+    want = con.sql(plans.ORACLE_SQL[name])
     at = [want.columns.index(c) for c in rows.columns]
     got = sorted(tuple(r) for r in rows.collect())
     assert got == sorted(tuple(r[i] for i in at) for r in want.fetchall())
-    assert any(r[1] > 300 for r in got)
+    assert any(r[rows.columns.index("entity" if name == "fuzzy_bigram_match" else "mention")] > 300 for r in got)
