@@ -152,6 +152,23 @@ def polygon_area(t: Tables) -> DataFrame:
     return rows.select("s_suppkey", geo.ring_area(F.col("ring")).alias("area"), geo.ring_centre(F.col("ring")).alias("c")).select("s_suppkey", "area", F.col("c.x").alias("cx"), F.col("c.y").alias("cy"))
 
 
+@query("""WITH p AS (SELECT s_suppkey, (s_suppkey % 30 + 1)::DOUBLE AS w, (s_suppkey % 5 + 1)::DOUBLE AS h, (160 + s_suppkey % 19)::DOUBLE AS x FROM supplier)
+    SELECT s_suppkey, CAST(CASE WHEN x + w > 180 THEN 2 ELSE 1 END AS INTEGER) AS n_pieces, round(w * h, 6) AS area, round(least(x + w, 180) - x, 6) * h AS west_of_it, round(greatest(x + w - 180, 0), 6) * h AS east_of_it FROM p""")
+def antimeridian_split(t: Tables) -> DataFrame:
+    """Rectangles that reach over the antimeridian, cut there: the pieces' areas add up."""
+    k, zero = F.col("s_suppkey"), F.lit(0.0)
+    x, w, h = (160 + k % 19).cast("double"), (k % 30 + 1).cast("double"), (k % 5 + 1).cast("double")
+    end = F.when(x + w > 180, x + w - 360).otherwise(x + w)
+    ring = F.array(F.array(x, zero), F.array(end, zero), F.array(end, h), F.array(x, h), F.array(x, zero))
+    pieces = t.supplier.select("s_suppkey", geo.split_polygon(F.array(ring)).alias("pieces"))
+    sized = pieces.select("s_suppkey", F.size("pieces").alias("n_pieces"), F.transform("pieces", lambda p: F.struct((geo.ring_middle(p[0]) > 0).alias("west"), F.abs(geo.ring_area(p[0])).alias("area"))).alias("a"))
+
+    def total(west: bool) -> F.Column:
+        return F.round(F.aggregate(F.filter("a", lambda x: x["west"] == F.lit(west)), F.lit(0.0), lambda s, x: s + x["area"]), 6)
+
+    return sized.select("s_suppkey", "n_pieces", F.round(total(True) + total(False), 6).alias("area"), total(True).alias("west_of_it"), total(False).alias("east_of_it"))
+
+
 @query(f"WITH {PAPERS} SELECT DISTINCT year, round(least(100, greatest(0, (year - 1995) / 6.0::DOUBLE * 100)), 6) AS position, round(270 - 2.7 * (year - 1995) * 10, 6)::DOUBLE AS hue FROM papers")
 def timeline_scale(t: Tables) -> DataFrame:
     year = F.col("year")
