@@ -178,6 +178,38 @@ def annual_masses(papers: DataFrame, first: int, last: int) -> DataFrame:
     return years.join(mass, [*KEYS, "year"], "left").withColumn("mass", F.coalesce("mass", F.lit(0.0)))
 
 
+def corpus_windows(papers: DataFrame, categories: DataFrame, keys: list[str], last: int, universe: int, size: int = 3) -> DataFrame:
+    """``(*keys, period, activity, collaboration, diversity, momentum)`` over trailing windows of an observed corpus.
+
+    ``papers`` has the keys, ``paper_id, year, weight`` and two flags: whether
+    it is ``known`` if a paper is a collaboration, and whether it is ``joint``;
+    ``categories`` the ``share`` of each ``category`` in a paper.  A paper of a
+    year counts in the periods whose window reaches it, up to ``last``, so a
+    period without papers of its own has values as well.  Papers of which it is
+    not known do not count in the collaboration; the diversity is over the
+    whole ``universe`` of categories; momentum is the logarithm of the window
+    over the one before it, null where that holds nothing.
+    """
+    w, by = F.col("weight"), [*keys, "period"]
+
+    def reaching(rows: DataFrame, first: int) -> DataFrame:
+        ahead = F.when(F.col("year") + first <= last, F.sequence(F.col("year") + first, F.least(F.col("year") + first + size - 1, F.lit(last))))
+        return rows.withColumn("period", F.explode(ahead))
+
+    now = reaching(papers, 0)
+    sums = now.groupBy(*by).agg(
+        F.sum(w).alias("activity"), (F.coalesce(F.sum(F.when(F.col("known") & F.col("joint"), w)), F.lit(0.0)) / F.sum(F.when(F.col("known"), w))).alias("collaboration")
+    )
+    mixed = papers.groupBy(*keys, "paper_id", "year").agg(F.sum(w).alias("weight")).join(categories, "paper_id")
+    mixes = reaching(mixed.groupBy(*keys, "category", "year").agg(F.sum(w * F.col("share")).alias("weight")), 0).groupBy(*by, "category").agg(F.sum(w).alias("m"))
+    # H = ln M - sum(m ln m) / M, so one more aggregation is enough
+    total = F.sum("m")
+    diversity = mixes.where("m > 0").groupBy(*by).agg(((F.ln(total) - F.sum(F.col("m") * F.ln("m")) / total) / F.ln(F.lit(float(universe)))).alias("diversity"))
+    before = reaching(papers.groupBy(*keys, "year").agg(F.sum(w).alias("weight")), size).groupBy(*by).agg(F.sum(w).alias("base"))
+    found = sums.join(diversity, by, "left").join(before, by, "left")
+    return found.withColumn("momentum", F.when((F.col("base") > 0) & (F.col("activity") > 0), F.ln(F.col("activity") / F.col("base")))).drop("base")
+
+
 def momentum(papers: DataFrame, terminal: int, least_mass: float = 10.0) -> DataFrame:
     """``ln(R / B)`` of two adjacent windows of three years, with the volatility of yearly changes.
 

@@ -111,7 +111,12 @@ def paper_catalog_page(t: Tables) -> DataFrame:
 
 @query(f"""WITH {AFFILIATIONS}, mine AS (SELECT DISTINCT paper_id FROM aff WHERE institution_id = 3) SELECT m.paper_id, count(DISTINCT slot) AS n_authors, count(DISTINCT slot) = max(slot) AS complete FROM mine m JOIN aff USING (paper_id) GROUP BY 1""")
 def scoped_entity_context(t: Tables) -> DataFrame:
-    mine = t.affiliations.where("institution_id = 3").select("paper_id").distinct()
+    return entity_context(t, 3)
+
+
+def entity_context(t: Tables, institution: int) -> DataFrame:
+    """The papers of one institution, with all their author slots."""
+    mine = t.affiliations.where(F.col("institution_id") == institution).select("paper_id").distinct()
     return t.affiliations.join(mine, "paper_id", "left_semi").groupBy("paper_id").agg(F.count_distinct("slot").alias("n_authors"), (F.count_distinct("slot") == F.max("slot")).alias("complete"))
 
 

@@ -55,6 +55,14 @@ _FUZZY = f"""WITH a AS (SELECT s_suppkey AS m, {_NORM.format('s_name')} AS x FRO
     SELECT m AS mention, e AS entity, round(s, 6) AS similarity, rank, rank = 1 AND (nxt IS NULL OR s - nxt >= 0.05) AS clear FROM rk WHERE rank <= 3"""
 
 
+@query("""WITH n AS (SELECT doc_id, trim(regexp_replace(replace(lower(strip_accents(replace(text, 'ß', 'ss'))), '&', ' and '), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS term FROM documents)
+    SELECT doc_id, md5(term) AS term_md5, CAST(length(term) AS INTEGER) AS n_chars FROM n""")
+def unicode_terms(t: Tables) -> DataFrame:
+    """Whole texts in the search form that keeps letters of every script."""
+    term = text.unicode_term(F.col("text"))
+    return t.documents.select("doc_id", F.md5(term).alias("term_md5"), F.length(term).alias("n_chars"))
+
+
 @query(_FUZZY)
 def fuzzy_bigram_match(t: Tables) -> DataFrame:
     """The best customers for the name of every supplier, all customers considered."""

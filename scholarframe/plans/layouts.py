@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scholarframe.operators import relational as rel
 from scholarframe.plans.registry import PAPERS, query
 from scholarframe.session import shared_dir
+from scholarframe.sources import dataset as ds
 from scholarframe.sources import providers, sinks
 from scholarframe.sources.tables import Tables
 
@@ -95,6 +96,51 @@ def export_with_lineage(t: Tables) -> DataFrame:
     return sinks.export_json(papers, "paper_id")
 
 
+SPEC = {
+    "region": ds.Table("r_regionkey int, r_name string", ["r_regionkey"]),
+    "nation": ds.Table("n_nationkey int, n_name string, n_regionkey int", ["n_nationkey"], {"n_regionkey": "region"}),
+    "supplier": ds.Table("s_suppkey long, s_name string, s_nationkey int", ["s_suppkey"], {"s_nationkey": "nation"}),
+    "observation": ds.Table("s_suppkey long, field_id string, year int, n long", ["s_suppkey", "field_id", "year"], {"s_suppkey": "supplier"}),
+    "lineage": ds.Table("observation string, sources array<long>", ["observation"]),
+}
+_OBSERVATIONS = "o AS (SELECT l_suppkey AS s_suppkey, p_type AS field_id, year(l_shipdate) AS year, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2, 3)"
+
+
+def _dataset(t: Tables) -> dict[str, DataFrame]:
+    """Institutions with their places, yearly observations of them by field, and the papers that each observation comes from."""
+    lines = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("s_suppkey"), F.col("p_type").alias("field_id"), F.year("l_shipdate").alias("year"), "l_orderkey")
+    by = ["s_suppkey", "field_id", "year"]
+    return {
+        "region": t.region.select("r_regionkey", "r_name"),
+        "nation": t.nation.select("n_nationkey", "n_name", "n_regionkey"),
+        "supplier": t.supplier.select("s_suppkey", "s_name", "s_nationkey"),
+        "observation": lines.groupBy(*by).agg(F.count("*").alias("n")),
+        "lineage": lines.groupBy(F.concat_ws("/", *by).alias("observation")).agg(F.array_sort(F.collect_set("l_orderkey")).alias("sources")),
+    }
+
+
+@query(f"""WITH {_OBSERVATIONS} SELECT 'region' AS table_name, count(*) AS n_rows FROM region UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'supplier', count(*) FROM supplier
+    UNION ALL SELECT 'observation', count(*) FROM o UNION ALL SELECT 'lineage', count(*) FROM o""")
+def dataset_seed(t: Tables) -> DataFrame:
+    """A dataset exported with its observations and lineage, certified, loaded as a whole and read again."""
+    store, target = folder_for(t, "export"), folder_for(t, "seeded")
+    ds.export_dataset(_dataset(t), SPEC, store, "v1", limit=256 << 10)
+    refused = ds.seed_dataset(t.spark, store, "v1", SPEC, target)
+    if not refused.isEmpty():
+        return refused
+    return rel.counts_of(ds.seeded(t.spark, target, SPEC))
+
+
+@query(f"""WITH {_OBSERVATIONS}, gone AS (SELECT s_suppkey FROM supplier WHERE s_acctbal < 2000) SELECT 'shards' AS gate, true AS passed, 0::BIGINT AS n UNION ALL SELECT 'rows', true, 0 UNION ALL SELECT 'keys', true, 0
+    UNION ALL SELECT 'references', count(*) = 0, count(*) FROM o WHERE s_suppkey IN (SELECT * FROM gone) UNION ALL SELECT 'population', count(*) = 0, count(*) FROM gone""")
+def export_certification(t: Tables) -> DataFrame:
+    """The gates of an export that lost some institutions: what refers to them, and what its source holds besides."""
+    store, whole = folder_for(t, "export"), _dataset(t)
+    kept = whole | {"supplier": t.supplier.where("s_acctbal >= 2000").select("s_suppkey", "s_name", "s_nationkey")}
+    ds.export_dataset(kept, SPEC, store, "v2", limit=256 << 10)
+    return ds.certified_export(t.spark, store, "v2", SPEC, whole)
+
+
 # --- captures --------------------------------------------------------------------
 
 

@@ -411,6 +411,28 @@ def corpus_metrics(t: Tables) -> DataFrame:
     return yearly.select(*ind.KEYS, "year", r(sums["mass"]).alias("activity"), r(sums["num"] / sums["den"]).alias("impact"))
 
 
+@query(f"""WITH {attributed_sql('institution')}, k AS (SELECT paper_id, count(DISTINCT institution_id) FILTER (status = 'allocated') AS ni, bool_and(status = 'allocated') AS complete FROM shares GROUP BY 1),
+    rows AS (SELECT entity_id, field_id, paper_id, year, weight, complete OR ni > 1 AS known, ni > 1 AS joint FROM attributed JOIN k USING (paper_id)),
+    spread AS (SELECT *, unnest(generate_series(year, least(year + 2, {TERMINAL}))) AS period FROM rows), ahead AS (SELECT entity_id, field_id, weight, unnest(generate_series(year + 3, least(year + 5, {TERMINAL}))) AS period FROM rows WHERE year + 3 <= {TERMINAL}),
+    c AS (SELECT entity_id, field_id, period, sum(weight) AS mass, coalesce(sum(weight) FILTER (known AND joint), 0) / sum(weight) FILTER (known) AS collaboration FROM spread GROUP BY 1, 2, 3),
+    b AS (SELECT entity_id, field_id, period, sum(weight) AS base FROM ahead GROUP BY 1, 2, 3),
+    mix AS (SELECT entity_id, s.field_id, period, f.field_id AS sub, sum(weight * share) AS m FROM spread s JOIN field_shares f USING (paper_id) GROUP BY 1, 2, 3, 4),
+    d AS (SELECT entity_id, field_id, period, -sum(m / total * ln(m / total)) / ln((SELECT count(DISTINCT p_type) FROM part)) AS diversity FROM (SELECT *, sum(m) OVER (PARTITION BY entity_id, field_id, period) AS total FROM mix) GROUP BY 1, 2, 3)
+    SELECT entity_id, field_id, CAST(period AS INTEGER) AS period, round(mass, 6) AS activity, round(collaboration, 6) AS collaboration, round(diversity, 6) AS diversity, round(CASE WHEN base > 0 THEN ln(mass / base) END, 6) AS momentum
+    FROM c JOIN d USING (entity_id, field_id, period) LEFT JOIN b USING (entity_id, field_id, period)""")
+def corpus_shares(t: Tables) -> DataFrame:
+    """Collaboration, category diversity and momentum of the observed corpus, for every period that a window reaches."""
+    shares = att.attribution_shares(t.affiliations)
+    allocated = F.col("status") == "allocated"
+    flags = shares.groupBy("paper_id").agg(F.count_distinct(F.when(allocated, F.col("institution_id"))).alias("ni"), F.bool_and(allocated).alias("complete"))
+    rows = attributed(t, "institution").select("entity_id", "field_id", "paper_id", "year", "weight").join(flags, "paper_id")
+    rows = rows.withColumns({"known": F.col("complete") | (F.col("ni") > 1), "joint": F.col("ni") > 1})
+    fields = fld.equal_shares(t.categories).select("paper_id", F.col("field_id").alias("category"), "share")
+    return ind.corpus_windows(rows, fields, ["entity_id", "field_id"], TERMINAL, t.part.agg(F.count_distinct("p_type")).first()[0]).select(
+        "entity_id", "field_id", "period", *(r(c).alias(c) for c in ("activity", "collaboration", "diversity", "momentum"))
+    )
+
+
 @query(f"""WITH {attributed_sql('institution')}, {_ACTIVITY}, {_winsor('activity', 'mass', 'entity_type, field_id', 2)}
     SELECT entity_type, entity_id, count(score) AS n_fields, round(count(score) / 6.0::DOUBLE, 6) AS coverage, round(CASE WHEN count(score) / 6.0 >= 0.9 THEN avg(score) END, 5) AS mean_score FROM scored GROUP BY 1, 2""")
 def physics_wide_mean(t: Tables) -> DataFrame:

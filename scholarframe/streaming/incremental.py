@@ -64,7 +64,7 @@ def manifest(spark: SparkSession, store: str) -> Manifest:
     return Manifest(newest["version"], newest["upto"], newest["base"], dict(map(tuple, newest["batches"] or []))) if newest else Manifest()
 
 
-def _commit(spark: SparkSession, store: str, new: Manifest) -> None:
+def commit(spark: SparkSession, store: str, new: Manifest) -> None:
     """One file, which Spark moves into its place when it is complete."""
     row = spark.createDataFrame([(new.upto, new.base, list(new.batches.items()), new.version + 1)], _MANIFEST)
     row.coalesce(1).write.mode("overwrite").json(f"{store}/log/version={new.version + 1}")
@@ -78,7 +78,7 @@ def append_batch(batch: DataFrame, store: str, number: int) -> bool:
         return False
     folder = f"data/batch-{number}-{uuid.uuid4().hex}"
     batch.withColumn(BATCH, F.lit(number).cast("long")).write.parquet(f"{store}/{folder}")
-    _commit(spark, store, replace(now, batches=now.batches | {number: folder}))
+    commit(spark, store, replace(now, batches=now.batches | {number: folder}))
     return True
 
 
@@ -100,7 +100,7 @@ def compact(spark: SparkSession, store: str, keys: list[str], order: list[str],
     folder = f"data/upto-{upto}-{uuid.uuid4().hex}"
     rows = spark.read.option("mergeSchema", "true").parquet(*(f"{store}/{f}" for f in old))
     latest(rows, keys, [*order, BATCH]).write.parquet(f"{store}/{folder}")
-    _commit(spark, store, Manifest(now.version, upto, folder, {n: f for n, f in now.batches.items() if n > upto}))
+    commit(spark, store, Manifest(now.version, upto, folder, {n: f for n, f in now.batches.items() if n > upto}))
 
 
 def vacuum(spark: SparkSession, store: str) -> int:

@@ -149,7 +149,7 @@ def test_crash_between_the_writes(spark, tmp_path, monkeypatch):
         raise RuntimeError("lost")
 
     with monkeypatch.context() as m:
-        m.setattr(inc, "_commit", lost)
+        m.setattr(inc, "commit", lost)
         for broken in (lambda: inc.append_batch(rows(spark, ("b", 5, "z")), store, 2), lambda: inc.compact(spark, store, ["k"], ["at"], upto=1)):
             with pytest.raises(RuntimeError):
                 broken()
