@@ -21,6 +21,7 @@ def aligned_identifiers(local: Column, author: Column, n_affiliations: Column) -
     none = F.array().cast("array<string>")
     own, wide = (F.array_sort(F.array_distinct(F.coalesce(c, none))) for c in (local, author))
     has_own, has_wide, single = F.size(own) > 0, F.size(wide) > 0, n_affiliations == 1
+    # The names of the alignments.
     kind = (
         F.when(~has_own & ~has_wide, "no-ror-evidence")
         .when(~single & has_own & has_wide, "affiliation-local-ror-author-level-set-unaligned")
@@ -42,6 +43,7 @@ AUTHORITIES = {"institution": ("ror",), "researcher": ("orcid", "inspire"), "pap
 def unmatched_reason(status: Column, evidence_reasons: Column, schemes: Column, authorities: tuple[str, ...], requires_authority: Column) -> Column:
     """Why a record was not matched, null when it was: missing or invalid input, no authority identifier, or unclassified."""
     known = F.exists(F.coalesce(schemes, F.array().cast("array<string>")), lambda s: F.lower(s).isin(*authorities))
+    # The names of the reasons.
     return (
         F.when(status == "matched", None)
         .when(F.array_contains(F.coalesce(evidence_reasons, F.array().cast("array<string>")), "missing-or-invalid"), "missing-or-invalid")

@@ -32,18 +32,35 @@ PROFILES = {
 }
 
 
+#: Why a weight configuration is refused, in order.
+UNKNOWN_METRICS, STEPS, TOTAL = "weights name other metrics than the known ones", "weights are multiples of 0.5 from 0", "weights add up to 100"
+
+
 def weight_problems(weights: dict[str, float], known: set[str]) -> list[str]:
     """Why a weight configuration is refused; empty when it is fine."""
     found = []
     if set(weights) != known:
-        found.append("weights name other metrics than the known ones")
+        found.append(UNKNOWN_METRICS)
     if any(w < 0 or w * 2 != int(w * 2) for w in weights.values()):
-        found.append("weights are multiples of 0.5 from 0")
+        found.append(STEPS)
     if abs(sum(weights.values()) - 100) > 1e-9:
-        found.append("weights add up to 100")
+        found.append(TOTAL)
     return found
 
 
+def profile_problems(weights: DataFrame, known: DataFrame, profile: str, metric: str, weight: str) -> DataFrame:
+    """``(profile, problems)``: :func:`weight_problems` of every configuration of a table; a metric named twice is not a known set."""
+    rows = weights.join(known.select(F.col(metric)).distinct().withColumn("__known", F.lit(True)), metric, "left")
+    n = known.select(metric).distinct().count()
+    w = F.col(weight)
+    found = rows.groupBy(profile).agg(
+        F.count("*").alias("__rows"), F.count_distinct(F.when(F.col("__known"), F.col(metric))).alias("__of"),
+        F.bool_or(w.isNull() | (w < 0) | (w * 2 != F.floor(w * 2))).alias("__steps"), F.coalesce(F.sum(w), F.lit(0.0)).alias("__sum"),
+    )
+    checks = ((F.col("__rows") != n) | (F.col("__of") != n), UNKNOWN_METRICS), (F.col("__steps"), STEPS), (F.abs(F.col("__sum") - 100) > 1e-9, TOTAL)
+    return found.select(profile, F.array_compact(F.array(*(F.when(c, F.lit(text)) for c, text in checks))).alias("problems"))
+
+
 def composite(observations: DataFrame, weights: dict[str, float], keys: list[str], metric: str = "metric_id", value: str = "value", version: str | None = None) -> DataFrame:
     """The weighted mean of metrics, only where every metric with weight is there, in one version."""
     active = {m: w for m, w in weights.items() if w}

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholarframe.operators import relational as rel
 from scholarframe.plans.registry import PAPERS, query
 from scholarframe.session import shared_dir
 from scholarframe.sources import dataset as ds
-from scholarframe.sources import providers, sinks
+from scholarframe.sources import capture, providers, sinks
 from scholarframe.sources.tables import Tables
 
 
@@ -144,6 +144,25 @@ def export_certification(t: Tables) -> DataFrame:
 # --- captures --------------------------------------------------------------------
 
 
+@query("""WITH n AS (SELECT CAST(year(o_orderdate) AS VARCHAR) AS partition, (row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderkey) - 1) // 100 AS page FROM orders),
+    p AS (SELECT partition, page, count(*) AS n FROM n GROUP BY 1, 2), e AS (SELECT partition, max(page) AS last, sum(n) AS expected FROM p GROUP BY 1), f AS (SELECT partition, min(page) AS first_lost FROM p WHERE (page * 7 + partition::INTEGER) % 23 = 0 GROUP BY 1)
+    SELECT partition, CAST(coalesce(first_lost, last + 1) AS INTEGER) AS next_page, CASE WHEN first_lost > 0 THEN 'after ' || (first_lost - 1) END AS next_cursor, CAST(coalesce((SELECT sum(n) FROM p WHERE p.partition = e.partition AND page < first_lost), CASE WHEN first_lost IS NULL THEN expected ELSE 0 END) AS BIGINT) AS n_records,
+    CASE WHEN first_lost IS NULL THEN 'complete' WHEN first_lost = 0 THEN 'not begun' ELSE 'open' END AS state FROM e LEFT JOIN f USING (partition)""")
+def capture_pages(t: Tables) -> DataFrame:
+    """Yearly captures in pages of 100 records, some of whose files were lost: where each goes on."""
+    store, year = folder_for(t, "pages"), F.year("o_orderdate").cast("string")
+    placed = t.orders.select(year.alias("partition"), "o_orderkey").withColumn("at", F.row_number().over(Window.partitionBy("partition").orderBy("o_orderkey")) - 1)
+    pages = placed.groupBy("partition", F.floor(F.col("at") / 100).cast("int").alias("page")).agg(F.array_join(F.array_sort(F.collect_list("o_orderkey")), ",").alias("payload"), F.count("*").alias("n_records"))
+    whole = Window.partitionBy("partition")
+    cursor = F.when(F.col("page") > 0, F.concat(F.lit("after "), F.col("page") - 1))
+    following = F.when(F.col("page") < F.max("page").over(whole), F.concat(F.lit("after "), "page"))
+    pages = pages.withColumns({"cursor": cursor, "next_cursor": following, "expected": F.sum("n_records").over(whole)})
+    lost = (F.col("page") * 7 + F.col("partition").cast("int")) % 23 == 0
+    capture.kept_pages(pages.where(~lost), store)
+    receipts = pages.withColumn("sha256", F.sha2(F.col("payload").cast("binary"), 256)).drop("payload")
+    return capture.resume_points(pages.select("partition"), capture.verified_receipts(receipts, store))
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate <= TIMESTAMP '1999-12-31' AND o_totalprice >= 100000")
 def acquisition_scope(t: Tables) -> DataFrame:
     first, last = (F.lit(x).cast("timestamp") for x in ("1997-01-01", "1999-12-31"))

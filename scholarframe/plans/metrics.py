@@ -462,6 +462,16 @@ def composite_weighted(t: Tables) -> DataFrame:
     return found.withColumn("composite", r("composite"))
 
 
+@query("""WITH w AS (SELECT p_brand AS profile, p_type AS metric, sum(p_size) / 10.0::DOUBLE AS weight FROM part GROUP BY 1, 2), k AS (SELECT DISTINCT p_type AS metric FROM part)
+    SELECT profile, concat_ws('; ', CASE WHEN count(*) <> (SELECT count(*) FROM k) THEN 'weights name other metrics than the known ones' END, CASE WHEN bool_or(weight < 0 OR weight * 2 <> floor(weight * 2)) THEN 'weights are multiples of 0.5 from 0' END,
+    CASE WHEN abs(sum(weight) - 100) > 1e-9 THEN 'weights add up to 100' END) AS problems FROM w GROUP BY 1""")
+def weight_profiles(t: Tables) -> DataFrame:
+    """Why each weight configuration of a table is refused, empty where it is fine."""
+    weights = t.part.groupBy(F.col("p_brand").alias("profile"), F.col("p_type").alias("metric")).agg((F.sum("p_size") / 10.0).alias("weight"))
+    known = t.part.select(F.col("p_type").alias("metric")).distinct()
+    return rollup.profile_problems(weights, known, "profile", "metric", "weight").withColumn("problems", F.array_join("problems", "; "))
+
+
 @query("""SELECT event_type, user_id, floor(avg(value) * 10 + 0.5) / 10 AS rounded FROM events GROUP BY 1, 2""")
 def half_up_rounding(t: Tables) -> DataFrame:
     return t.events.groupBy("event_type", "user_id").agg(F.avg("value").alias("v")).select("event_type", "user_id", round_half_up(F.col("v")).alias("rounded"))
