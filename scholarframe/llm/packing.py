@@ -6,8 +6,8 @@ each task places its own one by one as they come, with a fixed number of open
 bins: a bitset tells which amounts of free space are open, so the bin a piece
 fits best is one shift and one lowest bit away, and when a new bin is needed
 beyond the number the fullest open one closes.  Bins that end with space to
-spare, closed or still open, are dissolved, and their pieces come a second
-time, dealt anew and large ones early, to the same online packing.
+spare, closed or still open, are dissolved, and their pieces come again, dealt
+anew by another hash, to the same online packing.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ from scholarframe.llm.pieces import encoder
 from scholarframe.session import stored
 
 CAPACITY, OPEN_BINS = 2048, 1024
-#: Pieces that come to one task the second time.
-TOGETHER = 1 << 14
+#: How often pieces may be packed, and how many come to one task after the first time.
+PASSES, TOGETHER = 4, 1 << 14
 
 
 def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,28 +149,29 @@ def _packed(rows: DataFrame, capacity: int, open_bins: int) -> DataFrame:
     return rows.mapInArrow(each, f"{schema}, bin long, bin_offset long, bin_used long")
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, most_free: int | None = None, together: int = TOGETHER) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, most_free: int | None = None, together: int = TOGETHER, passes: int = PASSES) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; the pieces of a sequence fill it from 0 without gaps.
 
     Needs the columns ``doc_id``, ``piece`` and ``length``; lengths lie between
     1 and ``capacity``.  Repeated rows are packed each for itself; columns
     named ``bin``, ``bin_offset``, ``bin_used``, ``sequence_id`` or ``offset``
     are replaced.  Bins that end with more than ``most_free`` free places, a
-    128th of the capacity by default, are dissolved, and their pieces come once more.
+    128th of the capacity by default, are dissolved, and their pieces go through
+    the same online packing once more, dealt anew by their hash, ``passes``
+    times in all.  No pass looks at lengths before it places a piece.
     """
     most_free = capacity // 128 if most_free is None else most_free
-    rows = pieces.drop("bin", "bin_offset", "bin_used", "sequence_id", "offset")
-    order = [F.xxhash64("doc_id", "piece"), *map(F.col, ("doc_id", "piece", "length"))]
-    dealt = rows.repartition(order[0]).sortWithinPartitions(*order)
-    first = stored(_packed(dealt, capacity, open_bins), "bins")
-    wasteful = F.col("bin_used") < capacity - most_free
-    left = first.where(wasteful).drop("bin", "bin_offset", "bin_used")
-    parts = left.count() // together + 1
-    # every part holds about `together` small rows, whatever the size of the corpus
-    again = left.repartition(parts, F.xxhash64("piece", "doc_id", "length")).sortWithinPartitions(F.desc("length"), *order)
-    second = _packed(again, capacity, 4 * open_bins)
-    done = first.where(~wasteful).withColumn("sequence_id", F.col("bin") * 2)
-    return done.unionByName(second.withColumn("sequence_id", F.col("bin") * 2 + 1)).withColumn("offset", F.col("bin_offset")).drop("bin", "bin_offset", "bin_used")
+    left = pieces.drop("bin", "bin_offset", "bin_used", "sequence_id", "offset")
+    own, done = left.columns, []
+    for k in range(passes):
+        order = [F.xxhash64(F.lit(k), "doc_id", "piece"), *map(F.col, ("doc_id", "piece", "length"))]
+        # later every part holds about `together` small rows, whatever the size of the corpus
+        dealt = left.repartition(left.count() // together + 1, order[0]) if k else left.repartition(order[0])
+        packed = stored(_packed(dealt.sortWithinPartitions(*order), capacity, open_bins * (4 if k else 1)), "bins")
+        wasteful = (F.col("bin_used") < capacity - most_free) & F.lit(k < passes - 1)
+        done.append(packed.where(~wasteful).select(*own, (F.col("bin") * passes + k).alias("sequence_id"), F.col("bin_offset").alias("offset")))
+        left = packed.where(wasteful).select(*own)
+    return reduce(DataFrame.unionByName, done)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, end_id: int = 0, with_ids: bool = False) -> DataFrame:
