@@ -122,7 +122,14 @@ class Lexicon:
                         spared.append((start, end))
                 elif stem != whole and weight > hits.get(start, (0, 0.0))[1]:
                     hits[start] = end, weight
-        return [(a, b, w) for a, (b, w) in sorted(hits.items()) if not any(x <= a and b <= y for x, y in spared)]
+        spared.sort()
+        found, k, reach = [], 0, -1  # how far phrases go that begin at a hit or before it
+        for a, (b, w) in sorted(hits.items()):
+            while k < len(spared) and spared[k][0] <= a:
+                reach, k = max(reach, spared[k][1]), k + 1
+            if b > reach:
+                found.append((a, b, w))
+        return found
 
     def features(self, texts: list[str]) -> np.ndarray:
         """Whether anything was found, the weight found, and the weight for each 1,000 characters."""
@@ -143,7 +150,7 @@ def _phrase_key(words: list[str]) -> str:
 
 
 def _folded_sample(sample: DataFrame) -> DataFrame:
-    """``(id, label, half, text, words)``: the folded words of the sample, near copies once, dealt into two halves."""
+    """``(id, label, half, text, words)``: the folded words of the sample, near copies of one label once, dealt into two halves."""
 
     @F.arrow_udf("struct<words:string,key:string>")
     def folded(texts: pa.Array) -> pa.Array:
@@ -152,7 +159,7 @@ def _folded_sample(sample: DataFrame) -> DataFrame:
 
     order = F.struct(F.xxhash64("id"), F.col("id"))
     rows = sample.withColumn("folded", folded("text")).select("id", "label", "text", "folded.words", "folded.key")
-    once = rows.groupBy("key").agg(F.min_by(F.struct("id", "label", "text", "words"), order).alias("row")).select("row.*")
+    once = rows.groupBy("key", "label").agg(F.min_by(F.struct("id", "text", "words"), order).alias("row")).select("label", "row.*")
     return once.withColumn("half", F.pmod(F.shiftright(F.xxhash64("id"), 17), F.lit(2)).cast("int"))
 
 

@@ -5,7 +5,7 @@ import pytest
 
 from scholarframe.llm.learning import probability, split_of
 from scholarframe.llm.registry import op6_toxicity
-from scholarframe.llm.toxicity import Lexicon, fold, learn, score_toxicity, toxicity_lexicon
+from scholarframe.llm.toxicity import Lexicon, _folded_sample, fold, learn, score_toxicity, toxicity_lexicon
 
 SF = "/root/testdata/sf0.01"
 
@@ -92,3 +92,23 @@ def test_near_copies_count_once(spark):
     plain = [f"plain text{i} of day{i}" for i in range(60)]
     lexicon = learnt(spark, ["alike words in this copy zzgrim"] * 40 + real + plain, [1] * 52 + [0] * 60)
     assert fold("clown") in lexicon.weights and fold("zzgrim") not in lexicon.weights
+
+
+def test_many_hits_and_exceptions():
+    """A megabyte in which every hit lies beside an exception takes seconds."""
+    import time
+
+    lexicon = Lexicon({"bad": 2.0, "dog": 1.0}, {"bad dog", "dog bad dog"})
+    start = time.perf_counter()
+    assert lexicon.matches("bad dog " * 125_000) == []
+    assert len(lexicon.matches("bad cat dog " * 80_000)) == 160_000
+    assert lexicon.matches("dog bad") == [(0, 3, 1.0), (4, 7, 2.0)]
+    assert time.perf_counter() - start < 10
+
+
+def test_near_copies_of_other_labels_stay(spark):
+    """A toxic variant of a harmless text is not taken for its copy."""
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, 0, words), (2, 1, words + " foulword"), (3, 1, words + " foulword")]
+    kept = _folded_sample(spark.createDataFrame(rows, "id long, label int, text string")).collect()
+    assert sorted(r["label"] for r in kept) == [0, 1]
