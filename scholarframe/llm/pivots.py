@@ -41,13 +41,14 @@ TOGETHER, PAIRS = 1024, 1 << 20
 
 def choose_pivots(drawn: np.ndarray, most: int) -> np.ndarray:
     """Unit vectors from ``drawn``, each in turn kept if unlike those before it."""
-    kept = np.zeros((0, drawn.shape[1] if drawn.ndim == 2 else 0))
+    kept, n = np.empty((min(most, len(drawn)), drawn.shape[1] if drawn.ndim == 2 else 0)), 0
     for row in drawn:
-        if len(kept) >= most:
+        if n >= most:
             break
-        if not len(kept) or (kept @ row).max() < APART:
-            kept = np.r_[kept, row[None]]
-    return kept
+        if not n or (kept[:n] @ row).max() < APART:
+            kept[n] = row
+            n += 1
+    return kept[:n]
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -141,10 +142,10 @@ def _links_of_cell(cell: pa.Table, least: float, shared: int, width: int) -> pa.
             i, j = i[apart], j[apart]
         for k in range(0, len(i), 1 << 14):
             x, y = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+            here = _meets_here(near[x], near[y], pivot, second)  # first, so that a pair is verified in one list only
+            x, y = x[here], y[here]
             alike = np.einsum("ij,ij->i", unit[x], unit[y]) >= least
             x, y = x[alike], y[alike]
-            here = _meets_here(near[x], near[y], pivot, second)
-            x, y = x[here], y[here]
             links += np.bincount(x, n[y], len(rep)).astype(np.int64) + np.bincount(y, n[x], len(rep)).astype(np.int64)
             fresh = label[x] != label[y]
             if fresh.any():
