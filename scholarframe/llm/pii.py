@@ -286,8 +286,16 @@ def estimate(kinds: list[str], votes: np.ndarray, counts: np.ndarray, rounds: in
     return out
 
 
+def _corpus_key(docs: DataFrame, text_col: str) -> bytes:
+    """A key that the whole corpus gives, the same in any order, and that no one has who cannot read the corpus."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    sums = docs.agg(*(F.coalesce(F.sum(F.xxhash64(F.lit(salt), text).cast("decimal(20,0)")), F.lit(0)) for salt in range(4))).first()
+    return hashlib.sha256(",".join(map(str, sums)).encode()).digest()
+
+
 def _candidate_rows(docs: DataFrame, text_col: str, lists: Gazetteers) -> DataFrame:
-    rows = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null")
+    """The candidates of all texts, their strings as digests under a key, as numbers alone could be found by trying all."""
+    rows, key = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null"), _corpus_key(docs, text_col)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,7 +304,7 @@ def _candidate_rows(docs: DataFrame, text_col: str, lists: Gazetteers) -> DataFr
                 yield pa.RecordBatch.from_pydict({
                     "kind": pa.array([c.kind for _, c in found], pa.string()),
                     "votes": pa.array([",".join(map(str, c.votes)) for _, c in found], pa.string()),
-                    "string": pa.array([hashlib.sha256(t[c.start : c.end].encode()).hexdigest() for t, c in found], pa.string()),
+                    "string": pa.array([hashlib.blake2b(t[c.start : c.end].encode(), key=key, digest_size=32).hexdigest() for t, c in found], pa.string()),
                     "seen": pa.array([features(t, c) for t, c in found], pa.list_(pa.float64())),
                 })
 
@@ -310,7 +318,7 @@ def span_classifier(docs: DataFrame, text_col: str = "text", sample: int = SAMPL
     thousand of them however many documents there are.  The sample is drawn
     from distinct candidates, which weigh by the logarithm of how often they
     occur, so copies of one neither fill it nor outweigh the others.  What is
-    kept of a candidate between the two passes is a digest, not the string.
+    kept of a candidate between the two passes is a digest under a key, not the string.
     """
     own = ["kind", "string", "votes", "seen"]
     rows = stored(_candidate_rows(docs, text_col, lists).groupBy(*own).agg(F.count("*").alias("copies")), "candidates")
