@@ -14,7 +14,7 @@ from scholarframe.session import stored
 
 #: Scores by how a match was made, and the bars of the fuzzy one.
 EXACT, ALIAS, FUZZY_CEILING, FUZZY_BAR, FUZZY_MARGIN = 0.99, 0.96, 0.89, 0.75, 0.05
-#: Names of one bigram that a block holds, and bundles that bigrams with fewer are dealt into.
+#: Sets of one bigram that a block holds, and bundles that bigrams with fewer are dealt into.
 BLOCK_ROWS, BUNDLES = 2048, 256
 
 
@@ -55,41 +55,48 @@ def segment_match(mentions: DataFrame, text: str, names: DataFrame, term: str, e
 
 
 def _best_in_block(left: pa.Table, right: pa.Table, bar: float, keep: int) -> pa.Table:
-    """The ``keep`` most similar names of each term, over the bigrams of one block.
+    """The ``keep`` most similar sets of each set of bigrams, over the bigrams of one block.
 
     Both sides have a row for each entered bigram: ``key``, the bigram's
-    ``rank``, and ``ranks``, all of the term in order.  Sets are compared as
-    rows of 0 and 1 in one product of matrices.  A pair counts at the rarest
-    bigram that both terms hold, so not at one where they share a rarer one.
+    ``rank``, and ``ranks``, all of the set in order; ``least`` orders the right
+    side among equals.  Sets are compared as rows of 0 and 1 in one product of
+    matrices.  A pair counts at the rarest bigram that both hold, so not at one
+    where they share a rarer one.
     """
-    names = right.sort_by([("rank", "ascending"), ("key", "ascending")])
+    names = right.sort_by([("rank", "ascending"), ("least", "ascending"), ("key", "ascending")])
     terms = left.sort_by("rank")
     found: list[tuple] = []
     cuts = [(t.column("rank").to_numpy(), t.column("key").to_pylist(), t.column("first").to_pylist(), t.column("ranks").to_pylist()) for t in (terms, names)]
+    least = names.column("least")
     for rank in np.intersect1d(cuts[0][0], cuts[1][0]):
-        sides = []
-        for ranks, keys, firsts, sets in cuts:
-            own = range(*(int(x) for x in (np.searchsorted(ranks, rank), np.searchsorted(ranks, rank, "right"))))
-            sides.append(([keys[i] for i in own], [firsts[i] for i in own], [sets[i] for i in own]))
-        known = {r: i for i, r in enumerate(sorted({r for _, _, sets in sides for x in sets for r in x}))}
+        spans = [range(*(int(np.searchsorted(c[0], rank, side)) for side in ("left", "right"))) for c in cuts]
+        (keys_a, first_a, sets_a), (keys_b, first_b, sets_b) = (tuple([c[i] for i in own] for c in cut[1:]) for cut, own in zip(cuts, spans, strict=True))
+        known = {r: i for i, r in enumerate(sorted({r for sets in (sets_a, sets_b) for x in sets for r in x}))}
         rarer = known[rank]
         hot = []
-        for _, _, sets in sides:
+        for sets in (sets_a, sets_b):
             m = np.zeros((len(sets), len(known)), np.float32)
-            for i, x in enumerate(sets):
-                m[i, [known[r] for r in x]] = 1
-            hot.append(m)
-        (keys_a, first_a, sets_a), (keys_b, first_b, sets_b) = sides
+            sizes = np.array([len(x) for x in sets])
+            m[np.repeat(np.arange(len(sets)), sizes), [known[r] for x in sets for r in x]] = 1
+            hot.append((m, sizes))
         code = {c: i for i, c in enumerate({*first_a, *first_b})}
-        same = np.array([code[c] for c in first_a])[:, None] == np.array([code[c] for c in first_b])[None, :]
-        size = np.array([len(x) for x in sets_a])[:, None] + np.array([len(x) for x in sets_b])[None, :]
-        dice = 2 * (hot[0] @ hot[1].T).astype(float) / size
-        good = same & (dice >= bar) & (hot[0][:, :rarer] @ hot[1][:, :rarer].T == 0)
+        good = np.array([code[c] for c in first_a])[:, None] == np.array([code[c] for c in first_b])[None, :]
+        dice = 2 * (hot[0][0] @ hot[1][0].T).astype(float) / (hot[0][1][:, None] + hot[1][1][None, :])
+        good &= dice >= bar
+        if rarer:
+            good &= hot[0][0][:, :rarer] @ hot[1][0][:, :rarer].T == 0
         dice[~good] = -1.0
-        best = np.argsort(-dice, axis=1, kind="stable")[:, :keep]  # names lie in the order of their keys, which settles ties
-        for i, j in zip(*np.nonzero(np.take_along_axis(good, best, axis=1)), strict=True):
-            found.append((keys_a[i], keys_b[best[i, j]], float(dice[i, best[i, j]])))
-    return pa.table([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], right.schema.field("key").type), pa.array([f[2] for f in found], pa.float64())], ["term", "entity", "similarity"])
+        every = np.arange(len(keys_a))
+        for _ in range(min(keep, len(keys_b))):
+            best = dice.argmax(axis=1)  # the first of equals, and names lie in their order
+            top = dice[every, best]
+            hits = np.flatnonzero(top >= 0)
+            if not len(hits):
+                break
+            found.extend((keys_a[i], keys_b[best[i]], spans[1][best[i]], top[i]) for i in hits)
+            dice[every, best] = -1.0
+    columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string()), least.take(pa.array([f[2] for f in found], pa.int64())), pa.array([f[3] for f in found], pa.float64())]
+    return pa.table(columns, ["term", "name", "least", "similarity"])
 
 
 def fuzzy_match(mentions: DataFrame, names: DataFrame, mention: str, term: str, entity: str, bar: float = FUZZY_BAR, margin: float = FUZZY_MARGIN, keep: int = 3) -> DataFrame:
@@ -98,15 +105,22 @@ def fuzzy_match(mentions: DataFrame, names: DataFrame, mention: str, term: str,
     Only names with the same first character count.  The best is clear when it
     passes the bar, which is above 0, and leads the next by the margin.
 
-    Names meet on rare bigrams: with all bigrams ordered by how often they
-    occur, two names that reach the bar share one among the first few of each.
-    Terms that many mentions share are matched once.  Bigrams with many names
-    are cut into blocks of both sides, and a block hands on the best few of
-    each term only.
+    Texts with one first character and one set of bigrams are alike to all
+    others, so each such set is compared once, however many mentions and
+    entities have it; a set stands for its smallest entities.  Sets
+    meet on rare bigrams: with all bigrams ordered by how often they occur, two
+    that reach the bar share one among the first few of each.  Bigrams with
+    many sets are cut into blocks of both sides, and a block hands on the best
+    few of each set only.
     """
-    a = mentions.where(F.col(term).isNotNull()).select(F.col(term).alias("key"), F.col(term).alias("text")).distinct()
-    b = names.where(F.col(term).isNotNull()).select(F.col(entity).alias("key"), F.col(term).alias("text")).distinct()
-    sets = [stored(t.select("key", F.substring("text", 1, 1).alias("first"), bigrams(F.col("text")).alias("grams")), "grams") for t in (a, b)]
+    texts = [t.where(F.col(term).isNotNull()).select(F.col(key).alias("who"), F.col(term).alias("text")).distinct() for t, key in ((mentions, mention), (names, entity))]
+    split = [t.select("who", F.substring("text", 1, 1).alias("first"), bigrams(F.col("text")).alias("grams")) for t in texts]
+    # equal sets are equal texts once they are in order
+    keyed = [stored(t.select("who", "first", F.array_sort("grams").alias("grams")).withColumn("key", F.to_json(F.struct("first", "grams"))).distinct(), "grams") for t in split]
+    sets = [t.groupBy("key").agg(F.any_value("first").alias("first"), F.any_value("grams").alias("grams"), F.min("who").alias("least")) for t in keyed]
+    sets = [stored(t if x else t.drop("least"), "sets") for x, t in enumerate(sets)]
+    # an entity of several names is the smallest of so many sets at most, so among this many sets are keep + 1 entities
+    most = keyed[1].groupBy("who").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
     frequency = sets[0].select(F.explode("grams").alias("gram")).unionAll(sets[1].select(F.explode("grams").alias("gram"))).groupBy("gram").agg(F.count("*").alias("n"))
     ranks = frequency.select("gram", F.row_number().over(Window.orderBy("n", "gram")).alias("rank"))  # pairs of characters, far fewer than names
     # Dice of the bar or more needs bar * n / (2 - bar) common bigrams, whatever the size of the other set
@@ -114,32 +128,40 @@ def fuzzy_match(mentions: DataFrame, names: DataFrame, mention: str, term: str,
     head = F.slice("ranks", F.lit(1), F.least(F.size("ranks"), F.size("ranks") - need + 1))
     sides = []
     for t in sets:
-        ordered = t.withColumn("gram", F.explode("grams")).join(ranks, "gram").groupBy("key", "first", "grams").agg(F.array_sort(F.collect_list("rank")).alias("ranks"))
-        sides.append(stored(ordered.select("key", "first", "ranks", F.explode(head).alias("rank")), "heads"))
+        own = [c for c in t.columns if c != "grams"]
+        ordered = t.withColumn("gram", F.explode("grams")).join(ranks, "gram").groupBy(*own).agg(F.array_sort(F.collect_list("rank")).alias("ranks"))
+        sides.append(stored(ordered.select(*own, "ranks", F.explode(head).alias("rank")), "heads"))
     counts = [t.groupBy("rank").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(f"parts_{x}")) for t, x in zip(sides, "ab", strict=True)]
     parts = counts[0].join(counts[1], "rank")  # a row for each bigram of both sides
     blocks = []
     for t, x in zip(sides, "ab", strict=True):
         own, other = (F.col(f"parts_{x}"), F.col("parts_b" if x == "a" else "parts_a"))
-        mine = F.pmod(F.xxhash64(F.col("key").cast("string"), F.array_join("ranks", ",")), own).cast("int").alias(f"block_{x}")
+        mine = F.pmod(F.xxhash64("key"), own).cast("int").alias(f"block_{x}")
         each = F.explode(F.sequence(F.lit(0), other - 1)).alias("block_b" if x == "a" else "block_a")
         cold = (F.col("parts_a") == 1) & (F.col("parts_b") == 1)
         bundle = F.when(cold, F.pmod(F.xxhash64("rank"), F.lit(BUNDLES))).otherwise(-F.col("rank").cast("long")).alias("bundle")
-        blocks.append(t.join(parts, "rank").select("key", "first", "rank", "ranks", bundle, mine, each))
+        blocks.append(t.join(parts, "rank").select(*t.columns, bundle, mine, each))
     by = ["bundle", "block_a", "block_b"]
     kind = names.schema[entity].dataType.simpleString()
+    within = keep * most + 1
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _best_in_block(left, right, bar, keep + 1)
+        return _best_in_block(left, right, bar, within)
 
-    scored = blocks[0].groupBy(*by).cogroup(blocks[1].groupBy(*by)).applyInArrow(block, f"term string, entity {kind}, similarity double")
-    whom = mentions.where(F.col(term).isNotNull()).select(F.col(mention).alias("mention"), F.col(term).alias("term")).distinct()
+    scored = blocks[0].groupBy(*by).cogroup(blocks[1].groupBy(*by)).applyInArrow(block, f"term string, name string, least {kind}, similarity double")
 
-    def first(rows: DataFrame, key: str, n: int) -> DataFrame:
+    def first(rows: DataFrame, key: str, n: int, *order: Column | str) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= n)
+
+    def entities(rows: DataFrame, key: str) -> DataFrame:
         best = rows.groupBy(key, "entity").agg(F.max("similarity").alias("similarity"))
-        return best.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.col("similarity").desc(), "entity"))).where(F.col("rank") <= n)
+        return first(best, key, keep + 1, F.col("similarity").desc(), "entity")
 
-    top = first(whom.join(first(scored, "term", keep + 1).drop("rank"), "term"), "mention", keep + 1)
+    alike = first(scored, "term", within, F.col("similarity").desc(), "least", "name").drop("rank")
+    members = first(keyed[1].select(F.col("key").alias("name"), F.col("who").alias("entity")), "name", keep + 1, "entity").drop("rank")
+    of_sets = entities(alike.join(members, "name"), "term").drop("rank")
+    whom = keyed[0].select(F.col("who").alias("mention"), F.col("key").alias("term"))
+    top = entities(whom.join(of_sets, "term"), "mention")
     order = Window.partitionBy("mention").orderBy("rank")
     ranked = top.withColumn("next", F.lead("similarity").over(order)).where(F.col("rank") <= keep)
     clear = (F.col("rank") == 1) & (F.col("next").isNull() | (F.col("similarity") - F.col("next") >= margin))

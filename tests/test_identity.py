@@ -45,6 +45,26 @@ def test_blocks_of_common_bigrams(spark, monkeypatch):
     test_fuzzy_match_is_brute_force(spark, 0.5)
 
 
+def test_copies_are_compared_once(spark, monkeypatch):
+    """Many mentions and entities of few names: as many rows in the blocks as there are names, the same result."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randint(3, 8))) for _ in range(12)]
+    mentions = [(i, rng.choice(words)) for i in range(90)]
+    names = [(i, rng.choice(words)) for i in range(300)]
+    # entities of many names, each the smallest of its set, do not crowd out the others
+    names += [(-1, "abcabc" + "a" * i + x) for i in range(3) for x in "xyz"]
+    whole, seen = identity._best_in_block, spark.sparkContext.accumulator(0)
+
+    def counted(left, right, *rest):
+        seen.add(len(set(right.column("key").to_pylist())))
+        return whole(left, right, *rest)
+
+    monkeypatch.setattr(identity, "_best_in_block", counted)
+    got = fuzzy_match(spark.createDataFrame(mentions, "m long, term string"), spark.createDataFrame(names, "e long, term string"), "m", "term", "e", bar=0.3)
+    assert sorted((r["m"], r["e"], round(r["similarity"], 9), r["rank"], r["clear"]) for r in got.collect()) == brute(mentions, names, 0.3)
+    assert 0 < seen.value < 200
+
+
 @pytest.mark.parametrize("name", ["fuzzy_bigram_match", "fuzzy_bigram_match_all"])
 def test_all_customers_are_candidates(spark, name):
     """Against SQL at a size where more customers exist than the first 300."""
