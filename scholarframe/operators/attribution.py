@@ -64,6 +64,18 @@ def entity_weights(shares: DataFrame, entity: str) -> DataFrame:
     return rows.groupBy("paper_id", entity).agg(F.sum("weight").alias("weight"))
 
 
+def counted_weights(shares: DataFrame, *by: str) -> DataFrame:
+    """The mass of each group, the same whatever the order of rows.
+
+    Weights are one over a whole number, so rows are counted by that number,
+    and only the few quotients of a group are added, in its order.
+    """
+    of = (F.col("n_slots") * F.col("n_affiliations")).alias("of")
+    counts = shares.groupBy(*by, of).agg(F.count("*").alias("n"))
+    parts = F.array_sort(F.collect_list(F.struct("of", "n")))
+    return counts.groupBy(*by).agg(F.aggregate(parts, F.lit(0.0), lambda s, p: s + p["n"] / p["of"]).alias("weight"))
+
+
 def distinct_country_weights(assertions: DataFrame) -> DataFrame:
     """Country mass split over the distinct countries of each slot, not over its institutions."""
     slots = assertions.repartition("paper_id").groupBy("paper_id", "slot").agg(F.collect_set("country_id").alias("countries"))

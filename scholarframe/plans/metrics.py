@@ -356,7 +356,8 @@ def winsorized_log(t: Tables) -> DataFrame:
     SELECT institution_id, year, CASE WHEN max(m) OVER w = min(m) OVER w THEN CASE WHEN max(m) OVER w > 0 THEN 50.0 ELSE 0.0 END ELSE floor((m - min(m) OVER w) / (max(m) OVER w - min(m) OVER w) * 1000 + 0.5) / 10 END AS score
     FROM y WINDOW w AS (PARTITION BY year)""")
 def minmax_year_scale(t: Tables) -> DataFrame:
-    yearly = att.allocated(att.attribution_shares(t.affiliations)).join(t.papers, "paper_id").groupBy("institution_id", "year").agg(F.sum("weight").alias("m"))
+    papers = att.attribution_shares(t.affiliations).join(t.papers.select("paper_id", "year"), "paper_id")
+    yearly = att.counted_weights(att.allocated(papers), "institution_id", "year").withColumnRenamed("weight", "m")
     return scales.minmax(yearly, "m", ["year"]).select("institution_id", "year", "score")
 
 
