@@ -10,18 +10,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholarframe.session import dealt
+
 ALLOCATED, UNRESOLVED, NO_AFFILIATION = "allocated", "withheld-unresolved", "withheld-no-affiliation"
 
 
-def effective_affiliations(assertions: DataFrame) -> DataFrame:
+def effective_affiliations(assertions: DataFrame, n_rows: int | None = None) -> DataFrame:
     """One row for each distinct affiliation of a slot: resolved ones by institution, others by assertion.
 
     A slot whose only row has neither stays, as a slot without affiliation.
     Rows are dealt by paper here, which serves every later step on papers and
     slots; few rows repeat an affiliation, so combining before would gain little.
+    ``n_rows``, if it is known, bounds what a task gets.
     """
     key = F.coalesce(F.concat(F.lit("i:"), F.col("institution_id").cast("string")), F.concat(F.lit("a:"), F.col("assertion_id").cast("string")))
-    return assertions.withColumn("affiliation", key).repartition("paper_id").groupBy("paper_id", "slot", "affiliation").agg(
+    return dealt(assertions.withColumn("affiliation", key), n_rows, "paper_id").groupBy("paper_id", "slot", "affiliation").agg(
         F.min("institution_id").alias("institution_id"),
         F.min("country_id").alias("country_id"),
         F.min("researcher_id").alias("researcher_id"),
@@ -34,14 +37,14 @@ def conflicting_countries(assertions: DataFrame) -> DataFrame:
     return effective_affiliations(assertions).where("n_countries > 1").select("paper_id", "slot", "institution_id", "n_countries")
 
 
-def attribution_shares(assertions: DataFrame) -> DataFrame:
+def attribution_shares(assertions: DataFrame, n_rows: int | None = None) -> DataFrame:
     """``paper_id, slot, researcher_id, institution_id, country_id, n_slots, n_affiliations, weight, status``.
 
     The weight is ``1 / (n_slots * n_affiliations)``; both counts are kept, so
     that it can be recovered exactly.  Both are running counts of windows over
     the paper's rows, so nothing is joined back.
     """
-    own = effective_affiliations(assertions)
+    own = effective_affiliations(assertions, n_rows)
     per_slot = Window.partitionBy("paper_id", "slot")
     per_paper = Window.partitionBy("paper_id")
     counted = own.withColumn("n_affiliations", F.count("*").over(per_slot))
@@ -76,9 +79,9 @@ def counted_weights(shares: DataFrame, *by: str) -> DataFrame:
     return counts.groupBy(*by).agg(F.aggregate(parts, F.lit(0.0), lambda s, p: s + p["n"] / p["of"]).alias("weight"))
 
 
-def distinct_country_weights(assertions: DataFrame) -> DataFrame:
+def distinct_country_weights(assertions: DataFrame, n_rows: int | None = None) -> DataFrame:
     """Country mass split over the distinct countries of each slot, not over its institutions."""
-    slots = assertions.repartition("paper_id").groupBy("paper_id", "slot").agg(F.collect_set("country_id").alias("countries"))
+    slots = dealt(assertions, n_rows, "paper_id").groupBy("paper_id", "slot").agg(F.collect_set("country_id").alias("countries"))
     sized = slots.withColumn("n_slots", F.count("*").over(Window.partitionBy("paper_id")))
     each = sized.select("paper_id", F.explode("countries").alias("country_id"), (1 / (F.col("n_slots") * F.size("countries"))).alias("weight"))
     return each.groupBy("paper_id", "country_id").agg(F.sum("weight").alias("weight"))
@@ -113,10 +116,14 @@ def relationship_indicator(n_known: Column, complete: Column) -> Column:
 
 def paper_relationships(shares: DataFrame) -> DataFrame:
     """Tri-state collaboration of each paper: across institutions and across countries."""
+    # a paper's extremes tell none, one and several apart without a row for each value
+    def up_to_two(c: str) -> Column:
+        return F.when(F.min(c).isNull(), 0).when(F.min(c) == F.max(c), 1).otherwise(2)
+
     known = shares.groupBy("paper_id").agg(
-        F.count_distinct("institution_id").alias("n_institutions"),
-        F.count_distinct("country_id").alias("n_countries"),
-        F.count_distinct("slot").alias("n_authors"),
+        up_to_two("institution_id").alias("n_institutions"),
+        up_to_two("country_id").alias("n_countries"),
+        up_to_two("slot").alias("n_authors"),
         F.every(F.col("status") == ALLOCATED).alias("complete"),
     )
     return known.select(
@@ -127,12 +134,13 @@ def paper_relationships(shares: DataFrame) -> DataFrame:
     )
 
 
-def selected_evidence(evidence: DataFrame, keys: list[str], priority: str, recency: str, present: str, value: str) -> DataFrame:
+def selected_evidence(evidence: DataFrame, keys: list[str], priority: str, recency: str, present: str, value: str, n_rows: int | None = None) -> DataFrame:
     """The best evidence of each key: present before absent, then priority, then recency.
 
     Keys whose best rows disagree on the value are flagged and their value withheld.
     """
     rank = Window.partitionBy(*keys).orderBy(F.col(present).desc(), F.col(priority).desc(), F.col(recency).desc())
-    best = evidence.withColumn("__rank", F.rank().over(rank)).where("__rank = 1")
-    chosen = best.groupBy(*keys).agg(F.count_distinct(value).alias("n_values"), F.min(value).alias("__value"))
-    return chosen.select(*keys, F.when(F.col("n_values") <= 1, F.col("__value")).alias(value), (F.col("n_values") > 1).alias("conflict"))
+    best = dealt(evidence, n_rows, *keys).withColumn("__rank", F.rank().over(rank)).where("__rank = 1")
+    chosen = best.groupBy(*keys).agg(F.min(value).alias("__value"), F.max(value).alias("__other"))
+    conflict = F.coalesce(F.col("__value") != F.col("__other"), F.lit(False))
+    return chosen.select(*keys, F.when(~conflict, F.col("__value")).alias(value), conflict.alias("conflict"))

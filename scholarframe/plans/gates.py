@@ -16,7 +16,7 @@ from scholarframe.sources.tables import Tables
     SELECT paper_id, concat_ws('; ', CASE WHEN cov IS NULL OR cov < 0.9 THEN 'paper time affiliation coverage is below the threshold' END, CASE WHEN cov IS NULL OR cov < 0.95 THEN 'canonical institution coverage is below the threshold' END) AS reasons FROM y""")
 def coverage_gate(t: Tables) -> DataFrame:
     allocated = F.sum(F.when(F.col("status") == att.ALLOCATED, F.col("weight")))
-    cov = att.attribution_shares(t.affiliations).groupBy("paper_id").agg(F.round(allocated / F.sum("weight"), 9).alias("cov"))
+    cov = att.attribution_shares(t.affiliations, t.rows("lineitem")).groupBy("paper_id").agg(F.round(allocated / F.sum("weight"), 9).alias("cov"))
     reasons = gates.coverage_reasons({"paper_time_affiliation": F.col("cov"), "canonical_institution": F.col("cov")})
     return cov.select("paper_id", F.array_join(reasons, "; ").alias("reasons"))
 

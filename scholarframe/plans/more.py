@@ -188,7 +188,7 @@ def metric_engine(t: Tables) -> DataFrame:
     engine = MetricEngine()
     engine.register("mass", "v1", lambda d: d.groupBy("institution_id").agg(F.round(F.sum("weight"), 4).alias("value")))
     engine.register("papers", "v1", lambda d: d.groupBy("institution_id").agg(F.count_distinct("paper_id").cast("double").alias("value")))
-    return engine.calculate_all(att.allocated(att.attribution_shares(t.affiliations)))
+    return engine.calculate_all(att.allocated(att.attribution_shares(t.affiliations, t.rows("lineitem"))))
 
 
 @query("""WITH d AS (SELECT doc_id, text, source, lang FROM documents), u AS (SELECT min(doc_id) AS doc_id, text FROM d GROUP BY text) SELECT d.source, count(*) AS n_rows, count(u.doc_id) AS n_selected FROM d LEFT JOIN u ON d.doc_id = u.doc_id GROUP BY 1""")

@@ -11,6 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +46,21 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Rows that a task gets where rows are dealt by a key for windows and aggregations over it.
+ROWS_A_TASK = 1 << 18
+
+
+def dealt(df: DataFrame, n_rows: int | None, *keys: str) -> DataFrame:
+    """``df`` dealt by its keys to so many tasks that one gets about :data:`ROWS_A_TASK` of ``n_rows``.
+
+    Small tables, and those whose size is not known, are left to the session,
+    which may put all of them into a few tasks.
+    """
+    if (n_rows or 0) <= ROWS_A_TASK:
+        return df.repartition(*keys)
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, ceil(n_rows / ROWS_A_TASK)), *keys)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as an eagerly written checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

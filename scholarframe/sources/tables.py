@@ -19,10 +19,17 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._rows: dict[str, int] = {}
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def rows(self, name: str) -> int:
+        """How many rows a table has, by what its files say of themselves."""
+        if name not in self._rows:
+            self._rows[name] = self.read(name).count()
+        return self._rows[name]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
