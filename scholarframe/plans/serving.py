@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scholarframe.operators import populations as pop
 from scholarframe.operators import relational as rel
 from scholarframe.plans.registry import AFFILIATIONS, PAPERS, query
+from scholarframe.session import dealt
 from scholarframe.sources.tables import Tables
 
 # --- observations ------------------------------------------------------------
@@ -98,19 +99,27 @@ _PAIRS = "pairs AS (SELECT DISTINCT l_orderkey AS paper_id, l_partkey AS researc
 
 @query(f"WITH {_PAIRS} SELECT a.researcher_id, count(DISTINCT b.researcher_id) AS n_collaborators, count(DISTINCT a.paper_id) AS n_joint FROM pairs a JOIN pairs b ON a.paper_id = b.paper_id AND a.researcher_id <> b.researcher_id GROUP BY 1")
 def collaborators_selfjoin(t: Tables) -> DataFrame:
-    a = t.lineitem.select(F.col("l_orderkey").alias("paper_id"), F.col("l_partkey").alias("researcher_id")).distinct()
-    b = a.select(F.col("paper_id").alias("p"), F.col("researcher_id").alias("other"))
-    pairs = a.join(b, (F.col("paper_id") == F.col("p")) & (F.col("researcher_id") != F.col("other")))
-    return pairs.groupBy("researcher_id").agg(F.count_distinct("other").alias("n_collaborators"), F.count_distinct("paper_id").alias("n_joint"))
+    rows = dealt(t.lineitem.select(F.col("l_orderkey").alias("paper_id"), F.col("l_partkey").alias("researcher_id")), t.rows("lineitem"), "paper_id")
+    joint = rows.groupBy("paper_id").agg(F.collect_set("researcher_id").alias("all")).where(F.size("all") > 1)  # the set of one paper is small
+    each = joint.select("all", F.explode("all").alias("researcher_id"))
+    pairs = each.select("researcher_id", F.posexplode(F.array_remove("all", F.col("researcher_id"))).alias("place", "other"))
+    # a paper is counted at the first of the others
+    return pairs.groupBy("researcher_id").agg(F.count_distinct("other").alias("n_collaborators"), F.count_if(F.col("place") == 0).alias("n_joint"))
 
 
 _SPANS = "spans AS (SELECT l_partkey AS researcher_id, l_suppkey AS institution_id, CAST(min(year(o_orderdate)) AS INTEGER) AS first_year, CAST(max(year(o_orderdate)) AS INTEGER) AS last_year FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"
 
 
+def _dated_lines(t: Tables) -> DataFrame:
+    """``paper_id, researcher_id, institution_id, year`` of every line with a paper, dealt by researcher."""
+    lines = t.lineitem.select(F.col("l_orderkey").alias("paper_id"), F.col("l_partkey").alias("researcher_id"), F.col("l_suppkey").alias("institution_id"))
+    n = t.rows("lineitem")
+    return dealt(dealt(lines, n, "paper_id").join(t.papers.select("paper_id", "year"), "paper_id"), n, "researcher_id")
+
+
 def affiliation_spans(t: Tables) -> DataFrame:
     """First and last year of each researcher at each institution."""
-    rows = t.lineitem.join(t.papers, F.col("l_orderkey") == F.col("paper_id"))
-    return rows.groupBy(F.col("l_partkey").alias("researcher_id"), F.col("l_suppkey").alias("institution_id")).agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"))
+    return _dated_lines(t).groupBy("researcher_id", "institution_id").agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"))
 
 
 @query(f"WITH {_SPANS} SELECT researcher_id, institution_id, first_year, last_year, s_name AS name, n_name AS country FROM spans JOIN supplier ON s_suppkey = institution_id LEFT JOIN nation ON n_nationkey = s_nationkey")
@@ -122,7 +131,7 @@ def affiliation_history(t: Tables) -> DataFrame:
 @query(f"""WITH {_SPANS}, {PAPERS}, own AS (SELECT DISTINCT l_orderkey AS paper_id, l_partkey AS researcher_id FROM lineitem)
     SELECT institution_id, count(DISTINCT paper_id) AS n_papers FROM own JOIN papers USING (paper_id) JOIN spans USING (researcher_id) WHERE year BETWEEN first_year AND last_year GROUP BY 1""")
 def affiliation_range_join(t: Tables) -> DataFrame:
-    own = t.lineitem.select(F.col("l_orderkey").alias("paper_id"), F.col("l_partkey").alias("researcher_id")).distinct().join(t.papers.select("paper_id", "year"), "paper_id")
+    own = _dated_lines(t).select("paper_id", "researcher_id", "year")  # a paper that comes again is not counted again below
     joined = own.join(affiliation_spans(t), "researcher_id").where(rel.covers_year(F.col("first_year"), F.col("last_year"), F.col("year")))
     return joined.groupBy("institution_id").agg(F.count_distinct("paper_id").alias("n_papers"))
 
