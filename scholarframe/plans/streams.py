@@ -138,7 +138,7 @@ def payload_store(t: Tables) -> DataFrame:
     """Each distinct payload in a file of its own, read back and held against its name."""
     folder = folder_for(t, "payloads")
     refs = artifacts.put_payloads(t.documents, "text", folder)
-    return refs.join(artifacts.verified_artifacts(t.spark, folder).select("sha256", "verified"), "sha256", "left")
+    return artifacts.verified_payloads(refs, folder)
 
 
 @query("SELECT l_suppkey, string_agg(DISTINCT l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR) AS parts FROM lineitem GROUP BY 1")

@@ -286,6 +286,22 @@ def read_artifact_shards(spark: SparkSession, store: str, dataset: str, kinds: l
     return verified_lines(entries, store, zipped=True)
 
 
+def verified_payloads(refs: DataFrame, store: str) -> DataFrame:
+    """``(sha256, size, verified)``: whether the file of each payload is the one that was named, null where there is none.
+
+    Tasks go by the names, so no list of the files is made.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = _opened(store)
+        for batch in batches:
+            found = [problem_of(system, f"{root}/{name_of(s)}", s, n) for s, n in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            good = [None if why == "missing" else why is None for why in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(good, pa.bool_())], ["sha256", "size", "verified"])
+
+    return refs.select("sha256", "size").mapInArrow(each, "sha256 string, size long, verified boolean")
+
+
 def verified_artifacts(spark: SparkSession, folder: str) -> DataFrame:
     """``(path, sha256, verified, length)``: files below a folder named by the SHA-256 of their content, and whether it matches."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
