@@ -140,7 +140,7 @@ def ecosystem_validation(t: Tables) -> DataFrame:
     cov.passed AND vol.passed AND cit.passed AND fields.passed AS certified FROM y JOIN cov USING (year) JOIN vol USING (year) JOIN cit USING (year) JOIN fields USING (year)""")
 def launch_certification(t: Tables) -> DataFrame:
     """Years certified by attribution, population, citations and fields together."""
-    shares = att.mass_totals(att.attribution_shares(t.affiliations).join(t.papers, "paper_id"), "year")
+    shares = att.mass_totals(att.attribution_shares(t.affiliations, t.rows("lineitem")).join(t.papers, "paper_id"), "year")
     papers = t.papers.groupBy("year").agg(F.count("*").alias("n"), F.count("citations").alias("known"))
     covered = t.categories.join(t.papers, "paper_id").groupBy("year").agg((F.count_distinct("field_id") >= 6).alias("passed"))
     found = evi.composed({
@@ -158,7 +158,7 @@ _RESULTS = f"""{attributed_sql('institution')}, src AS (SELECT entity_type, enti
     round(CASE WHEN n >= 5 AND hi - lo > 1e-12 THEN 100 * least(1, greatest(0, (ln(1 + v) - lo) / (hi - lo))) END, 5) AS score FROM src JOIN q USING (field_id, year, document_type, even)""")
 def normalisation_cohorts(t: Tables) -> DataFrame:
     """Scores of institutions within their population, which agrees on all fourteen versions."""
-    yearly = attributed(t, "institution").groupBy("entity_type", "entity_id", "field_id", "year", "document_type").agg(F.sum("weight").alias("v"), F.count_distinct("paper_id").alias("n"))
+    yearly = attributed(t, "institution").groupBy("entity_type", "entity_id", "field_id", "year", "document_type").agg(F.sum("weight").alias("v"), F.count_if("first_row").alias("n"))
     known = {"period": F.col("year").cast("string"), "dataset_version": F.col("document_type"), "acquisition_scope": (F.col("n") % 2).cast("string")}
     results = yearly.withColumns({c: known.get(c, F.lit("1")) for c in evi.VERSIONS if c not in ("entity_type", "field_id")})
     scored = evi.scored_populations(results, "entity_id", "v", 5)
@@ -194,7 +194,7 @@ def checkpoint_cursors(t: Tables) -> DataFrame:
 # a weight times 2 ** 80 is a whole number, and whole numbers add exactly
 @query(f"WITH {SHARES} SELECT institution_id, round(CAST(sum(CAST(weight * pow(2.0, 80) AS HUGEINT)) AS DOUBLE) / pow(2.0, 80), 12) AS mass FROM shares WHERE status = 'allocated' GROUP BY 1")
 def exact_masses(t: Tables) -> DataFrame:
-    own = att.allocated(att.attribution_shares(t.affiliations))
+    own = att.allocated(att.attribution_shares(t.affiliations, t.rows("lineitem")))
     return exact.exact_sums(own, ["institution_id"], mass=F.col("weight")).withColumn("mass", F.round("mass", 12))
 
 
@@ -202,7 +202,7 @@ def exact_masses(t: Tables) -> DataFrame:
     SELECT institution_id, round(CAST(sum(m) AS DOUBLE) / pow(2.0, 80), 12) AS mass, count(*) AS n_years FROM m GROUP BY 1""")
 def merged_masses(t: Tables) -> DataFrame:
     """Masses by year, kept in limbs, add up to those of all years without a second rounding."""
-    own = att.allocated(att.attribution_shares(t.affiliations)).join(t.papers.select("paper_id", "year"), "paper_id")
+    own = att.allocated(att.attribution_shares(t.affiliations, t.rows("lineitem"))).join(t.papers.select("paper_id", "year"), "paper_id")
     yearly = exact.accumulated(own, ["institution_id", "year"], mass=F.col("weight"))
     n_years = yearly.groupBy("institution_id").agg(F.count_distinct("year").alias("n_years"))
     every = exact.totals(exact.merged(yearly.drop("year"), ["institution_id"]), ["institution_id"], ["mass"])
@@ -230,7 +230,7 @@ def distinct_spellings(t: Tables) -> DataFrame:
 @query(f"""WITH {SHARES}, own AS (SELECT DISTINCT paper_id, institution_id FROM shares WHERE status = 'allocated')
     SELECT a.paper_id, a.institution_id, coalesce(string_agg(b.institution_id::VARCHAR, ',' ORDER BY b.institution_id), '') AS partners FROM own a LEFT JOIN own b ON a.paper_id = b.paper_id AND a.institution_id <> b.institution_id GROUP BY 1, 2""")
 def attributed_partners(t: Tables) -> DataFrame:
-    own = att.allocated(att.attribution_shares(t.affiliations))
+    own = att.allocated(att.attribution_shares(t.affiliations, t.rows("lineitem")))
     return evi.partners(own, "paper_id", "institution_id").withColumn("partners", F.array_join(F.transform("partners", lambda x: x.cast("string")), ","))
 
 

@@ -23,11 +23,13 @@ def r(x: F.Column | str, digits: int = 6) -> F.Column:
 
 def attributed(t: Tables, entity: str) -> DataFrame:
     """Paper mass of an entity type by field: allocated shares times field shares."""
-    shares = att.allocated(att.attribution_shares(t.affiliations))
-    joined = shares.join(fld.equal_shares(t.categories), "paper_id").join(t.papers, "paper_id")
+    shares = att.allocated(att.attribution_shares(t.affiliations, t.rows("lineitem")))
+    # the rows of one entity in a paper are counted as a paper once, without sets of papers
+    shares = shares.withColumn("first_row", F.row_number().over(Window.partitionBy("paper_id", f"{entity}_id").orderBy("slot")) == 1)
+    joined = shares.join(fld.equal_shares(t.categories, t.rows("lineitem")), "paper_id").join(t.papers, "paper_id")
     return joined.select(
         F.lit(entity).alias("entity_type"), F.col(f"{entity}_id").alias("entity_id"), "field_id", "paper_id", "year", "publication_date", "document_type", "citations",
-        "researcher_id", (F.col("weight") * F.col("share")).alias("weight"),
+        "researcher_id", "first_row", (F.col("weight") * F.col("share")).alias("weight"),
     )
 
 
@@ -36,30 +38,30 @@ def attributed(t: Tables, entity: str) -> DataFrame:
 
 @query(f"WITH {SHARES} SELECT paper_id, slot, researcher_id, institution_id, country_id, n_slots, n_affiliations, round(weight, 9) AS weight, status FROM shares")
 def attribution_shares(t: Tables) -> DataFrame:
-    return att.attribution_shares(t.affiliations).withColumn("weight", r("weight", 9))
+    return att.attribution_shares(t.affiliations, t.rows("lineitem")).withColumn("weight", r("weight", 9))
 
 
 @query(f"""WITH {SHARES} SELECT paper_id, round(sum(weight), 6) AS total_mass, round(coalesce(sum(weight) FILTER (status = 'allocated'), 0), 6) AS allocated_mass,
     round(coalesce(sum(weight) FILTER (status <> 'allocated'), 0), 6) AS withheld_mass, round(coalesce(sum(weight) FILTER (status = 'allocated'), 0) / sum(weight), 6) AS coverage FROM shares GROUP BY 1""")
 def attribution_coverage(t: Tables) -> DataFrame:
-    found = att.mass_totals(att.attribution_shares(t.affiliations), "paper_id")
+    found = att.mass_totals(att.attribution_shares(t.affiliations, t.rows("lineitem")), "paper_id")
     return found.select("paper_id", *[r(c).alias(c) for c in ("total_mass", "allocated_mass", "withheld_mass", "coverage")])
 
 
 @query(f"WITH {SHARES} SELECT status, count(*) AS n_shares, round(sum(weight), 4) AS mass FROM shares GROUP BY 1")
 def attribution_withheld(t: Tables) -> DataFrame:
-    return att.attribution_shares(t.affiliations).groupBy("status").agg(F.count("*").alias("n_shares"), r(F.sum("weight"), 4).alias("mass"))
+    return att.attribution_shares(t.affiliations, t.rows("lineitem")).groupBy("status").agg(F.count("*").alias("n_shares"), r(F.sum("weight"), 4).alias("mass"))
 
 
 @query(f"WITH {SHARES} SELECT institution_id, round(sum(weight), 4) AS weight, count(DISTINCT paper_id) AS n_papers FROM shares WHERE status = 'allocated' GROUP BY 1")
 def institution_weights(t: Tables) -> DataFrame:
-    each = att.entity_weights(att.attribution_shares(t.affiliations), "institution_id")
+    each = att.entity_weights(att.attribution_shares(t.affiliations, t.rows("lineitem")), "institution_id")
     return each.groupBy("institution_id").agg(r(F.sum("weight"), 4).alias("weight"), F.count("*").alias("n_papers"))
 
 
 @query(f"WITH {SHARES} SELECT researcher_id, round(sum(weight), 4) AS weight FROM shares GROUP BY 1")
 def researcher_weights(t: Tables) -> DataFrame:
-    each = att.entity_weights(att.attribution_shares(t.affiliations), "researcher_id")
+    each = att.entity_weights(att.attribution_shares(t.affiliations, t.rows("lineitem")), "researcher_id")
     return each.groupBy("researcher_id").agg(r(F.sum("weight"), 4).alias("weight"))
 
 
@@ -67,12 +69,12 @@ def researcher_weights(t: Tables) -> DataFrame:
     sized AS (SELECT *, count(*) OVER (PARTITION BY paper_id, slot) AS k FROM own JOIN slots USING (paper_id))
     SELECT paper_id, country_id, round(sum(1.0::DOUBLE / (n * k)), 6) AS weight FROM sized GROUP BY 1, 2""")
 def country_weights_distinct(t: Tables) -> DataFrame:
-    return att.distinct_country_weights(t.affiliations).withColumn("weight", r("weight"))
+    return att.distinct_country_weights(t.affiliations, t.rows("lineitem")).withColumn("weight", r("weight"))
 
 
 @query(f"WITH {SHARES} SELECT count(*) AS n_papers, count(*) FILTER (abs(mass - 1) > 1e-9) AS n_broken FROM (SELECT paper_id, sum(weight) AS mass FROM shares GROUP BY 1)")
 def paper_conservation(t: Tables) -> DataFrame:
-    mass = att.attribution_shares(t.affiliations).groupBy("paper_id").agg(F.sum("weight").alias("mass"))
+    mass = att.attribution_shares(t.affiliations, t.rows("lineitem")).groupBy("paper_id").agg(F.sum("weight").alias("mass"))
     return mass.agg(F.count("*").alias("n_papers"), F.count_if(F.abs(F.col("mass") - 1) > 1e-9).alias("n_broken"))
 
 
@@ -85,7 +87,7 @@ def author_positions(t: Tables) -> DataFrame:
 @query(f"""WITH {SHARES}, k AS (SELECT paper_id, count(DISTINCT institution_id) AS ni, count(DISTINCT country_id) AS nc, count(DISTINCT slot) AS na, bool_and(status = 'allocated') AS complete FROM shares GROUP BY 1)
     SELECT paper_id, CASE WHEN ni >= 2 THEN true WHEN ni >= 1 AND complete THEN false END AS cross_institution, CASE WHEN nc >= 2 THEN true WHEN nc >= 1 AND complete THEN false END AS international, na >= 2 AS collaborative FROM k""")
 def relationship_tristate(t: Tables) -> DataFrame:
-    return att.paper_relationships(att.attribution_shares(t.affiliations))
+    return att.paper_relationships(att.attribution_shares(t.affiliations, t.rows("lineitem")))
 
 
 @query(f"""WITH {AFFILIATIONS}, e AS (SELECT *, institution_id IS NOT NULL AS present, slot % 3 AS priority, researcher_id AS recency FROM aff),
@@ -93,7 +95,7 @@ def relationship_tristate(t: Tables) -> DataFrame:
     SELECT paper_id, slot, CASE WHEN count(DISTINCT institution_id) <= 1 THEN min(institution_id) END AS institution_id, count(DISTINCT institution_id) > 1 AS conflict FROM ranked WHERE rk = 1 GROUP BY 1, 2""")
 def selected_slot_evidence(t: Tables) -> DataFrame:
     evidence = t.affiliations.withColumns({"present": F.col("institution_id").isNotNull(), "priority": F.col("slot") % 3, "recency": F.col("researcher_id")})
-    return att.selected_evidence(evidence, ["paper_id", "slot"], "priority", "recency", "present", "institution_id")
+    return att.selected_evidence(evidence, ["paper_id", "slot"], "priority", "recency", "present", "institution_id", t.rows("lineitem"))
 
 
 # --- fields ------------------------------------------------------------------
@@ -172,7 +174,7 @@ def ontology_validation(t: Tables) -> DataFrame:
     FROM field_shares JOIN b USING (field_id)""")
 def branch_conditional(t: Tables) -> DataFrame:
     branches = t.part.select(F.col("p_type").alias("field_id"), F.substring("p_type", 1, 1).alias("branch_id")).distinct()
-    found = fld.branch_conditional(fld.equal_shares(t.categories).withColumnRenamed("share", "weight"), branches)
+    found = fld.branch_conditional(fld.equal_shares(t.categories, t.rows("lineitem")).withColumnRenamed("share", "weight"), branches)
     return found.select("paper_id", "branch_id", "field_id", r("branch_mass").alias("branch_mass"), r("conditional").alias("conditional"))
 
 
@@ -186,7 +188,7 @@ _ACTIVITY = f"""activity AS (SELECT {_K}, sum(weight) AS mass, count(DISTINCT pa
 @query(f"""WITH {attributed_sql('institution')}, {_ACTIVITY} SELECT {_K}, round(mass, 6) AS mass, n_papers, n_researchers,
     concat_ws('; ', CASE WHEN mass < 10 THEN 'attributed mass is below the threshold' END, CASE WHEN n_researchers < 5 THEN 'too few researchers' END) AS reasons FROM activity""")
 def activity_raw(t: Tables) -> DataFrame:
-    found = ind.activity(attributed(t, "institution"), TERMINAL)
+    found = ind.activity(attributed(t, "institution"), TERMINAL, first="first_row")
     return found.withColumns({"mass": r("mass"), "reasons": F.array_join("reasons", "; ")})
 
 
@@ -197,7 +199,7 @@ def _winsor(source: str, value: str, cohort: str, minimum: int, extra: str = "")
 
 def activity_scores(t: Tables, minimum: int) -> DataFrame:
     """Institutions that pass the thresholds, on the field's scale."""
-    accepted = ind.activity(attributed(t, "institution"), TERMINAL).where(F.size("reasons") == 0)
+    accepted = ind.activity(attributed(t, "institution"), TERMINAL, first="first_row").where(F.size("reasons") == 0)
     return scales.winsorised_log(accepted, "mass", ["entity_type", "field_id"], minimum)
 
 
@@ -226,7 +228,7 @@ _IMPACT = f"""impact AS (SELECT {_K}, sum(weight * citations / cohort_mean) FILT
 
 
 def _cohort_papers(t: Tables) -> DataFrame:
-    return fld.equal_shares(t.categories).join(t.papers, "paper_id")
+    return fld.equal_shares(t.categories, t.rows("lineitem")).join(t.papers, "paper_id")
 
 
 def _on_time() -> F.Column:
@@ -293,7 +295,7 @@ def impact_pp_top10(t: Tables) -> DataFrame:
     SELECT {_K}, round(coalesce(sum(weight) FILTER (flag), 0) / sum(weight) FILTER (flag IS NOT NULL), 6) AS share, round(coalesce(sum(weight) FILTER (flag IS NOT NULL), 0) / sum(weight), 6) AS relationship_coverage,
     round(sum(weight), 6) AS mass, coalesce(sum(weight) FILTER (flag IS NOT NULL), 0) / sum(weight) >= 0.9 AS accepted FROM attributed JOIN ti USING (paper_id) WHERE year BETWEEN {TERMINAL - 2} AND {TERMINAL} GROUP BY {_K}""")
 def connectivity_share(t: Tables) -> DataFrame:
-    flags = att.paper_relationships(att.attribution_shares(t.affiliations)).select("paper_id", "cross_institution")
+    flags = att.paper_relationships(att.attribution_shares(t.affiliations, t.rows("lineitem"))).select("paper_id", "cross_institution")
     papers = attributed(t, "institution").where(ind.in_window(F.col("year"), TERMINAL, 3)).join(flags, "paper_id")
     found = ind.connectivity(papers, "cross_institution")
     return found.select("entity_type", "entity_id", "field_id", *[r(c).alias(c) for c in ("share", "relationship_coverage", "mass")], "accepted")
@@ -304,7 +306,7 @@ def connectivity_share(t: Tables) -> DataFrame:
     tot AS (SELECT entity_id, sum(m) AS mass, count(*) AS n FROM m GROUP BY 1)
     SELECT entity_id, round(mass, 6) AS mass, n AS n_categories, round(CASE WHEN mass >= 15 THEN -sum(m / mass * ln(m / mass)) / ln(25) END, 6) AS evenness FROM m JOIN tot USING (entity_id) GROUP BY entity_id, mass, n""")
 def diversity_evenness(t: Tables) -> DataFrame:
-    shares = att.allocated(att.attribution_shares(t.affiliations)).join(fld.equal_shares(t.categories.select("paper_id", F.col("category").alias("field_id"))), "paper_id")
+    shares = att.allocated(att.attribution_shares(t.affiliations, t.rows("lineitem"))).join(fld.equal_shares(t.categories.select("paper_id", F.col("category").alias("field_id")), t.rows("lineitem")), "paper_id")
     papers = shares.join(t.papers, "paper_id").where(ind.in_window(F.col("year"), TERMINAL, 3))
     rows = papers.select(F.lit("country").alias("entity_type"), F.col("country_id").alias("entity_id"), F.lit("all").alias("field_id"), F.col("field_id").alias("category"), (F.col("weight") * F.col("share")).alias("weight"))
     return ind.diversity(rows, universe=25).select("entity_id", r("mass").alias("mass"), "n_categories", r("evenness").alias("evenness"))
@@ -356,7 +358,7 @@ def winsorized_log(t: Tables) -> DataFrame:
     SELECT institution_id, year, CASE WHEN max(m) OVER w = min(m) OVER w THEN CASE WHEN max(m) OVER w > 0 THEN 50.0 ELSE 0.0 END ELSE floor((m - min(m) OVER w) / (max(m) OVER w - min(m) OVER w) * 1000 + 0.5) / 10 END AS score
     FROM y WINDOW w AS (PARTITION BY year)""")
 def minmax_year_scale(t: Tables) -> DataFrame:
-    papers = att.attribution_shares(t.affiliations).join(t.papers.select("paper_id", "year"), "paper_id")
+    papers = att.attribution_shares(t.affiliations, t.rows("lineitem")).join(t.papers.select("paper_id", "year"), "paper_id")
     yearly = att.counted_weights(att.allocated(papers), "institution_id", "year").withColumnRenamed("weight", "m")
     return scales.minmax(yearly, "m", ["year"]).select("institution_id", "year", "score")
 
@@ -365,7 +367,7 @@ _INST_YEAR = f"{SHARES}, {PAPERS}, y AS (SELECT institution_id, year, sum(weight
 
 
 def _institution_years(t: Tables) -> DataFrame:
-    return att.allocated(att.attribution_shares(t.affiliations)).join(t.papers, "paper_id").groupBy("institution_id", "year").agg(F.sum("weight").alias("m"))
+    return att.allocated(att.attribution_shares(t.affiliations, t.rows("lineitem"))).join(t.papers, "paper_id").groupBy("institution_id", "year").agg(F.sum("weight").alias("m"))
 
 
 @query(f"WITH {_INST_YEAR} SELECT institution_id, year, round(sum(m) OVER (PARTITION BY institution_id ORDER BY year RANGE BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS trailing FROM y")
@@ -423,12 +425,13 @@ def corpus_metrics(t: Tables) -> DataFrame:
     FROM c JOIN d USING (entity_id, field_id, period) LEFT JOIN b USING (entity_id, field_id, period)""")
 def corpus_shares(t: Tables) -> DataFrame:
     """Collaboration, category diversity and momentum of the observed corpus, for every period that a window reaches."""
-    shares = att.attribution_shares(t.affiliations)
+    shares = att.attribution_shares(t.affiliations, t.rows("lineitem"))
     allocated = F.col("status") == "allocated"
-    flags = shares.groupBy("paper_id").agg(F.count_distinct(F.when(allocated, F.col("institution_id"))).alias("ni"), F.bool_and(allocated).alias("complete"))
+    own = F.when(allocated, F.col("institution_id"))
+    flags = shares.groupBy("paper_id").agg((F.min(own) < F.max(own)).alias("joint"), F.bool_and(allocated).alias("complete"))
     rows = attributed(t, "institution").select("entity_id", "field_id", "paper_id", "year", "weight").join(flags, "paper_id")
-    rows = rows.withColumns({"known": F.col("complete") | (F.col("ni") > 1), "joint": F.col("ni") > 1})
-    fields = fld.equal_shares(t.categories).select("paper_id", F.col("field_id").alias("category"), "share")
+    rows = rows.withColumn("known", F.col("complete") | F.col("joint"))
+    fields = fld.equal_shares(t.categories, t.rows("lineitem")).select("paper_id", F.col("field_id").alias("category"), "share")
     return ind.corpus_windows(rows, fields, ["entity_id", "field_id"], TERMINAL, t.part.agg(F.count_distinct("p_type")).first()[0]).select(
         "entity_id", "field_id", "period", *(r(c).alias(c) for c in ("activity", "collaboration", "diversity", "momentum"))
     )
@@ -437,7 +440,7 @@ def corpus_shares(t: Tables) -> DataFrame:
 @query(f"""WITH {attributed_sql('institution')}, {_ACTIVITY}, {_winsor('activity', 'mass', 'entity_type, field_id', 2)}
     SELECT entity_type, entity_id, count(score) AS n_fields, round(count(score) / 6.0::DOUBLE, 6) AS coverage, round(CASE WHEN count(score) / 6.0 >= 0.9 THEN avg(score) END, 5) AS mean_score FROM scored GROUP BY 1, 2""")
 def physics_wide_mean(t: Tables) -> DataFrame:
-    scored = scales.winsorised_log(ind.activity(attributed(t, "institution"), TERMINAL), "mass", ["entity_type", "field_id"], 2)
+    scored = scales.winsorised_log(ind.activity(attributed(t, "institution"), TERMINAL, first="first_row"), "mass", ["entity_type", "field_id"], 2)
     found = rollup.equal_field_mean(scored, ["entity_type", "entity_id"], expected=6)
     return found.select("entity_type", "entity_id", "n_fields", r("coverage").alias("coverage"), r("mean_score", 5).alias("mean_score"))
 
@@ -446,7 +449,7 @@ def physics_wide_mean(t: Tables) -> DataFrame:
     ex AS (SELECT branch_id, count(*) AS expected FROM b GROUP BY 1)
     SELECT entity_type, entity_id, branch_id, count(score) AS n_fields, expected, round(CASE WHEN count(score) / expected::DOUBLE >= 0.9 THEN avg(score) END, 5) AS mean_score FROM scored JOIN b USING (field_id) JOIN ex USING (branch_id) GROUP BY 1, 2, 3, 5""")
 def branch_rollup(t: Tables) -> DataFrame:
-    scored = scales.winsorised_log(ind.activity(attributed(t, "institution"), TERMINAL), "mass", ["entity_type", "field_id"], 2)
+    scored = scales.winsorised_log(ind.activity(attributed(t, "institution"), TERMINAL, first="first_row"), "mass", ["entity_type", "field_id"], 2)
     leaves = t.part.select(F.substring("p_type", 1, 1).alias("branch_id"), F.col("p_type").alias("field_id")).distinct()
     found = rollup.branch_mean(scored, leaves, ["entity_type", "entity_id"])
     return found.select("entity_type", "entity_id", "branch_id", "n_fields", "expected", r("mean_score", 5).alias("mean_score"))
@@ -488,14 +491,14 @@ def synthetic_transform(t: Tables) -> DataFrame:
 
 @query(f"WITH {SHARES}, {PAPERS} SELECT year, round(sum(weight) FILTER (status = 'allocated') / sum(weight), 6) AS coverage_ratio FROM shares JOIN papers USING (paper_id) GROUP BY 1")
 def coverage_ratio(t: Tables) -> DataFrame:
-    found = att.mass_totals(att.attribution_shares(t.affiliations).join(t.papers, "paper_id"), "year")
+    found = att.mass_totals(att.attribution_shares(t.affiliations, t.rows("lineitem")).join(t.papers, "paper_id"), "year")
     return found.select("year", r("coverage").alias("coverage_ratio"))
 
 
 @query(f"""WITH {SHARES}, m AS (SELECT institution_id, sum(weight) AS observed FROM shares WHERE status = 'allocated' GROUP BY 1), u AS (SELECT sum(weight) AS lost FROM shares WHERE status <> 'allocated')
     SELECT institution_id, round(observed, 4) AS observed, round(lost, 4) AS unresolved_possible, round(observed + lost, 4) AS possible FROM m, u""")
 def attribution_bounds(t: Tables) -> DataFrame:
-    shares = att.attribution_shares(t.affiliations)
+    shares = att.attribution_shares(t.affiliations, t.rows("lineitem"))
     lost = shares.where("status <> 'allocated'").agg(F.sum("weight").alias("lost"))
     observed = att.allocated(shares).groupBy("institution_id").agg(F.sum("weight").alias("observed"))
     # a single row is joined to every institution
@@ -505,7 +508,7 @@ def attribution_bounds(t: Tables) -> DataFrame:
 @query(f"""WITH {SHARES}, inst AS (SELECT DISTINCT paper_id, institution_id FROM shares WHERE status = 'allocated')
     SELECT a.institution_id, count(DISTINCT b.institution_id) AS n_partners, count(DISTINCT a.paper_id) AS n_papers FROM inst a LEFT JOIN inst b ON a.paper_id = b.paper_id AND a.institution_id <> b.institution_id GROUP BY 1""")
 def pilot_partners(t: Tables) -> DataFrame:
-    inst = att.allocated(att.attribution_shares(t.affiliations)).select("paper_id", "institution_id").distinct()
+    inst = att.allocated(att.attribution_shares(t.affiliations, t.rows("lineitem"))).select("paper_id", "institution_id").distinct()
     other = inst.select(F.col("paper_id").alias("p"), F.col("institution_id").alias("partner"))
     pairs = inst.join(other, (F.col("paper_id") == F.col("p")) & (F.col("institution_id") != F.col("partner")), "left")
     return pairs.groupBy("institution_id").agg(F.count_distinct("partner").alias("n_partners"), F.count_distinct("paper_id").alias("n_papers"))
