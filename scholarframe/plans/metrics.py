@@ -188,7 +188,7 @@ _ACTIVITY = f"""activity AS (SELECT {_K}, sum(weight) AS mass, count(DISTINCT pa
 @query(f"""WITH {attributed_sql('institution')}, {_ACTIVITY} SELECT {_K}, round(mass, 6) AS mass, n_papers, n_researchers,
     concat_ws('; ', CASE WHEN mass < 10 THEN 'attributed mass is below the threshold' END, CASE WHEN n_researchers < 5 THEN 'too few researchers' END) AS reasons FROM activity""")
 def activity_raw(t: Tables) -> DataFrame:
-    found = ind.activity(attributed(t, "institution"), TERMINAL, first="first_row")
+    found = ind.activity(attributed(t, "institution"), TERMINAL, first="first_row", n_rows=t.rows("lineitem"))
     return found.withColumns({"mass": r("mass"), "reasons": F.array_join("reasons", "; ")})
 
 
@@ -199,7 +199,7 @@ def _winsor(source: str, value: str, cohort: str, minimum: int, extra: str = "")
 
 def activity_scores(t: Tables, minimum: int) -> DataFrame:
     """Institutions that pass the thresholds, on the field's scale."""
-    accepted = ind.activity(attributed(t, "institution"), TERMINAL, first="first_row").where(F.size("reasons") == 0)
+    accepted = ind.activity(attributed(t, "institution"), TERMINAL, first="first_row", n_rows=t.rows("lineitem")).where(F.size("reasons") == 0)
     return scales.winsorised_log(accepted, "mass", ["entity_type", "field_id"], minimum)
 
 
@@ -440,7 +440,7 @@ def corpus_shares(t: Tables) -> DataFrame:
 @query(f"""WITH {attributed_sql('institution')}, {_ACTIVITY}, {_winsor('activity', 'mass', 'entity_type, field_id', 2)}
     SELECT entity_type, entity_id, count(score) AS n_fields, round(count(score) / 6.0::DOUBLE, 6) AS coverage, round(CASE WHEN count(score) / 6.0 >= 0.9 THEN avg(score) END, 5) AS mean_score FROM scored GROUP BY 1, 2""")
 def physics_wide_mean(t: Tables) -> DataFrame:
-    scored = scales.winsorised_log(ind.activity(attributed(t, "institution"), TERMINAL, first="first_row"), "mass", ["entity_type", "field_id"], 2)
+    scored = scales.winsorised_log(ind.activity(attributed(t, "institution"), TERMINAL, first="first_row", n_rows=t.rows("lineitem")), "mass", ["entity_type", "field_id"], 2)
     found = rollup.equal_field_mean(scored, ["entity_type", "entity_id"], expected=6)
     return found.select("entity_type", "entity_id", "n_fields", r("coverage").alias("coverage"), r("mean_score", 5).alias("mean_score"))
 
@@ -449,7 +449,7 @@ def physics_wide_mean(t: Tables) -> DataFrame:
     ex AS (SELECT branch_id, count(*) AS expected FROM b GROUP BY 1)
     SELECT entity_type, entity_id, branch_id, count(score) AS n_fields, expected, round(CASE WHEN count(score) / expected::DOUBLE >= 0.9 THEN avg(score) END, 5) AS mean_score FROM scored JOIN b USING (field_id) JOIN ex USING (branch_id) GROUP BY 1, 2, 3, 5""")
 def branch_rollup(t: Tables) -> DataFrame:
-    scored = scales.winsorised_log(ind.activity(attributed(t, "institution"), TERMINAL, first="first_row"), "mass", ["entity_type", "field_id"], 2)
+    scored = scales.winsorised_log(ind.activity(attributed(t, "institution"), TERMINAL, first="first_row", n_rows=t.rows("lineitem")), "mass", ["entity_type", "field_id"], 2)
     leaves = t.part.select(F.substring("p_type", 1, 1).alias("branch_id"), F.col("p_type").alias("field_id")).distinct()
     found = rollup.branch_mean(scored, leaves, ["entity_type", "entity_id"])
     return found.select("entity_type", "entity_id", "branch_id", "n_fields", "expected", r("mean_score", 5).alias("mean_score"))

@@ -1,10 +1,14 @@
 """What one task gets is bounded by the size of the table, and no row is copied for each distinct count."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from scholarframe import plans, session
 from scholarframe.operators import attribution as att
+from scholarframe.operators import indicators as ind
+from scholarframe.operators import scales
 from scholarframe.sources import artifacts
 from scholarframe.sources.tables import Tables
 
@@ -29,6 +33,27 @@ def test_distinct_counts_copy_no_rows(spark, name):
         assert "distinct" not in plan
 
 
+@pytest.mark.parametrize("name", ["activity_raw", "activity_scaled", "branch_rollup"])
+def test_researchers_are_told_apart_by_the_size_of_the_table(spark, monkeypatch, name):
+    monkeypatch.setattr(session, "ROWS_A_TASK", 200)
+    made = []
+    monkeypatch.setattr(scales, "winsorised_log", lambda df, *_: made.append(df) or df.withColumn("score", F.lit(1.0)))
+    found = plans.QUERIES[name](spark, SF)
+    plan = (made or [found])[0]._jdf.queryExecution().executedPlan().toString()
+    dealt_to = [int(n) for n in re.findall(r"hashpartitioning\(entity_id[^)]*researcher_id[^)]*, (\d+)\)", plan)]
+    assert dealt_to and min(dealt_to) >= Tables(spark, SF).rows("lineitem") / 200
+
+
+def test_activity_is_the_same_however_its_rows_are_dealt(spark):
+    rows = [("i", k, f, p, 2000, s, r) for k in (1, 2, None) for f in "ab" for p in range(3) for s, r in ((1, 5), (2, 5), (3, p), (4, None))]
+    df = spark.createDataFrame(rows, "entity_type string, entity_id int, field_id string, paper_id int, year int, slot int, researcher_id int")
+    df = df.withColumns({"weight": F.lit(0.25), "first_row": F.col("slot") == 1})
+    want = sorted(map(tuple, ind.activity(df, 2000).collect()), key=repr)
+    assert [w[3:6] for w in want] == [(3.0, 3, 4)] * 6
+    for n_rows in (None, len(rows), 10**6):
+        assert sorted(map(tuple, ind.activity(df, 2000, first="first_row", n_rows=n_rows).collect()), key=repr) == want
+
+
 def test_missing_places_are_no_conflict(spark):
     rows = [("p", 1, True, 2, 5, "a"), ("p", 1, True, 2, 5, "b"), ("q", 1, False, 2, 5, None), ("q", 1, False, 2, 5, None), ("r", 1, True, 1, 1, "a"), ("r", 1, True, 0, 9, "b")]
     df = spark.createDataFrame(rows, "paper_id string, slot int, present boolean, priority int, recency int, value string")
