@@ -33,6 +33,14 @@ def test_distinct_counts_copy_no_rows(spark, name):
         assert "distinct" not in plan
 
 
+@pytest.mark.parametrize("name", ["attributed_partners"])
+def test_papers_are_dealt_once_by_the_size_of_the_table(spark, monkeypatch, name):
+    monkeypatch.setattr(session, "ROWS_A_TASK", 200)
+    plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    dealt_to = [int(n) for n in re.findall(r"Exchange hashpartitioning\([^)]*paper_id[^)]*, (\d+)\)", plan)]
+    assert dealt_to and min(dealt_to) >= Tables(spark, SF).rows("lineitem") / 200
+
+
 @pytest.mark.parametrize("name", ["activity_raw", "activity_scaled", "branch_rollup"])
 def test_researchers_are_told_apart_by_the_size_of_the_table(spark, monkeypatch, name):
     monkeypatch.setattr(session, "ROWS_A_TASK", 200)
