@@ -33,7 +33,7 @@ def test_distinct_counts_copy_no_rows(spark, name):
         assert "distinct" not in plan
 
 
-@pytest.mark.parametrize("name", ["attributed_partners", "attribution_coverage", "metric_engine"])
+@pytest.mark.parametrize("name", ["attributed_partners", "attribution_coverage", "metric_engine", "paper_conservation"])
 def test_papers_are_dealt_once_by_the_size_of_the_table(spark, monkeypatch, name):
     monkeypatch.setattr(session, "ROWS_A_TASK", 200)
     plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
