@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -108,6 +108,19 @@ def exact_sums(df: DataFrame, by: list[str], **values: Column) -> DataFrame:
     return totals(accumulated(df, by, **values), by, list(values))
 
 
+def means_in_order(df: DataFrame, by: list[str], value: str, *order: str) -> DataFrame:
+    """``(*by, mean)``: means of doubles that are added one by one in the given order.
+
+    It is what a query gives that reads the rows in that order in one thread,
+    whatever files and tasks they come from.  Rows of a group meet in one task,
+    which reads them sorted and spills what it cannot hold.
+    """
+    rows = Window.partitionBy(*by).orderBy(*order)
+    so_far = F.avg(value).over(rows.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    last = F.lead(F.lit(False), 1, True).over(rows)
+    return df.select(*by, value, *order).withColumns({"mean": so_far, "__last": last}).where("__last").select(*by, "mean")
+
+
 def row_digest(columns: list[str]) -> Column:
     """SHA-256 of the canonical JSON of a row, nulls written out."""
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)

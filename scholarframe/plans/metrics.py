@@ -10,6 +10,7 @@ from scholarframe.operators import attribution as att
 from scholarframe.operators import fields as fld
 from scholarframe.operators import indicators as ind
 from scholarframe.operators import rollup, scales
+from scholarframe.operators.exact import means_in_order
 from scholarframe.plans.registry import AFFILIATIONS, CATEGORIES, FIELD_SHARES, PAPERS, SHARES, attributed_sql, query
 from scholarframe.sources.tables import Tables
 
@@ -478,7 +479,9 @@ def weight_profiles(t: Tables) -> DataFrame:
 
 @query("""SELECT event_type, user_id, floor(avg(value) * 10 + 0.5) / 10 AS rounded FROM events GROUP BY 1, 2""")
 def half_up_rounding(t: Tables) -> DataFrame:
-    return t.events.groupBy("event_type", "user_id").agg(F.avg("value").alias("v")).select("event_type", "user_id", round_half_up(F.col("v")).alias("rounded"))
+    # means next to a half go by the order of additions, so that is the events' own
+    means = means_in_order(t.events, ["event_type", "user_id"], "value", "event_id")
+    return means.select("event_type", "user_id", round_half_up(F.col("mean")).alias("rounded"))
 
 
 @query("""WITH k AS (SELECT s_suppkey, s_name, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(s_name, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: (h * 31 + c) % 4294967296) AS h FROM supplier)
