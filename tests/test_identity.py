@@ -65,6 +65,32 @@ def test_copies_are_compared_once(spark, monkeypatch):
     assert 0 < seen.value < 200
 
 
+@pytest.mark.parametrize("bar", [0.3, 0.75])
+def test_high_bars_first_are_brute_force(spark, monkeypatch, bar):
+    """Sets that are looked up at bar after bar, in small blocks and products, give the same as all at once."""
+    for name, value in {"FEW_PAIRS": 0, "BLOCK_ROWS": 40, "PRODUCT_ROWS": 5, "PRODUCT_CELLS": 400}.items():
+        monkeypatch.setattr(identity, name, value)
+    test_fuzzy_match_is_brute_force(spark, bar)
+
+
+def test_few_pairs_leave_the_blocks(spark, monkeypatch):
+    """Names that are all unlike and share most bigrams: blocks hand on some rows for a mention, not some for each block and bigram."""
+    monkeypatch.setattr(identity, "FEW_PAIRS", 0, raising=False)
+    monkeypatch.setattr(identity, "BLOCK_ROWS", 50)
+    mentions, names = [(i, f"supplier{i:09d}") for i in range(150)], [(i, f"supplier{i:09d}") for i in range(1200)]
+    whole, handed = identity._best_in_block, spark.sparkContext.accumulator(0)
+
+    def counted(*args):
+        found = whole(*args)
+        handed.add(found.num_rows)
+        return found
+
+    monkeypatch.setattr(identity, "_best_in_block", counted)
+    got = fuzzy_match(spark.createDataFrame(mentions, "m long, term string"), spark.createDataFrame(names, "e long, term string"), "m", "term", "e").collect()
+    assert sorted((r["m"], r["e"], round(r["similarity"], 9), r["rank"], r["clear"]) for r in got) == brute(mentions, names)
+    assert 0 < handed.value < 60 * len(mentions)
+
+
 @pytest.mark.parametrize("name", ["fuzzy_bigram_match", "fuzzy_bigram_match_all"])
 def test_all_customers_are_candidates(spark, name):
     """Against SQL at a size where more customers exist than the first 300."""
