@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from scholarframe.session import dealt
 
 
-def equal_shares(paper_fields: DataFrame, n_rows: int | None = None) -> DataFrame:
-    """``paper_id, field_id, share``: a paper's weight split evenly over its distinct fields.
+def field_sets(paper_fields: DataFrame, n_rows: int | None = None) -> DataFrame:
+    """``paper_id, fields``: the distinct fields of each paper.
 
     ``n_rows``, if it is known, bounds what a task gets, as in
-    :func:`~scholarframe.operators.attribution.attribution_shares`, to whose rows shares are joined.
+    :func:`~scholarframe.operators.attribution.attribution_shares`, to whose rows they are joined.
     """
-    own = (dealt(paper_fields, n_rows, "paper_id") if n_rows else paper_fields).groupBy("paper_id").agg(F.collect_set("field_id").alias("fields"))
+    return (dealt(paper_fields, n_rows, "paper_id") if n_rows else paper_fields).groupBy("paper_id").agg(F.collect_set("field_id").alias("fields"))
+
+
+def equal_shares(paper_fields: DataFrame, n_rows: int | None = None) -> DataFrame:
+    """``paper_id, field_id, share``: a paper's weight split evenly over its distinct fields, as :func:`field_sets` has them."""
+    own = field_sets(paper_fields, n_rows)
     return own.select("paper_id", F.explode("fields").alias("field_id"), (1 / F.size("fields")).alias("share"))
 
 

@@ -426,14 +426,14 @@ def corpus_metrics(t: Tables) -> DataFrame:
     FROM c JOIN d USING (entity_id, field_id, period) LEFT JOIN b USING (entity_id, field_id, period)""")
 def corpus_shares(t: Tables) -> DataFrame:
     """Collaboration, category diversity and momentum of the observed corpus, for every period that a window reaches."""
-    shares = att.attribution_shares(t.affiliations, t.rows("lineitem"))
-    allocated = F.col("status") == "allocated"
-    own = F.when(allocated, F.col("institution_id"))
-    flags = shares.groupBy("paper_id").agg((F.min(own) < F.max(own)).alias("joint"), F.bool_and(allocated).alias("complete"))
-    rows = attributed(t, "institution").select("entity_id", "field_id", "paper_id", "year", "weight").join(flags, "paper_id")
-    rows = rows.withColumn("known", F.col("complete") | F.col("joint"))
-    fields = fld.equal_shares(t.categories, t.rows("lineitem")).select("paper_id", F.col("field_id").alias("category"), "share")
-    return ind.corpus_windows(rows, fields, ["entity_id", "field_id"], TERMINAL, t.part.agg(F.count_distinct("p_type")).first()[0]).select(
+    n_rows = t.rows("lineitem")
+    shares = att.attribution_shares(t.affiliations, n_rows)
+    allocated, paper = F.col("status") == "allocated", Window.partitionBy("paper_id")
+    # a row for each institution of a paper, and one for what is withheld
+    own = shares.groupBy("paper_id", F.when(allocated, F.col("institution_id")).alias("entity_id")).agg(F.sum("weight").alias("weight"), F.every(allocated).alias("sure"))
+    own = own.withColumns({"joint": F.min("entity_id").over(paper) < F.max("entity_id").over(paper), "complete": F.every("sure").over(paper)}).where("entity_id is not null")
+    rows = own.withColumn("known", F.col("complete") | F.col("joint")).join(fld.field_sets(t.categories, n_rows), "paper_id").join(t.papers.select("paper_id", "year"), "paper_id")
+    return ind.corpus_windows(rows, "entity_id", TERMINAL, t.part.agg(F.count_distinct("p_type")).first()[0], n_rows=n_rows).select(
         "entity_id", "field_id", "period", *(r(c).alias(c) for c in ("activity", "collaboration", "diversity", "momentum"))
     )
 

@@ -90,3 +90,31 @@ def test_roll_up_gate(spark):
     df = spark.createDataFrame([("e", 10.0), ("e", 30.0), ("e", None), ("x", 5.0)], "e string, score double")
     got = {r["e"]: r["mean_score"] for r in rollup.equal_field_mean(df, ["e"], expected=2).collect()}
     assert got == {"e": 20.0, "x": None}
+
+
+def test_corpus_windows_are_brute_force(spark):
+    """Windows, flags and sets of fields against plain sums; a period with nothing in its window has no row."""
+    papers = [
+        ("e", 1995, ["a", "b"], 0.5, True, True), ("e", 1996, ["a"], 0.25, True, False), ("e", 1999, ["a", "b", "c"], 1.0, False, False),
+        ("e", 2000, ["c"], 0.5, True, True), ("g", 1990, ["a"], 1.0, False, False), ("g", 2001, ["b"], 1.0, True, True),
+    ]
+    last, want = 2000, {}
+    for key, field in {(p[0], f) for p in papers for f in p[2]}:
+        for period in range(1990, last + 1):
+            own = [(y, f, w / len(f), k, j) for e, y, f, w, k, j in papers if e == key and field in f]
+            inside = [p for p in own if period - 2 <= p[0] <= period]
+            if not inside:
+                continue
+            mix = {c: sum(p[2] / len(p[1]) for p in inside if c in p[1]) for c in "abc"}
+            total, known = sum(p[2] for p in inside), sum(p[2] for p in inside if p[3])
+            base = sum(p[2] for p in own if period - 5 <= p[0] <= period - 3)
+            entropy = -sum(m / total * math.log(m / total) for m in mix.values() if m) / math.log(4)
+            want[key, field, period] = (total, sum(p[2] for p in inside if p[3] and p[4]) / known if known else None, entropy, math.log(total / base) if base else None)
+    df = spark.createDataFrame(papers, "entity_id string, year int, fields array<string>, weight double, known boolean, joint boolean")
+    for n_rows in (None, len(papers), 10**6):
+        rows = indicators.corpus_windows(df, "entity_id", last, 4, n_rows=n_rows).collect()
+        got = {(r["entity_id"], r["field_id"], r["period"]): tuple(r[c] for c in ("activity", "collaboration", "diversity", "momentum")) for r in rows}
+        assert len(rows) == len(got) and got.keys() == want.keys()
+        for k, v in want.items():
+            assert [x is None for x in got[k]] == [x is None for x in v]
+            assert [x for x in got[k] if x is not None] == pytest.approx([x for x in v if x is not None], abs=1e-12)

@@ -62,6 +62,14 @@ def test_activity_is_the_same_however_its_rows_are_dealt(spark):
         assert sorted(map(tuple, ind.activity(df, 2000, first="first_row", n_rows=n_rows).collect()), key=repr) == want
 
 
+def test_pairs_of_fields_are_not_shuffled(spark):
+    """A paper's rows are shuffled with its fields as a set; no shuffle is by category, and none is repeated for each measure."""
+    plan = plans.QUERIES["corpus_shares"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    shuffles = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert not [x for x in shuffles if "category" in x]
+    assert 0 < len(shuffles) <= 6
+
+
 def test_missing_places_are_no_conflict(spark):
     rows = [("p", 1, True, 2, 5, "a"), ("p", 1, True, 2, 5, "b"), ("q", 1, False, 2, 5, None), ("q", 1, False, 2, 5, None), ("r", 1, True, 1, 1, "a"), ("r", 1, True, 0, 9, "b")]
     df = spark.createDataFrame(rows, "paper_id string, slot int, present boolean, priority int, recency int, value string")
